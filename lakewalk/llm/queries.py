@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewalk.llm import bpe, topn
+from lakewalk.llm import bpe, digest, mixing, topn
+from lakewalk.storage import written
+
+PERCENTS = [0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99]
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -27,6 +30,48 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_top(spark, d).select("uid", "inv_id")
 
 
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    """size of every regular file under each of its three keys, as key_kind and key."""
+    rows = table(spark, d, "inventory").filter("type = 2 AND size IS NOT NULL")
+    kinds = F.array(*[F.struct(F.lit(k).alias("key_kind"), F.col(k).cast("string").alias("key")) for k in ("uid", "gid", "walk_day")])
+    return rows.select(F.explode(kinds).alias("k"), "size").select("k.*", "size")
+
+
+def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of the files' size for every uid, gid and walk_day, with their certified rank errors."""
+    return digest.percentiles(_sizes(spark, d), ["key_kind", "key"], "size", PERCENTS)
+
+
+def p4_certified(spark: SparkSession, d: str) -> DataFrame:
+    """Per key and p, whether the estimate's rank is within the stated error, with the number of values."""
+    rows = p4_percentiles(spark, d)
+    return rows.select("key_kind", "key", "p", "n", (F.col("rank_error") <= digest.RANK_ERROR).alias("within"))
+
+
+def p4_from_days(spark: SparkSession, d: str) -> DataFrame:
+    """Medians per uid from digests that were made per uid and day and then combined."""
+    rows = table(spark, d, "inventory").filter("type = 2 AND size IS NOT NULL")
+    daily = digest.digests(digest.weighted(rows, ["walk_day", "uid"], "size", 1), ["walk_day", "uid"])
+    found = digest.estimates(digest.merged(daily, ["uid"]), ["uid"], [0.5])
+    return found.select("uid", "n", F.col("estimate")[0].alias("median"))
+
+
+def _tokens(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    targets = table(spark, d, "mix_targets")
+    docs = table(spark, d, "documents").select("doc_id", "source", "text").join(F.broadcast(targets.select("source").distinct()), "source", "left_semi")
+    return written(bpe.count_tokens(docs), "tokens"), targets
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The mixed corpus: which tokens of which document fill each slot."""
+    return mixing.mix(*_tokens(spark, d))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached share of each source."""
+    return mixing.mix(*_tokens(spark, d))[1]
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """The token ids of every document."""
     return bpe.encode_corpus(table(spark, d, "documents"))
@@ -37,7 +82,7 @@ def p8_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return bpe.decode_corpus(bpe.encode_corpus(table(spark, d, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_top, p8_ids, p8_roundtrip)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_top, p4_percentiles, p4_certified, p4_from_days, p8_ids, p8_roundtrip, p9_mix, p9_shares)}
 
 _P2 = """
     WITH f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY inv_id) AS r FROM inventory)
@@ -46,6 +91,12 @@ _P2 = """
 """
 
 SQL = {
+    "p4_certified": f"""
+        SELECT key_kind, key, p, count(*) AS n, true AS within FROM (
+            SELECT 'uid' AS key_kind, CAST(uid AS VARCHAR) AS key FROM inventory WHERE type = 2 AND size IS NOT NULL
+            UNION ALL SELECT 'gid', CAST(gid AS VARCHAR) FROM inventory WHERE type = 2 AND size IS NOT NULL
+            UNION ALL SELECT 'walk_day', CAST(walk_day AS VARCHAR) FROM inventory WHERE type = 2 AND size IS NOT NULL),
+            (VALUES {", ".join(f"(CAST({p} AS DOUBLE))" for p in PERCENTS)}) AS t(p) GROUP BY ALL""",
     "p2_found": _P2 + "SELECT uid, inv_id FROM t WHERE rank <= 10",
     "p2_top": _P2 + "SELECT uid, size, atime, inv_id, rank FROM t WHERE rank <= 10",
     "p8_roundtrip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
