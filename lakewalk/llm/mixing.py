@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakewalk.storage import written
@@ -35,43 +35,36 @@ def allotment(totals: DataFrame, targets: DataFrame, block_tokens: int, total_to
 
     Of repeated target rows one counts; of differing rows of a source the one with the least weight, then least
     max_repeat. Sources without tokens (or with a null or non-positive weight) get nothing and the other weights are
-    scaled up. The size of the mix is ``total_tokens`` or, by default, the largest at which every share can be met:
-    the least of tokens * max_repeat / share over the capped sources (if none is capped, of tokens / share).
+    scaled up. The size of the mix is ``total_tokens`` or, by default, the number of tokens of all its sources. A source
+    that can't fill its share even if it is repeated max_repeat times gives all that it may; the others keep their
+    proportions to each other.
     """
     first = targets.filter("source IS NOT NULL AND target_weight > 0").groupBy("source").agg(F.min(F.struct("target_weight", F.coalesce("max_repeat", F.lit(2**31 - 1)).alias("max_repeat"))).alias("t"))
     rows = [r.asDict() for r in first.join(totals, "source", "left").select("source", "t.*", F.coalesce("tokens", F.lit(0)).alias("tokens")).orderBy("source").collect()]
     weight = sum(r["target_weight"] for r in rows if r["tokens"] > 0)
+    size = sum(r["tokens"] for r in rows) if total_tokens is None else total_tokens
     for r in rows:
-        r["target_share"] = r["target_weight"] / weight if r["tokens"] > 0 and weight else 0.0
-    live = [r for r in rows if r["target_share"] > 0]
-    capped = [r for r in live if r["max_repeat"] < 2**31 - 1]
-    most = min((r["tokens"] * r["max_repeat"] / r["target_share"] for r in capped), default=min((r["tokens"] / r["target_share"] for r in live), default=0))
-    size = most if total_tokens is None else total_tokens
-    for r in rows:
-        r["supply"] = r["tokens"] * r["max_repeat"]
-        r["wanted"] = min(r["supply"], int(size * r["target_share"]))
+        r["target_share"] = r["target_weight"] / weight if r["tokens"] > 0 else 0.0
+        r["wanted"] = max(0, min(r["tokens"] * r["max_repeat"], round(size * r["target_share"])))
         r["epochs"] = -(-r["wanted"] // r["tokens"]) if r["tokens"] else 0
+        r["blocks"] = -(-r["wanted"] // block_tokens)
     return rows
 
 
-def schedule(spark, rows: list[dict], block_tokens: int) -> DataFrame:
+def schedule(spark: SparkSession, rows: list[dict]) -> DataFrame:
     """slot, source, block: which source each slot takes its next block from, for the sources of ``allotment``.
 
-    The golden-ratio points of the slots are looked up in the cumulative shares, so any run of slots has nearly the
-    target mix; the k-th slot of a source takes its k-th block. A source that is exhausted (only possible with a given
-    total size) leaves its later slots out.
+    The golden-ratio points of the slots are looked up in the cumulative shares of the blocks, so any run of slots has
+    nearly the mix of the whole; the k-th slot of a source takes its k-th block. There are as many slots as blocks.
     """
-    live = [r for r in rows if r["wanted"] > 0]
-    slots = max((-(-r["wanted"] // block_tokens) / r["target_share"] for r in live), default=0)
+    live = [r for r in rows if r["blocks"] > 0]
+    slots = sum(r["blocks"] for r in live)
     point = (F.col("slot") + 1) * F.lit(GOLDEN)
-    frac, upto, source = point - F.floor(point), 0.0, None
-    for r in live:
-        source = (F.when if source is None else source.when)(frac < upto + r["target_share"], r["source"])
-        upto += r["target_share"]
-    picked = spark.range(int(slots + len(live) + 1)).select(F.col("id").alias("slot"))
-    if source is None:
-        return picked.filter("false").select("slot", F.lit("").alias("source"), F.col("slot").alias("block"))
-    picked = picked.withColumn("source", source.otherwise(live[-1]["source"]))
+    frac, upto, source = point - F.floor(point), 0, F.lit("")
+    for i, r in enumerate(live):
+        upto += r["blocks"]
+        source = (source if i else F).when(frac < upto / slots, r["source"])
+    picked = spark.range(slots).select(F.col("id").alias("slot")).withColumn("source", source)
     picked = picked.withColumn("chunk", F.floor(F.col("slot") / CHUNK_SLOTS)).withColumn("one", F.lit(1))
     ranked = running(picked, ["source"], "chunk", ["slot"], "one", "block")
     return ranked.select("slot", "source", F.col("block").cast("bigint").alias("block"))
@@ -83,7 +76,8 @@ def mix(docs: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, t
     ``docs`` has doc_id, source and tokens; ``targets`` source, target_weight and max_repeat. Mix: slot, source, block,
     epoch, doc_id, first_token, n_tokens: which tokens of which document fill the slot; sorted by slot it is the mixed
     corpus. A source's documents are shuffled anew in each epoch and laid end to end; blocks of ``block_tokens`` are cut
-    from that stream, so a document may continue in the source's next block. No token occurs in more than max_repeat
+    from that stream, so a document may continue in the source's next block. The few blocks for which the points left no
+    slot come at the end. No token occurs in more than max_repeat
     epochs. Shares: source, target_share, supply_tokens, max_repeat, epochs, tokens, actual_share, in the order of names.
 
     Documents with null source, null or no tokens don't occur. An empty table or no targets give no rows.
@@ -91,7 +85,7 @@ def mix(docs: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, t
     spark = docs.sparkSession
     docs = docs.select("doc_id", "source", F.coalesce("tokens", F.lit(0)).cast("bigint").alias("tokens")).filter("source IS NOT NULL AND tokens > 0")
     rows = allotment(docs.groupBy("source").agg(F.sum("tokens").alias("tokens")), targets, block_tokens, total_tokens)
-    slots = schedule(spark, rows, block_tokens)
+    slots = schedule(spark, rows)
     live = [r for r in rows if r["wanted"] > 0] or [{"source": "", "wanted": 0, "epochs": 0, "tokens": 1}]
     plan = F.broadcast(spark.createDataFrame([(r["source"], r["wanted"], r["epochs"], -(-r["tokens"] // CHUNK_TOKENS)) for r in live], "source string, wanted bigint, epochs int, chunks bigint"))
     copies = docs.join(plan, "source").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)))
@@ -101,9 +95,10 @@ def mix(docs: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, t
     end = F.least(F.col("start") + F.col("tokens"), F.col("wanted"))
     block = F.explode(F.sequence(F.floor(F.col("start") / block_tokens), F.floor((end - 1) / block_tokens)))
     pieces = stream.withColumn("end", end).withColumn("block", block)
+    slots_in_all = sum(r["blocks"] for r in rows)
     low, high = F.greatest("start", F.col("block") * block_tokens), F.least("end", (F.col("block") + 1) * block_tokens)
     pieces = pieces.select("source", "block", "epoch", "doc_id", (low - F.col("start")).cast("bigint").alias("first_token"), (high - low).cast("bigint").alias("n_tokens"))
-    mixed = written(slots.join(pieces, ["source", "block"]).select("slot", "source", "block", "epoch", "doc_id", "first_token", "n_tokens"), "mix")
+    mixed = written(pieces.join(slots, ["source", "block"], "left").select(F.coalesce("slot", F.col("block") + slots_in_all).alias("slot"), "source", "block", "epoch", "doc_id", "first_token", "n_tokens"), "mix")
     return mixed, _shares(mixed, rows)
 
 

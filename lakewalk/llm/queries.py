@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewalk.llm import bpe, digest, mixing, topn
+from lakewalk.llm import bpe, digest, mixing, reading, topn
 from lakewalk.storage import written
 
 PERCENTS = [0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99]
@@ -82,7 +82,17 @@ def p8_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return bpe.decode_corpus(bpe.encode_corpus(table(spark, d, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_top, p4_percentiles, p4_certified, p4_from_days, p8_ids, p8_roundtrip, p9_mix, p9_shares)}
+def p10_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Words, language and reading level of every document's main text."""
+    return reading.levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """The documents in de, en, es or fr with at least 60 words of main text that read at grade 4 or 5."""
+    return reading.demanding(p10_levels(spark, d)).select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_top, p4_percentiles, p4_certified, p4_from_days, p8_ids, p8_roundtrip, p9_mix, p9_shares, p10_found, p10_levels)}
 
 _P2 = """
     WITH f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY inv_id) AS r FROM inventory)
