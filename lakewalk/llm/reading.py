@@ -1,7 +1,7 @@
 """Reading level of documents: sentence-level models, aggregated and calibrated.
 
-A regularised linear model over words and the character n-grams in them gives every sentence a distribution over the
-grades (and over languages). The distributions of a document's main text are averaged, and logistic models, fitted on
+A regularised linear model over words, the character n-grams in them and the sentence's length gives every sentence a
+distribution over the grades (and over languages). The distributions of a document's main text are averaged, and logistic models, fitted on
 labelled documents that the sentence model hadn't seen, turn the averages into the document's level.
 
 Main text is found line by line: navigation, copyright lines, readers' comments, headlines and rows of lists by their
@@ -11,6 +11,7 @@ form; notices, error messages and the like because they recur, in the whole corp
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
@@ -31,7 +32,9 @@ DIMENSIONS = 2**16
 #: At most this many labelled documents are fitted on: those with the lowest hashes of doc_id.
 LABELLED = 4000
 #: A line is a notice if it occurs in documents with at least so many different longest other lines.
-CONTEXTS = 3
+CONTEXTS = 5
+#: Sentence lengths are a feature in so many classes, four to a doubling.
+LENGTHS = 36
 #: L2 penalties of the sentence model and of the calibration.
 PENALTY, CALIBRATION_PENALTY = 1e-5, 1e-2
 ITERATIONS = 120
@@ -42,6 +45,7 @@ WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 SENTENCE_END = re.compile(r"(?<=[.!?;…])\s+")
 LINE_END = re.compile(r"\r\n|\n|\r")
 SEPARATOR = re.compile(r"\s[|·»•]\s")
+INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 COMMENT = re.compile(r"\S*\d:\s")
 MOJIBAKE = re.compile("[ÂÃâ][\x80-\xff€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]")
 
@@ -61,11 +65,28 @@ def repair(text: str) -> str:
     return "\n".join(lines)
 
 
+def unwrapped(lines: Sequence[str]) -> list[str]:
+    """Lines of hard-wrapped text joined again. A text counts as wrapped if many lines go on in lower case; then every
+    line without a sentence's end is joined to the next, and a hyphen at its end dropped."""
+    goes_on = [len(a) > 30 and a[-1] not in ".!?;…:" and bool(b) and b[0].islower() for a, b in zip(lines, lines[1:])]
+    if 4 * sum(goes_on) < sum(len(x) > 30 for x in lines):
+        return list(lines)
+    joined: list[str] = []
+    width = max(map(len, lines))
+    for i, line in enumerate(lines):
+        before = lines[i - 1] if i else ""
+        if joined and (goes_on[i - 1] or (2 * len(before) > width and before[-1] not in ".!?;…:" and not SEPARATOR.search(line) and "©" not in line)):
+            joined[-1] = joined[-1][:-1] + line if joined[-1].endswith("-") else f"{joined[-1]} {line}"
+        else:
+            joined.append(line)
+    return joined
+
+
 def main_lines(text: str | None) -> list[str]:
     """The lines that may be running text by their form. Null and empty texts have none."""
     kept = []
-    for line in LINE_END.split(repair(text or "")):
-        line = line.strip()
+    text = unicodedata.normalize("NFKC", INVISIBLE.sub("", repair(text or "")))
+    for line in unwrapped([x.strip() for x in LINE_END.split(text)]):
         words = len(WORD.findall(line))
         if words <= 3 or "©" in line or COMMENT.match(line):
             continue
@@ -109,11 +130,16 @@ def sentences(lines: Sequence[str]) -> list[tuple[int, list[str]]]:
     return found
 
 
+def length_class(lens: np.ndarray) -> np.ndarray:
+    return np.minimum(LENGTHS - 1, (4 * np.log2(lens)).astype(np.int64))
+
+
 class Scorer:
-    """Scores of sentences: the mean of their words' scores, each the mean of the weights of a word's features."""
+    """Scores of sentences: the mean of their words' scores, each the mean of the weights of a word's features, plus the
+    weights of the class of length."""
 
-    def __init__(self, weights: np.ndarray, bias: np.ndarray):
-        self.weights, self.bias = weights, bias
+    def __init__(self, weights: np.ndarray, lengths: np.ndarray):
+        self.weights, self.lengths = weights, lengths
         self._forget()
 
     def _forget(self) -> None:
@@ -133,7 +159,8 @@ class Scorer:
         known, row = self.known, self._row
         rows = np.fromiter((known[w] if w in known else row(w) for words in found for w in words), np.int64)
         lens = np.array([len(words) for words in found])
-        return np.add.reduceat(self.scores[rows], np.concatenate([[0], np.cumsum(lens)[:-1]]), axis=0) / lens[:, None] + self.bias
+        sums = np.add.reduceat(self.scores[rows], np.concatenate([[0], np.cumsum(lens)[:-1]]), axis=0)
+        return sums / lens[:, None].astype(np.float32) + self.lengths[length_class(lens)]
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -142,7 +169,7 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 def fit_sentences(found: list[list[str]], grade: np.ndarray, language: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and bias of two softmax heads (grades, then languages and "other") by full-batch Adam with an L2 penalty.
+    """Weights, of features and of lengths, of two softmax heads (grades, then languages and "other") by full-batch Adam with an L2 penalty.
 
     ``grade`` and ``language`` give the class of each sentence, -1 where it has none; a head learns from the others.
     """
@@ -165,11 +192,12 @@ def fit_sentences(found: list[list[str]], grade: np.ndarray, language: np.ndarra
         ok = np.flatnonzero(classes >= 0)
         target[ok, column + classes[ok]] = 1
     masks = [(slice(0, GRADES), grade >= 0), (slice(GRADES, heads), language >= 0)]
-    weights, bias = np.zeros((len(used), heads)), np.zeros(heads)
-    m, v, mb, vb = np.zeros_like(weights), np.zeros_like(weights), np.zeros(heads), np.zeros(heads)
+    by_length = length_class(lens)
+    weights, lengths = np.zeros((len(used), heads)), np.zeros((LENGTHS, heads))
+    m, v, ml, vl = np.zeros_like(weights), np.zeros_like(weights), np.zeros_like(lengths), np.zeros_like(lengths)
     for step in range(1, ITERATIONS + 1):
         word_scores = np.add.reduceat(weights[gram_ids], starts, axis=0) / gram_lens[:, None]
-        scores = np.add.reduceat(word_scores[rows] * share[:, None], first, axis=0) + bias
+        scores = np.add.reduceat(word_scores[rows] * share[:, None], first, axis=0) + lengths[by_length]
         slope = np.zeros_like(scores)
         for columns, mask in masks:
             if mask.any():
@@ -178,9 +206,9 @@ def fit_sentences(found: list[list[str]], grade: np.ndarray, language: np.ndarra
         to_word = np.column_stack([np.bincount(rows, down[:, c], len(grams)) for c in range(heads)]) / gram_lens[:, None]
         up = to_word[gram_word]
         g = np.column_stack([np.bincount(gram_ids, up[:, c], len(used)) for c in range(heads)]) + PENALTY * weights
-        gb = slope.sum(axis=0)
+        gl = np.column_stack([np.bincount(by_length, slope[:, c], LENGTHS) for c in range(heads)]) + PENALTY * lengths
         rate = 0.3 * (1 - 0.9 * step / ITERATIONS)
-        for x, dx, a, b in ((weights, g, m, v), (bias, gb, mb, vb)):
+        for x, dx, a, b in ((weights, g, m, v), (lengths, gl, ml, vl)):
             a *= 0.9
             a += 0.1 * dx
             b *= 0.99
@@ -188,7 +216,7 @@ def fit_sentences(found: list[list[str]], grade: np.ndarray, language: np.ndarra
             x -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
     full = np.zeros((DIMENSIONS, heads), np.float32)
     full[used] = weights
-    return full, bias.astype(np.float32)
+    return full, lengths.astype(np.float32)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -207,16 +235,16 @@ def fit_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def document_features(levels: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """From sentences' grade distributions: the average distribution, weighted by words, and the share of sentences whose
-    likeliest grade is each."""
+    """From sentences' grade distributions: the average distribution, weighted by words and unweighted, and the share of
+    sentences whose likeliest grade is each."""
     top = np.eye(GRADES)[levels.argmax(axis=1)]
-    return np.concatenate([(levels * words[:, None]).sum(axis=0) / words.sum(), top.mean(axis=0)])
+    return np.concatenate([(levels * words[:, None]).sum(axis=0) / words.sum(), levels.mean(axis=0), top.mean(axis=0)])
 
 
 @dataclass
 class Model:
     weights: np.ndarray
-    bias: np.ndarray
+    lengths: np.ndarray
     #: One row per k of 2..5: coefficients of P(grade >= k) over the document features, intercept last.
     calibration: np.ndarray
 
@@ -259,11 +287,11 @@ def fit(labelled: list[tuple[str, str | None, float]]) -> Model | None:
             mine = doc[other] == i
             rows.append(document_features(levels[mine], n_words[other][mine]))
             goals.append(labelled[i][2])
-    weights, bias = fit_sentences(words, grades[doc], languages[doc])
+    weights, lengths = fit_sentences(words, grades[doc], languages[doc])
     if not rows:
-        return Model(weights, bias, np.zeros((GRADES - 1, 2 * GRADES + 1)))
+        return Model(weights, lengths, np.zeros((GRADES - 1, 3 * GRADES + 1)))
     x, y = np.array(rows), np.array(goals)
-    return Model(weights, bias, np.array([fit_logistic(x, (y >= k).astype(float)) for k in range(2, GRADES + 1)]))
+    return Model(weights, lengths, np.array([fit_logistic(x, (y >= k).astype(float)) for k in range(2, GRADES + 1)]))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> list[tuple[str, str | None, float | None]]:
@@ -275,14 +303,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = LABELLED) ->
     return [(r["text"], r["lang"], r["grade"]) for r in rows]
 
 
-NAMES = [*[f"m{k}" for k in range(GRADES)], *[f"t{k}" for k in range(GRADES)], *[f"l{k}" for k in range(len(LANGUAGES) + 1)]]
+NAMES = [*[f"m{k}" for k in range(GRADES)], *[f"u{k}" for k in range(GRADES)], *[f"t{k}" for k in range(GRADES)], *[f"l{k}" for k in range(len(LANGUAGES) + 1)]]
 
 
 def _score(model, id_type: pa.DataType):
     names = ["doc_id", "line", "context", "words", "sentences", *NAMES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model.value.weights, model.value.bias)
+        scorer = Scorer(model.value.weights, model.value.lengths)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             at = 0
@@ -304,7 +332,7 @@ def _score(model, id_type: pa.DataType):
                 scores = scorer([w for _, w in found])
                 levels, langs = softmax(scores[:, :GRADES]), softmax(scores[:, GRADES:])
                 n = np.array([len(w) for _, w in found], np.float32)
-                sums = np.column_stack([levels * n[:, None], np.eye(GRADES, dtype=np.float32)[levels.argmax(axis=1)], langs * n[:, None]])
+                sums = np.column_stack([levels * n[:, None], levels, np.eye(GRADES, dtype=np.float32)[levels.argmax(axis=1)], langs * n[:, None]])
                 place = np.array([k for k, _ in found])
                 first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
                 kept = place[first]
@@ -341,7 +369,7 @@ def levels(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Data
     notices = lines.select("line", "context").distinct().groupBy("line").count().filter(F.col("count") >= CONTEXTS).select("line")
     main = lines.join(notices, "line", "left_anti")
     summed = main.groupBy("doc_id").agg(F.sum("words").alias("words"), F.sum("sentences").alias("sentences"), *[F.sum(n).alias(n) for n in NAMES])
-    x = [*[F.col(f"m{k}") / F.col("words") for k in range(GRADES)], *[F.col(f"t{k}") / F.col("sentences") for k in range(GRADES)]]
+    x = [*[F.col(f"m{k}") / F.col("words") for k in range(GRADES)], *[F.col(f"{n}{k}") / F.col("sentences") for n in "ut" for k in range(GRADES)]]
     at_least = []
     for row in model.calibration:
         z = F.lit(float(row[-1]))
