@@ -60,21 +60,17 @@ class KeyedState:
             self._tables[version] = name
         return self.spark.table(self._tables[version])
 
-    def stage(self, state: DataFrame) -> DataFrame:
-        """Write the next version's rows, without putting it in force, and open them."""
+    def stage(self, *parts: DataFrame) -> DataFrame:
+        """Write the next version's rows, without putting it in force, and open them. Parts that are partitioned by the key
+        already, such as a left join with the state on its left, are written without a shuffle."""
         version = self.version + 1
         self._forget(version)
         name = f"lakewalk_{uuid.uuid4().hex}"
         at = self._at("state", version)
         self.files.delete(at)
-        (
-            state.repartition(self.buckets, *KEYS)
-            .write.format("parquet")
-            .bucketBy(self.buckets, *KEYS)
-            .option("path", at)
-            .mode("overwrite")
-            .saveAsTable(name)
-        )
+        for i, part in enumerate(parts):
+            writer = part.repartition(self.buckets, *KEYS).write.format("parquet").bucketBy(self.buckets, *KEYS)
+            writer.option("path", at).mode("append" if i else "overwrite").saveAsTable(name)
         self._tables[version] = name
         return self.spark.table(name)
 

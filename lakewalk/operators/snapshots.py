@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakewalk.operators.keyed_state import KEYS, KeyedState, content_hash, key_columns
+from lakewalk.storage import written
 
 
 def next_snapshot(
@@ -34,12 +35,14 @@ def next_snapshot(
         index.put_out(_nothing(snapshot, key, fields, notes))
         index.swap(**notes)
         return None
+    # The index is only on the left of a left join and on the right of an anti-join: it is never shuffled.
+    new = written(new, "snapshot")
     old = old.filter("kind <> 'removed'").select(*KEYS, F.col("h").alias("old_h"), F.col("id").alias("old_id"))
-    probed = old.join(new, list(KEYS), "full_outer").withColumn(
-        "kind",
-        F.when(F.col("old_id").isNull(), "added").when(F.col("new.id").isNull(), "removed").when(F.col("old_h") != F.col("new.h"), "changed").otherwise("same"),
-    )
-    staged = index.stage(probed.select(*KEYS, F.col("new.h").alias("h"), F.col("new.id").alias("id"), "kind", "old_id", F.when(F.col("kind").isin("added", "changed"), F.col("new")).alias("new")))
+    kind = F.when(F.col("new").isNull(), "removed").when(F.col("old_h") != F.col("new.h"), "changed").otherwise("same")
+    probed = old.join(new, list(KEYS), "left").withColumn("kind", kind)
+    added = new.join(old, list(KEYS), "left_anti").select(*KEYS, "new", F.lit("added").alias("kind"), F.lit(None).cast("bigint").alias("old_id"))
+    index_rows = lambda df: df.select(*KEYS, F.col("new.h").alias("h"), F.col("new.id").alias("id"), "kind", "old_id", F.when(F.col("kind").isin("added", "changed"), F.col("new")).alias("new"))
+    staged = index.stage(index_rows(probed), index_rows(added))
     changed = staged.filter(F.col("kind").isin("added", "removed", "changed")).select("kind", "old_id", "new")
     fetched = previous.select(F.col(row_id).alias("old_id"), F.struct(F.col(key).alias("key"), *[F.col(f).alias(f"f{i}") for i, f in enumerate(fields)]).alias("old"))
     rows = changed.join(fetched, "old_id", "left")
