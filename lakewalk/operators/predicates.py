@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,8 +81,6 @@ def max_depth(root: str, levels: int) -> Column:
 
 def hook(test: Callable[[str], bool]) -> Column:
     """A caller's own test of the path, in batches on the executors. It takes the place of running a command per entry."""
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda p: bool(test(p)) if p is not None else False)
