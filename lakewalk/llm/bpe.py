@@ -61,11 +61,11 @@ class _Numbers(dict):
         return n
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
+def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list, list]]:
     ids, texts, chars = [], [], 0
     for batch in batches:
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if ids and chars + len(text or "") > BLOCK_CHARS:
+            if ids and chars + len(text or "") > most:
                 yield ids, texts
                 ids, texts, chars = [], [], 0
             ids.append(i)
@@ -75,7 +75,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
         yield ids, texts
 
 
-def _number(id_type: pa.DataType):
+def _number(id_type: pa.DataType, block_chars: int):
     schema = pa.schema([("block", pa.int64()), ("no", pa.int32()), ("word", pa.string()), ("place", pa.binary()), ("docs", pa.list_(id_type)), ("lens", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,7 +84,7 @@ def _number(id_type: pa.DataType):
         from pyspark import TaskContext
 
         split = splitter()
-        for k, (ids, texts) in enumerate(_blocks(batches)):
+        for k, (ids, texts) in enumerate(_blocks(batches, block_chars)):
             block = (TaskContext.get().partitionId() << 32) + k
             numbers, places, lens = _Numbers(), [], []
             for text in texts:
@@ -102,12 +102,12 @@ def _number(id_type: pa.DataType):
     return run
 
 
-def _encode(vocabulary: str, folder: str):
+def _encode(vocabulary: str, folder: str, most_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, known = encoding(vocabulary, folder).encode_ordinary, {None: None}
         for batch in batches:
             words = batch.column("word").to_pylist()
-            if len(known) >= MOST_WORDS:
+            if len(known) >= most_words:
                 known = {None: None}
             for word in words:
                 if word not in known:
@@ -145,20 +145,21 @@ def _assemble(id_col: str, id_type: pa.DataType):
     return run
 
 
-def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
+def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS, block_chars: int = BLOCK_CHARS, most_words: int = MOST_WORDS) -> DataFrame:
     """``id_col`` and ``ids`` (array<int>) of every row, by ``vocabulary``, without special tokens.
 
     A null text and an empty one both have the empty list. Strings of special tokens are ordinary text. Rows are kept as
-    they are: repeated or null ids give as many rows. Whole texts are encoded; other columns don't matter.
+    they are: repeated or null ids give as many rows. Whole texts are encoded; other columns don't matter. Read ``docs``
+    from files (or write them first): a lost task has to find the same rows in the same order again.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = docs.schema[id_col].dataType
     arrow, name = to_arrow_type(kind), kind.simpleString()
-    numbered = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(_number(arrow), f"block bigint, no int, word string, place binary, docs array<{name}>, lens array<int>")
+    numbered = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(_number(arrow, block_chars), f"block bigint, no int, word string, place binary, docs array<{name}>, lens array<int>")
     spread = F.when(F.col("word").isNull(), F.xxhash64("block")).otherwise(F.xxhash64("word"))
     by_word = numbered.repartition(spread)
-    encoded = by_word.mapInArrow(_encode(vocabulary, folder), f"block bigint, no int, payload binary, docs array<{name}>, lens array<int>")
+    encoded = by_word.mapInArrow(_encode(vocabulary, folder, most_words), f"block bigint, no int, payload binary, docs array<{name}>, lens array<int>")
     return encoded.groupBy("block").applyInArrow(_assemble(id_col, arrow), f"{id_col} {name}, ids array<int>")
 
 
