@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Start and factor of the 64-bit FNV-1a used for directory owners. Fixed values; the start isn't the standard one.
 FNV_START, FNV_FACTOR = 1469598103934665603, 1099511628211
+#: Domains that keep the uses of the 32-bit hash apart. Fixed values.
+SCAN, BATCH, PLANNER, SOURCE_OWNER, DESTINATION_OWNER = 0x5343414E, 0x42415443, 0x504C4E52, 0x5352434F, 0x4453544F
 
 
 def _bytes(strings: pd.Series) -> tuple[np.ndarray, np.ndarray]:
@@ -79,3 +81,13 @@ def fnv(path: Column) -> Column:
         return _nullable(s, lambda x: fnv1a(x).view(np.int64))
 
     return run(path)
+
+
+def bucket(path: Column, buckets: int, domain: int) -> Column:
+    """The owner, from 0, of a path among ``buckets``; null for null."""
+    return F.when(path.isNotNull(), F.lit(0)) if buckets <= 1 else (jenkins(path, domain) % buckets).cast("int")
+
+
+def batch(relpath: Column, batches: int) -> Column:
+    """The batch of an entry; '.' is in batch 0."""
+    return F.when(relpath == ".", 0).otherwise(bucket(relpath, batches, BATCH))

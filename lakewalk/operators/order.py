@@ -96,6 +96,11 @@ def hash_batch(relpath: Column, batches: int) -> Column:
     return F.when(relpath == ".", 0).otherwise(F.pmod(F.xxhash64(relpath), F.lit(batches))).cast("int")
 
 
+def batch_count(src_items: int, dst_items: int, batch_files: int) -> int:
+    """How many batches keep the larger side at ``batch_files`` entries each; 1 without a limit or entries."""
+    return max(1, -(-max(src_items, dst_items) // batch_files)) if batch_files > 0 else 1
+
+
 def spread_by(rows: DataFrame, partitions: int, *keys: Column) -> DataFrame:
     """Rows moved to the partition that an expression names; those with equal keys meet."""
     return rows.repartition(partitions, *keys)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakewalk import schema
-from lakewalk.functions import modes, paths
+from lakewalk.functions import hashes, modes, paths
 from lakewalk.operators.compare import paired
 
 #: Actions in the order in which they have to run. Fixed values.
@@ -97,6 +97,12 @@ def deferred(planned: DataFrame) -> tuple[DataFrame, DataFrame]:
     return planned.filter(~late), planned.filter(late).orderBy(paths.relative_depth("relpath").desc(), "relpath")
 
 
+def owned(planned: DataFrame, source_workers: int, destination_workers: int) -> DataFrame:
+    """The actions with the workers that read and write them: src_owner (-1 for removals, which read nothing), dst_owner."""
+    src = F.when(F.col("action") == "REMOVE", -1).otherwise(hashes.bucket(F.col("relpath"), source_workers, hashes.SOURCE_OWNER))
+    return planned.withColumn("src_owner", src).withColumn("dst_owner", hashes.bucket(F.col("relpath"), destination_workers, hashes.DESTINATION_OWNER))
+
+
 def action_counts(planned: DataFrame, skipped: int = 0) -> DataFrame:
     """One row: how often each action occurs, and what was left in place."""
     counts = [F.count_if(F.col("action") == a).alias(a.lower()) for a in ("COPY", "REMOVE", "MKDIR", "SYMLINK_UPDATE", "META_UPDATE")]

@@ -781,10 +781,34 @@ def digests(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("frag_id", F.sha2("content", 256).alias("digest"), F.hex(F.encode("content", "utf-8")).rlike("^(00)*$").alias("all_zero"))
 
 
-@query()
+_BYTES = "list_transform(range(1, 2 * strlen(path), 2), lambda i: CAST('0x' || substring(hex(encode(path)), i, 2) AS {}))"
+
+
+def _jenkins_sql(domain: int | None) -> str:
+    """The 32-bit hash as a fold over bytes: x + (x << 10) is 1025 x, modulo 2**32."""
+    head = [0, *(int(domain).to_bytes(4, "little") if domain is not None else b"")]
+    step = "((((h + b) & 4294967295) * 1025) & 4294967295)"
+    folded = f"list_reduce(list_concat([{', '.join(f'{x}::BIGINT' for x in head)}], {_BYTES.format('BIGINT')}), lambda h, b: xor({step}, {step} >> 6))"
+    return f"(SELECT (y * 32769) & 4294967295 FROM (SELECT xor(x, x >> 11) AS y FROM (SELECT ({folded} * 9) & 4294967295 AS x)))"
+
+
+_FNV = f"list_reduce(list_concat([{hashes.FNV_START}::HUGEINT], {_BYTES.format('HUGEINT')}), lambda h, b: (xor(h, b) * {hashes.FNV_FACTOR}) % 18446744073709551616)"
+
+
+@query(f"SELECT inv_id, {_jenkins_sql(None)} AS jenkins, {_jenkins_sql(hashes.SCAN)} AS jenkins_scan, CAST(CASE WHEN v > 9223372036854775807 THEN v - 18446744073709551616 ELSE v END AS BIGINT) AS fnv FROM (SELECT *, {_FNV} AS v FROM inventory)")
 def owner_hashes(spark: SparkSession, d: str) -> DataFrame:
     """The hashes that decide which worker owns a path or directory."""
-    return inventory(spark, d).select("inv_id", hashes.jenkins(F.col("path")).alias("jenkins"), hashes.jenkins(F.col("path"), 1).alias("jenkins_1"), hashes.fnv(F.col("path")).alias("fnv"))
+    path = F.col("path")
+    return inventory(spark, d).select("inv_id", hashes.jenkins(path).alias("jenkins"), hashes.jenkins(path, hashes.SCAN).alias("jenkins_scan"), hashes.fnv(path).alias("fnv"))
+
+
+@query(_ACTIONS + f""", p AS (SELECT relpath AS path, action FROM a)
+    SELECT path AS relpath, action, CAST(CASE WHEN action = 'REMOVE' THEN -1 ELSE {_jenkins_sql(hashes.SOURCE_OWNER)} % 5 END AS INT) AS src_owner, CAST({_jenkins_sql(hashes.DESTINATION_OWNER)} % 3 AS INT) AS dst_owner,
+    CAST({_jenkins_sql(hashes.BATCH)} % 4 AS INT) AS batch FROM p""")
+def sync_owners(spark: SparkSession, d: str) -> DataFrame:
+    """Which workers read and write each action, and its batch."""
+    planned = sync.owned(sync.actions(src(spark, d), dst(spark, d)), 5, 3)
+    return planned.select("relpath", "action", "src_owner", "dst_owner", hashes.batch(F.col("relpath"), 4).alias("batch"))
 
 
 # Sources and sinks ------------------------------------------------------------------------------------------------------

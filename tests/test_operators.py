@@ -276,3 +276,55 @@ def test_changes(spark, empty):
     assert rows(changes.hard_links(links)) == [("/b", "/a")]
     laid = links.withColumn("stripe_count", F.lit(1)).withColumn("stripe_size", F.lit(4))
     assert changes.restripe(laid, 0, 2, 4)[1].first()["files"] == 4 and changes.restripe(laid, 0, 1, 4)[1].first()["files"] == 0
+
+
+def test_contents_decide_where_they_are_compared(spark):
+    a = tree(spark, [entry("/r/a", mtime=5), entry("/r/b"), entry("/r/c"), entry("/r/d")])
+    b = tree(spark, [entry("/r/a"), entry("/r/b"), entry("/r/c"), entry("/r/d")])
+    by_path = lambda **kw: F.coalesce(*[F.when(F.col("relpath") == k, v) for k, v in kw.items()], F.lit("same"))
+    a = a.withColumn("content", by_path(b="x")).withColumn("digest", by_path(b="x", c="y"))
+    b = b.withColumn("content", by_path()).withColumn("digest", F.when(F.col("relpath") != "d", by_path()))
+    got = {r["relpath"]: r["CONTENT"] for r in compare.states(a, b, lite=False).collect()}
+    assert got == {"a": "COMMON", "b": "DIFFER", "c": "COMMON", "d": "COMMON"}
+    assert {r["relpath"]: r["CONTENT"] for r in compare.states(a, b, lite=True).collect()}["a"] == "DIFFER"
+    planned = {(r["relpath"], r["action"]) for r in sync.actions(a, b, contents=True).collect()}
+    assert planned == {("a", "META_UPDATE"), ("b", "COPY"), ("c", "COPY"), ("d", "COPY")}
+    lists = {r["relpath"]: (r["do_remove"], r["do_copy"], r["do_refresh"]) for r in sync.mirror(a, b, contents=True).collect()}
+    assert lists == {"a": (False, False, True), "b": (False, True, False)}
+
+
+def test_null_fields_equal_only_null(spark):
+    a = tree(spark, [entry("/r/a", size=None), entry("/r/b", size=None, uid=None)])
+    b = tree(spark, [entry("/r/a", size=None), entry("/r/b", size=3, uid=None)])
+    got = {r["relpath"]: (r["SIZE"], r["UID"]) for r in compare.states(a, b).collect()}
+    assert got == {"a": ("COMMON", "COMMON"), "b": ("DIFFER", "COMMON")}
+    assert {r["relpath"] for r in sync.actions(a, b).collect()} == {"b"}
+
+
+def test_write_matched(spark, pair, tmp_path):
+    folders = compare.write_matched(compare.states(*pair), ["EXIST=ONLY_SRC:new", "EXIST=COMMON"], str(tmp_path))
+    assert folders == [f"{tmp_path}/new"] and rows(spark.read.parquet(folders[0])) == [("only", "src")]
+
+
+def test_owners_and_batches(spark, pair):
+    planned = sync.owned(sync.actions(*pair), 3, 1)
+    assert {r["src_owner"] for r in planned.filter("action = 'REMOVE'").collect()} == {-1}
+    assert {r["dst_owner"] for r in planned.collect()} == {0}
+    assert [order.batch_count(*x) for x in ((0, 0, 10), (10, 3, 10), (3, 11, 10), (5, 5, 0))] == [1, 1, 2, 1]
+
+
+def test_progress(spark, tmp_path):
+    from lakewalk.operators.progress import observed
+
+    counted, observation = observed(explicit(spark, [entry("/a", size=3), entry("/b", size=None)]), "written")
+    counted.write.parquet(f"{tmp_path}/x")
+    assert observation.get == {"entries": 2, "bytes": 3}
+
+
+@pytest.mark.parametrize("partitions", ["1", "7"])
+def test_results_do_not_depend_on_partitions(spark, partitions):
+    df = explicit(spark, [entry(f"/t/{i % 5}/{i}", size=i * 37 % 11, atime=NOW - i * DAY) for i in range(200)])
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    got = rows(profile.hot_cold(profile.with_top(df, "/t"), "top", NOW, 30)), rows(profile.age_profile(df, NOW)), rows(chunks.archive_entries(df))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == (rows(profile.hot_cold(profile.with_top(df, "/t"), "top", NOW, 30)), rows(profile.age_profile(df, NOW)), rows(chunks.archive_entries(df)))
