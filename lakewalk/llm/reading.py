@@ -47,7 +47,7 @@ LINE_END = re.compile(r"\r\n|\n|\r")
 SEPARATOR = re.compile(r"\s[|·»•]\s")
 INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 COMMENT = re.compile(r"\S*\d:\s")
-MOJIBAKE = re.compile("[ÂÃâ][\x80-\xff€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]")
+MOJIBAKE = re.compile("[\xc2-\xf4][\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]")
 
 _SINGLE = {**{chr(i): bytes([i]) for i in range(256)}, **{bytes([i]).decode("cp1252"): bytes([i]) for i in range(128, 160) if i not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}}
 
@@ -69,7 +69,7 @@ def unwrapped(lines: Sequence[str]) -> list[str]:
     """Lines of hard-wrapped text joined again. A text counts as wrapped if many lines go on in lower case; then every
     line without a sentence's end is joined to the next, and a hyphen at its end dropped."""
     goes_on = [len(a) > 30 and a[-1] not in ".!?;…:" and bool(b) and b[0].islower() for a, b in zip(lines, lines[1:])]
-    if 4 * sum(goes_on) < sum(len(x) > 30 for x in lines):
+    if not any(goes_on) or 4 * sum(goes_on) < sum(len(x) > 30 for x in lines):
         return list(lines)
     joined: list[str] = []
     width = max(map(len, lines))
@@ -88,7 +88,7 @@ def main_lines(text: str | None) -> list[str]:
     text = unicodedata.normalize("NFKC", INVISIBLE.sub("", repair(text or "")))
     for line in unwrapped([x.strip() for x in LINE_END.split(text)]):
         words = len(WORD.findall(line))
-        if words <= 3 or "©" in line or COMMENT.match(line):
+        if words <= 3 or words > 3 * len(line.split()) or "©" in line or COMMENT.match(line):
             continue
         parts = SEPARATOR.split(line)
         if len(parts) > 1 and words <= 3 * len(parts):
@@ -120,6 +120,11 @@ def features(word: str) -> list[int]:
     return [zlib.crc32(g.encode()) % DIMENSIONS for g in grams]
 
 
+def foreign(words: Sequence[str]) -> bool:
+    """Whether most words don't begin with a Latin letter."""
+    return 2 * sum(w[0] > "\u024f" for w in words) > len(words)
+
+
 def sentences(lines: Sequence[str]) -> list[tuple[int, list[str]]]:
     """(number of the line, words) of each sentence with words."""
     found = []
@@ -331,6 +336,7 @@ def _score(model, id_type: pa.DataType):
                     continue
                 scores = scorer([w for _, w in found])
                 levels, langs = softmax(scores[:, :GRADES]), softmax(scores[:, GRADES:])
+                langs[[foreign(w) for _, w in found]] = np.eye(len(LANGUAGES) + 1)[-1]
                 n = np.array([len(w) for _, w in found], np.float32)
                 sums = np.column_stack([levels * n[:, None], levels, np.eye(GRADES, dtype=np.float32)[levels.argmax(axis=1)], langs * n[:, None]])
                 place = np.array([k for k, _ in found])
