@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakewalk import schema
 from lakewalk.functions import paths
+from lakewalk.operators.order import numbered
 
 
 def candidates(files: DataFrame) -> DataFrame:
@@ -40,14 +41,14 @@ def duplicate_groups(files: DataFrame) -> DataFrame:
 def ranked_groups(rows: DataFrame, key: str, order: str) -> DataFrame:
     """``rows`` with the dense number of their key (from 0, in the keys' order), the size of its group and their place in it.
 
-    Keys are numbered without a global window: the distinct keys are range-partitioned and numbered there. Places come
-    from one window per key.
+    Rows are numbered in the order of (key, order) by range partitions; a row's place is its number less the least of its
+    group. No window holds a group, however many rows a key has.
     """
-    from lakewalk.operators.order import numbered
-
-    keys = numbered(rows.groupBy(key).agg(F.count(F.lit(1)).alias("group_size")), [F.col(key)], "group_id")
-    placed = rows.withColumn("group_rank", F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1)
-    return placed.alias("r").join(keys.alias("k"), F.col(f"r.{key}").eqNullSafe(F.col(f"k.{key}"))).select("r.*", "k.group_id", "k.group_size")
+    placed = numbered(rows, [F.col(key).asc_nulls_first(), F.col(order)], "_index")
+    groups = placed.groupBy(key).agg(F.count(F.lit(1)).alias("group_size"), F.min("_index").alias("_start"))
+    keys = numbered(groups, [F.col(key).asc_nulls_first()], "group_id")
+    joined = placed.alias("r").join(keys.alias("k"), F.col(f"r.{key}").eqNullSafe(F.col(f"k.{key}")))
+    return joined.select("r.*", "k.group_id", "k.group_size", (F.col("_index") - F.col("_start")).alias("group_rank")).drop("_index")
 
 
 def parent_directories(rows: DataFrame) -> DataFrame:

@@ -16,10 +16,10 @@ from lakewalk.storage import written
 FIELDS = ["name", "user", "group", "uid", "gid", "atime", "mtime", "ctime", "size"]
 
 
-def sort_columns(fields: str, columns: Sequence[str]) -> list[Column]:
-    """'-size,name' as columns to order by: '-' is descending. Times compare with their nanoseconds where the inventory has
-    them; the path always settles ties. A field that doesn't exist or comes twice raises ValueError."""
-    order, seen = [], set()
+def sort_keys(fields: str, columns: Sequence[str]) -> list[tuple[str, bool]]:
+    """'-size,name' as (column, descending?). Times compare with their nanoseconds where the inventory has them; the path
+    always settles ties. A field that doesn't exist or comes twice raises ValueError."""
+    keys, seen = [], set()
     for field in filter(None, fields.split(",")):
         name, down = field.lstrip("-"), field.startswith("-")
         if name not in FIELDS or name in seen:
@@ -28,11 +28,17 @@ def sort_columns(fields: str, columns: Sequence[str]) -> list[Column]:
         column = "path" if name == "name" else name
         if column not in columns:
             raise ValueError(f"no column {column!r} to sort by")
-        for c in [column, f"{column}_nsec"] if f"{column}_nsec" in columns else [column]:
-            order.append(F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_first())
-    if "name" not in seen:
-        order.append(F.col("path").asc_nulls_first())
-    return order
+        keys += [(c, down) for c in ([column, f"{column}_nsec"] if f"{column}_nsec" in columns else [column])]
+    return keys if "name" in seen else [*keys, ("path", False)]
+
+
+def _ordered(keys: Sequence[tuple[str, bool]], backwards: bool = False) -> list[Column]:
+    return [F.col(c).desc_nulls_last() if down != backwards else F.col(c).asc_nulls_first() for c, down in keys]
+
+
+def sort_columns(fields: str, columns: Sequence[str]) -> list[Column]:
+    """The same as columns to order by: nulls are the least."""
+    return _ordered(sort_keys(fields, columns))
 
 
 def sorted_by(rows: DataFrame, fields: str) -> DataFrame:
@@ -80,10 +86,14 @@ def slices(rows: DataFrame, order: Sequence[Column | str], size: int, name: str
 
 
 def head_tail(rows: DataFrame, fields: str = "name", head: int = 10, tail: int = 10) -> DataFrame:
-    """The first and last rows with their place ``row_index``; all of them if there are no more than head + tail."""
-    placed = numbered(rows, sort_columns(fields, rows.columns))
-    total = placed.count()
-    return placed.filter((F.col("row_index") < head) | (F.col("row_index") >= total - tail))
+    """The first and last rows with their place ``row_index``; all of them if there are no more than head + tail. Either end
+    is a bounded heap per task; nothing is sorted as a whole."""
+    keys, total = sort_keys(fields, rows.columns), rows.count()
+    if total <= head + tail:
+        head, tail = total, 0
+    first = rows.orderBy(*_ordered(keys)).limit(head).withColumn("row_index", F.row_number().over(Window.orderBy(*_ordered(keys))).cast("bigint") - 1)
+    last = rows.orderBy(*_ordered(keys, True)).limit(tail).withColumn("row_index", F.lit(total) - F.row_number().over(Window.orderBy(*_ordered(keys, True))))
+    return first.unionByName(last)
 
 
 def by_depth(rows: DataFrame) -> DataFrame:

@@ -111,10 +111,10 @@ def _ends(ends: list) -> str:
 @query(" UNION ALL ".join(f"SELECT '{c}' AS letter, count(*) AS n, count(DISTINCT path) AS n_paths FROM inventory WHERE (mode & 61440) = {bits}" for c, bits in predicates.TYPE_BITS.items()))
 def find_type(spark: SparkSession, d: str) -> DataFrame:
     """Entries by each letter of type."""
-    rows, letters = inventory(spark, d), list(predicates.TYPE_BITS)
-    counts = [x for c in letters for x in (F.count_if(predicates.of_type(c)).alias(f"n_{c}"), F.count_distinct(F.when(predicates.of_type(c), F.col("path"))).alias(f"p_{c}"))]
-    each = F.explode(F.array(*[F.struct(F.lit(c).alias("letter"), F.col(f"n_{c}").alias("n"), F.col(f"p_{c}").alias("n_paths")) for c in letters]))
-    return rows.agg(*counts).select(each.alias("r")).select("r.*")
+    letter = F.coalesce(*[F.when(predicates.of_type(c), c) for c in predicates.TYPE_BITS])
+    counted = inventory(spark, d).groupBy(letter.alias("letter")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("path").alias("n_paths"))
+    letters = spark.createDataFrame([(c,) for c in predicates.TYPE_BITS], "letter string")
+    return letters.join(counted, "letter", "left").fillna(0, ["n", "n_paths"])
 
 
 @query(r"SELECT inv_id, path FROM inventory WHERE regexp_matches(path, '(?s)/([^./][^/]*)?\.gz$') AND NOT regexp_matches(path, '(?s)/\.[^/]*$') OR regexp_matches(path, '(?s)/[^.a-m/][^/]*[._-][^/]*\.h[^/]$')")
@@ -472,7 +472,7 @@ def duplicate_groups(spark: SparkSession, d: str) -> DataFrame:
     return dedup.duplicate_groups(table(spark, d, "fragments"))
 
 
-@query("SELECT frag_id, dense_rank() OVER (ORDER BY size NULLS FIRST) - 1 AS group_id, count(*) OVER (PARTITION BY size) AS group_size, CAST(row_number() OVER (PARTITION BY size ORDER BY frag_id) - 1 AS INT) AS group_rank FROM fragments")
+@query("SELECT frag_id, dense_rank() OVER (ORDER BY size NULLS FIRST) - 1 AS group_id, count(*) OVER (PARTITION BY size) AS group_size, row_number() OVER (PARTITION BY size ORDER BY frag_id) - 1 AS group_rank FROM fragments")
 def ranked_groups(spark: SparkSession, d: str) -> DataFrame:
     """Files grouped by size: number and size of their group, and their place in it."""
     return dedup.ranked_groups(table(spark, d, "fragments").select("frag_id", "size"), "size", "frag_id").select("frag_id", "group_id", "group_size", "group_rank")
