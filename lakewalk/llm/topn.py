@@ -20,10 +20,15 @@ from lakewalk.storage import new_folder
 ROW_GROUP_BYTES = 64 * 1024
 
 
-def cluster(df: DataFrame, group: str, score: str, path: str, row_group_bytes: int = ROW_GROUP_BYTES) -> list[str]:
-    """Write ``df`` range-partitioned by (group, score descending): a hot group is spread over many files. The file names."""
-    order = [F.col(group), F.col(score).desc()]
-    clustered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+def _sorted(order: Sequence[tuple[str, bool]]) -> list[Column]:
+    return [F.col(c).desc_nulls_last() if desc else F.col(c).asc_nulls_last() for c, desc in order]
+
+
+def cluster(df: DataFrame, group: str, order: Sequence[tuple[str, bool]], path: str, row_group_bytes: int = ROW_GROUP_BYTES) -> list[str]:
+    """Write ``df`` range-partitioned by group and order: a hot group is spread over many files, even if all its scores are
+    the same. The file names."""
+    places = [F.col(group), *_sorted(order)]
+    clustered = df.repartitionByRange(*places).sortWithinPartitions(*places)
     clustered.write.option("parquet.block.size", str(row_group_bytes)).option("parquet.page.size", str(max(4096, row_group_bytes // 8))).mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).inputFiles()
 
@@ -91,7 +96,7 @@ def top_n(df: DataFrame, group: str, order: Sequence[tuple[str, bool]], n: int,
     score, columns = order[0][0], [group, *[c for c, _ in order]]
     assert order[0][1], "the score has to be descending"
     rows = df.select(*[F.col(c).cast("bigint").alias(c) for c in columns]).filter(F.col(group).isNotNull() & F.col(score).isNotNull())
-    names = cluster(rows, group, score, path or new_folder(spark, "topn"), row_group_bytes)
+    names = cluster(rows, group, order, path or new_folder(spark, "topn"), row_group_bytes)
     schema = ", ".join(f"{c} bigint" for c in columns)
     if not names:
         return rows.limit(0)
@@ -101,6 +106,5 @@ def top_n(df: DataFrame, group: str, order: Sequence[tuple[str, bool]], n: int,
     floors = parts.filter((F.col("low") == F.col("high")) & (F.col("n") >= n)).groupBy("low").agg(F.max("min_score").alias("floor"))
     alive = parts.join(floors, "low", "left").filter((F.col("low") != F.col("high")) | F.col("floor").isNull() | (F.col("max_score") >= F.col("floor")))
     best = read_best(alive.select("file", "row_group", "low", "high", "max_score").repartition(len(names), "file"), columns, group, order, n, schema)
-    first: list[Column] = [F.col(c).desc_nulls_last() if desc else F.col(c).asc_nulls_last() for c, desc in order]
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*first)))
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*_sorted(order))))
     return ranked.filter(F.col("rank") <= n)

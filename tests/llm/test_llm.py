@@ -89,7 +89,7 @@ def test_top_n(spark, row_group_bytes):
 def test_top_n_skips_row_groups(spark):
     df = spark.range(40_000).select((F.col("id") % 3).alias("g"), F.col("id").alias("s"), F.col("id").alias("i"))
     path = new_folder(spark, "t")
-    names = topn.cluster(df, "g", "s", path, 512)
+    names = topn.cluster(df, "g", [("s", True), ("i", False)], path, 512)
     files = spark.createDataFrame([(f,) for f in names], "file string")
     parts = topn.statistics(files, "g", "s").cache()
     floors = parts.filter("low = high AND n >= 5").groupBy("low").agg(F.max("min_score").alias("floor"))
