@@ -77,8 +77,8 @@ def mix(docs: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, t
     epoch, doc_id, first_token, n_tokens: which tokens of which document fill the slot; sorted by slot it is the mixed
     corpus. A source's documents are shuffled anew in each epoch and laid end to end; blocks of ``block_tokens`` are cut
     from that stream, so a document may continue in the source's next block. The few blocks for which the points left no
-    slot come at the end. No token occurs in more than max_repeat
-    epochs. Shares: source, target_share, supply_tokens, max_repeat, epochs, tokens, actual_share, in the order of names.
+    slot come at the end. No token occurs in more than max_repeat epochs. Shares: source, target_share, supply_tokens,
+    max_repeat, epochs, tokens, actual_share.
 
     Documents with null source, null or no tokens don't occur. An empty table or no targets give no rows.
     """
