@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakewalk.operators.keyed_state import KEYS, KeyedState, content_hash, key_columns
-from lakewalk.storage import written
 
 
 def process_new(
@@ -39,7 +38,7 @@ def process_new(
         staged = state.stage(_state_rows(seen, "new", places, F.lit(True)))
     else:
         # The state is only on the left of a left join and on the right of an anti-join: it is never shuffled.
-        seen = written(seen, "seen")
+        seen = state.incoming(seen)
         old = old.select(*KEYS, F.struct(*places, "h", "row_id").alias("old"))
         both = old.join(seen, list(KEYS), "left").withColumn("newer", F.col("new").isNotNull() & (order("new") > order("old")))
         kept = both.withColumn("top", F.when(F.col("newer"), F.col("new")).otherwise(F.col("old")))

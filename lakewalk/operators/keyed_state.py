@@ -1,7 +1,7 @@
 """Versioned key-to-hash tables, bucketed by key, whose current version is swapped atomically.
 
 Layout below ``root``: ``CURRENT`` names the version in force with its bucket count and the caller's notes;
-``state-<version>`` holds its rows; ``changes-<version>`` what the step that made it put out.  A step writes both
+``state-<version>`` holds its rows; ``changes-<version>`` what the step that made it put out.  A step writes its
 folders first and then replaces ``CURRENT``; one that dies earlier leaves folders that no one reads and that the next
 attempt overwrites, so records are neither skipped nor repeated.
 """
@@ -74,6 +74,17 @@ class KeyedState:
         self._tables[version] = name
         return self.spark.table(name)
 
+    def incoming(self, rows: DataFrame) -> DataFrame:
+        """New rows, one per key, as a table with the state's buckets: joins with the state then move neither side. It is
+        dropped by the next swap."""
+        name, at = f"lakewalk_{uuid.uuid4().hex}", self._at("incoming", self.version + 1)
+        self._forget(-1)
+        self.files.delete(at)
+        writer = rows.repartition(self.buckets, *KEYS).write.format("parquet").bucketBy(self.buckets, *KEYS)
+        writer.option("path", at).mode("overwrite").saveAsTable(name)
+        self._tables[-1] = name
+        return self.spark.table(name)
+
     def put_out(self, changes: DataFrame) -> None:
         changes.write.mode("overwrite").parquet(self._at("changes", self.version + 1))
 
@@ -82,6 +93,8 @@ class KeyedState:
         text = json.dumps({"version": self.version + 1, "buckets": self.buckets, "notes": notes})
         self.files.replace_text(f"{self.root}/CURRENT", text)
         self.version, self.notes = self.version + 1, notes
+        self._forget(-1)
+        self.files.delete(self._at("incoming", self.version))
         if self.version > self.keep:
             self._forget(self.version - self.keep)
             self.files.delete(self._at("state", self.version - self.keep))

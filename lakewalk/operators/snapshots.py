@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakewalk.operators.keyed_state import KEYS, KeyedState, content_hash, key_columns
-from lakewalk.storage import written
 
 
 def next_snapshot(
@@ -36,7 +35,7 @@ def next_snapshot(
         index.swap(**notes)
         return None
     # The index is only on the left of a left join and on the right of an anti-join: it is never shuffled.
-    new = written(new, "snapshot")
+    new = index.incoming(new)
     old = old.filter("kind <> 'removed'").select(*KEYS, F.col("h").alias("old_h"), F.col("id").alias("old_id"))
     kind = F.when(F.col("new").isNull(), "removed").when(F.col("old_h") != F.col("new.h"), "changed").otherwise("same")
     probed = old.join(new, list(KEYS), "left").withColumn("kind", kind)
