@@ -44,7 +44,7 @@ MOST_WORDS = 500_000
 WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 SENTENCE_END = re.compile(r"(?<=[.!?;…])\s+")
 LINE_END = re.compile(r"\r\n|\n|\r")
-SEPARATOR = re.compile(r"\s[|·»•]\s")
+SEPARATOR = re.compile(r"\s[|·»•\ufffd]\s")
 INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 COMMENT = re.compile(r"\S*\d:\s")
 MOJIBAKE = re.compile("[\xc2-\xf4][\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]")
@@ -88,7 +88,7 @@ def main_lines(text: str | None) -> list[str]:
     text = unicodedata.normalize("NFKC", INVISIBLE.sub("", repair(text or "")))
     for line in unwrapped([x.strip() for x in LINE_END.split(text)]):
         words = len(WORD.findall(line))
-        if words <= 3 or words > 3 * len(line.split()) or "©" in line or COMMENT.match(line):
+        if words <= 3 or words > 3 * len(line.split()) or "©" in line or line[0] == "\ufffd" or COMMENT.match(line):
             continue
         parts = SEPARATOR.split(line)
         if len(parts) > 1 and words <= 3 * len(parts):
