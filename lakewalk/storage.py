@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,7 +15,7 @@ def shared_root(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; where that is unset (tests, one machine) a temporary one is set."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
-        return root.rstrip("/")
+        return qualified(spark, root).rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="lakewalk-")
@@ -22,6 +23,13 @@ def shared_root(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system, which is the cluster's default where none is given."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toUri().toString()
+    return re.sub("^file:/(?!/)", "file:///", whole)
+
+
 def new_folder(spark: SparkSession, what: str) -> str:
     """A name under the shared folder that nothing uses yet."""
     return f"{shared_root(spark)}/lakewalk-{what}-{uuid.uuid4().hex}"
