@@ -65,10 +65,15 @@ def absolute(path: Column | str, cwd: str) -> Column:
 
 
 def is_below(path: Column | str, parent: Column | str, inclusive: bool = False) -> Column:
-    """Whether ``path`` lies strictly below ``parent`` by components (or is it, if ``inclusive``)."""
-    path, parent = _col(path), F.lit(parent) if isinstance(parent, str) else parent
-    below = path.startswith(F.concat(F.rtrim(parent, F.lit("/")), F.lit("/"))) & (path != parent)
-    return below | (path == parent) if inclusive else below
+    """Whether ``path`` lies strictly below ``parent`` by components (or is it, if ``inclusive``). With a parent given as
+    text the test is pushed to the scan."""
+    path = _col(path)
+    if isinstance(parent, str):
+        prefix, parent = parent.rstrip("/") + "/", F.lit(parent)
+        below = path.startswith(prefix)
+    else:
+        below = path.startswith(F.concat(F.rtrim(parent, F.lit("/")), F.lit("/")))
+    return below | (path == parent) if inclusive else below & (path != parent)
 
 
 def compare(a: Column | str, b: Column | str) -> Column:

@@ -37,7 +37,7 @@ def needed(fields: Iterable[str]) -> list[str]:
 def relative_rows(rows: DataFrame, root: str, row_id: str | None = None) -> DataFrame:
     """The rows at and below ``root`` with ``relpath``, without those whose stat failed. Of rows with the same path the one
     with the lowest ``row_id`` counts; without one the paths have to be unique."""
-    inside = rows.filter(F.col("mode").isNotNull()).withColumn("relpath", paths.below_root("path", root)).filter("relpath IS NOT NULL")
+    inside = rows.filter(F.col("mode").isNotNull() & paths.is_below("path", root, inclusive=True)).withColumn("relpath", paths.below_root("path", root))
     if row_id is None:
         return inside
     rest = [c for c in inside.columns if c not in (row_id, "relpath")]

@@ -10,15 +10,22 @@ from lakewalk.functions import paths
 from lakewalk.operators.order import numbered
 
 
+#: Up to so many sizes (8 bytes each) are broadcast.
+MOST_SIZES = 500_000
+
+
 def candidates(files: DataFrame) -> DataFrame:
-    """Regular, non-empty files of a size that several share: only these have to be hashed. Null contents don't count.
+    """Regular, non-empty files with ``bytes``, if possible only those of a size that several share. Null contents don't count.
 
-    Sizes are counted first, with a map-side combine, and joined back as a semi-join: contents of files of unique size
-    aren't read any further.
+    Sizes are counted first, without reading contents. If the shared ones are few enough to be broadcast, files of unique
+    size are dropped before anything is hashed; beyond that all files are hashed where they are read. Contents are never
+    shuffled.
     """
     sized = files.filter((F.col("type") == schema.FILE) & F.col("content").isNotNull()).withColumn("bytes", F.octet_length("content").cast("bigint")).filter("bytes > 0")
     shared = sized.groupBy("bytes").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("bytes")
-    return sized.join(shared, "bytes", "left_semi")
+    if shared.limit(MOST_SIZES + 1).count() > MOST_SIZES:
+        return sized
+    return sized.join(F.broadcast(shared), "bytes", "left_semi")
 
 
 def duplicates(files: DataFrame) -> DataFrame:

@@ -152,7 +152,7 @@ def unique_inodes(rows: DataFrame) -> DataFrame:
 def roll_up(rows: DataFrame, root: str, limit: int | None = None) -> DataFrame:
     """Per entry right below ``root``: entries in it and their bytes, of all types; largest first, then by name. ``limit``
     is the report's length."""
-    counted = rows.select(paths.child_of("path", root).alias("child"), "size").filter("child IS NOT NULL").groupBy("child").agg(F.count(F.lit(1)).alias("items"), _sum(F.col("size")).alias("bytes"))
+    counted = rows.filter(paths.is_below("path", root)).select(paths.child_of("path", root).alias("child"), "size").groupBy("child").agg(F.count(F.lit(1)).alias("items"), _sum(F.col("size")).alias("bytes"))
     ordered = counted.orderBy(F.col("bytes").desc(), "child")
     return ordered if limit is None or limit < 0 else ordered.limit(limit)
 

@@ -55,7 +55,8 @@ def copy(rows: DataFrame, source: str, dest: str) -> DataFrame:
     """path, destination, action and bytes of everything at or below ``source``."""
     action = F.when(F.col("type") == schema.DIRECTORY, "MKDIR").when(F.col("type") == schema.LINK, "SYMLINK").when(F.col("type") == schema.FILE, "COPY").otherwise("MKNOD")
     size = F.when(F.col("type") == schema.FILE, F.coalesce("size", F.lit(0))).otherwise(0)
-    return rows.select("path", paths.destination("path", source, dest).alias("destination"), action.alias("action"), size.cast("bigint").alias("bytes")).filter("destination IS NOT NULL")
+    inside = rows.filter(paths.is_below("path", source, inclusive=True))
+    return inside.select("path", paths.destination("path", source, dest).alias("destination"), action.alias("action"), size.cast("bigint").alias("bytes"))
 
 
 def launch_order(planned: DataFrame) -> DataFrame:
