@@ -21,7 +21,9 @@ def format_bits(mode: Column) -> Column:
 def type_of(mode: Column) -> Column:
     """The entry type of a mode; null for null."""
     f = format_bits(mode)
-    return F.when(f == REGULAR, FILE).when(f == DIRECTORY_MODE, DIRECTORY).when(f == LINK_MODE, LINK).when(mode.isNotNull(), UNKNOWN)
+    return F.when(f == REGULAR, FILE).when(
+        f == DIRECTORY_MODE, DIRECTORY
+    ).when(f == LINK_MODE, LINK).when(mode.isNotNull(), UNKNOWN)
 
 
 def permissions(mode: Column) -> Column:
@@ -107,7 +109,9 @@ def changed(mode: Column, is_directory: Column, change: str, umask: int = 0o022)
                     if c == "u":
                         new = _set(new, bit, is_directory) if clause.operator == "+" else _clear(new, bit, is_directory)
                     else:
-                        new = _set(new, bit, _has(new, 0o100) | is_directory) if clause.operator == "+" else _clear(new, bit)
+                        new = _set(
+                            new, bit, _has(new, 0o100) | is_directory
+                        ) if clause.operator == "+" else _clear(new, bit)
             if clause.masked:
                 new = new.bitwiseAND(~umask & 0o7777).bitwiseOR(old.bitwiseAND(umask))
     return new

@@ -51,7 +51,10 @@ def reduced(path: Column | str) -> Column:
     absolute = path.startswith("/")
     step = lambda done, c: (
         F.when(c != "..", F.concat(done, F.array(c)))
-        .when((F.size(done) > 0) & (F.element_at(F.concat(F.array(F.lit("..")), done), -1) != ".."), F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
+        .when(
+            (F.size(done) > 0) & (F.element_at(F.concat(F.array(F.lit("..")), done), -1) != ".."),
+            F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))),
+        )
         .otherwise(F.when(absolute, done).otherwise(F.concat(done, F.array(c))))
     )
     kept = F.aggregate(parts, F.array().cast("array<string>"), step)
@@ -79,7 +82,9 @@ def is_below(path: Column | str, parent: Column | str, inclusive: bool = False)
 def compare(a: Column | str, b: Column | str) -> Column:
     """EQUAL, SRC_CHILD (a lies below b), DEST_CHILD (b below a) or DIFF."""
     a, b = _col(a), _col(b)
-    return F.when(a == b, "EQUAL").when(is_below(a, b), "SRC_CHILD").when(is_below(b, a), "DEST_CHILD").when(a.isNotNull() & b.isNotNull(), "DIFF")
+    return F.when(a == b, "EQUAL").when(is_below(a, b), "SRC_CHILD").when(is_below(b, a), "DEST_CHILD").when(
+        a.isNotNull() & b.isNotNull(), "DIFF"
+    )
 
 
 def relative(start: Column | str, target: Column | str) -> Column:
@@ -87,7 +92,14 @@ def relative(start: Column | str, target: Column | str) -> Column:
     the rest of target. '' for equal paths."""
     a, b = components(start), components(target)
     both = F.arrays_zip(a.alias("a"), b.alias("b"))
-    common = F.aggregate(both, F.struct(F.lit(0).alias("n"), F.lit(True).alias("go")), lambda s, x: F.when(s["go"] & (x["a"] == x["b"]), F.struct((s["n"] + 1).alias("n"), F.lit(True).alias("go"))).otherwise(F.struct(s["n"].alias("n"), F.lit(False).alias("go"))))["n"]
+    common = F.aggregate(
+        both,
+        F.struct(F.lit(0).alias("n"), F.lit(True).alias("go")),
+        lambda s,
+        x: F.when(
+            s["go"] & (x["a"] == x["b"]), F.struct((s["n"] + 1).alias("n"), F.lit(True).alias("go"))
+        ).otherwise(F.struct(s["n"].alias("n"), F.lit(False).alias("go"))),
+    )["n"]
     ups = F.transform(F.sequence(F.lit(1), F.size(a) - common), lambda _: F.lit(".."))
     ups = F.when(F.size(a) > common, ups).otherwise(F.array().cast("array<string>"))
     rest = F.slice(b, common + 1, F.greatest(F.size(b) - common, F.lit(0)))
@@ -119,14 +131,18 @@ def below_root(path: Column | str, root: str) -> Column:
 def destination(path: Column | str, source: str, dest: str) -> Column:
     """Where an entry at or below ``source`` is copied to: the same place at or below ``dest``; null outside."""
     path, source, dest = _col(path), source.rstrip("/"), dest.rstrip("/")
-    return F.when(path == source, dest).when(path.startswith(source + "/"), F.concat(F.lit(dest), F.substring(path, len(source) + 1, 2**31 - 1)))
+    return F.when(path == source, dest).when(
+        path.startswith(source + "/"), F.concat(F.lit(dest), F.substring(path, len(source) + 1, 2**31 - 1))
+    )
 
 
 def child_of(path: Column | str, parent: str) -> Column:
     """The first component below ``parent``; null for other paths."""
     parent = parent.rstrip("/")
     path = _col(path)
-    return F.when(path.startswith(parent + "/"), F.substring_index(F.substring(path, len(parent) + 2, 2**31 - 1), "/", 1))
+    return F.when(
+        path.startswith(parent + "/"), F.substring_index(F.substring(path, len(parent) + 2, 2**31 - 1), "/", 1)
+    )
 
 
 def ancestors(path: Column | str) -> Column:

@@ -4,7 +4,20 @@ from __future__ import annotations
 
 import re
 
-CLASSES = {"alpha": r"\p{Alpha}", "digit": r"\p{Digit}", "alnum": r"\p{Alnum}", "upper": r"\p{Upper}", "lower": r"\p{Lower}", "space": r"\s", "punct": r"\p{Punct}", "xdigit": r"\p{XDigit}", "blank": r" \t", "print": r"\p{Print}", "graph": r"\p{Graph}", "cntrl": r"\p{Cntrl}"}
+CLASSES = {
+    "alpha": r"\p{Alpha}",
+    "digit": r"\p{Digit}",
+    "alnum": r"\p{Alnum}",
+    "upper": r"\p{Upper}",
+    "lower": r"\p{Lower}",
+    "space": r"\s",
+    "punct": r"\p{Punct}",
+    "xdigit": r"\p{XDigit}",
+    "blank": r" \t",
+    "print": r"\p{Print}",
+    "graph": r"\p{Graph}",
+    "cntrl": r"\p{Cntrl}",
+}
 
 
 def _bracket(pattern: str, i: int) -> tuple[str, int] | None:

@@ -82,10 +82,18 @@ def age_days(seconds: Column, now: int) -> Column:
 
 def interval_label(low: Column, high: Column) -> Column:
     """'[low,high]', or '[low,INF]' for a null high."""
-    return F.concat(F.lit("["), low.cast("string"), F.lit(","), F.coalesce(high.cast("string"), F.lit("INF")), F.lit("]"))
+    return F.concat(
+        F.lit("["), low.cast("string"), F.lit(","), F.coalesce(high.cast("string"), F.lit("INF")), F.lit("]")
+    )
 
 
 def display_time(seconds: Column) -> Column:
     """'Nov  7 2025 10:39' in the session's time zone: the day is padded to two places by a space."""
     ts = F.timestamp_seconds(seconds)
-    return F.concat(F.date_format(ts, "MMM"), F.lit(" "), F.lpad(F.date_format(ts, "d"), 2, " "), F.lit(" "), F.date_format(ts, "yyyy HH:mm"))
+    return F.concat(
+        F.date_format(ts, "MMM"),
+        F.lit(" "),
+        F.lpad(F.date_format(ts, "d"), 2, " "),
+        F.lit(" "),
+        F.date_format(ts, "yyyy HH:mm"),
+    )

@@ -21,9 +21,19 @@ def chunks(rows: DataFrame, chunk: int) -> DataFrame:
     Null sizes have none."""
     files = rows.filter((F.col("type") == schema.FILE) & F.col("size").isNotNull())
     last = F.greatest(F.floor((F.col("size") - 1) / chunk), F.lit(0))
-    cut = files.select("path", F.col("size").alias("file_size"), F.explode(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint"))).alias("chunk_no"))
+    cut = files.select(
+        "path",
+        F.col("size").alias("file_size"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint"))).alias("chunk_no"),
+    )
     offset = F.col("chunk_no") * chunk
-    return cut.select("path", "chunk_no", offset.alias("offset"), F.least(F.lit(chunk).cast("bigint"), F.col("file_size") - offset).alias("length"), "file_size")
+    return cut.select(
+        "path",
+        "chunk_no",
+        offset.alias("offset"),
+        F.least(F.lit(chunk).cast("bigint"), F.col("file_size") - offset).alias("length"),
+        "file_size",
+    )
 
 
 def any_chunk(flagged: DataFrame, flag: str, key: str = "path") -> DataFrame:
@@ -36,7 +46,9 @@ def content_chunks(files: DataFrame, chunk: int) -> DataFrame:
     length = F.greatest(F.length("content"), F.lit(1))
     starts = F.explode(F.sequence(F.lit(0), ((length - 1) / chunk).cast("int"))).alias("chunk_no")
     cut = files.filter("content IS NOT NULL").select("path", "content", starts)
-    return cut.select("path", "chunk_no", F.sha2(F.expr(f"substring(content, chunk_no * {chunk} + 1, {chunk})"), 256).alias("digest"))
+    return cut.select(
+        "path", "chunk_no", F.sha2(F.expr(f"substring(content, chunk_no * {chunk} + 1, {chunk})"), 256).alias("digest")
+    )
 
 
 def archive_entries(rows: DataFrame, header: int = BLOCK) -> DataFrame:
@@ -47,7 +59,9 @@ def archive_entries(rows: DataFrame, header: int = BLOCK) -> DataFrame:
     """
     padded = F.ceil(F.coalesce("size", F.lit(0)) / BLOCK) * BLOCK
     size = F.when(F.col("type") == schema.FILE, padded + header).otherwise(header).cast("bigint")
-    entries = rows.filter(F.col("type").isin(schema.FILE, schema.DIRECTORY, schema.LINK)).select("path", size.alias("entry_size"))
+    entries = rows.filter(
+        F.col("type").isin(schema.FILE, schema.DIRECTORY, schema.LINK)
+    ).select("path", size.alias("entry_size"))
     return running_before(entries, ["path", "entry_size"], "entry_size", "offset")
 
 

@@ -28,9 +28,18 @@ def small_files(files: DataFrame, least: int = 1, most: int = 4096, per_director
     files. A null size stands for the byte count of content; with null content too, the row doesn't count. Content
     isn't moved: only ids and sizes are shuffled, and directories are counted before they are joined.
     """
-    light = files.select("frag_id", parent(F.col("path")).alias("directory"), "type", F.coalesce("size", F.octet_length("content").cast("bigint")).alias("bytes"), "dev", "ino")
+    light = files.select(
+        "frag_id",
+        parent(F.col("path")).alias("directory"),
+        "type",
+        F.coalesce("size", F.octet_length("content").cast("bigint")).alias("bytes"),
+        "dev",
+        "ino",
+    )
     alone = F.col("dev").isNull() | F.col("ino").isNull()
-    first = light.groupBy("dev", "ino", F.when(alone, F.col("frag_id")).alias("alone")).agg(F.min(F.struct("frag_id", "directory", "type", "bytes")).alias("r")).select("r.*")
+    first = light.groupBy("dev", "ino", F.when(alone, F.col("frag_id")).alias("alone")).agg(
+        F.min(F.struct("frag_id", "directory", "type", "bytes")).alias("r")
+    ).select("r.*")
     fit = first.filter((F.col("type") == 2) & F.col("bytes").between(least, most)).select("frag_id", "directory")
     enough = fit.groupBy("directory").count().filter(F.col("count") >= per_directory).select("directory")
     return fit.join(enough, "directory", "left_semi").select("frag_id", "directory")
@@ -64,7 +73,11 @@ def multiset(df: DataFrame) -> dict:
     """Count, sum and exclusive or of row hashes: equal for equal multisets, whatever their order and partitions."""
     h = F.xxhash64(*[F.col(c).isNull() for c in df.columns], *df.columns)
     h2 = F.xxhash64(F.lit(7), *[F.col(c).isNull() for c in df.columns], *df.columns)
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(h.cast("decimal(20,0)")).cast("string").alias("sum"), F.bit_xor(h2).alias("xor")).first()
+    row = df.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(h.cast("decimal(20,0)")).cast("string").alias("sum"),
+        F.bit_xor(h2).alias("xor"),
+    ).first()
     return {"n": row["n"], "sum": row["sum"], "xor": row["xor"]}
 
 
@@ -80,7 +93,9 @@ def compact(rows: DataFrame, root: str, by: list[str], target_bytes: int | None
     spark = rows.sparkSession
     files = Files(spark)
     at = f"{root}/packed-{len(files.names(root)):06d}"
-    sizes = {"spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true"}
+    sizes = {
+        "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true"
+    }
     if target_bytes:
         sizes["spark.sql.adaptive.advisoryPartitionSizeInBytes"] = str(target_bytes)
     order = [c for c in rows.columns if c not in by]
@@ -103,6 +118,8 @@ def pack_fragments(files: DataFrame, root: str, target_bytes: int | None = None,
     """``small_files`` of ``files``, as records, packed by directory: frag_id, path, directory, rec_no, record."""
     chosen = small_files(files, **limits)
     most = limits.get("most", 4096)
-    bodies = files.filter((F.col("type") == 2) & (F.coalesce("size", F.octet_length("content").cast("bigint")) <= most)).select("frag_id", "path", "content")
+    bodies = files.filter(
+        (F.col("type") == 2) & (F.coalesce("size", F.octet_length("content").cast("bigint")) <= most)
+    ).select("frag_id", "path", "content")
     rows = records(chosen.join(bodies, "frag_id")).select("directory", "path", "frag_id", "rec_no", "record")
     return compact(rows, root, ["directory"], target_bytes)

@@ -17,10 +17,22 @@ from lakewalk.functions import modes, paths
 
 FIELDS = ["EXIST", "TYPE", "SIZE", "UID", "GID", "ATIME", "MTIME", "CTIME", "PERM", "ACL", "CONTENT"]
 #: What has to be compared too, for a field to be compared.
-NEEDS = {"TYPE": ["EXIST"], "SIZE": ["TYPE"], "CONTENT": ["SIZE"], **{f: ["EXIST"] for f in ("UID", "GID", "ATIME", "MTIME", "CTIME", "PERM", "ACL")}}
+NEEDS = {
+    "TYPE": ["EXIST"],
+    "SIZE": ["TYPE"],
+    "CONTENT": ["SIZE"],
+    **{f: ["EXIST"] for f in ("UID", "GID", "ATIME", "MTIME", "CTIME", "PERM", "ACL")},
+}
 STATES = ["COMMON", "DIFFER", "ONLY_SRC", "ONLY_DEST"]
 #: The default reports. Fixed values.
-COMPARE_REPORT = ["EXIST=COMMON", "EXIST=DIFFER", "EXIST=COMMON@TYPE=COMMON", "EXIST=COMMON@TYPE=DIFFER", "EXIST=COMMON@CONTENT=COMMON", "EXIST=COMMON@CONTENT=DIFFER"]
+COMPARE_REPORT = [
+    "EXIST=COMMON",
+    "EXIST=DIFFER",
+    "EXIST=COMMON@TYPE=COMMON",
+    "EXIST=COMMON@TYPE=DIFFER",
+    "EXIST=COMMON@CONTENT=COMMON",
+    "EXIST=COMMON@CONTENT=DIFFER",
+]
 SYNC_REPORT = [*COMPARE_REPORT, *[f"EXIST=COMMON@{f}=DIFFER" for f in ("UID", "GID", "PERM", "ATIME", "MTIME")]]
 
 
@@ -37,7 +49,9 @@ def needed(fields: Iterable[str]) -> list[str]:
 def relative_rows(rows: DataFrame, root: str, row_id: str | None = None) -> DataFrame:
     """The rows at and below ``root`` with ``relpath``, without those whose stat failed. Of rows with the same path the one
     with the lowest ``row_id`` counts; without one the paths have to be unique."""
-    inside = rows.filter(F.col("mode").isNotNull() & paths.is_below("path", root, inclusive=True)).withColumn("relpath", paths.below_root("path", root))
+    inside = rows.filter(
+        F.col("mode").isNotNull() & paths.is_below("path", root, inclusive=True)
+    ).withColumn("relpath", paths.below_root("path", root))
     if row_id is None:
         return inside
     rest = [c for c in inside.columns if c not in (row_id, "relpath")]
@@ -58,7 +72,9 @@ def _equal(name: str) -> Column:
     return F.col(f"s.{name}").eqNullSafe(F.col(f"d.{name}"))
 
 
-def states(src: DataFrame, dst: DataFrame, fields: Sequence[str] = FIELDS, lite: bool = True, nanoseconds: bool = True) -> DataFrame:
+def states(
+    src: DataFrame, dst: DataFrame, fields: Sequence[str] = FIELDS, lite: bool = True, nanoseconds: bool = True
+) -> DataFrame:
     """relpath and the state of every field of ``fields`` and those they need, as far as both sides have their columns.
 
     SIZE of directories of the source is always COMMON. Differing types make CONTENT differ. CONTENT of links compares
@@ -80,7 +96,14 @@ def states(src: DataFrame, dst: DataFrame, fields: Sequence[str] = FIELDS, lite:
         .when(~same_size, False)
         .otherwise(mtime if lite or "content" not in columns else _equal("content"))
     )
-    tests = {"TYPE": same_type, "SIZE": same_size, "UID": _equal("uid"), "GID": _equal("gid"), "PERM": modes.permissions(F.col("s.mode")) == modes.permissions(F.col("d.mode")), "CONTENT": same_content}
+    tests = {
+        "TYPE": same_type,
+        "SIZE": same_size,
+        "UID": _equal("uid"),
+        "GID": _equal("gid"),
+        "PERM": modes.permissions(F.col("s.mode")) == modes.permissions(F.col("d.mode")),
+        "CONTENT": same_content,
+    }
     tests |= {c.upper(): time(c) for c in ("atime", "mtime", "ctime") if c in columns}
     if "acl" in columns:
         tests["ACL"] = _equal("acl")
@@ -133,7 +156,10 @@ def report(compared: DataFrame, expressions: Sequence[str] = COMPARE_REPORT) ->
     counts = []
     for i, e in enumerate(expressions):
         hit = matches(e).isNotNull()
-        counts += [F.count_if(hit & (F.col("EXIST") != "ONLY_DEST")).alias(f"s{i}"), F.count_if(hit & (F.col("EXIST") != "ONLY_SRC")).alias(f"d{i}")]
+        counts += [
+            F.count_if(hit & (F.col("EXIST") != "ONLY_DEST")).alias(f"s{i}"),
+            F.count_if(hit & (F.col("EXIST") != "ONLY_SRC")).alias(f"d{i}"),
+        ]
     row = compared.agg(*counts)
     each = F.explode(F.array(*[F.struct(F.lit(e).alias("expression"), F.col(f"s{i}").alias("src"), F.col(f"d{i}").alias("dst")) for i, e in enumerate(expressions)]))
     return row.select(each.alias("r")).select("r.*")
@@ -142,13 +168,19 @@ def report(compared: DataFrame, expressions: Sequence[str] = COMPARE_REPORT) ->
 def conjunction_counts(compared: DataFrame, expression: str) -> DataFrame:
     """conjunction (its number), src and dst: an entry counts for the first conjunction that it satisfies."""
     hit = compared.withColumn("conjunction", matches(expression)).filter("conjunction IS NOT NULL")
-    return hit.groupBy("conjunction").agg(F.count_if(F.col("EXIST") != "ONLY_DEST").alias("src"), F.count_if(F.col("EXIST") != "ONLY_SRC").alias("dst"))
+    return hit.groupBy("conjunction").agg(
+        F.count_if(F.col("EXIST") != "ONLY_DEST").alias("src"), F.count_if(F.col("EXIST") != "ONLY_SRC").alias("dst")
+    )
 
 
 def matched(compared: DataFrame, expression: str) -> DataFrame:
     """The entries that satisfy an expression: relpath and side, src before dst; those on both sides twice."""
     hit = compared.filter(matches(expression).isNotNull())
-    sides = F.explode(F.array_compact(F.array(F.when(F.col("EXIST") != "ONLY_DEST", "src"), F.when(F.col("EXIST") != "ONLY_SRC", "dst"))))
+    sides = F.explode(
+        F.array_compact(
+            F.array(F.when(F.col("EXIST") != "ONLY_DEST", "src"), F.when(F.col("EXIST") != "ONLY_SRC", "dst"))
+        )
+    )
     return hit.select("relpath", sides.alias("side"))
 
 
@@ -180,4 +212,6 @@ def missing(src: DataFrame, dst: DataFrame) -> DataFrame:
 
 def symmetric_difference(src: DataFrame, dst: DataFrame) -> DataFrame:
     """relpath and side of the entries that one side has."""
-    return missing(src, dst).select("relpath", F.lit("src").alias("side")).unionAll(missing(dst, src).select("relpath", F.lit("dst").alias("side")))
+    return missing(src, dst).select("relpath", F.lit("src").alias("side")).unionAll(
+        missing(dst, src).select("relpath", F.lit("dst").alias("side"))
+    )

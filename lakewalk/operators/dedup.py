@@ -21,7 +21,9 @@ def candidates(files: DataFrame) -> DataFrame:
     size are dropped before anything is hashed; beyond that all files are hashed where they are read. Contents are never
     shuffled.
     """
-    sized = files.filter((F.col("type") == schema.FILE) & F.col("content").isNotNull()).withColumn("bytes", F.octet_length("content").cast("bigint")).filter("bytes > 0")
+    sized = files.filter(
+        (F.col("type") == schema.FILE) & F.col("content").isNotNull()
+    ).withColumn("bytes", F.octet_length("content").cast("bigint")).filter("bytes > 0")
     shared = sized.groupBy("bytes").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("bytes")
     if shared.limit(MOST_SIZES + 1).count() > MOST_SIZES:
         return sized
@@ -41,8 +43,12 @@ def duplicates(files: DataFrame) -> DataFrame:
 def duplicate_groups(files: DataFrame) -> DataFrame:
     """Per digest: the least path, the number of copies and the bytes that all but one of them take."""
     hashed = candidates(files).select("path", "bytes", F.sha2("content", 256).alias("digest"))
-    groups = hashed.groupBy("digest").agg(F.min("path").alias("first_path"), F.count(F.lit(1)).alias("copies"), F.max("bytes").alias("bytes"))
-    return groups.filter("copies > 1").select("digest", "first_path", "copies", (F.col("bytes") * (F.col("copies") - 1)).alias("wasted"))
+    groups = hashed.groupBy("digest").agg(
+        F.min("path").alias("first_path"), F.count(F.lit(1)).alias("copies"), F.max("bytes").alias("bytes")
+    )
+    return groups.filter("copies > 1").select(
+        "digest", "first_path", "copies", (F.col("bytes") * (F.col("copies") - 1)).alias("wasted")
+    )
 
 
 def ranked_groups(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -55,7 +61,9 @@ def ranked_groups(rows: DataFrame, key: str, order: str) -> DataFrame:
     groups = placed.groupBy(key).agg(F.count(F.lit(1)).alias("group_size"), F.min("_index").alias("_start"))
     keys = numbered(groups, [F.col(key).asc_nulls_first()], "group_id")
     joined = placed.alias("r").join(keys.alias("k"), F.col(f"r.{key}").eqNullSafe(F.col(f"k.{key}")))
-    return joined.select("r.*", "k.group_id", "k.group_size", (F.col("_index") - F.col("_start")).alias("group_rank")).drop("_index")
+    return joined.select(
+        "r.*", "k.group_id", "k.group_size", (F.col("_index") - F.col("_start")).alias("group_rank")
+    ).drop("_index")
 
 
 def parent_directories(rows: DataFrame) -> DataFrame:

@@ -57,7 +57,9 @@ def nonempty_files(rows: DataFrame) -> DataFrame:
 def one_device(rows: DataFrame, top: str) -> DataFrame:
     """Rows on the device of the top directory they lie in, which the column ``top`` names; rows whose top directory has no
     known device are kept."""
-    devices = rows.filter((F.col("path") == F.col(top)) & F.col("dev").isNotNull()).groupBy(F.col(top).alias("_top")).agg(F.min("dev").alias("_dev"))
+    devices = rows.filter(
+        (F.col("path") == F.col(top)) & F.col("dev").isNotNull()
+    ).groupBy(F.col(top).alias("_top")).agg(F.min("dev").alias("_dev"))
     joined = rows.join(devices, F.col(top) == F.col("_top"), "left")
     return joined.filter(F.col("_dev").isNull() | (F.col("dev") == F.col("_dev"))).drop("_top", "_dev")
 
@@ -92,8 +94,12 @@ def links_below(rows: DataFrame, root: str) -> DataFrame:
 
 def grep(rows: DataFrame, pattern: str, extended: bool = False) -> DataFrame:
     """path, line_no (from 1) and line of every line of regular files' content with the expression in it."""
-    lines = rows.filter(F.col("type") == schema.FILE).select("path", F.posexplode(F.split("content", "\n")).alias("at", "line"))
-    return lines.filter(F.col("line").rlike(patterns.extended(pattern) if extended else patterns.basic(pattern))).select("path", (F.col("at") + 1).alias("line_no"), "line")
+    lines = rows.filter(F.col("type") == schema.FILE).select(
+        "path", F.posexplode(F.split("content", "\n")).alias("at", "line")
+    )
+    return lines.filter(
+        F.col("line").rlike(patterns.extended(pattern) if extended else patterns.basic(pattern))
+    ).select("path", (F.col("at") + 1).alias("line_no"), "line")
 
 
 def under(rows: DataFrame, *roots: str) -> DataFrame:

@@ -31,7 +31,14 @@ def process_new(
     out nothing and the state stays the same.  If the run dies before the swap, the same run can simply be made again.
     """
     places = [f"r{i}" for i in range(len(rank))]
-    seen = rows.select(*key_columns(*key), F.struct(*[c.cast("bigint").alias(p) for c, p in zip(rank, places)], content_hash(*content).alias("h"), row_id.alias("row_id")).alias("new"))
+    seen = rows.select(
+        *key_columns(*key),
+        F.struct(
+            *[c.cast("bigint").alias(p) for c, p in zip(rank, places)],
+            content_hash(*content).alias("h"),
+            row_id.alias("row_id"),
+        ).alias("new"),
+    )
     seen = seen.groupBy(*KEYS).agg(F.max("new").alias("new"))
     order = lambda side: F.struct(*[F.col(f"{side}.{p}") for p in places])
     if (old := state.current()) is None:
@@ -40,20 +47,29 @@ def process_new(
         # The state is only on the left of a left join and on the right of an anti-join: it is never shuffled.
         seen = state.incoming(seen)
         old = old.select(*KEYS, F.struct(*places, "h", "row_id").alias("old"))
-        both = old.join(seen, list(KEYS), "left").withColumn("newer", F.col("new").isNotNull() & (order("new") > order("old")))
+        both = old.join(seen, list(KEYS), "left").withColumn(
+            "newer", F.col("new").isNotNull() & (order("new") > order("old"))
+        )
         kept = both.withColumn("top", F.when(F.col("newer"), F.col("new")).otherwise(F.col("old")))
         changed = F.col("newer") & (F.col("old.h") != F.col("new.h"))
-        staged = state.stage(_state_rows(kept, "top", places, changed), _state_rows(seen.join(old, list(KEYS), "left_anti"), "new", places, F.lit(True)))
+        staged = state.stage(
+            _state_rows(kept, "top", places, changed),
+            _state_rows(seen.join(old, list(KEYS), "left_anti"), "new", places, F.lit(True)),
+        )
     state.put_out(staged.filter("changed").select(*[F.lit(v).alias(k) for k, v in notes.items()], "row_id"))
     state.swap(**notes)
     return state.changes(state.version)
 
 
 def _state_rows(rows: DataFrame, side: str, places: Sequence[str], changed: Column) -> DataFrame:
-    return rows.select(*KEYS, *[F.col(f"{side}.{c}").alias(c) for c in (*places, "h", "row_id")], changed.alias("changed"))
+    return rows.select(
+        *KEYS, *[F.col(f"{side}.{c}").alias(c) for c in (*places, "h", "row_id")], changed.alias("changed")
+    )
 
 
-def replay(state: KeyedState, feed: DataFrame, runs: Sequence[tuple[int, int | None]], drop: str, **how) -> DataFrame | None:
+def replay(
+    state: KeyedState, feed: DataFrame, runs: Sequence[tuple[int, int | None]], drop: str, **how
+) -> DataFrame | None:
     """Run ``process_new`` for every (run id, last drop) in order; a run reads only the drops after its predecessor's.
 
     A last drop of None stands for all drops.  Runs that the state already has are left out, so a replay that was cut

@@ -49,11 +49,18 @@ def numbered(rows: DataFrame, order: Sequence[Column | str], name: str = "row_in
     """``rows`` with their place in ``order``, from 0. Rows equal in all of the order take any of their places."""
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     place = F.monotonically_increasing_id()
-    kept = written(ranged.withColumn("_part", F.shiftright(place, 33).cast("int")).withColumn("_at", place.bitwiseAND(2**33 - 1)), "numbered")
+    kept = written(
+        ranged.withColumn("_part", F.shiftright(place, 33).cast("int")).withColumn("_at", place.bitwiseAND(2**33 - 1)),
+        "numbered",
+    )
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     # One row per partition.
-    offsets = kept.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return kept.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+    offsets = kept.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
+    )
+    return kept.join(F.broadcast(offsets), "_part").withColumn(
+        name, F.col("_before") + F.col("_at")
+    ).drop("_part", "_at", "_before")
 
 
 def running_before(rows: DataFrame, order: Sequence[Column | str], value: str, name: str) -> DataFrame:
@@ -62,17 +69,23 @@ def running_before(rows: DataFrame, order: Sequence[Column | str], value: str, n
     place = F.monotonically_increasing_id()
     kept = written(ranged.withColumn("_part", F.shiftright(place, 33).cast("int")).withColumn("_at", place), "running")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = kept.groupBy("_part").agg(F.sum(F.coalesce(F.col(value), F.lit(0))).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    offsets = kept.groupBy("_part").agg(F.sum(F.coalesce(F.col(value), F.lit(0))).alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
+    )
     inside = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     local = kept.withColumn("_local", F.coalesce(F.sum(F.coalesce(F.col(value), F.lit(0))).over(inside), F.lit(0)))
-    return local.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_local")).drop("_part", "_at", "_before", "_local")
+    return local.join(F.broadcast(offsets), "_part").withColumn(
+        name, F.col("_before") + F.col("_local")
+    ).drop("_part", "_at", "_before", "_local")
 
 
 def bucket_of(index: Column, total: int, buckets: int) -> Column:
     """Which of ``buckets`` contiguous runs a row number falls into, from 0: sizes differ by one, the longer ones first."""
     least, longer = divmod(total, buckets)
     edge = longer * (least + 1)
-    return F.when(index < edge, F.floor(index / (least + 1))).otherwise(longer + F.floor((index - edge) / max(least, 1))).cast("int")
+    return F.when(index < edge, F.floor(index / (least + 1))).otherwise(
+        longer + F.floor((index - edge) / max(least, 1))
+    ).cast("int")
 
 
 def even_spread(rows: DataFrame, order: Sequence[Column | str], buckets: int, name: str = "bucket") -> DataFrame:
@@ -91,8 +104,12 @@ def head_tail(rows: DataFrame, fields: str = "name", head: int = 10, tail: int =
     keys, total = sort_keys(fields, rows.columns), rows.count()
     if total <= head + tail:
         head, tail = total, 0
-    first = rows.orderBy(*_ordered(keys)).limit(head).withColumn("row_index", F.row_number().over(Window.orderBy(*_ordered(keys))).cast("bigint") - 1)
-    last = rows.orderBy(*_ordered(keys, True)).limit(tail).withColumn("row_index", F.lit(total) - F.row_number().over(Window.orderBy(*_ordered(keys, True))))
+    first = rows.orderBy(*_ordered(keys)).limit(head).withColumn(
+        "row_index", F.row_number().over(Window.orderBy(*_ordered(keys))).cast("bigint") - 1
+    )
+    last = rows.orderBy(*_ordered(keys, True)).limit(tail).withColumn(
+        "row_index", F.lit(total) - F.row_number().over(Window.orderBy(*_ordered(keys, True)))
+    )
     return first.unionByName(last)
 
 
@@ -119,4 +136,9 @@ def spread_by(rows: DataFrame, partitions: int, *keys: Column) -> DataFrame:
 def imbalance(rows: DataFrame, batch: str) -> DataFrame:
     """Batches, rows, mean and maximum rows of a batch, and their ratio."""
     sizes = rows.groupBy(batch).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.count(F.lit(1)).alias("batches"), F.sum("n").alias("entries"), F.max("n").alias("largest"), F.avg("n").alias("mean")).withColumn("ratio", F.col("largest") / F.col("mean"))
+    return sizes.agg(
+        F.count(F.lit(1)).alias("batches"),
+        F.sum("n").alias("entries"),
+        F.max("n").alias("largest"),
+        F.avg("n").alias("mean"),
+    ).withColumn("ratio", F.col("largest") / F.col("mean"))

@@ -16,7 +16,15 @@ from lakewalk import schema
 from lakewalk.functions import paths, patterns, units
 
 #: Letters of types. Fixed values.
-TYPE_BITS = {"b": schema.BLOCK_DEVICE, "c": schema.CHARACTER_DEVICE, "d": schema.DIRECTORY_MODE, "f": schema.REGULAR, "l": schema.LINK_MODE, "p": schema.FIFO, "s": schema.SOCKET}
+TYPE_BITS = {
+    "b": schema.BLOCK_DEVICE,
+    "c": schema.CHARACTER_DEVICE,
+    "d": schema.DIRECTORY_MODE,
+    "f": schema.REGULAR,
+    "l": schema.LINK_MODE,
+    "p": schema.FIFO,
+    "s": schema.SOCKET,
+}
 MINUTE, DAY = 60, 86400
 
 

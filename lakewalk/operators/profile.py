@@ -26,13 +26,25 @@ def summary(rows: DataFrame) -> DataFrame:
     """One row: entries by type, bytes of regular files and bytes per file (cut off; 0 without files)."""
     of = lambda t: F.count_if(F.col("type") == t)
     size = _sum(F.when(F.col("type") == schema.FILE, F.col("size")))
-    counted = rows.agg(F.count(F.lit(1)).alias("items"), of(schema.DIRECTORY).alias("directories"), of(schema.FILE).alias("files"), of(schema.LINK).alias("links"), F.count_if(~F.coalesce("type", F.lit(0)).isin(schema.DIRECTORY, schema.FILE, schema.LINK)).alias("unknown"), size.alias("bytes"))
+    counted = rows.agg(
+        F.count(F.lit(1)).alias("items"),
+        of(schema.DIRECTORY).alias("directories"),
+        of(schema.FILE).alias("files"),
+        of(schema.LINK).alias("links"),
+        F.count_if(~F.coalesce("type", F.lit(0)).isin(schema.DIRECTORY, schema.FILE, schema.LINK)).alias("unknown"),
+        size.alias("bytes"),
+    )
     return counted.withColumn("bytes_per_file", F.when(F.col("files") > 0, F.expr("bytes div files")).otherwise(0))
 
 
 def statistics(rows: DataFrame) -> DataFrame:
     """One row: entries, the longest path in bytes with a final NUL, least and greatest depth."""
-    return rows.agg(F.count(F.lit(1)).alias("items"), (F.max(F.octet_length("path")) + 1).alias("longest"), F.min("depth").alias("min_depth"), F.max("depth").alias("max_depth"))
+    return rows.agg(
+        F.count(F.lit(1)).alias("items"),
+        (F.max(F.octet_length("path")) + 1).alias("longest"),
+        F.min("depth").alias("min_depth"),
+        F.max("depth").alias("max_depth"),
+    )
 
 
 def type_counts(rows: DataFrame, now: int) -> DataFrame:
@@ -40,7 +52,14 @@ def type_counts(rows: DataFrame, now: int) -> DataFrame:
     from lakewalk.operators.filters import flags
 
     of = lambda t: F.count_if(F.col("type") == t)
-    return rows.agg(of(schema.FILE).alias("files"), of(schema.DIRECTORY).alias("directories"), of(schema.LINK).alias("links"), F.count_if(F.col("type") == schema.UNKNOWN).alias("others"), F.count_if(F.col("mode").isNull()).alias("scan_errors"), F.count_if(flags(now) != 0).alias("broken"))
+    return rows.agg(
+        of(schema.FILE).alias("files"),
+        of(schema.DIRECTORY).alias("directories"),
+        of(schema.LINK).alias("links"),
+        F.count_if(F.col("type") == schema.UNKNOWN).alias("others"),
+        F.count_if(F.col("mode").isNull()).alias("scan_errors"),
+        F.count_if(flags(now) != 0).alias("broken"),
+    )
 
 
 def bin_of(value: Column, ends: Sequence[int | None]) -> Column:
@@ -64,7 +83,9 @@ def filled(counted: DataFrame, table: DataFrame, *values: str) -> DataFrame:
 
 def histogram(rows: DataFrame, value: Column, ends: Sequence[int | None]) -> DataFrame:
     """bin, lower, upper, number: how many rows fall into each class, empty classes included."""
-    counted = rows.select(bin_of(value, ends).alias("bin")).filter("bin IS NOT NULL").groupBy("bin").agg(F.count(F.lit(1)).alias("number"))
+    counted = rows.select(bin_of(value, ends).alias("bin")).filter("bin IS NOT NULL").groupBy("bin").agg(
+        F.count(F.lit(1)).alias("number")
+    )
     return filled(counted, bins(rows.sparkSession, ends), "number")
 
 
@@ -103,13 +124,22 @@ def file_size_profile(rows: DataFrame) -> DataFrame:
 def age_profile(rows: DataFrame, now: int) -> DataFrame:
     """Bytes of regular files by age, for each of atime, mtime and ctime: field, bin, lower, upper, bytes."""
     files = rows.filter((F.col("type") == schema.FILE) & F.col("size").isNotNull())
-    each = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("t")) for c in ("atime", "mtime", "ctime")])).alias("a")
-    aged = files.select(each, "size").select(F.col("a.field").alias("field"), bin_of(units.age_days(F.col("a.t"), now), AGE_ENDS).alias("bin"), "size")
+    each = F.explode(
+        F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("t")) for c in ("atime", "mtime", "ctime")])
+    ).alias("a")
+    aged = files.select(each, "size").select(
+        F.col("a.field").alias("field"), bin_of(units.age_days(F.col("a.t"), now), AGE_ENDS).alias("bin"), "size"
+    )
     counted = aged.filter("bin IS NOT NULL").groupBy("field", "bin").agg(F.sum("size").alias("bytes"))
     spark = rows.sparkSession
     # Three fields by nine classes.
-    every = spark.createDataFrame([(f, i, AGE_ENDS[i - 1] if i else 0, e) for f in ("atime", "mtime", "ctime") for i, e in enumerate(AGE_ENDS)], "field string, bin int, lower bigint, upper bigint")
-    return every.join(counted, ["field", "bin"], "left").select("field", "bin", "lower", "upper", F.coalesce("bytes", F.lit(0)).alias("bytes"))
+    every = spark.createDataFrame(
+        [(f, i, AGE_ENDS[i - 1] if i else 0, e) for f in ("atime", "mtime", "ctime") for i, e in enumerate(AGE_ENDS)],
+        "field string, bin int, lower bigint, upper bigint",
+    )
+    return every.join(counted, ["field", "bin"], "left").select(
+        "field", "bin", "lower", "upper", F.coalesce("bytes", F.lit(0)).alias("bytes")
+    )
 
 
 def hot_cold(rows: DataFrame, top: str, now: int, days: int, field: str = "atime") -> DataFrame:
@@ -117,7 +147,9 @@ def hot_cold(rows: DataFrame, top: str, now: int, days: int, field: str = "atime
     (0 without bytes), failed stats, and bytes at most 1, 30, 90, 180 and 365 days old. Rows without a top don't count."""
     age, size = units.age_days(F.col(field), now), F.when(F.col("type") == schema.FILE, F.col("size"))
     counted = rows.filter(F.col(top).isNotNull()).groupBy(F.col(top).alias("directory")).agg(
-        _sum(size).alias("total"), _sum(F.when(age >= days, size)).alias("cold"), F.count_if(F.col("mode").isNull()).alias("errors"), *[_sum(F.when(age <= d, size)).alias(f"day{d}") for d in HOT_DAYS]
+        _sum(size).alias("total"), _sum(F.when(age >= days, size)).alias("cold"), F.count_if(F.col("mode").isNull()).alias("errors"), *[
+            _sum(F.when(age <= d, size)).alias(f"day{d}") for d in HOT_DAYS
+        ]
     )
     return counted.withColumn("ratio", F.when(F.col("total") > 0, F.col("cold") / F.col("total")).otherwise(0.0))
 
@@ -145,20 +177,37 @@ def unique_inodes(rows: DataFrame) -> DataFrame:
     Hard links are aggregated as structs, combined before the shuffle; no window holds a group.
     """
     others = [c for c in rows.columns if c not in ("dev", "ino", "path")]
-    known = rows.filter("dev IS NOT NULL AND ino IS NOT NULL").groupBy("dev", "ino").agg(F.min(F.struct("path", *others)).alias("r")).select("dev", "ino", "r.*")
+    known = rows.filter("dev IS NOT NULL AND ino IS NOT NULL").groupBy("dev", "ino").agg(
+        F.min(F.struct("path", *others)).alias("r")
+    ).select("dev", "ino", "r.*")
     return known.select(*rows.columns).unionByName(rows.filter("dev IS NULL OR ino IS NULL"))
 
 
 def roll_up(rows: DataFrame, root: str, limit: int | None = None) -> DataFrame:
     """Per entry right below ``root``: entries in it and their bytes, of all types; largest first, then by name. ``limit``
     is the report's length."""
-    counted = rows.filter(paths.is_below("path", root)).select(paths.child_of("path", root).alias("child"), "size").groupBy("child").agg(F.count(F.lit(1)).alias("items"), _sum(F.col("size")).alias("bytes"))
+    counted = rows.filter(paths.is_below("path", root)).select(paths.child_of("path", root).alias("child"), "size").groupBy("child").agg(
+        F.count(F.lit(1)).alias("items"), _sum(F.col("size")).alias("bytes")
+    )
     ordered = counted.orderBy(F.col("bytes").desc(), "child")
     return ordered if limit is None or limit < 0 else ordered.limit(limit)
 
 
 def totals(rows: DataFrame) -> DataFrame:
     """One row: entries, bytes of regular files, and entries and bytes per second between the first and last received_at."""
-    took = F.greatest(F.lit(1.0), (F.unix_micros(F.max(F.col("received_at").cast("timestamp"))) - F.unix_micros(F.min(F.col("received_at").cast("timestamp")))) / 1e6)
-    counted = rows.agg(F.count(F.lit(1)).alias("items"), _sum(F.when(F.col("type") == schema.FILE, F.col("size"))).alias("bytes"), took.alias("seconds"))
-    return counted.withColumn("items_per_second", F.col("items") / F.col("seconds")).withColumn("bytes_per_second", F.col("bytes") / F.col("seconds"))
+    took = F.greatest(
+        F.lit(1.0),
+        (
+            F.unix_micros(
+                F.max(F.col("received_at").cast("timestamp"))
+            ) - F.unix_micros(F.min(F.col("received_at").cast("timestamp")))
+        ) / 1e6,
+    )
+    counted = rows.agg(
+        F.count(F.lit(1)).alias("items"),
+        _sum(F.when(F.col("type") == schema.FILE, F.col("size"))).alias("bytes"),
+        took.alias("seconds"),
+    )
+    return counted.withColumn(
+        "items_per_second", F.col("items") / F.col("seconds")
+    ).withColumn("bytes_per_second", F.col("bytes") / F.col("seconds"))

@@ -20,7 +20,11 @@ from lakewalk.operators.keyed_state import content_hash, key_columns
 from lakewalk.storage import written
 
 #: xxHash64's primes (fixed values of the public specification).
-P1, P2, P3, P4, P5 = (np.uint64(x) for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
+P1, P2, P3, P4, P5 = (
+    np.uint64(x) for x in (
+        11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
+    )
+)
 PLACES = 3
 
 
@@ -44,16 +48,24 @@ def xxhash64_longs(*columns: np.ndarray) -> np.ndarray:
 def _places(check: np.ndarray, width: int) -> list[np.ndarray]:
     """The cells of an entry, one in each third of the table, from 21 bits each of its checksum."""
     u = check.view(np.uint64)
-    return [((u >> np.uint64(21 * i)) & np.uint64(0x1FFFFF)).astype(np.int64) % width + i * width for i in range(PLACES)]
+    return [
+        ((u >> np.uint64(21 * i)) & np.uint64(0x1FFFFF)).astype(np.int64) % width + i * width for i in range(PLACES)
+    ]
 
 
 def cells(sides: Sequence[tuple[DataFrame, int]], buckets: int, width: int) -> DataFrame:
     """The subtracted tables: one row per bucket and cell that isn't zero. Combined before the shuffle."""
-    entries = reduce(DataFrame.unionByName, [df.select("k1", "k2", "h", F.lit(sign).alias("sign")) for df, sign in sides])
+    entries = reduce(
+        DataFrame.unionByName, [df.select("k1", "k2", "h", F.lit(sign).alias("sign")) for df, sign in sides]
+    )
     entries = entries.withColumn("bucket", F.pmod("k1", F.lit(buckets))).withColumn("c", F.xxhash64("k1", "k2", "h"))
-    place = [(F.shiftrightunsigned("c", 21 * i).bitwiseAND(0x1FFFFF) % width + i * width).cast("int") for i in range(PLACES)]
+    place = [
+        (F.shiftrightunsigned("c", 21 * i).bitwiseAND(0x1FFFFF) % width + i * width).cast("int") for i in range(PLACES)
+    ]
     spread = entries.withColumn("cell", F.explode(F.array(*place)))
-    summed = spread.groupBy("bucket", "cell").agg(F.sum("sign").alias("n"), *[F.bit_xor(x).alias(x) for x in ("k1", "k2", "h", "c")])
+    summed = spread.groupBy("bucket", "cell").agg(
+        F.sum("sign").alias("n"), *[F.bit_xor(x).alias(x) for x in ("k1", "k2", "h", "c")]
+    )
     return summed.filter("n <> 0 OR k1 <> 0 OR k2 <> 0 OR h <> 0 OR c <> 0")
 
 
@@ -73,7 +85,9 @@ def peel(n: np.ndarray, fields: np.ndarray, width: int) -> tuple[np.ndarray, np.
             np.subtract.at(n, at, sign)
             np.bitwise_xor.at(fields, at, entry)
     empty = np.zeros((0, 3), np.int64)
-    return (np.concatenate(out) if out else empty), (np.concatenate(signs) if signs else empty[:, 0]), not (n.any() or fields.any())
+    return (np.concatenate(out) if out else empty), (
+        np.concatenate(signs) if signs else empty[:, 0]
+    ), not (n.any() or fields.any())
 
 
 def peeled(table: DataFrame, width: int) -> DataFrame:
@@ -93,8 +107,15 @@ def peeled(table: DataFrame, width: int) -> DataFrame:
 
 def first_rows(df: DataFrame, key: str, row_id: str, fields: Sequence[str]) -> DataFrame:
     """Of rows with the same key the one with the lowest id, hashed."""
-    first = df.groupBy(F.col(key).alias("key")).agg(F.min(F.struct(F.col(row_id).alias("id"), *[F.col(f).alias(f"f{i}") for i, f in enumerate(fields)])).alias("r"))
-    return first.select("key", *key_columns(F.col("key")), content_hash(*[F.col(f"r.f{i}") for i in range(len(fields))]).alias("h"), *[F.col(f"r.f{i}").alias(f) for i, f in enumerate(fields)])
+    first = df.groupBy(F.col(key).alias("key")).agg(
+        F.min(F.struct(F.col(row_id).alias("id"), *[F.col(f).alias(f"f{i}") for i, f in enumerate(fields)])).alias("r")
+    )
+    return first.select(
+        "key",
+        *key_columns(F.col("key")),
+        content_hash(*[F.col(f"r.f{i}") for i in range(len(fields))]).alias("h"),
+        *[F.col(f"r.f{i}").alias(f) for i, f in enumerate(fields)],
+    )
 
 
 def _in(df: DataFrame, bucket: Column, open_: DataFrame | None) -> DataFrame:
@@ -102,7 +123,9 @@ def _in(df: DataFrame, bucket: Column, open_: DataFrame | None) -> DataFrame:
     return df if open_ is None else df.join(open_, "bucket", "left_semi")
 
 
-def differing_keys(src: DataFrame, dst: DataFrame, bucket_rows: int = 4096, widths: Sequence[int] = (512, 2048)) -> DataFrame:
+def differing_keys(
+    src: DataFrame, dst: DataFrame, bucket_rows: int = 4096, widths: Sequence[int] = (512, 2048)
+) -> DataFrame:
     """(k1, k2) of the entries that only one side has, from hashed sides (k1, k2, h).
 
     A first table has 3*512 cells for about 4096 keys of either side and peels some 1,200 entries. Buckets with more go
@@ -135,13 +158,24 @@ def differences(
     """
     ignore = ignore or {}
     extra = [c for c in ("type",) if any(ignore) and c not in fields]
-    all_src, all_dst = (written(first_rows(df, key, row_id, [*fields, *extra]).drop("h").withColumn("h", content_hash(*map(F.col, fields))), "side") for df in (src, dst))
+    all_src, all_dst = (
+        written(
+            first_rows(df, key, row_id, [*fields, *extra]).drop("h").withColumn("h", content_hash(*map(F.col, fields))),
+            "side",
+        ) for df in (src, dst)
+    )
     keys = written(differing_keys(all_src, all_dst, **how), "keys")
-    side = lambda df, name: df.join(keys, ["k1", "k2"], "left_semi").select("k1", "k2", "key", *[F.col(f).alias(f"{name}_{f}") for f in [*fields, *extra]], F.lit(True).alias(f"{name}_is"))
-    both = side(all_src, "src").withColumnRenamed("key", "src_key").join(side(all_dst, "dst").withColumnRenamed("key", "dst_key"), ["k1", "k2"], "full_outer")
+    side = lambda df, name: df.join(keys, ["k1", "k2"], "left_semi").select(
+        "k1", "k2", "key", *[F.col(f).alias(f"{name}_{f}") for f in [*fields, *extra]], F.lit(True).alias(f"{name}_is")
+    )
+    both = side(all_src, "src").withColumnRenamed("key", "src_key").join(
+        side(all_dst, "dst").withColumnRenamed("key", "dst_key"), ["k1", "k2"], "full_outer"
+    )
     kinds = [F.when(F.col("dst_is").isNull(), "only_src"), F.when(F.col("src_is").isNull(), "only_dst")]
     for f in fields:
         differs = F.col("src_is") & F.col("dst_is") & ~F.col(f"src_{f}").eqNullSafe(F.col(f"dst_{f}"))
         kinds.append(F.when(differs & ~F.coalesce(ignore[f], F.lit(False)) if f in ignore else differs, f))
-    listed = both.select(F.coalesce("src_key", "dst_key").alias(key), F.explode(F.array_compact(F.array(*kinds))).alias("diff_kind"))
+    listed = both.select(
+        F.coalesce("src_key", "dst_key").alias(key), F.explode(F.array_compact(F.array(*kinds))).alias("diff_kind")
+    )
     return listed

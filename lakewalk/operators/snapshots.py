@@ -27,10 +27,27 @@ def next_snapshot(
     null in ``fields``; a null key is a key.  An empty snapshot removes every key.  For the first snapshot nothing is put
     out.  Result: the ``notes``, key, change_kind, old_<field>..., new_<field>...
     """
-    hashed = snapshot.select(*key_columns(F.col(key)), F.struct(F.col(row_id).alias("id"), content_hash(*map(F.col, fields)).alias("h"), F.col(key).alias("key"), *[F.col(f).alias(f"f{i}") for i, f in enumerate(fields)]).alias("new"))
+    hashed = snapshot.select(
+        *key_columns(F.col(key)),
+        F.struct(
+            F.col(row_id).alias("id"),
+            content_hash(*map(F.col, fields)).alias("h"),
+            F.col(key).alias("key"),
+            *[F.col(f).alias(f"f{i}") for i, f in enumerate(fields)],
+        ).alias("new"),
+    )
     new = hashed.groupBy(*KEYS).agg(F.min("new").alias("new"))
     if (old := index.current()) is None:
-        index.stage(new.select(*KEYS, F.col("new.h").alias("h"), F.col("new.id").alias("id"), F.lit("first").alias("kind"), F.lit(None).cast("bigint").alias("old_id"), F.lit(None).cast(new.schema["new"].dataType).alias("new")))
+        index.stage(
+            new.select(
+                *KEYS,
+                F.col("new.h").alias("h"),
+                F.col("new.id").alias("id"),
+                F.lit("first").alias("kind"),
+                F.lit(None).cast("bigint").alias("old_id"),
+                F.lit(None).cast(new.schema["new"].dataType).alias("new"),
+            )
+        )
         index.put_out(_nothing(snapshot, key, fields, notes))
         index.swap(**notes)
         return None
@@ -39,11 +56,23 @@ def next_snapshot(
     old = old.filter("kind <> 'removed'").select(*KEYS, F.col("h").alias("old_h"), F.col("id").alias("old_id"))
     kind = F.when(F.col("new").isNull(), "removed").when(F.col("old_h") != F.col("new.h"), "changed").otherwise("same")
     probed = old.join(new, list(KEYS), "left").withColumn("kind", kind)
-    added = new.join(old, list(KEYS), "left_anti").select(*KEYS, "new", F.lit("added").alias("kind"), F.lit(None).cast("bigint").alias("old_id"))
-    index_rows = lambda df: df.select(*KEYS, F.col("new.h").alias("h"), F.col("new.id").alias("id"), "kind", "old_id", F.when(F.col("kind").isin("added", "changed"), F.col("new")).alias("new"))
+    added = new.join(old, list(KEYS), "left_anti").select(
+        *KEYS, "new", F.lit("added").alias("kind"), F.lit(None).cast("bigint").alias("old_id")
+    )
+    index_rows = lambda df: df.select(
+        *KEYS,
+        F.col("new.h").alias("h"),
+        F.col("new.id").alias("id"),
+        "kind",
+        "old_id",
+        F.when(F.col("kind").isin("added", "changed"), F.col("new")).alias("new"),
+    )
     staged = index.stage(index_rows(probed), index_rows(added))
     changed = staged.filter(F.col("kind").isin("added", "removed", "changed")).select("kind", "old_id", "new")
-    fetched = previous.select(F.col(row_id).alias("old_id"), F.struct(F.col(key).alias("key"), *[F.col(f).alias(f"f{i}") for i, f in enumerate(fields)]).alias("old"))
+    fetched = previous.select(
+        F.col(row_id).alias("old_id"),
+        F.struct(F.col(key).alias("key"), *[F.col(f).alias(f"f{i}") for i, f in enumerate(fields)]).alias("old"),
+    )
     rows = changed.join(fetched, "old_id", "left")
     index.put_out(
         rows.select(
@@ -59,7 +88,13 @@ def next_snapshot(
 
 
 def _nothing(snapshot: DataFrame, key: str, fields: Sequence[str], notes: dict) -> DataFrame:
-    return snapshot.limit(0).select(*[F.lit(v).alias(k) for k, v in notes.items()], key, F.lit("").alias("change_kind"), *[F.col(f).alias(f"old_{f}") for f in fields], *[F.col(f).alias(f"new_{f}") for f in fields])
+    return snapshot.limit(0).select(
+        *[F.lit(v).alias(k) for k, v in notes.items()],
+        key,
+        F.lit("").alias("change_kind"),
+        *[F.col(f).alias(f"old_{f}") for f in fields],
+        *[F.col(f).alias(f"new_{f}") for f in fields],
+    )
 
 
 def changes_between(index: KeyedState, snapshots: DataFrame, snap: str, ids: Sequence[int], **how) -> DataFrame | None:

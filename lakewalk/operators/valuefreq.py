@@ -46,7 +46,9 @@ def cell(value: Column, bits: int = CELL_BITS) -> Column:
     magnitude = F.abs(value.cast("decimal(20,0)")).cast("double")
     exponent = F.when(magnitude < 1, F.lit(0)).otherwise(F.floor(F.log2(F.greatest(magnitude, F.lit(1.0)))))
     power = F.pow(F.lit(2.0), exponent)
-    index = F.when(magnitude < 1, F.lit(0)).otherwise((exponent + 1) * 2**bits + F.floor((magnitude / power - 1) * 2**bits)).cast("bigint")
+    index = F.when(magnitude < 1, F.lit(0)).otherwise(
+        (exponent + 1) * 2**bits + F.floor((magnitude / power - 1) * 2**bits)
+    ).cast("bigint")
     return F.when(value < 0, -index).otherwise(index)
 
 
@@ -61,12 +63,37 @@ def percentiles(freq: DataFrame, keys: Sequence[str], ps: Sequence[float]) -> Da
     freq = freq.filter(F.col("value").isNotNull()).withColumn("cell", cell(F.col("value")))
     counted = freq.groupBy(*keys, "cell").agg(F.sum("freq").alias("w"))
     by_key = Window.partitionBy(*keys)
-    running = counted.withColumn("upto", F.sum("w").over(by_key.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n_values", F.sum("w").over(by_key))
-    wanted = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("p"), F.greatest(F.lit(1), F.ceil(F.col("n_values") * F.lit(float(p)))).cast("bigint").alias("rank")) for p in ps]))
-    targets = running.select(*keys, "cell", "w", "upto", "n_values", wanted.alias("t")).filter("t.rank <= upto AND t.rank > upto - w")
-    targets = targets.groupBy(*keys, "cell").agg(F.first("n_values").alias("n_values"), F.first(F.col("upto") - F.col("w")).alias("before"), F.collect_list("t").alias("ts"))
+    running = counted.withColumn(
+        "upto", F.sum("w").over(by_key.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
+    ).withColumn("n_values", F.sum("w").over(by_key))
+    wanted = F.explode(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(float(p)).alias("p"),
+                    F.greatest(F.lit(1), F.ceil(F.col("n_values") * F.lit(float(p)))).cast("bigint").alias("rank"),
+                ) for p in ps
+            ]
+        )
+    )
+    targets = running.select(
+        *keys, "cell", "w", "upto", "n_values", wanted.alias("t")
+    ).filter("t.rank <= upto AND t.rank > upto - w")
+    targets = targets.groupBy(*keys, "cell").agg(
+        F.first("n_values").alias("n_values"),
+        F.first(F.col("upto") - F.col("w")).alias("before"),
+        F.collect_list("t").alias("ts"),
+    )
     conditions = [F.col(f"v.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys] + [F.col("v.cell") == F.col("t.cell")]
-    inside = freq.alias("v").join(targets.alias("t"), conditions).select(*[F.col(f"v.{k}").alias(k) for k in keys], F.col("v.cell").alias("cell"), "value", "freq", "n_values", "before", "ts")
+    inside = freq.alias("v").join(targets.alias("t"), conditions).select(
+        *[F.col(f"v.{k}").alias(k) for k in keys],
+        F.col("v.cell").alias("cell"),
+        "value",
+        "freq",
+        "n_values",
+        "before",
+        "ts",
+    )
     in_cell = Window.partitionBy(*keys, "cell").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     ranked = inside.withColumn("upto", F.col("before") + F.sum("freq").over(in_cell))
     return (
@@ -81,7 +108,9 @@ def hot_keys(counts: DataFrame, total_rows: int, share: float = 0.01) -> DataFra
     return counts.filter(F.col("key_id").isNotNull() & (F.col("n_rows") >= F.lit(share) * F.lit(total_rows)))
 
 
-def per_key(df: DataFrame, kinds: Sequence[str], value: Column, ps: Sequence[float] = (0.5, 0.9, 0.99)) -> tuple[DataFrame, DataFrame]:
+def per_key(
+    df: DataFrame, kinds: Sequence[str], value: Column, ps: Sequence[float] = (0.5, 0.9, 0.99)
+) -> tuple[DataFrame, DataFrame]:
     """``key_counts`` and ``percentiles`` for several kinds of key from one compressed table."""
     freq = written(compress(by_kind(df, kinds, value), ["key_kind", "key_id"], "value"), "freq")
     return key_counts(freq, ["key_kind", "key_id"]), percentiles(freq, ["key_kind", "key_id"], ps)

@@ -23,7 +23,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """The records that each successful run over the feed has to take, by replaying the runs on persistent state."""
     log = table(spark, d, "run_log")
     # The run log is one row per run, not per record.
-    runs = [(r["run_id"], r["last_drop"]) for r in log.filter("run_state = 'succeeded' AND last_drop IS NOT NULL").select("run_id", "last_drop").distinct().orderBy("run_id").collect()]
+    runs = [
+        (r["run_id"], r["last_drop"]) for r in log.filter(
+            "run_state = 'succeeded' AND last_drop IS NOT NULL"
+        ).select("run_id", "last_drop").distinct().orderBy("run_id").collect()
+    ]
     newest = log.agg(F.max("run_id")).first()[0] or 0
     rows = table(spark, d, "inventory_feed").filter("size IS NOT NULL AND mtime IS NOT NULL AND path IS NOT NULL")
     state = KeyedState(spark, new_folder(spark, "feed"))
@@ -50,11 +54,15 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 def p3_records(spark: SparkSession, d: str) -> DataFrame:
     """Per packed fragment, how many records it has and how many characters they hold."""
     packed = compaction.pack_fragments(table(spark, d, "fragments"), new_folder(spark, "packed"))
-    return packed.groupBy("frag_id").agg(F.count("rec_no").alias("n_records"), F.sum(F.length("record")).alias("n_chars"))
+    return packed.groupBy("frag_id").agg(
+        F.count("rec_no").alias("n_records"), F.sum(F.length("record")).alias("n_chars")
+    )
 
 
 def _below(df: DataFrame, root: str) -> DataFrame:
-    inside = F.when(F.col("path") == root, ".").when(F.col("path").startswith(root + "/"), F.expr(f"substring(path, {len(root) + 2})"))
+    inside = F.when(F.col("path") == root, ".").when(
+        F.col("path").startswith(root + "/"), F.expr(f"substring(path, {len(root) + 2})")
+    )
     return df.withColumn("relpath", inside).filter("relpath IS NOT NULL")
 
 
@@ -109,7 +117,11 @@ def p7_values(spark: SparkSession, d: str) -> DataFrame:
     return found
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_records, p5_found, p6_found, p6_results, p6_percentiles, p7_found, p7_values)}
+QUERIES = {
+    f.__name__: f for f in (
+        p1_found, p3_found, p3_records, p5_found, p6_found, p6_results, p6_percentiles, p7_found, p7_values
+    )
+}
 
 _P3 = """
 WITH f AS (SELECT *, coalesce(size, octet_length(encode(content))) AS bytes, regexp_replace(path, '/[^/]*$', '') AS dir,

@@ -14,14 +14,22 @@ def chmod(rows: DataFrame, change: str, umask: int = 0o022, force: bool = False)
     """path, old_mode and new_mode (low twelve bits) of the entries that a change of modes changes, or of all with
     ``force``. Links and entries with unknown modes are left alone."""
     new = modes.changed(F.col("mode"), F.col("type") == schema.DIRECTORY, change, umask)
-    planned = rows.filter((F.col("type") != schema.LINK) & F.col("mode").isNotNull()).select("path", F.col("mode").bitwiseAND(0o7777).alias("old_mode"), new.alias("new_mode"))
+    planned = rows.filter((F.col("type") != schema.LINK) & F.col("mode").isNotNull()).select(
+        "path", F.col("mode").bitwiseAND(0o7777).alias("old_mode"), new.alias("new_mode")
+    )
     return planned if force else planned.filter("old_mode <> new_mode")
 
 
 def chown(rows: DataFrame, uid: int | None = None, gid: int | None = None, force: bool = False) -> DataFrame:
     """path with old and new owners, where they change."""
     known = rows.filter(F.col("uid").isNotNull() & F.col("gid").isNotNull())
-    planned = known.select("path", F.col("uid").alias("old_uid"), F.col("gid").alias("old_gid"), (F.col("uid") if uid is None else F.lit(uid)).cast("bigint").alias("new_uid"), (F.col("gid") if gid is None else F.lit(gid)).cast("bigint").alias("new_gid"))
+    planned = known.select(
+        "path",
+        F.col("uid").alias("old_uid"),
+        F.col("gid").alias("old_gid"),
+        (F.col("uid") if uid is None else F.lit(uid)).cast("bigint").alias("new_uid"),
+        (F.col("gid") if gid is None else F.lit(gid)).cast("bigint").alias("new_gid"),
+    )
     return planned if force else planned.filter("old_uid <> new_uid OR old_gid <> new_gid")
 
 
@@ -48,15 +56,24 @@ def remove(rows: DataFrame) -> DataFrame:
 
 def make_directories(rows: DataFrame) -> DataFrame:
     """Directories with their modes, from the top."""
-    return rows.filter(F.col("type") == schema.DIRECTORY).select("path", "depth", "mode", "uid", "gid").orderBy("depth", "path")
+    return rows.filter(F.col("type") == schema.DIRECTORY).select(
+        "path", "depth", "mode", "uid", "gid"
+    ).orderBy("depth", "path")
 
 
 def copy(rows: DataFrame, source: str, dest: str) -> DataFrame:
     """path, destination, action and bytes of everything at or below ``source``."""
-    action = F.when(F.col("type") == schema.DIRECTORY, "MKDIR").when(F.col("type") == schema.LINK, "SYMLINK").when(F.col("type") == schema.FILE, "COPY").otherwise("MKNOD")
+    action = F.when(
+        F.col("type") == schema.DIRECTORY, "MKDIR"
+    ).when(F.col("type") == schema.LINK, "SYMLINK").when(F.col("type") == schema.FILE, "COPY").otherwise("MKNOD")
     size = F.when(F.col("type") == schema.FILE, F.coalesce("size", F.lit(0))).otherwise(0)
     inside = rows.filter(paths.is_below("path", source, inclusive=True))
-    return inside.select("path", paths.destination("path", source, dest).alias("destination"), action.alias("action"), size.cast("bigint").alias("bytes"))
+    return inside.select(
+        "path",
+        paths.destination("path", source, dest).alias("destination"),
+        action.alias("action"),
+        size.cast("bigint").alias("bytes"),
+    )
 
 
 def launch_order(planned: DataFrame) -> DataFrame:
@@ -91,7 +108,9 @@ def restripe(rows: DataFrame, least_size: int, stripes: int, stripe_size: int) -
 
 def hard_links(rows: DataFrame) -> DataFrame:
     """Files that share dev and ino: the least path, which is kept, and each other path, to be linked to it."""
-    files = rows.filter((F.col("type") == schema.FILE) & F.col("dev").isNotNull() & F.col("ino").isNotNull()).select("dev", "ino", "path").distinct()
+    files = rows.filter(
+        (F.col("type") == schema.FILE) & F.col("dev").isNotNull() & F.col("ino").isNotNull()
+    ).select("dev", "ino", "path").distinct()
     first = files.groupBy("dev", "ino").agg(F.min("path").alias("target"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     return files.join(first, ["dev", "ino"]).filter("path <> target").select("path", "target")
 
@@ -99,6 +118,10 @@ def hard_links(rows: DataFrame) -> DataFrame:
 def with_parents(rows: DataFrame, cwd: str) -> DataFrame:
     """The paths of ``rows`` and of every directory strictly between ``cwd`` and them. Paths outside raise an error when
     the plan runs."""
-    inside = rows.select(F.when(paths.is_below("path", cwd), F.col("path")).otherwise(F.raise_error(F.concat(F.lit(f"not below {cwd}: "), "path"))).alias("path"))
+    inside = rows.select(
+        F.when(paths.is_below("path", cwd), F.col("path")).otherwise(
+            F.raise_error(F.concat(F.lit(f"not below {cwd}: "), "path"))
+        ).alias("path")
+    )
     above = inside.select(F.explode(F.filter(paths.ancestors("path"), lambda p: paths.is_below(p, cwd))).alias("path"))
     return inside.unionAll(above).distinct()

@@ -91,13 +91,17 @@ def _report_sql(expressions: list[str]) -> str:
         for term in e.split("@"):
             field, state = term.split("=")
             tests.append("EXIST <> 'COMMON'" if term == "EXIST=DIFFER" else f"{field} = '{state}'")
-        rows.append(f"SELECT '{e}' AS expression, count(*) FILTER (EXIST <> 'ONLY_DEST') AS src, count(*) FILTER (EXIST <> 'ONLY_SRC') AS dst FROM st WHERE {' AND '.join(tests)}")
+        rows.append(
+            f"SELECT '{e}' AS expression, count(*) FILTER (EXIST <> 'ONLY_DEST') AS src, count(*) FILTER (EXIST <> 'ONLY_SRC') AS dst FROM st WHERE {' AND '.join(tests)}"
+        )
     return _STATES + " UNION ALL ".join(rows)
 
 
 def _bin(value: str, ends: list) -> str:
     whens = " ".join(f"WHEN {value} <= {e} THEN {i}" for i, e in enumerate(ends) if e is not None)
-    return f"CASE WHEN {value} IS NULL THEN NULL {whens}" + (f" ELSE {len(ends) - 1} END" if ends[-1] is None else " END")
+    return f"CASE WHEN {value} IS NULL THEN NULL {whens}" + (
+        f" ELSE {len(ends) - 1} END" if ends[-1] is None else " END"
+    )
 
 
 def _ends(ends: list) -> str:
@@ -112,27 +116,41 @@ def _ends(ends: list) -> str:
 def find_type(spark: SparkSession, d: str) -> DataFrame:
     """Entries by each letter of type."""
     letter = F.coalesce(*[F.when(predicates.of_type(c), c) for c in predicates.TYPE_BITS])
-    counted = inventory(spark, d).groupBy(letter.alias("letter")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("path").alias("n_paths"))
+    counted = inventory(spark, d).groupBy(letter.alias("letter")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("path").alias("n_paths")
+    )
     letters = spark.createDataFrame([(c,) for c in predicates.TYPE_BITS], "letter string")
     return letters.join(counted, "letter", "left").fillna(0, ["n", "n_paths"])
 
 
-@query(r"SELECT inv_id, path FROM inventory WHERE regexp_matches(path, '(?s)/([^./][^/]*)?\.gz$') AND NOT regexp_matches(path, '(?s)/\.[^/]*$') OR regexp_matches(path, '(?s)/[^.a-m/][^/]*[._-][^/]*\.h[^/]$')")
+@query(
+    r"SELECT inv_id, path FROM inventory WHERE regexp_matches(path, '(?s)/([^./][^/]*)?\.gz$') AND NOT regexp_matches(path, '(?s)/\.[^/]*$') OR regexp_matches(path, '(?s)/[^.a-m/][^/]*[._-][^/]*\.h[^/]$')"
+)
 def find_name(spark: SparkSession, d: str) -> DataFrame:
     """Names by shell patterns; hidden names aren't matched by a leading star."""
-    return predicates.find(inventory(spark, d), predicates.name("*.gz") | predicates.name("[!a-m]*[._-]*.h?")).select("inv_id", "path")
+    return predicates.find(
+        inventory(spark, d), predicates.name("*.gz") | predicates.name("[!a-m]*[._-]*.h?")
+    ).select("inv_id", "path")
 
 
-@query("SELECT inv_id, path FROM inventory WHERE starts_with(path, '/lake/proj/') AND contains(substring(path, 12), '/run0') AND NOT ends_with(path, '/')")
+@query(
+    "SELECT inv_id, path FROM inventory WHERE starts_with(path, '/lake/proj/') AND contains(substring(path, 12), '/run0') AND NOT ends_with(path, '/')"
+)
 def find_path(spark: SparkSession, d: str) -> DataFrame:
     """Whole paths by a shell pattern whose stars go across slashes."""
     return predicates.find(inventory(spark, d), predicates.path("/lake/proj/*/run0*")).select("inv_id", "path")
 
 
-@query(r"SELECT inv_id, path FROM inventory WHERE regexp_matches(path, '/(run|v)[0-9.]+/') AND regexp_matches(path, '\.[a-z]+$')")
+@query(
+    r"SELECT inv_id, path FROM inventory WHERE regexp_matches(path, '/(run|v)[0-9.]+/') AND regexp_matches(path, '\.[a-z]+$')"
+)
 def find_regex(spark: SparkSession, d: str) -> DataFrame:
     """Basic regular expressions: operators are those with backslashes."""
-    return predicates.find(inventory(spark, d), predicates.regex(r"/\(run\|v\)[0-9.]\{1,\}/"), predicates.regex(r"\.[[:lower:]][[:lower:]]*$")).select("inv_id", "path")
+    return predicates.find(
+        inventory(spark, d),
+        predicates.regex(r"/\(run\|v\)[0-9.]\{1,\}/"),
+        predicates.regex(r"\.[[:lower:]][[:lower:]]*$"),
+    ).select("inv_id", "path")
 
 
 @query("SELECT inv_id, uid, gid FROM inventory WHERE uid > 100000 AND gid < 1000 OR uid = 1201")
@@ -142,11 +160,15 @@ def find_ids(spark: SparkSession, d: str) -> DataFrame:
     return predicates.find(inventory(spark, d), both | predicates.number("uid", "1201")).select("inv_id", "uid", "gid")
 
 
-@query(f"SELECT inv_id, usr AS user, grp AS \"group\" FROM {_NAMED} WHERE usr = 'draewe_svc' OR usr = '100276' OR grp = '512'")
+@query(
+    f"SELECT inv_id, usr AS user, grp AS \"group\" FROM {_NAMED} WHERE usr = 'draewe_svc' OR usr = '100276' OR grp = '512'"
+)
 def find_names(spark: SparkSession, d: str) -> DataFrame:
     """Owners by name, or by number where they have no name."""
     rows = named(spark, d)
-    return predicates.find(rows, predicates.user("draewe_svc") | predicates.user("100276") | predicates.group("512")).select("inv_id", "user", "group")
+    return predicates.find(
+        rows, predicates.user("draewe_svc") | predicates.user("100276") | predicates.group("512")
+    ).select("inv_id", "user", "group")
 
 
 @query("SELECT inv_id, size FROM inventory WHERE size > 1048576 AND size < 10737418240 OR size = 4096")
@@ -160,52 +182,77 @@ def _age_sql(field: str, unit: int) -> str:
     return f"CASE WHEN {field} IS NOT NULL THEN greatest(0, {NOW}::BIGINT * 1000000000 - ({field} * 1000000000 + coalesce({field}_nsec, 0))) // {unit}000000000 END"
 
 
-@query(f"SELECT inv_id FROM inventory WHERE {_age_sql('atime', 60)} < 20000 AND {_age_sql('mtime', 60)} > 30000 OR {_age_sql('ctime', 60)} = 0")
+@query(
+    f"SELECT inv_id FROM inventory WHERE {_age_sql('atime', 60)} < 20000 AND {_age_sql('mtime', 60)} > 30000 OR {_age_sql('ctime', 60)} = 0"
+)
 def find_minutes(spark: SparkSession, d: str) -> DataFrame:
     """Ages in minutes of all three times."""
     age = lambda f, n: predicates.age(f, n, (NOW, 0), predicates.MINUTE)
-    return predicates.find(inventory(spark, d), (age("atime", "-20000") & age("mtime", "+30000")) | age("ctime", "0")).select("inv_id")
+    return predicates.find(
+        inventory(spark, d), (age("atime", "-20000") & age("mtime", "+30000")) | age("ctime", "0")
+    ).select("inv_id")
 
 
-@query(f"SELECT inv_id FROM inventory WHERE {_age_sql('atime', 86400)} > 365 AND {_age_sql('mtime', 86400)} > 365 OR {_age_sql('ctime', 86400)} = 30")
+@query(
+    f"SELECT inv_id FROM inventory WHERE {_age_sql('atime', 86400)} > 365 AND {_age_sql('mtime', 86400)} > 365 OR {_age_sql('ctime', 86400)} = 30"
+)
 def find_days(spark: SparkSession, d: str) -> DataFrame:
     """Ages in days of all three times; times ahead are 0 days old."""
     age = lambda f, n: predicates.age(f, n, (NOW, 0), predicates.DAY)
-    return predicates.find(inventory(spark, d), (age("atime", "+365") & age("mtime", "+365")) | age("ctime", "30")).select("inv_id")
+    return predicates.find(
+        inventory(spark, d), (age("atime", "+365") & age("mtime", "+365")) | age("ctime", "30")
+    ).select("inv_id")
 
 
-@query("SELECT inv_id FROM inventory WHERE (atime > 1766000000 OR atime = 1766000000 AND atime_nsec > 5) AND (mtime > 1760000000 OR mtime = 1760000000 AND mtime_nsec > 0) OR ctime > 1767200000 OR ctime = 1767200000 AND ctime_nsec > 0")
+@query(
+    "SELECT inv_id FROM inventory WHERE (atime > 1766000000 OR atime = 1766000000 AND atime_nsec > 5) AND (mtime > 1760000000 OR mtime = 1760000000 AND mtime_nsec > 0) OR ctime > 1767200000 OR ctime = 1767200000 AND ctime_nsec > 0"
+)
 def find_newer(spark: SparkSession, d: str) -> DataFrame:
     """Strictly later than a time, to the nanosecond."""
     newer = predicates.newer
-    return predicates.find(inventory(spark, d), (newer("atime", 1766000000, 5) & newer("mtime", 1760000000, 0)) | newer("ctime", 1767200000, 0)).select("inv_id")
+    return predicates.find(
+        inventory(spark, d),
+        (newer("atime", 1766000000, 5) & newer("mtime", 1760000000, 0)) | newer("ctime", 1767200000, 0),
+    ).select("inv_id")
 
 
-@query("SELECT inv_id, path FROM inventory WHERE (path = '/lake/home' OR starts_with(path, '/lake/home/')) AND length(path) - length(replace(path, '/', '')) <= 5")
+@query(
+    "SELECT inv_id, path FROM inventory WHERE (path = '/lake/home' OR starts_with(path, '/lake/home/')) AND length(path) - length(replace(path, '/', '')) <= 5"
+)
 def find_depth(spark: SparkSession, d: str) -> DataFrame:
     """At most three levels below a root."""
     return predicates.find(inventory(spark, d), predicates.max_depth("/lake/home", 3)).select("inv_id", "path")
 
 
-@query("SELECT path, size FROM inventory WHERE (mode & 61440) = 32768 AND size > 1073741824 AND regexp_matches(path, '/[^/.][^/]*\\.tar$') AND mtime < 1767225600 - 91 * 86400")
+@query(
+    "SELECT path, size FROM inventory WHERE (mode & 61440) = 32768 AND size > 1073741824 AND regexp_matches(path, '/[^/.][^/]*\\.tar$') AND mtime < 1767225600 - 91 * 86400"
+)
 def find_combined(spark: SparkSession, d: str) -> DataFrame:
     """A usual search: large old archives."""
     old = F.col("mtime") < NOW - 91 * 86400
-    return predicates.find(inventory(spark, d), predicates.of_type("f"), predicates.size("+1g"), predicates.name("*.tar"), old).select("path", "size")
+    return predicates.find(
+        inventory(spark, d), predicates.of_type("f"), predicates.size("+1g"), predicates.name("*.tar"), old
+    ).select("path", "size")
 
 
-@query(r"SELECT inv_id, 'path' AS kind FROM inventory WHERE regexp_matches(path, 'ba.*[0-9]') UNION ALL SELECT inv_id, 'name' FROM inventory WHERE NOT regexp_matches(regexp_extract(path, '[^/]*$'), 'ba.*[0-9]')")
+@query(
+    r"SELECT inv_id, 'path' AS kind FROM inventory WHERE regexp_matches(path, 'ba.*[0-9]') UNION ALL SELECT inv_id, 'name' FROM inventory WHERE NOT regexp_matches(regexp_extract(path, '[^/]*$'), 'ba.*[0-9]')"
+)
 def match_exclude(spark: SparkSession, d: str) -> DataFrame:
     """Paths with an expression in them, and names without it."""
     rows = inventory(spark, d)
-    return filters.matching(rows, "ba.*[0-9]").select("inv_id", F.lit("path").alias("kind")).unionAll(filters.matching(rows, "ba.*[0-9]", exclude=True, on_name=True).select("inv_id", F.lit("name").alias("kind")))
+    return filters.matching(rows, "ba.*[0-9]").select("inv_id", F.lit("path").alias("kind")).unionAll(
+        filters.matching(rows, "ba.*[0-9]", exclude=True, on_name=True).select("inv_id", F.lit("name").alias("kind"))
+    )
 
 
 @query("SELECT inv_id, starts_with(path, '/lake/scratch/') AS inside FROM inventory")
 def subtree_split(spark: SparkSession, d: str) -> DataFrame:
     """What lies below a directory, and the rest."""
     inside, rest = filters.subtree(inventory(spark, d), "/lake/scratch")
-    return inside.select("inv_id", F.lit(True).alias("inside")).unionAll(rest.select("inv_id", F.lit(False).alias("inside")))
+    return inside.select("inv_id", F.lit(True).alias("inside")).unionAll(
+        rest.select("inv_id", F.lit(False).alias("inside"))
+    )
 
 
 @query("SELECT inv_id, path FROM inventory WHERE regexp_matches(path, '^/lake/home/ax[^/]*(/|$)')")
@@ -214,7 +261,9 @@ def children_like(spark: SparkSession, d: str) -> DataFrame:
     return filters.children_like(inventory(spark, d), "/lake/home", "ax*")[0].select("inv_id", "path")
 
 
-@query(f"SELECT inv_id, path FROM inventory WHERE type IN (2, 4) AND {NOW} - atime > 60 * 86400 AND {NOW} - ctime > 60 * 86400")
+@query(
+    f"SELECT inv_id, path FROM inventory WHERE type IN (2, 4) AND {NOW} - atime > 60 * 86400 AND {NOW} - ctime > 60 * 86400"
+)
 def purgeable(spark: SparkSession, d: str) -> DataFrame:
     """Files and links that weren't used or changed for 60 days."""
     return filters.purgeable(inventory(spark, d), NOW).select("inv_id", "path")
@@ -228,7 +277,9 @@ def nonempty_files(spark: SparkSession, d: str) -> DataFrame:
 def _striped(spark: SparkSession, d: str) -> DataFrame:
     """The inventory with a layout: one stripe for small files, four for others, unknown without a device."""
     count = F.when(F.col("dev").isNotNull(), F.when(F.col("size") < 2**30, 1).otherwise(4))
-    return inventory(spark, d).withColumn("stripe_count", count).withColumn("stripe_size", F.when(F.col("dev") == 2049, 1 << 20).otherwise(4 << 20))
+    return inventory(spark, d).withColumn("stripe_count", count).withColumn(
+        "stripe_size", F.when(F.col("dev") == 2049, 1 << 20).otherwise(4 << 20)
+    )
 
 
 _STRIPED = "SELECT * FROM (SELECT *, CASE WHEN dev IS NOT NULL THEN CASE WHEN size < 1073741824 THEN 1 ELSE 4 END END AS sc, CASE WHEN dev = 2049 THEN 1048576 ELSE 4194304 END AS ss FROM inventory) WHERE type = 2 AND size >= 1048576 AND (sc <> 4 OR ss <> 4194304)"
@@ -275,7 +326,9 @@ def broken_sample(spark: SparkSession, d: str) -> DataFrame:
     return filters.broken_sample(_with_errors(spark, d), NOW, 100, "error")
 
 
-@query("SELECT inv_id, path, link_target AS target FROM inventory WHERE type = 4 AND starts_with(link_target, '/lake/archive/') AND NOT contains(link_target, '/.') AND NOT contains(link_target, '//') AND NOT ends_with(link_target, '/')")
+@query(
+    "SELECT inv_id, path, link_target AS target FROM inventory WHERE type = 4 AND starts_with(link_target, '/lake/archive/') AND NOT contains(link_target, '/.') AND NOT contains(link_target, '//') AND NOT ends_with(link_target, '/')"
+)
 def links_below(spark: SparkSession, d: str) -> DataFrame:
     """Links to places below a directory."""
     return filters.links_below(inventory(spark, d), "/lake/archive").select("inv_id", "path", "target")
@@ -301,7 +354,9 @@ def summary(spark: SparkSession, d: str) -> DataFrame:
     return profile.summary(inventory(spark, d))
 
 
-@query("SELECT count(*) AS items, max(strlen(path)) + 1 AS longest, min(depth) AS min_depth, max(depth) AS max_depth FROM inventory")
+@query(
+    "SELECT count(*) AS items, max(strlen(path)) + 1 AS longest, min(depth) AS min_depth, max(depth) AS max_depth FROM inventory"
+)
 def statistics(spark: SparkSession, d: str) -> DataFrame:
     return profile.statistics(inventory(spark, d))
 
@@ -327,7 +382,9 @@ def size_histogram(spark: SparkSession, d: str) -> DataFrame:
 _OWN_ENDS = [0, 100, 4096, 1048576, 16777216, 1073741824, None]
 
 
-@query(f"SELECT bin, lower, upper, (SELECT count(*) FROM inventory WHERE {_bin('size', _OWN_ENDS)} = e.bin) AS number FROM {_ends(_OWN_ENDS)}")
+@query(
+    f"SELECT bin, lower, upper, (SELECT count(*) FROM inventory WHERE {_bin('size', _OWN_ENDS)} = e.bin) AS number FROM {_ends(_OWN_ENDS)}"
+)
 def size_distribution(spark: SparkSession, d: str) -> DataFrame:
     """All entries by size, in classes of the caller's."""
     return profile.size_distribution(inventory(spark, d), "size:1g,0,100,4k,1m,16MB,4k")
@@ -343,14 +400,22 @@ def file_size_profile(spark: SparkSession, d: str) -> DataFrame:
 _DAYS = lambda f: f"CASE WHEN {f} IS NOT NULL THEN greatest(0, {NOW} - {f}) // 86400 END"
 
 
-@query(" UNION ALL ".join(f"SELECT '{f}' AS field, bin, lower, upper, CAST(coalesce((SELECT sum(size) FROM inventory WHERE type = 2 AND {_bin(_DAYS(f), profile.AGE_ENDS)} = e.bin), 0) AS BIGINT) AS bytes FROM {_ends(profile.AGE_ENDS)}" for f in ("atime", "mtime", "ctime")))
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{f}' AS field, bin, lower, upper, CAST(coalesce((SELECT sum(size) FROM inventory WHERE type = 2 AND {_bin(_DAYS(f), profile.AGE_ENDS)} = e.bin), 0) AS BIGINT) AS bytes FROM {_ends(profile.AGE_ENDS)}" for f in (
+            "atime", "mtime", "ctime"
+        )
+    )
+)
 def age_profile(spark: SparkSession, d: str) -> DataFrame:
     """Bytes by age, for three times."""
     return profile.age_profile(inventory(spark, d), NOW)
 
 
 def _hot_sql(source: str) -> str:
-    days = ", ".join(f"CAST(coalesce(sum(size) FILTER (type = 2 AND {_DAYS('atime')} <= {k}), 0) AS BIGINT) AS day{k}" for k in profile.HOT_DAYS)
+    days = ", ".join(
+        f"CAST(coalesce(sum(size) FILTER (type = 2 AND {_DAYS('atime')} <= {k}), 0) AS BIGINT) AS day{k}" for k in profile.HOT_DAYS
+    )
     return f"""SELECT *, CASE WHEN total > 0 THEN cold / total ELSE 0.0 END AS ratio FROM (SELECT top AS directory, CAST(coalesce(sum(size) FILTER (type = 2), 0) AS BIGINT) AS total,
         CAST(coalesce(sum(size) FILTER (type = 2 AND {_DAYS('atime')} >= 90), 0) AS BIGINT) AS cold, count(*) FILTER (mode IS NULL) AS errors, {days}
         FROM (SELECT *, '/lake/' || split_part(substring(path, 7), '/', 1) AS top FROM {source} WHERE starts_with(path, '/lake/')) GROUP BY top)"""
@@ -373,19 +438,27 @@ def hot_cold_unique(spark: SparkSession, d: str) -> DataFrame:
     return profile.hot_cold(profile.with_top(rows, "/lake"), "top", NOW, 90)
 
 
-@query(r"SELECT DISTINCT '/lake/proj/' || split_part(path, '/', 4) AS path FROM inventory WHERE regexp_matches(path, '^/lake/proj/[^/]+/') AND NOT regexp_matches(path, '^/lake/proj/(ax|ba)[a-z]+/')")
+@query(
+    r"SELECT DISTINCT '/lake/proj/' || split_part(path, '/', 4) AS path FROM inventory WHERE regexp_matches(path, '^/lake/proj/[^/]+/') AND NOT regexp_matches(path, '^/lake/proj/(ax|ba)[a-z]+/')"
+)
 def top_directories(spark: SparkSession, d: str) -> DataFrame:
     """Directories right below one, without those that an expression names."""
-    return profile.top_directories(profile.implied_directories(inventory(spark, d)), "/lake/proj", "/(ax|ba)[[:lower:]]+$").select("path")
+    return profile.top_directories(
+        profile.implied_directories(inventory(spark, d)), "/lake/proj", "/(ax|ba)[[:lower:]]+$"
+    ).select("path")
 
 
-@query("SELECT split_part(substring(path, 12), '/', 1) AS child, count(*) AS items, CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes FROM inventory WHERE starts_with(path, '/lake/proj/') GROUP BY 1 ORDER BY bytes DESC, child LIMIT 100")
+@query(
+    "SELECT split_part(substring(path, 12), '/', 1) AS child, count(*) AS items, CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes FROM inventory WHERE starts_with(path, '/lake/proj/') GROUP BY 1 ORDER BY bytes DESC, child LIMIT 100"
+)
 def roll_up(spark: SparkSession, d: str) -> DataFrame:
     """The hundred largest children of a directory."""
     return profile.roll_up(inventory(spark, d), "/lake/proj", 100)
 
 
-@query("SELECT split_part(substring(path, 7), '/', 1) AS child, count(*) AS items, CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes FROM inventory WHERE starts_with(path, '/lake/') GROUP BY 1")
+@query(
+    "SELECT split_part(substring(path, 7), '/', 1) AS child, count(*) AS items, CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes FROM inventory WHERE starts_with(path, '/lake/') GROUP BY 1"
+)
 def roll_up_all(spark: SparkSession, d: str) -> DataFrame:
     """All children of the root."""
     return profile.roll_up(inventory(spark, d), "/lake")
@@ -401,7 +474,9 @@ def scan_totals(spark: SparkSession, d: str) -> DataFrame:
 # Order ------------------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT inv_id, size, path, row_number() OVER (ORDER BY size DESC NULLS LAST, path, inv_id) - 1 AS row_index FROM inventory")
+@query(
+    "SELECT inv_id, size, path, row_number() OVER (ORDER BY size DESC NULLS LAST, path, inv_id) - 1 AS row_index FROM inventory"
+)
 def sorted_index(spark: SparkSession, d: str) -> DataFrame:
     """Every entry's place in a sort by size, descending, and path."""
     rows = inventory(spark, d).select("inv_id", "size", "path")
@@ -416,14 +491,20 @@ def head_tail(spark: SparkSession, d: str) -> DataFrame:
     return order.head_tail(named(spark, d), "user,-size").select("path", "user", "size", "row_index")
 
 
-@query("SELECT bucket, count(*) AS n, min(path) AS first_path, max(path) AS last_path FROM (SELECT path, CAST(ntile(7) OVER (ORDER BY path, inv_id) - 1 AS INT) AS bucket FROM inventory) GROUP BY bucket")
+@query(
+    "SELECT bucket, count(*) AS n, min(path) AS first_path, max(path) AS last_path FROM (SELECT path, CAST(ntile(7) OVER (ORDER BY path, inv_id) - 1 AS INT) AS bucket FROM inventory) GROUP BY bucket"
+)
 def even_spread(spark: SparkSession, d: str) -> DataFrame:
     """Contiguous runs of paths whose lengths differ by one at most."""
     spread = order.even_spread(inventory(spark, d).select("path", "inv_id"), [F.col("path"), F.col("inv_id")], 7)
-    return spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("first_path"), F.max("path").alias("last_path"))
+    return spread.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.min("path").alias("first_path"), F.max("path").alias("last_path")
+    )
 
 
-@query("SELECT batch, count(*) AS n, min(inv_id) AS first_id FROM (SELECT inv_id, (row_number() OVER (ORDER BY inv_id) - 1) // 1000 AS batch FROM inventory) GROUP BY batch")
+@query(
+    "SELECT batch, count(*) AS n, min(inv_id) AS first_id FROM (SELECT inv_id, (row_number() OVER (ORDER BY inv_id) - 1) // 1000 AS batch FROM inventory) GROUP BY batch"
+)
 def batch_slices(spark: SparkSession, d: str) -> DataFrame:
     """Batches of a thousand consecutive entries."""
     sliced = order.slices(inventory(spark, d).select("inv_id"), [F.col("inv_id")], 1000)
@@ -435,7 +516,9 @@ def by_depth(spark: SparkSession, d: str) -> DataFrame:
     return order.by_depth(inventory(spark, d))
 
 
-@query("SELECT count(*) AS batches, CAST(sum(n) AS BIGINT) AS entries, max(n) AS largest, avg(n) AS mean, max(n) / avg(n) AS ratio FROM (SELECT count(*) AS n FROM inventory GROUP BY gid)")
+@query(
+    "SELECT count(*) AS batches, CAST(sum(n) AS BIGINT) AS entries, max(n) AS largest, avg(n) AS mean, max(n) / avg(n) AS ratio FROM (SELECT count(*) AS n FROM inventory GROUP BY gid)"
+)
 def imbalance(spark: SparkSession, d: str) -> DataFrame:
     """How uneven the groups' shares are."""
     return order.imbalance(inventory(spark, d), "gid")
@@ -449,7 +532,9 @@ def hash_batches(spark: SparkSession, d: str) -> DataFrame:
     return schema.combined(first, *rest)
 
 
-@query("SELECT walk_day, path, inv_id FROM inventory UNION ALL SELECT walk_day, path, inv_id FROM inventory WHERE type = 3")
+@query(
+    "SELECT walk_day, path, inv_id FROM inventory UNION ALL SELECT walk_day, path, inv_id FROM inventory WHERE type = 3"
+)
 def union_of_walks(spark: SparkSession, d: str) -> DataFrame:
     """Two overlapping inventories as one, without removing what both saw."""
     rows = inventory(spark, d).select("walk_day", "path", "inv_id", "type")
@@ -461,24 +546,34 @@ def union_of_walks(spark: SparkSession, d: str) -> DataFrame:
 _HASHED = "(SELECT path, content, sha256(content) AS digest, strlen(content) AS bytes FROM fragments WHERE type = 2 AND strlen(content) > 0)"
 
 
-@query(f"SELECT path, digest, count(*) OVER (PARTITION BY digest) AS group_size FROM {_HASHED} QUALIFY count(*) OVER (PARTITION BY digest) > 1")
+@query(
+    f"SELECT path, digest, count(*) OVER (PARTITION BY digest) AS group_size FROM {_HASHED} QUALIFY count(*) OVER (PARTITION BY digest) > 1"
+)
 def duplicates(spark: SparkSession, d: str) -> DataFrame:
     """Files whose content another has too."""
     return dedup.duplicates(table(spark, d, "fragments"))
 
 
-@query(f"SELECT digest, min(path) AS first_path, count(*) AS copies, max(bytes) * (count(*) - 1) AS wasted FROM {_HASHED} GROUP BY digest HAVING count(*) > 1")
+@query(
+    f"SELECT digest, min(path) AS first_path, count(*) AS copies, max(bytes) * (count(*) - 1) AS wasted FROM {_HASHED} GROUP BY digest HAVING count(*) > 1"
+)
 def duplicate_groups(spark: SparkSession, d: str) -> DataFrame:
     return dedup.duplicate_groups(table(spark, d, "fragments"))
 
 
-@query("SELECT frag_id, dense_rank() OVER (ORDER BY size NULLS FIRST) - 1 AS group_id, count(*) OVER (PARTITION BY size) AS group_size, row_number() OVER (PARTITION BY size ORDER BY frag_id) - 1 AS group_rank FROM fragments")
+@query(
+    "SELECT frag_id, dense_rank() OVER (ORDER BY size NULLS FIRST) - 1 AS group_id, count(*) OVER (PARTITION BY size) AS group_size, row_number() OVER (PARTITION BY size ORDER BY frag_id) - 1 AS group_rank FROM fragments"
+)
 def ranked_groups(spark: SparkSession, d: str) -> DataFrame:
     """Files grouped by size: number and size of their group, and their place in it."""
-    return dedup.ranked_groups(table(spark, d, "fragments").select("frag_id", "size"), "size", "frag_id").select("frag_id", "group_id", "group_size", "group_rank")
+    return dedup.ranked_groups(
+        table(spark, d, "fragments").select("frag_id", "size"), "size", "frag_id"
+    ).select("frag_id", "group_id", "group_size", "group_rank")
 
 
-@query("SELECT DISTINCT CASE WHEN regexp_replace(path, '/[^/]*$', '') = '' THEN '/' ELSE regexp_replace(path, '/[^/]*$', '') END AS parent FROM inventory")
+@query(
+    "SELECT DISTINCT CASE WHEN regexp_replace(path, '/[^/]*$', '') = '' THEN '/' ELSE regexp_replace(path, '/[^/]*$', '') END AS parent FROM inventory"
+)
 def parent_directories(spark: SparkSession, d: str) -> DataFrame:
     return dedup.parent_directories(inventory(spark, d))
 
@@ -509,10 +604,14 @@ def archive_entries(spark: SparkSession, d: str) -> DataFrame:
     return chunks.archive_entries(inventory(spark, d))
 
 
-@query("SELECT count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM inventory WHERE type = 2 AND size >= 67108864")
+@query(
+    "SELECT count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM inventory WHERE type = 2 AND size >= 67108864"
+)
 def large_copies(spark: SparkSession, d: str) -> DataFrame:
     """Large files dealt out to eight workers: none is lost."""
-    return chunks.assigned_bytes(chunks.balanced(inventory(spark, d), 8)).agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes"))
+    return chunks.assigned_bytes(chunks.balanced(inventory(spark, d), 8)).agg(
+        F.sum("files").alias("files"), F.sum("bytes").alias("bytes")
+    )
 
 
 @query()
@@ -536,10 +635,18 @@ def compare_report(spark: SparkSession, d: str) -> DataFrame:
     return compare.report(compare.states(src(spark, d), dst(spark, d), compare.fields_of(compare.COMPARE_REPORT)))
 
 
-@query(_report_sql(compare.SYNC_REPORT).replace(" AND s.atime_nsec IS NOT DISTINCT FROM d.atime_nsec", "").replace("s.mtime IS NOT DISTINCT FROM d.mtime AND s.mtime_nsec IS NOT DISTINCT FROM d.mtime_nsec THEN 'COMMON' ELSE 'DIFFER' END END AS MTIME", "s.mtime IS NOT DISTINCT FROM d.mtime THEN 'COMMON' ELSE 'DIFFER' END END AS MTIME"))
+@query(
+    _report_sql(compare.SYNC_REPORT).replace(" AND s.atime_nsec IS NOT DISTINCT FROM d.atime_nsec", "").replace(
+        "s.mtime IS NOT DISTINCT FROM d.mtime AND s.mtime_nsec IS NOT DISTINCT FROM d.mtime_nsec THEN 'COMMON' ELSE 'DIFFER' END END AS MTIME",
+        "s.mtime IS NOT DISTINCT FROM d.mtime THEN 'COMMON' ELSE 'DIFFER' END END AS MTIME",
+    )
+)
 def sync_report(spark: SparkSession, d: str) -> DataFrame:
     """The mirror tool's counts: metadata times in whole seconds."""
-    return compare.report(compare.states(src(spark, d), dst(spark, d), compare.fields_of(compare.SYNC_REPORT), nanoseconds=False), compare.SYNC_REPORT)
+    return compare.report(
+        compare.states(src(spark, d), dst(spark, d), compare.fields_of(compare.SYNC_REPORT), nanoseconds=False),
+        compare.SYNC_REPORT,
+    )
 
 
 _EXPRESSION = "EXIST=ONLY_SRC,EXIST=COMMON@SIZE=DIFFER,EXIST=COMMON@MTIME=DIFFER@PERM=COMMON,EXIST=DIFFER"
@@ -552,23 +659,31 @@ def compare_conjunctions(spark: SparkSession, d: str) -> DataFrame:
     return compare.conjunction_counts(compare.states(src(spark, d), dst(spark, d)), _EXPRESSION)
 
 
-@query(_STATES + "SELECT relpath, unnest(['src', 'dst']) AS side FROM st WHERE EXIST = 'COMMON' AND CONTENT = 'DIFFER' UNION ALL SELECT relpath, 'src' FROM st WHERE EXIST = 'ONLY_SRC'")
+@query(
+    _STATES + "SELECT relpath, unnest(['src', 'dst']) AS side FROM st WHERE EXIST = 'COMMON' AND CONTENT = 'DIFFER' UNION ALL SELECT relpath, 'src' FROM st WHERE EXIST = 'ONLY_SRC'"
+)
 def compare_matched(spark: SparkSession, d: str) -> DataFrame:
     """The entries that satisfy an expression, by side."""
     return compare.matched(compare.states(src(spark, d), dst(spark, d)), "EXIST=COMMON@CONTENT=DIFFER,EXIST=ONLY_SRC")
 
 
-@query(_STATES + "SELECT count(*) FILTER (EXIST = 'ONLY_SRC') AS only_src, count(*) FILTER (EXIST = 'ONLY_DEST') AS only_dst, count(*) FILTER (EXIST = 'COMMON') AS common FROM st")
+@query(
+    _STATES + "SELECT count(*) FILTER (EXIST = 'ONLY_SRC') AS only_src, count(*) FILTER (EXIST = 'ONLY_DEST') AS only_dst, count(*) FILTER (EXIST = 'COMMON') AS common FROM st"
+)
 def compare_counters(spark: SparkSession, d: str) -> DataFrame:
     return compare.counters(compare.states(src(spark, d), dst(spark, d), ["EXIST"]))
 
 
-@query(_TREES + "SELECT relpath, 'common' AS kind FROM j WHERE b UNION ALL SELECT relpath, 'only_src' FROM j WHERE NOT hd UNION ALL SELECT relpath, 'only_dst' FROM j WHERE NOT hs")
+@query(
+    _TREES + "SELECT relpath, 'common' AS kind FROM j WHERE b UNION ALL SELECT relpath, 'only_src' FROM j WHERE NOT hd UNION ALL SELECT relpath, 'only_dst' FROM j WHERE NOT hs"
+)
 def set_operations(spark: SparkSession, d: str) -> DataFrame:
     """Intersection and both differences of two trees."""
     a, b = src(spark, d), dst(spark, d)
     named_ = lambda df, kind: df.select("relpath", F.lit(kind).alias("kind"))
-    return named_(compare.common(a, b), "common").unionAll(named_(compare.missing(a, b), "only_src")).unionAll(named_(compare.missing(b, a), "only_dst"))
+    return named_(compare.common(a, b), "common").unionAll(
+        named_(compare.missing(a, b), "only_src")
+    ).unionAll(named_(compare.missing(b, a), "only_dst"))
 
 
 @query(_TREES + "SELECT relpath, CASE WHEN hs THEN 'src' ELSE 'dst' END AS side FROM j WHERE NOT b")
@@ -601,16 +716,26 @@ def sync_order(spark: SparkSession, d: str) -> DataFrame:
     return sync.in_order(sync.actions(src(spark, d), dst(spark, d))).select("relpath", "action", "priority", "level")
 
 
-@query(_ACTIONS + ", n AS (SELECT " + ", ".join(f"count(*) FILTER (action = '{x}') AS {x.lower()}" for x in ("COPY", "REMOVE", "MKDIR", "SYMLINK_UPDATE", "META_UPDATE")) + " FROM a) SELECT *, CAST(0 AS BIGINT) AS skipped_only_dst FROM n")
+@query(
+    _ACTIONS + ", n AS (SELECT " + ", ".join(
+        f"count(*) FILTER (action = '{x}') AS {x.lower()}" for x in (
+            "COPY", "REMOVE", "MKDIR", "SYMLINK_UPDATE", "META_UPDATE"
+        )
+    ) + " FROM a) SELECT *, CAST(0 AS BIGINT) AS skipped_only_dst FROM n"
+)
 def sync_counts(spark: SparkSession, d: str) -> DataFrame:
     return sync.action_counts(sync.actions(src(spark, d), dst(spark, d)))
 
 
-@query(_ACTIONS + "SELECT relpath, action, CAST((mode & 61440) = 16384 AND action IN ('REMOVE', 'META_UPDATE') AS BOOLEAN) AS late FROM a")
+@query(
+    _ACTIONS + "SELECT relpath, action, CAST((mode & 61440) = 16384 AND action IN ('REMOVE', 'META_UPDATE') AS BOOLEAN) AS late FROM a"
+)
 def sync_deferred(spark: SparkSession, d: str) -> DataFrame:
     """Which actions have to wait for the end of all batches."""
     now, late = sync.deferred(sync.actions(src(spark, d), dst(spark, d)))
-    return now.select("relpath", "action", F.lit(False).alias("late")).unionAll(late.select("relpath", "action", F.lit(True).alias("late")))
+    return now.select("relpath", "action", F.lit(False).alias("late")).unionAll(
+        late.select("relpath", "action", F.lit(True).alias("late"))
+    )
 
 
 @query(_TREES + """, m AS (SELECT relpath, hs, hd, b, coalesce(b AND CASE WHEN (s.mode & 61440) <> (d.mode & 61440) THEN true WHEN (d.mode & 61440) = 40960 THEN s.link_target IS DISTINCT FROM d.link_target
@@ -630,7 +755,9 @@ def link_dest(spark: SparkSession, d: str) -> DataFrame:
     return sync.with_links(src(spark, d), old.filter(F.col("type") == schema.DIRECTORY), old)
 
 
-@query(f"SELECT relpath, uid, gid, CASE WHEN type = 3 THEN (mode & ~4095) | 493 WHEN type = 4 THEN mode ELSE (mode & ~4095) | 420 END AS mode FROM (SELECT relpath, type, mode, CAST(7 AS BIGINT) AS uid, CAST(8 AS BIGINT) AS gid FROM {_side('src_tree', SRC_ROOT)})")
+@query(
+    f"SELECT relpath, uid, gid, CASE WHEN type = 3 THEN (mode & ~4095) | 493 WHEN type = 4 THEN mode ELSE (mode & ~4095) | 420 END AS mode FROM (SELECT relpath, type, mode, CAST(7 AS BIGINT) AS uid, CAST(8 AS BIGINT) AS gid FROM {_side('src_tree', SRC_ROOT)})"
+)
 def sync_override(spark: SparkSession, d: str) -> DataFrame:
     """The source with other owners and modes."""
     files, directories = modes.parse_override("D0755,F0644")
@@ -649,29 +776,39 @@ def chmod_plan(spark: SparkSession, d: str) -> DataFrame:
     return changes.chmod(inventory(spark, d), "u+rwX,g=u,o-rwx")
 
 
-@query("SELECT path, mode & 4095 AS old_mode, CASE WHEN type = 3 OR (mode & 64) <> 0 THEN ((mode & 4095) | 9 | CASE WHEN type = 3 THEN 64 ELSE 0 END) & ~18 | (mode & 18) ELSE mode & 4095 END AS new_mode FROM inventory WHERE type <> 4 AND mode IS NOT NULL")
+@query(
+    "SELECT path, mode & 4095 AS old_mode, CASE WHEN type = 3 OR (mode & 64) <> 0 THEN ((mode & 4095) | 9 | CASE WHEN type = 3 THEN 64 ELSE 0 END) & ~18 | (mode & 18) ELSE mode & 4095 END AS new_mode FROM inventory WHERE type <> 4 AND mode IS NOT NULL"
+)
 def chmod_masked(spark: SparkSession, d: str) -> DataFrame:
     """A clause without classes, which leaves the bits of the umask alone; all entries are listed."""
     return changes.chmod(inventory(spark, d), "+X", 0o022, force=True)
 
 
-@query("SELECT path, mode & 4095 AS old_mode, 488 AS new_mode FROM inventory WHERE type <> 4 AND mode IS NOT NULL AND (mode & 4095) <> 488")
+@query(
+    "SELECT path, mode & 4095 AS old_mode, 488 AS new_mode FROM inventory WHERE type <> 4 AND mode IS NOT NULL AND (mode & 4095) <> 488"
+)
 def chmod_octal(spark: SparkSession, d: str) -> DataFrame:
     return changes.chmod(inventory(spark, d), "750")
 
 
-@query("SELECT path, uid AS old_uid, gid AS old_gid, uid AS new_uid, CAST(500 AS BIGINT) AS new_gid FROM inventory WHERE uid IS NOT NULL AND gid <> 500")
+@query(
+    "SELECT path, uid AS old_uid, gid AS old_gid, uid AS new_uid, CAST(500 AS BIGINT) AS new_gid FROM inventory WHERE uid IS NOT NULL AND gid <> 500"
+)
 def chown_plan(spark: SparkSession, d: str) -> DataFrame:
     return changes.chown(inventory(spark, d), gid=500)
 
 
-@query("SELECT path, link_target AS old_target, '/vault' || substring(link_target, 6) AS new_target FROM inventory WHERE type = 4 AND starts_with(link_target, '/lake/') AND NOT contains(link_target, '/.') AND NOT contains(link_target, '//') AND NOT ends_with(link_target, '/')")
+@query(
+    "SELECT path, link_target AS old_target, '/vault' || substring(link_target, 6) AS new_target FROM inventory WHERE type = 4 AND starts_with(link_target, '/lake/') AND NOT contains(link_target, '/.') AND NOT contains(link_target, '//') AND NOT ends_with(link_target, '/')"
+)
 def relink_plan(spark: SparkSession, d: str) -> DataFrame:
     """Links moved to another root."""
     return changes.relink(inventory(spark, d), "/lake", "/vault")
 
 
-@query("SELECT path, type, depth, CAST(CASE WHEN type = 3 THEN (SELECT max(depth) + 1 FROM inventory WHERE type = 3) - depth ELSE 0 END AS INT) AS step FROM inventory")
+@query(
+    "SELECT path, type, depth, CAST(CASE WHEN type = 3 THEN (SELECT max(depth) + 1 FROM inventory WHERE type = 3) - depth ELSE 0 END AS INT) AS step FROM inventory"
+)
 def remove_plan(spark: SparkSession, d: str) -> DataFrame:
     """A removal of everything, directories last and from the bottom."""
     return changes.remove(inventory(spark, d))
@@ -694,7 +831,9 @@ def copy_plan(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT path, destination, bytes FROM {_COPY} WHERE action = 'COPY'")
 def copy_order(spark: SparkSession, d: str) -> DataFrame:
     """The copies among it, the largest first."""
-    return changes.launch_order(changes.copy(inventory(spark, d), "/lake/home", "/backup/home")).select("path", "destination", "bytes")
+    return changes.launch_order(
+        changes.copy(inventory(spark, d), "/lake/home", "/backup/home")
+    ).select("path", "destination", "bytes")
 
 
 @query("""
@@ -728,7 +867,9 @@ def path_functions(spark: SparkSession, d: str) -> DataFrame:
     messy = F.concat(F.lit("/../."), p, F.lit("//x/./../"))
     return inventory(spark, d).select(
         "inv_id", paths.basename(p).alias("base"), paths.dirname(p).alias("dir"), paths.count(p).alias("n"), paths.depth(p).alias("depth"), paths.part(p, 2, 2).alias("middle"), paths.part(p, -2).alias("last_two"),
-        paths.destination(p, "/lake", "/backup").alias("dest"), paths.reduced(messy).alias("reduced"), paths.absolute(F.concat(p, F.lit("/..")), "/elsewhere").alias("up"),
+        paths.destination(p, "/lake", "/backup").alias("dest"), paths.reduced(messy).alias("reduced"), paths.absolute(
+            F.concat(p, F.lit("/..")), "/elsewhere"
+        ).alias("up"),
     )
 
 
@@ -738,11 +879,17 @@ def path_functions(spark: SparkSession, d: str) -> DataFrame:
 def path_relations(spark: SparkSession, d: str) -> DataFrame:
     """How paths lie to a directory, and the way to them from another."""
     rows = inventory(spark, d).filter(paths.is_below("path", "/lake") & ~paths.is_below("path", "/lake/home", True))
-    return rows.select("inv_id", paths.compare(F.col("path"), F.lit("/lake/proj")).alias("relation"), paths.relative(F.lit("/lake/home/user"), F.col("path")).alias("way"))
+    return rows.select(
+        "inv_id",
+        paths.compare(F.col("path"), F.lit("/lake/proj")).alias("relation"),
+        paths.relative(F.lit("/lake/home/user"), F.col("path")).alias("way"),
+    )
 
 
 def _format_sql(names: list[str], base: int, up: bool) -> str:
-    number = "CASE " + " ".join(f"WHEN size / {float(base**k)!r} > 1.0 THEN {k}" for k in range(len(names) - 1, 0, -1)) + " ELSE 0 END"
+    number = "CASE " + " ".join(
+        f"WHEN size / {float(base**k)!r} > 1.0 THEN {k}" for k in range(len(names) - 1, 0, -1)
+    ) + " ELSE 0 END"
     step = f"k + CASE WHEN k < {len(names) - 1} AND size / pow({float(base)!r}, k) > 1000.0 THEN 1 ELSE 0 END" if up else "k"
     return f"(SELECT inv_id, size, {step} AS k FROM (SELECT inv_id, size, {number} AS k FROM inventory WHERE size IS NOT NULL))"
 
@@ -755,30 +902,58 @@ def format_sizes(spark: SparkSession, d: str) -> DataFrame:
     """Sizes in binary and decimal units."""
     size = F.col("size")
     (value, unit), (number, letter), (_, rate) = units.bytes_and_unit(size), units.count_and_unit(size), units.bandwidth_and_unit(size)
-    return inventory(spark, d).filter("size IS NOT NULL").select("inv_id", F.round(value, 6).alias("value"), unit.alias("unit"), F.round(number, 6).alias("count_value"), letter.alias("count_unit"), rate.alias("rate_unit"), units.to_unit(size, "g").alias("gib"))
+    return inventory(spark, d).filter("size IS NOT NULL").select(
+        "inv_id",
+        F.round(value, 6).alias("value"),
+        unit.alias("unit"),
+        F.round(number, 6).alias("count_value"),
+        letter.alias("count_unit"),
+        rate.alias("rate_unit"),
+        units.to_unit(size, "g").alias("gib"),
+    )
 
 
 _MODE = "CASE WHEN mode IS NOT NULL THEN CASE mode & 61440 WHEN 16384 THEN 'd' WHEN 40960 THEN 'l' ELSE '-' END || " + " || ".join(f"CASE WHEN (mode & {bit << shift}) <> 0 THEN '{c}' ELSE '-' END" for shift in (6, 3, 0) for c, bit in modes.BITS.items()) + " END"
 
 
-@query(f"SELECT inv_id, {_MODE} AS text, mode & 511 AS perm, CASE WHEN mode IS NULL THEN NULL WHEN (mode & 61440) = 32768 THEN 2 WHEN (mode & 61440) = 16384 THEN 3 WHEN (mode & 61440) = 40960 THEN 4 ELSE 1 END AS kind FROM inventory")
+@query(
+    f"SELECT inv_id, {_MODE} AS text, mode & 511 AS perm, CASE WHEN mode IS NULL THEN NULL WHEN (mode & 61440) = 32768 THEN 2 WHEN (mode & 61440) = 16384 THEN 3 WHEN (mode & 61440) = 40960 THEN 4 ELSE 1 END AS kind FROM inventory"
+)
 def format_modes(spark: SparkSession, d: str) -> DataFrame:
     """Modes in letters, permission bits and types."""
     mode = F.col("mode")
-    return inventory(spark, d).select("inv_id", modes.mode_string(mode).alias("text"), modes.permissions(mode).alias("perm"), modes.type_of(mode).alias("kind"))
+    return inventory(spark, d).select(
+        "inv_id",
+        modes.mode_string(mode).alias("text"),
+        modes.permissions(mode).alias("perm"),
+        modes.type_of(mode).alias("kind"),
+    )
 
 
-@query(f"SELECT inv_id, {_DAYS('atime')} AS days, {_age_sql('mtime', 60)} AS minutes, strftime(to_timestamp(mtime) AT TIME ZONE 'UTC', '%b ') || lpad(strftime(to_timestamp(mtime) AT TIME ZONE 'UTC', '%-d'), 2, ' ') || strftime(to_timestamp(mtime) AT TIME ZONE 'UTC', ' %Y %H:%M') AS shown FROM inventory")
+@query(
+    f"SELECT inv_id, {_DAYS('atime')} AS days, {_age_sql('mtime', 60)} AS minutes, strftime(to_timestamp(mtime) AT TIME ZONE 'UTC', '%b ') || lpad(strftime(to_timestamp(mtime) AT TIME ZONE 'UTC', '%-d'), 2, ' ') || strftime(to_timestamp(mtime) AT TIME ZONE 'UTC', ' %Y %H:%M') AS shown FROM inventory"
+)
 def times(spark: SparkSession, d: str) -> DataFrame:
     """Ages and shown times."""
-    return inventory(spark, d).select("inv_id", units.age_days(F.col("atime"), NOW).alias("days"), units.age_units(F.col("mtime"), F.col("mtime_nsec"), NOW, 0, 60).alias("minutes"), units.display_time(F.col("mtime")).alias("shown"))
+    return inventory(spark, d).select(
+        "inv_id",
+        units.age_days(F.col("atime"), NOW).alias("days"),
+        units.age_units(F.col("mtime"), F.col("mtime_nsec"), NOW, 0, 60).alias("minutes"),
+        units.display_time(F.col("mtime")).alias("shown"),
+    )
 
 
-@query("SELECT frag_id, sha256(content) AS digest, regexp_matches(hex(encode(content)), '^(00)*$') AS all_zero FROM fragments WHERE type = 2 AND content IS NOT NULL")
+@query(
+    "SELECT frag_id, sha256(content) AS digest, regexp_matches(hex(encode(content)), '^(00)*$') AS all_zero FROM fragments WHERE type = 2 AND content IS NOT NULL"
+)
 def digests(spark: SparkSession, d: str) -> DataFrame:
     """Digests of contents, and whether they hold nothing but zeros."""
     rows = table(spark, d, "fragments").filter("type = 2 AND content IS NOT NULL")
-    return rows.select("frag_id", F.sha2("content", 256).alias("digest"), F.hex(F.encode("content", "utf-8")).rlike("^(00)*$").alias("all_zero"))
+    return rows.select(
+        "frag_id",
+        F.sha2("content", 256).alias("digest"),
+        F.hex(F.encode("content", "utf-8")).rlike("^(00)*$").alias("all_zero"),
+    )
 
 
 _BYTES = "list_transform(range(1, 2 * strlen(path), 2), lambda i: CAST('0x' || substring(hex(encode(path)), i, 2) AS {}))"
@@ -795,11 +970,18 @@ def _jenkins_sql(domain: int | None) -> str:
 _FNV = f"list_reduce(list_concat([{hashes.FNV_START}::HUGEINT], {_BYTES.format('HUGEINT')}), lambda h, b: (xor(h, b) * {hashes.FNV_FACTOR}) % 18446744073709551616)"
 
 
-@query(f"SELECT inv_id, {_jenkins_sql(None)} AS jenkins, {_jenkins_sql(hashes.SCAN)} AS jenkins_scan, CAST(CASE WHEN v > 9223372036854775807 THEN v - 18446744073709551616 ELSE v END AS BIGINT) AS fnv FROM (SELECT *, {_FNV} AS v FROM inventory)")
+@query(
+    f"SELECT inv_id, {_jenkins_sql(None)} AS jenkins, {_jenkins_sql(hashes.SCAN)} AS jenkins_scan, CAST(CASE WHEN v > 9223372036854775807 THEN v - 18446744073709551616 ELSE v END AS BIGINT) AS fnv FROM (SELECT *, {_FNV} AS v FROM inventory)"
+)
 def owner_hashes(spark: SparkSession, d: str) -> DataFrame:
     """The hashes that decide which worker owns a path or directory."""
     path = F.col("path")
-    return inventory(spark, d).select("inv_id", hashes.jenkins(path).alias("jenkins"), hashes.jenkins(path, hashes.SCAN).alias("jenkins_scan"), hashes.fnv(path).alias("fnv"))
+    return inventory(spark, d).select(
+        "inv_id",
+        hashes.jenkins(path).alias("jenkins"),
+        hashes.jenkins(path, hashes.SCAN).alias("jenkins_scan"),
+        hashes.fnv(path).alias("fnv"),
+    )
 
 
 @query(_ACTIONS + f""", p AS (SELECT relpath AS path, action FROM a)
@@ -808,13 +990,17 @@ def owner_hashes(spark: SparkSession, d: str) -> DataFrame:
 def sync_owners(spark: SparkSession, d: str) -> DataFrame:
     """Which workers read and write each action, and its batch."""
     planned = sync.owned(sync.actions(src(spark, d), dst(spark, d)), 5, 3)
-    return planned.select("relpath", "action", "src_owner", "dst_owner", hashes.batch(F.col("relpath"), 4).alias("batch"))
+    return planned.select(
+        "relpath", "action", "src_owner", "dst_owner", hashes.batch(F.col("relpath"), 4).alias("batch")
+    )
 
 
 # Sources and sinks ------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT path, CAST(length(path) - length(replace(path, '/', '')) AS INT) AS depth, CASE WHEN type IN (2, 3, 4) THEN type ELSE 1 END AS type FROM inventory")
+@query(
+    "SELECT path, CAST(length(path) - length(replace(path, '/', '')) AS INT) AS depth, CASE WHEN type IN (2, 3, 4) THEN type ELSE 1 END AS type FROM inventory"
+)
 def text_cache(spark: SparkSession, d: str) -> DataFrame:
     """The inventory written as a text cache and read again."""
     at = new_folder(spark, "text")
@@ -822,7 +1008,9 @@ def text_cache(spark: SparkSession, d: str) -> DataFrame:
     return caches.read_text_cache(spark, at)
 
 
-@query("SELECT path, CASE WHEN type IN (2, 3, 4) THEN type ELSE 1 END AS type, mode, uid, gid, coalesce(size, 0) AS size, coalesce(atime, 0) AS atime, coalesce(atime_nsec, 0) AS atime_nsec, mtime, mtime_nsec, ctime, ctime_nsec FROM inventory WHERE mode IS NOT NULL")
+@query(
+    "SELECT path, CASE WHEN type IN (2, 3, 4) THEN type ELSE 1 END AS type, mode, uid, gid, coalesce(size, 0) AS size, coalesce(atime, 0) AS atime, coalesce(atime_nsec, 0) AS atime_nsec, mtime, mtime_nsec, ctime, ctime_nsec FROM inventory WHERE mode IS NOT NULL"
+)
 def binary_cache(spark: SparkSession, d: str) -> DataFrame:
     """The inventory written as binary caches and read again."""
     at = new_folder(spark, "cache")
@@ -841,22 +1029,32 @@ def listing(spark: SparkSession, d: str) -> DataFrame:
     return caches.listing(named(spark, d))
 
 
-@query(f"SELECT directory AS directory_path, printf('%.6f', total::DOUBLE) AS total, printf('%.6f', cold::DOUBLE) AS cold, printf('%.10f', ratio) AS ratio, errors AS error_count, " + ", ".join(f"printf('%.6f', day{k}::DOUBLE) AS day{k}" for k in profile.HOT_DAYS) + f" FROM ({_hot_sql('inventory')})")
+@query(
+    f"SELECT directory AS directory_path, printf('%.6f', total::DOUBLE) AS total, printf('%.6f', cold::DOUBLE) AS cold, printf('%.10f', ratio) AS ratio, errors AS error_count, " + ", ".join(
+        f"printf('%.6f', day{k}::DOUBLE) AS day{k}" for k in profile.HOT_DAYS
+    ) + f" FROM ({_hot_sql('inventory')})"
+)
 def csv_report(spark: SparkSession, d: str) -> DataFrame:
     """The hot and cold report, written as CSV and read again."""
     at = new_folder(spark, "csv")
     caches.write_csv_report(hot_cold(spark, d), at)
     days = ", ".join(f"day{k} string" for k in profile.HOT_DAYS)
-    return spark.read.option("header", True).option("escape", '"').schema(f"directory_path string, total string, cold string, ratio string, error_count bigint, {days}").csv(at)
+    return spark.read.option("header", True).option("escape", '"').schema(
+        f"directory_path string, total string, cold string, ratio string, error_count bigint, {days}"
+    ).csv(at)
 
 
 @query()
 def json_report(spark: SparkSession, d: str) -> DataFrame:
     """The profile as one JSON text."""
-    return caches.json_report(type_counts(spark, d), file_size_profile(spark, d), age_profile(spark, d), broken_sample(spark, d), NOW)
+    return caches.json_report(
+        type_counts(spark, d), file_size_profile(spark, d), age_profile(spark, d), broken_sample(spark, d), NOW
+    )
 
 
-_G = lambda what: "(((((i + " + str(3 * 7919 + what * 104729) + ") % 2147483647 + 1) * 48271 % 2147483647 + " + f"{what}) * 48271 % 2147483647 + {what}) * 48271 % 2147483647 + {what})"
+_G = lambda what: "(((((i + " + str(
+    3 * 7919 + what * 104729
+) + ") % 2147483647 + 1) * 48271 % 2147483647 + " + f"{what}) * 48271 % 2147483647 + {what}) * 48271 % 2147483647 + {what})"
 
 
 @query(f"""
@@ -875,8 +1073,12 @@ def stream_profile(spark: SparkSession, d: str) -> DataFrame:
     return streaming.run_complete(streaming.type_profile(stream), new_folder(spark, "stream"))
 
 
-@query("SELECT CAST(epoch(time_bucket(INTERVAL 6 HOUR, ts)) AS BIGINT) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+@query(
+    "SELECT CAST(epoch(time_bucket(INTERVAL 6 HOUR, ts)) AS BIGINT) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2"
+)
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     """Events per six hours and type, as a stream."""
     stream = streaming.arriving(spark, f"{d}/events.parquet")
-    return streaming.run_complete(streaming.windows(stream, "ts", ["event_type"], "6 hours", "1 day"), new_folder(spark, "stream"))
+    return streaming.run_complete(
+        streaming.windows(stream, "ts", ["event_type"], "6 hours", "1 day"), new_folder(spark, "stream")
+    )

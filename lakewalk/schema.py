@@ -12,10 +12,24 @@ UNKNOWN, FILE, DIRECTORY, LINK = 1, 2, 3, 4
 FORMAT_MASK, REGULAR, DIRECTORY_MODE, LINK_MODE = 0o170000, 0o100000, 0o040000, 0o120000
 BLOCK_DEVICE, CHARACTER_DEVICE, FIFO, SOCKET = 0o060000, 0o020000, 0o010000, 0o140000
 
-LITE = T.StructType([T.StructField("path", T.StringType()), T.StructField("depth", T.IntegerType()), T.StructField("type", T.IntegerType())])
+LITE = T.StructType(
+    [
+        T.StructField("path", T.StringType()),
+        T.StructField("depth", T.IntegerType()),
+        T.StructField("type", T.IntegerType()),
+    ]
+)
 _STAT = ["uid", "gid", "size", "atime", "atime_nsec", "mtime", "mtime_nsec", "ctime", "ctime_nsec"]
-INVENTORY = T.StructType([*LITE.fields, T.StructField("mode", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in _STAT]])
-EXTENDED = T.StructType([*INVENTORY.fields, *[T.StructField(c, T.LongType()) for c in ("dev", "ino", "btime")], T.StructField("link_target", T.StringType())])
+INVENTORY = T.StructType(
+    [*LITE.fields, T.StructField("mode", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in _STAT]]
+)
+EXTENDED = T.StructType(
+    [
+        *INVENTORY.fields,
+        *[T.StructField(c, T.LongType()) for c in ("dev", "ino", "btime")],
+        T.StructField("link_target", T.StringType()),
+    ]
+)
 
 
 def with_names(rows: DataFrame, users: DataFrame, groups: DataFrame) -> DataFrame:
@@ -26,7 +40,9 @@ def with_names(rows: DataFrame, users: DataFrame, groups: DataFrame) -> DataFram
     names = users.groupBy(F.col("uid")).agg(F.min("name").alias("user"))
     group_names = groups.groupBy(F.col("gid")).agg(F.min("name").alias("group"))
     named = rows.join(names, "uid", "left").join(group_names, "gid", "left")
-    return named.withColumn("user", F.coalesce("user", F.col("uid").cast("string"))).withColumn("group", F.coalesce("group", F.col("gid").cast("string")))
+    return named.withColumn("user", F.coalesce("user", F.col("uid").cast("string"))).withColumn(
+        "group", F.coalesce("group", F.col("gid").cast("string"))
+    )
 
 
 def combined(*inventories: DataFrame) -> DataFrame:

@@ -24,10 +24,26 @@ def archive_list(archives: DataFrame) -> DataFrame:
             for name in batch["archive"].dropna():
                 system, at = _open(name)
                 rows = []
-                with system.open_input_stream(at, compression=None) as source, tarfile.open(fileobj=source, mode="r|*") as tar:
+                with system.open_input_stream(at, compression=None) as source, tarfile.open(
+                    fileobj=source, mode="r|*"
+                ) as tar:
                     for e in tar:
                         kind = schema.FILE if e.isreg() else schema.DIRECTORY if e.isdir() else schema.LINK if e.issym() else schema.UNKNOWN
-                        rows.append((name, e.name, kind, e.mode, e.uid, e.gid, e.size, int(e.mtime), e.linkname or None, e.offset, e.offset_data))
+                        rows.append(
+                            (
+                                name,
+                                e.name,
+                                kind,
+                                e.mode,
+                                e.uid,
+                                e.gid,
+                                e.size,
+                                int(e.mtime),
+                                e.linkname or None,
+                                e.offset,
+                                e.offset_data,
+                            )
+                        )
                         tar.members.clear()
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in COLUMNS.split(", ")])
 

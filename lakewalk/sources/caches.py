@@ -45,7 +45,9 @@ def read_text_cache(spark: SparkSession, path: str) -> DataFrame:
     kind = F
     for t, c in LETTERS.items():
         kind = kind.when(letter == c, t)
-    return spark.read.text(path).select(name.alias("path"), paths.depth(name).cast("int").alias("depth"), kind.otherwise(schema.UNKNOWN).alias("type"))
+    return spark.read.text(path).select(
+        name.alias("path"), paths.depth(name).cast("int").alias("depth"), kind.otherwise(schema.UNKNOWN).alias("type")
+    )
 
 
 def _open(path: str):
@@ -65,13 +67,20 @@ def _header(source) -> dict:
         source.read(16)
     users, user_chars, groups, group_chars, count, chars = struct.unpack(">6Q", source.read(48))
     start = source.tell()
-    return {"version": version, "users": (start, users, user_chars), "groups": (start + users * (user_chars + 8), groups, group_chars), "records": (start + users * (user_chars + 8) + groups * (group_chars + 8), count, chars)}
+    return {
+        "version": version,
+        "users": (start, users, user_chars),
+        "groups": (start + users * (user_chars + 8), groups, group_chars),
+        "records": (start + users * (user_chars + 8) + groups * (group_chars + 8), count, chars),
+    }
 
 
 def _names(source, at: tuple[int, int, int]) -> list[tuple[int, str]]:
     start, count, chars = at
     source.seek(start)
-    data = np.frombuffer(source.read(count * (chars + 8)), np.dtype([("name", f"S{max(chars, 1)}" if chars else "V0"), ("id", ">u8")])) if count and chars else []
+    data = np.frombuffer(
+        source.read(count * (chars + 8)), np.dtype([("name", f"S{max(chars, 1)}" if chars else "V0"), ("id", ">u8")])
+    ) if count and chars else []
     return [(int(r["id"]), r["name"].decode()) for r in data]
 
 
@@ -89,14 +98,18 @@ class CacheReader(DataSourceReader):
 
         system, at = _open(self.path)
         info = system.get_file_info(at)
-        files = [f.path for f in system.get_file_info(fs.FileSelector(at)) if f.base_name.endswith(".mfu")] if info.type == fs.FileType.Directory else [at]
+        files = [
+            f.path for f in system.get_file_info(fs.FileSelector(at)) if f.base_name.endswith(".mfu")
+        ] if info.type == fs.FileType.Directory else [at]
         parts = []
         for f in sorted(files):
             with system.open_input_file(f) as source:
                 start, count, chars = _header(source)["records"]
             prefix = self.path[: len(self.path) - len(at)] if self.path.endswith(at) else ""
             for first in range(0, count, RECORDS_PER_TASK):
-                parts.append(Records(prefix + f, start + first * (chars + 80), min(RECORDS_PER_TASK, count - first), chars))
+                parts.append(
+                    Records(prefix + f, start + first * (chars + 80), min(RECORDS_PER_TASK, count - first), chars)
+                )
         return parts
 
     def read(self, partition: Records) -> Iterator[pa.RecordBatch]:
@@ -111,8 +124,17 @@ class CacheReader(DataSourceReader):
                 data = np.frombuffer(source.read(min(50_000, partition.count - first) * record.itemsize), record)
                 names = [p.decode() for p in data["path"]]
                 format_ = data["mode"].astype(np.int64) & schema.FORMAT_MASK
-                kind = np.select([format_ == schema.REGULAR, format_ == schema.DIRECTORY_MODE, format_ == schema.LINK_MODE], [schema.FILE, schema.DIRECTORY, schema.LINK], schema.UNKNOWN)
-                columns = {"path": names, "depth": [p.count("/") for p in names], "type": kind, **{n: data[n].astype(np.int64) for n in NUMBERS}}
+                kind = np.select(
+                    [format_ == schema.REGULAR, format_ == schema.DIRECTORY_MODE, format_ == schema.LINK_MODE],
+                    [schema.FILE, schema.DIRECTORY, schema.LINK],
+                    schema.UNKNOWN,
+                )
+                columns = {
+                    "path": names,
+                    "depth": [p.count("/") for p in names],
+                    "type": kind,
+                    **{n: data[n].astype(np.int64) for n in NUMBERS},
+                }
                 yield pa.record_batch([pa.array(columns[f.name]).cast(f.type) for f in arrow], schema=arrow)
 
 
@@ -144,7 +166,9 @@ def cache_names(path: str) -> tuple[list[tuple[int, str]], list[tuple[int, str]]
         return _names(source, head["users"]), _names(source, head["groups"])
 
 
-def encode_cache(rows: list[tuple], users: list[tuple[int, str]], groups: list[tuple[int, str]], chars: int, version: int = 4) -> bytes:
+def encode_cache(
+    rows: list[tuple], users: list[tuple[int, str]], groups: list[tuple[int, str]], chars: int, version: int = 4
+) -> bytes:
     """A whole binary cache of (path, *NUMBERS) rows. Names are padded with zeros, numbers are unsigned and big-endian."""
 
     def table(pairs: list[tuple[int, str]]) -> tuple[int, bytes]:
@@ -161,7 +185,9 @@ def encode_cache(rows: list[tuple], users: list[tuple[int, str]], groups: list[t
     return head + user_bytes + group_bytes + body.tobytes()
 
 
-def write_binary_cache(rows: DataFrame, path: str, users: list[tuple[int, str]] = (), groups: list[tuple[int, str]] = (), version: int = 4) -> int:
+def write_binary_cache(
+    rows: DataFrame, path: str, users: list[tuple[int, str]] = (), groups: list[tuple[int, str]] = (), version: int = 4
+) -> int:
     """Write a folder of binary caches, one file per partition, and give the number of records. No rows: no files.
 
     Each file is written aside and renamed, so a task that is tried again replaces its own file. Nulls are written as 0,
@@ -191,16 +217,38 @@ def listing(rows: DataFrame) -> DataFrame:
     as 'Type=... File=...'. Times are shown in the session's time
     zone; sizes are rounded half to even, as C does."""
     value, unit = units.bytes_and_unit(F.coalesce("size", F.lit(0)))
-    long = F.format_string("%s %s %s %7.3f %3s %s %s", modes.mode_string(F.col("mode")), F.col("user"), F.col("group"), F.bround(value, 3), unit, units.display_time(F.col("mtime")), F.col("path"))
-    kind = F.when(F.col("type") == schema.DIRECTORY, "DIR").when(F.col("type") == schema.FILE, "REG").when(F.col("type") == schema.LINK, "LNK").otherwise("UNK")
-    return rows.select(F.when(F.col("mode").isNotNull(), long).otherwise(F.format_string("Type=%s File=%s", kind, F.col("path"))).alias("line"))
+    long = F.format_string(
+        "%s %s %s %7.3f %3s %s %s",
+        modes.mode_string(F.col("mode")),
+        F.col("user"),
+        F.col("group"),
+        F.bround(value, 3),
+        unit,
+        units.display_time(F.col("mtime")),
+        F.col("path"),
+    )
+    kind = F.when(
+        F.col("type") == schema.DIRECTORY, "DIR"
+    ).when(F.col("type") == schema.FILE, "REG").when(F.col("type") == schema.LINK, "LNK").otherwise("UNK")
+    return rows.select(
+        F.when(F.col("mode").isNotNull(), long).otherwise(
+            F.format_string("Type=%s File=%s", kind, F.col("path"))
+        ).alias("line")
+    )
 
 
 def csv_report(hot_cold: DataFrame) -> DataFrame:
     """The hot and cold report with its figures as text: six places for bytes, ten for the ratio."""
     fixed = lambda c: F.format_string("%.6f", F.col(c).cast("double")).alias(c)
     days = [c for c in hot_cold.columns if c.startswith("day")]
-    return hot_cold.select(F.col("directory").alias("directory_path"), fixed("total"), fixed("cold"), F.format_string("%.10f", "ratio").alias("ratio"), F.col("errors").alias("error_count"), *[fixed(c) for c in days])
+    return hot_cold.select(
+        F.col("directory").alias("directory_path"),
+        fixed("total"),
+        fixed("cold"),
+        F.format_string("%.10f", "ratio").alias("ratio"),
+        F.col("errors").alias("error_count"),
+        *[fixed(c) for c in days],
+    )
 
 
 def write_csv_report(hot_cold: DataFrame, path: str) -> None:
@@ -209,8 +257,17 @@ def write_csv_report(hot_cold: DataFrame, path: str) -> None:
 
 def json_report(counts: DataFrame, sizes: DataFrame, ages: DataFrame, broken: DataFrame, now: int) -> DataFrame:
     """The profile as one JSON text in ``value``: counters, histograms and the sample of broken paths (all bounded)."""
-    table = lambda df, name, *order: df.agg(F.to_json(F.array_sort(F.collect_list(F.struct(*order, *[c for c in df.columns if c not in order])))).alias(name))
-    parts = [counts.select(F.to_json(F.struct(*counts.columns)).alias("summary")), table(sizes, "size_histogram", "bin"), table(ages, "age_histograms", "field", "bin"), table(broken, "broken_paths", "path")]
+    table = lambda df, name, *order: df.agg(
+        F.to_json(
+            F.array_sort(F.collect_list(F.struct(*order, *[c for c in df.columns if c not in order])))
+        ).alias(name)
+    )
+    parts = [
+        counts.select(F.to_json(F.struct(*counts.columns)).alias("summary")),
+        table(sizes, "size_histogram", "bin"),
+        table(ages, "age_histograms", "field", "bin"),
+        table(broken, "broken_paths", "path"),
+    ]
     texts = [p.first()[0] for p in parts]
     names = ["summary", "size_histogram", "age_histograms", "broken_paths"]
     value = f'{{"generated_at": {now}, ' + ", ".join(f'"{n}": {t}' for n, t in zip(names, texts)) + "}"

@@ -26,7 +26,9 @@ BATCH = 10_000
 
 
 def entry_type(mode: int) -> int:
-    return {stat.S_IFREG: schema.FILE, stat.S_IFDIR: schema.DIRECTORY, stat.S_IFLNK: schema.LINK}.get(stat.S_IFMT(mode), schema.UNKNOWN)
+    return {
+        stat.S_IFREG: schema.FILE, stat.S_IFDIR: schema.DIRECTORY, stat.S_IFLNK: schema.LINK
+    }.get(stat.S_IFMT(mode), schema.UNKNOWN)
 
 
 class Subtree(InputPartition):
@@ -73,7 +75,14 @@ class TreeReader(DataSourceReader):
                 return tuple(row[n] for n in names)
             row["type"] = entry_type(st.st_mode)
             if not self.lite:
-                row |= {"mode": st.st_mode, "uid": st.st_uid, "gid": st.st_gid, "size": st.st_size, "dev": st.st_dev, "ino": st.st_ino}
+                row |= {
+                    "mode": st.st_mode,
+                    "uid": st.st_uid,
+                    "gid": st.st_gid,
+                    "size": st.st_size,
+                    "dev": st.st_dev,
+                    "ino": st.st_ino,
+                }
                 for c, ns in (("atime", st.st_atime_ns), ("mtime", st.st_mtime_ns), ("ctime", st.st_ctime_ns)):
                     row[c], row[f"{c}_nsec"] = divmod(ns, 10**9)
                 if row["type"] == schema.LINK:
@@ -101,7 +110,9 @@ class TreeReader(DataSourceReader):
                 continue
             for e in entries:
                 is_dir = e.is_dir(follow_symlinks=self.dereference)
-                kind = schema.DIRECTORY if is_dir else schema.LINK if e.is_symlink() and not self.dereference else schema.FILE if e.is_file(follow_symlinks=self.dereference) else schema.UNKNOWN
+                kind = schema.DIRECTORY if is_dir else schema.LINK if e.is_symlink() and not self.dereference else schema.FILE if e.is_file(
+                    follow_symlinks=self.dereference
+                ) else schema.UNKNOWN
                 if row := self._row(e.path, kind):
                     yield row
                 if is_dir:

@@ -13,7 +13,9 @@ from pyspark.sql.types import StructType
 from lakewalk.storage import Files
 
 
-def arriving(spark: SparkSession, path: str, schema: StructType | None = None, files_per_batch: int | None = None) -> DataFrame:
+def arriving(
+    spark: SparkSession, path: str, schema: StructType | None = None, files_per_batch: int | None = None
+) -> DataFrame:
     """A stream over the parquet files of a folder, or over one file."""
     reader = spark.readStream.schema(schema or spark.read.parquet(path).schema)
     if files_per_batch:
@@ -36,7 +38,9 @@ def run_complete(aggregated: DataFrame, root: str) -> DataFrame:
         batch.write.mode("overwrite").parquet(at)
         files.replace_text(f"{root}/CURRENT", at)
 
-    query = aggregated.writeStream.outputMode("complete").option("checkpointLocation", f"{root}/checkpoint").foreachBatch(keep).trigger(availableNow=True).start()
+    query = aggregated.writeStream.outputMode("complete").option(
+        "checkpointLocation", f"{root}/checkpoint"
+    ).foreachBatch(keep).trigger(availableNow=True).start()
     query.awaitTermination()
     if not files.exists(f"{root}/CURRENT"):
         return spark.createDataFrame([], aggregated.schema)
@@ -45,7 +49,9 @@ def run_complete(aggregated: DataFrame, root: str) -> DataFrame:
 
 def type_profile(stream: DataFrame) -> DataFrame:
     """Entries and bytes by type."""
-    return stream.groupBy("type").agg(F.count(F.lit(1)).alias("entries"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+    return stream.groupBy("type").agg(
+        F.count(F.lit(1)).alias("entries"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")
+    )
 
 
 def windows(stream: DataFrame, time: str, keys: list[str], length: str, late: str) -> DataFrame:
@@ -57,13 +63,17 @@ def windows(stream: DataFrame, time: str, keys: list[str], length: str, late: st
 
 def first_seen(stream: DataFrame, key: str, time: str, late: str) -> DataFrame:
     """Each key once within the time that state is kept: repeated deliveries are dropped."""
-    return stream.withColumn("_at", F.col(time).cast("timestamp")).withWatermark("_at", late).dropDuplicatesWithinWatermark([key]).drop("_at")
+    return stream.withColumn(
+        "_at", F.col(time).cast("timestamp")
+    ).withWatermark("_at", late).dropDuplicatesWithinWatermark([key]).drop("_at")
 
 
 def spool(stream: DataFrame, root: str, batches: int, key: str) -> str:
     """Write a stream's rows to a spool, partitioned by a hash batch of ``key``; a replay reads batch by batch and prunes."""
     numbered = stream.withColumn("batch_id", F.pmod(F.xxhash64(key), F.lit(batches)).cast("int"))
-    query = numbered.writeStream.format("parquet").partitionBy("batch_id").option("checkpointLocation", f"{root}/checkpoint").option("path", f"{root}/spool").trigger(availableNow=True).start()
+    query = numbered.writeStream.format("parquet").partitionBy("batch_id").option(
+        "checkpointLocation", f"{root}/checkpoint"
+    ).option("path", f"{root}/spool").trigger(availableNow=True).start()
     query.awaitTermination()
     return f"{root}/spool"
 

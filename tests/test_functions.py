@@ -14,7 +14,17 @@ def values(spark, column, *inputs, kind="string"):
 
 
 def test_reduced(spark):
-    cases = {"/a/./b//c/": "/a/b/c", "/..": "/", "/a/../..": "/", "a/../../b": "../b", "": "", "./": "", "/": "/", "../../x/..": "../..", "/é/..ä/.": "/é/..ä"}
+    cases = {
+        "/a/./b//c/": "/a/b/c",
+        "/..": "/",
+        "/a/../..": "/",
+        "a/../../b": "../b",
+        "": "",
+        "./": "",
+        "/": "/",
+        "../../x/..": "../..",
+        "/é/..ä/.": "/é/..ä",
+    }
     assert values(spark, paths.reduced, *cases) == list(cases.values())
     assert values(spark, paths.reduced, None) == [None]
 
@@ -43,18 +53,24 @@ def test_relations(spark):
 
 
 def test_sizes():
-    assert [units.parse_size(x) for x in ("0", "1k", "1.5M", "10GB", "2tb", " 7")] == [0, 1024, 1572864, 10 << 30, 2 << 40, 7]
+    assert [
+        units.parse_size(x) for x in ("0", "1k", "1.5M", "10GB", "2tb", " 7")
+    ] == [0, 1024, 1572864, 10 << 30, 2 << 40, 7]
     for bad in ("", "k", "1x", "-1", "1kbb", "1b", "16e", "20E"):
         with pytest.raises(ValueError):
             units.parse_size(bad)
-    assert [units.parse_number(x) for x in ("+7", "-7", "7", "x", "", "+x", "7x")] == [("+", 7), ("-", 7), ("", 7), ("", 0), ("", 0), ("+", 0), ("", 7)]
+    assert [
+        units.parse_number(x) for x in ("+7", "-7", "7", "x", "", "+x", "7x")
+    ] == [("+", 7), ("-", 7), ("", 7), ("", 0), ("", 0), ("+", 0), ("", 7)]
 
 
 def test_units(spark):
     def shown(f, *numbers):
         return [(round(v, 3), u) for v, u in zip(values(spark, lambda c: f(c)[0], *numbers, kind="bigint"), values(spark, lambda c: f(c)[1], *numbers, kind="bigint"))]
 
-    assert shown(units.bytes_and_unit, 0, 1000, 1005, 1024, 1025, 1 << 20, 2**60, 2**63 - 1) == [(0, "B"), (1000, "B"), (0.981, "KiB"), (1.0, "KiB"), (1.001, "KiB"), (1.0, "MiB"), (1.0, "EiB"), (8.0, "EiB")]
+    assert shown(units.bytes_and_unit, 0, 1000, 1005, 1024, 1025, 1 << 20, 2**60, 2**63 - 1) == [
+        (0, "B"), (1000, "B"), (0.981, "KiB"), (1.0, "KiB"), (1.001, "KiB"), (1.0, "MiB"), (1.0, "EiB"), (8.0, "EiB")
+    ]
     assert shown(units.count_and_unit, 1000, 1001, 2_000_000) == [(1000, ""), (1.001, "k"), (2.0, "M")]
     assert values(spark, lambda c: units.bytes_and_unit(c)[1], None, kind="bigint") == [None]
 
@@ -64,7 +80,9 @@ def test_ages(spark):
     assert values(spark, lambda c: units.age_days(c, now), now, now - 86399, now - 86400, now + 5, None, kind="bigint") == [0, 0, 1, 0, None]
     age = lambda c: units.age_units(c, F.lit(1).cast("bigint"), now, 0, 60)
     assert values(spark, age, now - 60, now - 61, now, None, kind="bigint") == [0, 1, 0, None]
-    assert values(spark, units.display_time, 1767225600 - 86400 * 25, None, kind="bigint") == ["Dec  7 2025 00:00", None]
+    assert values(
+        spark, units.display_time, 1767225600 - 86400 * 25, None, kind="bigint"
+    ) == ["Dec  7 2025 00:00", None]
 
 
 def apply(spark, change, mode, directory=False, umask=0o022):
@@ -86,19 +104,52 @@ def test_modes(spark):
     for bad in ("u=rw", "u", "z+r", "u+rq", ",", "75500", "u=a"):
         with pytest.raises(ValueError):
             modes.parse_change(bad)
-    assert values(spark, modes.mode_string, 0o100644, 0o040755, 0o120777, 0o104755, None, kind="int") == ["-rw-r--r--", "drwxr-xr-x", "lrwxrwxrwx", "-rwxr-xr-x", None]
+    assert values(
+        spark, modes.mode_string, 0o100644, 0o040755, 0o120777, 0o104755, None, kind="int"
+    ) == ["-rw-r--r--", "drwxr-xr-x", "lrwxrwxrwx", "-rwxr-xr-x", None]
     assert values(spark, modes.type_of, 0o100644, 0o040755, 0o120777, 0o010000, None, kind="int") == [2, 3, 4, 1, None]
     assert modes.parse_override("D0755,F0644") == (0o644, 0o755) and modes.parse_override("0750") == (0o750, 0o750)
 
 
 def test_globs(spark):
-    cases = [("*.txt", "a.txt", True), ("*.txt", ".txt", False), (".*", ".x", True), ("?x", ".x", False), ("a*c", "a/b/c", True), ("[!a-c]x", "dx", True), ("[!a-c]x", "bx", False), ("a[", "a[", True), (r"a\*", "a*", True), (r"a\*", "ab", False), ("[[:digit:]]*", "7z", True), ("", "", True), ("*", "a\nb", True), ("[]x]", "]", True), ("a+b", "a+b", True)]
+    cases = [
+        ("*.txt", "a.txt", True),
+        ("*.txt", ".txt", False),
+        (".*", ".x", True),
+        ("?x", ".x", False),
+        ("a*c", "a/b/c", True),
+        ("[!a-c]x", "dx", True),
+        ("[!a-c]x", "bx", False),
+        ("a[", "a[", True),
+        (r"a\*", "a*", True),
+        (r"a\*", "ab", False),
+        ("[[:digit:]]*", "7z", True),
+        ("", "", True),
+        ("*", "a\nb", True),
+        ("[]x]", "]", True),
+        ("a+b", "a+b", True),
+    ]
     for pattern, text, expected in cases:
         assert values(spark, lambda c, p=pattern: c.rlike(patterns.glob(p)), text) == [expected], (pattern, text)
 
 
 def test_regular_expressions(spark):
-    cases = [("a+", "a+", True), ("a+", "aa", False), (r"a\{2\}", "aa", True), (r"\(ab\)*c", "ababc", True), ("*a", "*a", True), (r"x\|y", "y", True), ("a|b", "b", False), ("^a.*z$", "a--z", True), ("a^b", "a^b", True), ("a$b", "a$b", True), ("[[:upper:]]", "a", False), (r"\.", "x", False), ("(a)", "(a)", True), (r"\(a\)\1", "aa", True)]
+    cases = [
+        ("a+", "a+", True),
+        ("a+", "aa", False),
+        (r"a\{2\}", "aa", True),
+        (r"\(ab\)*c", "ababc", True),
+        ("*a", "*a", True),
+        (r"x\|y", "y", True),
+        ("a|b", "b", False),
+        ("^a.*z$", "a--z", True),
+        ("a^b", "a^b", True),
+        ("a$b", "a$b", True),
+        ("[[:upper:]]", "a", False),
+        (r"\.", "x", False),
+        ("(a)", "(a)", True),
+        (r"\(a\)\1", "aa", True),
+    ]
     for pattern, text, expected in cases:
         assert values(spark, lambda c, p=pattern: c.rlike(patterns.basic(p)), text) == [expected], (pattern, text)
     assert values(spark, lambda c: c.rlike(patterns.extended("^(a|b)+[[:digit:]]{2}$")), "ab12", "c12") == [True, False]

@@ -18,7 +18,19 @@ def feed_rows(n, seed=1, drops=5):
     out = []
     for i in range(n):
         path = r.choice(["hot"] * 5 + [f"p{k}" for k in range(12)] + [None])
-        out.append((i, 1 + i * drops // n, r.randint(1, 4), path, r.choice([1, 2, None]), r.choice([5, 6]), r.choice([None, 0, 1]), "x", None))
+        out.append(
+            (
+                i,
+                1 + i * drops // n,
+                r.randint(1, 4),
+                path,
+                r.choice([1, 2, None]),
+                r.choice([5, 6]),
+                r.choice([None, 0, 1]),
+                "x",
+                None,
+            )
+        )
     return out
 
 
@@ -39,7 +51,12 @@ def expected_changes(data, runs):
 
 
 def how():
-    return dict(key=[F.col("path")], content=[F.col("size"), F.col("mtime"), F.col("ns")], rank=[F.col("walk_no"), -F.col("rec_id")], row_id=F.col("rec_id"))
+    return dict(
+        key=[F.col("path")],
+        content=[F.col("size"), F.col("mtime"), F.col("ns")],
+        rank=[F.col("walk_no"), -F.col("rec_id")],
+        row_id=F.col("rec_id"),
+    )
 
 
 def test_incremental_matches_brute_force(spark):
@@ -72,7 +89,9 @@ def test_incremental_survives_failures(spark, monkeypatch):
     assert again.version == 1
     got = incremental.replay(again, feed, runs, "drop_id", **how())
     assert rows(got, "run_id", "row_id") == sorted(expected_changes(data, runs), key=repr)
-    assert incremental.replay(KeyedState(spark, root), feed, runs, "drop_id", **how()).count() == len(expected_changes(data, runs))
+    assert incremental.replay(
+        KeyedState(spark, root), feed, runs, "drop_id", **how()
+    ).count() == len(expected_changes(data, runs))
 
 
 def test_incremental_without_rows(spark):
@@ -89,7 +108,9 @@ def test_state_prunes_old_versions_and_is_not_shuffled(spark):
     assert [n for n in names if n.startswith("state")] == ["state-000000003", "state-000000004"]
     assert len([n for n in names if n.startswith("changes")]) == 4
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
-    plan = state.current().join(feed.select(F.xxhash64("path").alias("k1"), F.xxhash64("rec_id").alias("k2")), ["k1", "k2"], "left")._jdf.queryExecution().executedPlan().toString()
+    plan = state.current().join(
+        feed.select(F.xxhash64("path").alias("k1"), F.xxhash64("rec_id").alias("k2")), ["k1", "k2"], "left"
+    )._jdf.queryExecution().executedPlan().toString()
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("Exchange") == 1
 
@@ -111,14 +132,18 @@ def test_snapshots_match_brute_force(spark):
     data = snap_rows(1)
     df = spark.createDataFrame(data, SNAP)
     index = KeyedState(spark, new_folder(spark, "t"))
-    got = snapshots.changes_between(index, df, "snap_id", [3, 5, 6, 9], key="path", row_id="snap_row", fields=["size", "mtime"])
+    got = snapshots.changes_between(
+        index, df, "snap_id", [3, 5, 6, 9], key="path", row_id="snap_row", fields=["size", "mtime"]
+    )
     state = defaultdict(dict)
     for x in sorted(data):
         state[x[1]].setdefault(x[2], x[3:5])
     expected = []
     for a, b in ((3, 5), (5, 6), (6, 9)):
         old, new = state[a], state[b]
-        expected += [(b, p, "added", None, new[p][0]) for p in new.keys() - old.keys()] + [(b, p, "removed", old[p][0], None) for p in old.keys() - new.keys()]
+        expected += [(b, p, "added", None, new[p][0]) for p in new.keys() - old.keys()] + [
+            (b, p, "removed", old[p][0], None) for p in old.keys() - new.keys()
+        ]
         expected += [(b, p, "changed", old[p][0], new[p][0]) for p in old.keys() & new.keys() if old[p] != new[p]]
     assert rows(got, "snap_id", "path", "change_kind", "old_size", "new_size") == sorted(expected, key=repr)
 
@@ -142,14 +167,22 @@ def test_compaction(spark):
     data = [fragment(i, f"/hot/f{i}", f"line {i}\r\nsecond\n\nlast") for i in range(30)]
     data += [fragment(100 + i, f"/few/f{i}") for i in range(7)]
     data += [fragment(200 + i, f"/mixed/f{i}", c) for i, c in enumerate(["a", "\n", "", None, "x" * 4096, "x" * 4097, "é" * 2048, "é" * 2049, "a\rb", "b", "c", "d", "e"])]
-    data += [fragment(300, "/hot/link", ino=0), fragment(301, "/hot/dir", None, type=3, size=4096), fragment(302, "/hot/null", dev=None), fragment(303, "/hot/null", dev=None), fragment(304, "/hot/null content", None, size=7)]
+    data += [
+        fragment(300, "/hot/link", ino=0),
+        fragment(301, "/hot/dir", None, type=3, size=4096),
+        fragment(302, "/hot/null", dev=None),
+        fragment(303, "/hot/null", dev=None),
+        fragment(304, "/hot/null content", None, size=7),
+    ]
     files = spark.createDataFrame(data, FRAGMENTS)
     root = new_folder(spark, "t")
     packed = compaction.pack_fragments(files, root)
     ids = {r[0] for r in packed.select("frag_id").collect()}
     # 300 has the inode of fragment 0, which is the lower one; of /mixed nine fit, among them exactly 4096 bytes.
     assert ids == {*range(30), 302, 303, 304, 200, 201, 204, 206, 208, 209, 210, 211, 212}
-    assert rows(packed.filter("frag_id = 1"), "rec_no", "record") == [(0, "line 1"), (1, "second"), (2, ""), (3, "last")]
+    assert rows(packed.filter("frag_id = 1"), "rec_no", "record") == [
+        (0, "line 1"), (1, "second"), (2, ""), (3, "last")
+    ]
     assert rows(packed.filter("frag_id = 208"), "record") == [("a",), ("b",)]
     assert rows(packed.filter("frag_id = 201"), "record") == [("",)]
     assert rows(packed.filter("frag_id = 304"), "rec_no", "record") == [(None, None)]
@@ -207,7 +240,9 @@ def expected_differences(src, dst, fields):
 def test_differences_match_brute_force(spark, share, how):
     """Few differences, nearly all, and more than any table can hold, which leaves the buckets to the exact comparison."""
     r = random.Random(3)
-    src = [(i, f"p{i}", r.choice([2, 3]), r.choice([1, None]), 420, None, "k", 1) for i in range(1500)] + [(9000, None, 2, 1, 1, None, "k", 1), (9001, "p1", 2, 99, 1, None, "k", 1)]
+    src = [
+        (i, f"p{i}", r.choice([2, 3]), r.choice([1, None]), 420, None, "k", 1) for i in range(1500)
+    ] + [(9000, None, 2, 1, 1, None, "k", 1), (9001, "p1", 2, 99, 1, None, "k", 1)]
     dst = [list(x) for x in src if r.random() > share / 3]
     for x in dst:
         if r.random() < share:
@@ -215,7 +250,15 @@ def test_differences_match_brute_force(spark, share, how):
             x[5] = None if x[5] is None else str(x[5])
     dst = [tuple(x) for x in dst] + [(9999, "new", 2, 1, 1, "t", "k", 1)]
     fields = ["size", "mode", "link_target"]
-    got = reconcile.differences(spark.createDataFrame(src, TREE), spark.createDataFrame(dst, TREE), "relpath", "row_id", fields, ignore={"size": F.col("src_type") == 3}, **how)
+    got = reconcile.differences(
+        spark.createDataFrame(src, TREE),
+        spark.createDataFrame(dst, TREE),
+        "relpath",
+        "row_id",
+        fields,
+        ignore={"size": F.col("src_type") == 3},
+        **how,
+    )
     assert rows(got) == expected_differences(src, dst, fields)
 
 
@@ -245,24 +288,37 @@ def brute_percentiles(data, ps):
 def test_value_frequencies(spark):
     r = random.Random(5)
     extremes = [0, 1, -1, 2**62, 2**62 + 1, -(2**62), 2**63 - 1, 4096, 4097]
-    data = [(r.choice([1, 1, 1, 1, 2, 3, None]), r.choice([r.choice(extremes), r.randint(0, 10**6), r.randint(-50, 50), None])) for _ in range(3000)]
+    data = [
+        (
+            r.choice([1, 1, 1, 1, 2, 3, None]),
+            r.choice([r.choice(extremes), r.randint(0, 10**6), r.randint(-50, 50), None]),
+        ) for _ in range(3000)
+    ]
     data += [(4, None), (4, None), (5, 2**63 - 1)]
     df = spark.createDataFrame([(k, v, 1) for k, v in data], "id bigint, v bigint, freq int")
     freq = valuefreq.compress(df.withColumnRenamed("id", "key_id"), ["key_id"], "v")
     ps = [0.0, 0.25, 0.5, 0.999, 1.0]
-    assert rows(valuefreq.percentiles(freq, ["key_id"], ps), "key_id", "p", "n_values", "value") == brute_percentiles(data, ps)
+    assert rows(
+        valuefreq.percentiles(freq, ["key_id"], ps), "key_id", "p", "n_values", "value"
+    ) == brute_percentiles(data, ps)
     counts = {x["key_id"]: x for x in valuefreq.key_counts(freq, ["key_id"]).collect()}
     for k in {k for k, _ in data}:
         vs = [v for kk, v in data if kk == k and v is not None]
         row = counts[k]
-        assert (row["n_rows"], row["n_values"], row["n_distinct"]) == (sum(kk == k for kk, _ in data), len(vs), len(set(vs)))
+        assert (row["n_rows"], row["n_values"], row["n_distinct"]) == (
+            sum(kk == k for kk, _ in data), len(vs), len(set(vs))
+        )
         if vs:
             assert int(row["total"]) == sum(vs)
-            assert row["mode_value"] == min(set(vs), key=lambda v: (-vs.count(v), v)) and row["mode_freq"] == max(map(vs.count, set(vs)))
+            assert row["mode_value"] == min(
+                set(vs), key=lambda v: (-vs.count(v), v)
+            ) and row["mode_freq"] == max(map(vs.count, set(vs)))
         else:
             assert row["mode_value"] is None and row["total"] is None
     hot = valuefreq.hot_keys(valuefreq.key_counts(freq, ["key_id"]), len(data), 0.1)
-    assert {x["key_id"] for x in hot.collect()} == {k for k in {1, 2, 3, 4, 5} if sum(kk == k for kk, _ in data) >= 0.1 * len(data)}
+    assert {x["key_id"] for x in hot.collect()} == {
+        k for k in {1, 2, 3, 4, 5} if sum(kk == k for kk, _ in data) >= 0.1 * len(data)
+    }
 
 
 def test_value_frequencies_do_not_depend_on_partitions(spark):

@@ -35,7 +35,18 @@ def found(df, root):
 def test_walk(spark, tree):
     for split in ("0", "1", "2", "9"):
         got = found(walk.walk(spark, tree, split=split), tree)
-        assert {p: r["type"] for p, r in got.items()} == {"/": 3, "/a": 3, "/a/b": 3, "/empty": 3, "/a/f.txt": 2, "/a/b/ü |x": 2, "/.hidden": 2, "/link": 4, "/dangling": 4, "/pipe": 1}
+        assert {p: r["type"] for p, r in got.items()} == {
+            "/": 3,
+            "/a": 3,
+            "/a/b": 3,
+            "/empty": 3,
+            "/a/f.txt": 2,
+            "/a/b/ü |x": 2,
+            "/.hidden": 2,
+            "/link": 4,
+            "/dangling": 4,
+            "/pipe": 1,
+        }
     assert got["/a/f.txt"]["size"] == 5 and got["/link"]["link_target"] == "a/f.txt" and got["/a"]["depth"] == tree.count("/") + 1
     st = os.lstat(tree + "/a/f.txt")
     assert got["/a/f.txt"]["mtime"] * 10**9 + got["/a/f.txt"]["mtime_nsec"] == st.st_mtime_ns and got["/a/f.txt"]["ino"] == st.st_ino
@@ -49,9 +60,13 @@ def test_walk_options(spark, tree):
     assert followed["/link"]["type"] == 2 and "/dangling" not in followed
     kept = found(walk.walk(spark, tree, dereference="true", errors="keep"), tree)
     assert kept["/dangling"]["error"] == "missing" and kept["/dangling"]["mode"] is None
-    assert found(walk.walk(spark, tree, digest="true"), tree)["/a/f.txt"]["digest"] == "2cf24dba5fb0a30e26e83b2ac5b9e29e1b161e5c1fa7425e73043362938b9824"
+    assert found(
+        walk.walk(spark, tree, digest="true"), tree
+    )["/a/f.txt"]["digest"] == "2cf24dba5fb0a30e26e83b2ac5b9e29e1b161e5c1fa7425e73043362938b9824"
     assert walk.walk(spark, tree, tree + "/a").count() == 14
-    again = walk.restat(walk.walk(spark, tree, lite="true").unionByName(spark.createDataFrame([("/none", 1, 2)], schema.LITE)))
+    again = walk.restat(
+        walk.walk(spark, tree, lite="true").unionByName(spark.createDataFrame([("/none", 1, 2)], schema.LITE))
+    )
     assert again.count() == 10 and found(again, tree)["/a/f.txt"]["size"] == 5
     one = walk.explicit(spark, [{"path": "/x/y"}]).first()
     assert (one["depth"], one["type"], one["size"]) == (2, 1, None)
@@ -84,24 +99,41 @@ def test_binary_cache_layout(spark, tmp_path):
     assert data[56:67] == b"me\0" + struct.pack(">Q", 1)
     assert data[67:75] == b"/a" + b"\0" * 6 and struct.unpack(">10Q", data[75:]) == (0o100644, *range(1, 10))
     (tmp_path / "one.mfu").write_bytes(data)
-    assert rows(caches.read_binary_cache(spark, f"{tmp_path}/one.mfu"), "path", "type", "size", "ctime_nsec") == [("/a", 2, 9, 8)]
+    assert rows(
+        caches.read_binary_cache(spark, f"{tmp_path}/one.mfu"), "path", "type", "size", "ctime_nsec"
+    ) == [("/a", 2, 9, 8)]
 
 
 def test_reports(spark):
-    df = spark.createDataFrame([("/t,\"x", 10, 5, 0.5, 1, 1, 2, 3, 4, 5)], "directory string, total bigint, cold bigint, ratio double, errors bigint, day1 bigint, day30 bigint, day90 bigint, day180 bigint, day365 bigint")
+    df = spark.createDataFrame(
+        [("/t,\"x", 10, 5, 0.5, 1, 1, 2, 3, 4, 5)],
+        "directory string, total bigint, cold bigint, ratio double, errors bigint, day1 bigint, day30 bigint, day90 bigint, day180 bigint, day365 bigint",
+    )
     assert caches.csv_report(df).first()[:4] == ('/t,"x', "10.000000", "5.000000", "0.5000000000")
-    text = walk.explicit(spark, [{"path": "/p", "type": 2, "mode": 0o100644, "size": 1536, "mtime": 0}, {"path": "/q", "type": 3}]).withColumn("user", F.lit("u")).withColumn("group", F.lit("g"))
+    text = walk.explicit(
+        spark, [{"path": "/p", "type": 2, "mode": 0o100644, "size": 1536, "mtime": 0}, {"path": "/q", "type": 3}]
+    ).withColumn("user", F.lit("u")).withColumn("group", F.lit("g"))
     assert rows(caches.listing(text)) == [("-rw-r--r-- u g   1.500 KiB Jan  1 1970 00:00 /p",), ("Type=DIR File=/q",)]
 
 
 def test_json_report(spark):
     from lakewalk.operators import profile
 
-    df = walk.explicit(spark, [{"path": "/p", "type": 2, "mode": 0o100644, "size": 5, "atime": 1, "mtime": 1, "ctime": 1}])
+    df = walk.explicit(
+        spark, [{"path": "/p", "type": 2, "mode": 0o100644, "size": 5, "atime": 1, "mtime": 1, "ctime": 1}]
+    )
     now = 4000 * 86400
-    value = caches.json_report(profile.type_counts(df, now), profile.file_size_profile(df), profile.age_profile(df, now), filters.broken_sample(df, now, 9), now).first()[0]
+    value = caches.json_report(
+        profile.type_counts(df, now),
+        profile.file_size_profile(df),
+        profile.age_profile(df, now),
+        filters.broken_sample(df, now, 9),
+        now,
+    ).first()[0]
     report = json.loads(value)
-    assert report["summary"]["files"] == 1 and len(report["size_histogram"]) == 10 and len(report["age_histograms"]) == 27 and report["broken_paths"] == [{"path": "/p", "flags": 2}]
+    assert report["summary"]["files"] == 1 and len(report["size_histogram"]) == 10 and len(report["age_histograms"]) == 27 and report["broken_paths"] == [
+        {"path": "/p", "flags": 2}
+    ]
 
 
 def test_archives(spark, tree, tmp_path):
@@ -109,8 +141,12 @@ def test_archives(spark, tree, tmp_path):
         with tarfile.open(tmp_path / name, mode) as tar:
             tar.add(tree + "/a", "a")
             tar.add(tree + "/link", "link")
-    listed = archives.archive_list(spark.createDataFrame([(f"{tmp_path}/x.tar",), (f"{tmp_path}/y.tar.gz",), (None,)], "archive string"))
-    assert rows(listed.filter("archive like '%.tar'"), "path", "type", "size") == [("a", 3, 0), ("a/b", 3, 0), ("a/b/ü |x", 2, 2), ("a/f.txt", 2, 5), ("link", 4, 0)]
+    listed = archives.archive_list(
+        spark.createDataFrame([(f"{tmp_path}/x.tar",), (f"{tmp_path}/y.tar.gz",), (None,)], "archive string")
+    )
+    assert rows(listed.filter("archive like '%.tar'"), "path", "type", "size") == [
+        ("a", 3, 0), ("a/b", 3, 0), ("a/b/ü |x", 2, 2), ("a/f.txt", 2, 5), ("link", 4, 0)
+    ]
     assert listed.count() == 10
     (tmp_path / "l.bz2").write_bytes(bz2.compress(b"one\ntwo\n"))
     assert rows(archives.compressed_lines(spark, f"{tmp_path}/l.bz2")) == [("one",), ("two",)]
@@ -146,11 +182,15 @@ def test_streams(spark, tmp_path):
 def test_late_and_repeated_deliveries(spark, tmp_path):
     start = 21600 * 80_000
     data = [(1, "a", start), (2, "a", start + 3600), (1, "a", start), (3, "b", start + 7 * 3600)]
-    spark.createDataFrame(data, "id bigint, kind string, t bigint").select("id", "kind", F.timestamp_seconds("t").alias("ts")).write.parquet(f"{tmp_path}/in")
+    spark.createDataFrame(data, "id bigint, kind string, t bigint").select(
+        "id", "kind", F.timestamp_seconds("t").alias("ts")
+    ).write.parquet(f"{tmp_path}/in")
     stream = streaming.arriving(spark, f"{tmp_path}/in")
     got = streaming.run_complete(streaming.windows(stream, "ts", ["kind"], "6 hours", "1 day"), f"{tmp_path}/w")
     assert rows(got) == [(start, "a", 3), (start + 21600, "b", 1)]
-    once = streaming.first_seen(stream, "id", "ts", "1 day").writeStream.format("memory").queryName("once").trigger(availableNow=True).start()
+    once = streaming.first_seen(
+        stream, "id", "ts", "1 day"
+    ).writeStream.format("memory").queryName("once").trigger(availableNow=True).start()
     once.awaitTermination()
     assert spark.table("once").count() == 3
 
