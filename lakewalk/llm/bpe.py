@@ -43,7 +43,9 @@ def encoding(vocabulary: str, folder: str = TOKENIZERS):
     if (folder, vocabulary) not in _LOADED:
         import tiktoken
 
-        _LOADED[folder, vocabulary] = tiktoken.Encoding(vocabulary, pat_str=PATTERN, mergeable_ranks=ranks(vocabulary, folder), special_tokens={})
+        _LOADED[folder, vocabulary] = tiktoken.Encoding(
+            vocabulary, pat_str=PATTERN, mergeable_ranks=ranks(vocabulary, folder), special_tokens={}
+        )
     return _LOADED[folder, vocabulary]
 
 
@@ -76,7 +78,16 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list
 
 
 def _number(id_type: pa.DataType, block_chars: int):
-    schema = pa.schema([("block", pa.int64()), ("no", pa.int32()), ("word", pa.string()), ("place", pa.binary()), ("docs", pa.list_(id_type)), ("lens", pa.list_(pa.int32()))])
+    schema = pa.schema(
+        [
+            ("block", pa.int64()),
+            ("no", pa.int32()),
+            ("word", pa.string()),
+            ("place", pa.binary()),
+            ("docs", pa.list_(id_type)),
+            ("lens", pa.list_(pa.int32())),
+        ]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
@@ -95,9 +106,29 @@ def _number(id_type: pa.DataType, block_chars: int):
             if len(numbers) <= 65536:
                 place = place.astype(np.uint16)
             n = len(numbers)
-            words = pa.table([pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), pa.array(list(numbers), pa.string()), pa.nulls(n, pa.binary()), pa.nulls(n, schema.field("docs").type), pa.nulls(n, schema.field("lens").type)], schema=schema)
+            words = pa.table(
+                [
+                    pa.array(np.full(n, block)),
+                    pa.array(np.arange(n, dtype=np.int32)),
+                    pa.array(list(numbers), pa.string()),
+                    pa.nulls(n, pa.binary()),
+                    pa.nulls(n, schema.field("docs").type),
+                    pa.nulls(n, schema.field("lens").type),
+                ],
+                schema=schema,
+            )
             yield from words.to_batches(max_chunksize=50_000)
-            yield pa.record_batch([[block], pa.array([-1], pa.int32()), pa.nulls(1, pa.string()), [zlib.compress(place.tobytes(), 1)], pa.array([ids], schema.field("docs").type), pa.array([lens], schema.field("lens").type)], schema=schema)
+            yield pa.record_batch(
+                [
+                    [block],
+                    pa.array([-1], pa.int32()),
+                    pa.nulls(1, pa.string()),
+                    [zlib.compress(place.tobytes(), 1)],
+                    pa.array([ids], schema.field("docs").type),
+                    pa.array([lens], schema.field("lens").type),
+                ],
+                schema=schema,
+            )
 
     return run
 
@@ -114,7 +145,16 @@ def _encode(vocabulary: str, folder: str, most_words: int):
                     known[word] = np.array(encode(word), "<i4").tobytes()
             place = batch.column("place").to_pylist()
             payload = [known[w] if p is None else p for w, p in zip(words, place)]
-            yield pa.record_batch([batch.column("block"), batch.column("no"), pa.array(payload, pa.binary()), batch.column("docs"), batch.column("lens")], ["block", "no", "payload", "docs", "lens"])
+            yield pa.record_batch(
+                [
+                    batch.column("block"),
+                    batch.column("no"),
+                    pa.array(payload, pa.binary()),
+                    batch.column("docs"),
+                    batch.column("lens"),
+                ],
+                ["block", "no", "payload", "docs", "lens"],
+            )
 
     return run
 
@@ -145,7 +185,15 @@ def _assemble(id_col: str, id_type: pa.DataType):
     return run
 
 
-def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS, block_chars: int = BLOCK_CHARS, most_words: int = MOST_WORDS) -> DataFrame:
+def encode_corpus(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    vocabulary: str = "byte_bpe_50k",
+    folder: str = TOKENIZERS,
+    block_chars: int = BLOCK_CHARS,
+    most_words: int = MOST_WORDS,
+) -> DataFrame:
     """``id_col`` and ``ids`` (array<int>) of every row, by ``vocabulary``, without special tokens.
 
     A null text and an empty one both have the empty list. Strings of special tokens are ordinary text. Rows are kept as
@@ -156,27 +204,41 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     kind = docs.schema[id_col].dataType
     arrow, name = to_arrow_type(kind), kind.simpleString()
-    numbered = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(_number(arrow, block_chars), f"block bigint, no int, word string, place binary, docs array<{name}>, lens array<int>")
+    numbered = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(
+        _number(arrow, block_chars),
+        f"block bigint, no int, word string, place binary, docs array<{name}>, lens array<int>",
+    )
     spread = F.when(F.col("word").isNull(), F.xxhash64("block")).otherwise(F.xxhash64("word"))
     by_word = numbered.repartition(spread)
-    encoded = by_word.mapInArrow(_encode(vocabulary, folder, most_words), f"block bigint, no int, payload binary, docs array<{name}>, lens array<int>")
+    encoded = by_word.mapInArrow(
+        _encode(vocabulary, folder, most_words),
+        f"block bigint, no int, payload binary, docs array<{name}>, lens array<int>",
+    )
     return encoded.groupBy("block").applyInArrow(_assemble(id_col, arrow), f"{id_col} {name}, ids array<int>")
 
 
-def decode_corpus(encoded: DataFrame, id_col: str = "doc_id", vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
+def decode_corpus(
+    encoded: DataFrame, id_col: str = "doc_id", vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS
+) -> DataFrame:
     """``id_col`` and ``text`` of encoded rows, by joining the token-byte table, which has as many rows as the vocabulary
     has ids and is therefore broadcast. The empty list gives the empty text, a null list null. Ids must be unique."""
     spark = encoded.sparkSession
     names = pd.DataFrame([(i, b.hex()) for b, i in ranks(vocabulary, folder).items()], columns=["id", "hex"])
     tokens = F.broadcast(spark.createDataFrame(names, "id int, hex string"))
-    exploded = encoded.select(id_col, F.posexplode_outer("ids").alias("pos", "id"), F.col("ids").isNull().alias("is_null"))
+    exploded = encoded.select(
+        id_col, F.posexplode_outer("ids").alias("pos", "id"), F.col("ids").isNull().alias("is_null")
+    )
     joined = exploded.join(tokens, "id", "left")
-    whole = joined.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "hex"))).alias("parts"), F.max("is_null").alias("is_null"))
+    whole = joined.groupBy(id_col).agg(
+        F.array_sort(F.collect_list(F.struct("pos", "hex"))).alias("parts"), F.max("is_null").alias("is_null")
+    )
     text = F.decode(F.unhex(F.array_join(F.transform("parts", lambda p: p["hex"]), "")), "utf-8")
     return whole.select(id_col, F.when(~F.col("is_null"), text).alias("text"))
 
 
-def count_tokens(docs: DataFrame, text_col: str = "text", vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
+def count_tokens(
+    docs: DataFrame, text_col: str = "text", vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS
+) -> DataFrame:
     """``docs`` with a bigint column ``tokens`` in place of the text: 0 for null and empty texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +258,9 @@ def count_tokens(docs: DataFrame, text_col: str = "text", vocabulary: str = "byt
             columns = [pa.array(counts, pa.int64()) if i == at else c for i, c in enumerate(batch.columns)]
             yield pa.record_batch(columns, ["tokens" if i == at else n for i, n in enumerate(batch.schema.names)])
 
-    schema = ", ".join("tokens bigint" if f.name == text_col else f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    schema = ", ".join(
+        "tokens bigint" if f.name == text_col else f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema
+    )
     return docs.mapInArrow(run, schema)
 
 

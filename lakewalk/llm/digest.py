@@ -30,12 +30,21 @@ def _clustered(points: DataFrame, keys: Sequence[str], delta: int) -> DataFrame:
     by_key = Window.partitionBy(*keys)
     upto = F.sum("w").over(by_key.orderBy("mean", "low", "high", "w").rowsBetween(Window.unboundedPreceding, 0))
     q = (F.col("upto") - F.col("w") / 2) / F.sum("w").over(by_key)
-    number = F.floor(F.lit(delta) * (F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), q * 2 - 1))) / F.lit(3.141592653589793) + 0.5))
+    number = F.floor(
+        F.lit(delta) * (
+            F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), q * 2 - 1))) / F.lit(3.141592653589793) + 0.5
+        )
+    )
     return (
         points.withColumn("upto", upto)
         .withColumn("cluster", number.cast("int"))
         .groupBy(*keys, "cluster")
-        .agg((F.sum(F.col("mean") * F.col("w")) / F.sum("w")).alias("mean"), F.sum("w").alias("w"), F.min("low").alias("low"), F.max("high").alias("high"))
+        .agg(
+            (F.sum(F.col("mean") * F.col("w")) / F.sum("w")).alias("mean"),
+            F.sum("w").alias("w"),
+            F.min("low").alias("low"),
+            F.max("high").alias("high"),
+        )
         .drop("cluster")
     )
 
@@ -46,13 +55,19 @@ def part_of(value: Column, parts: int) -> Column:
 
 def weighted(df: DataFrame, keys: Sequence[str], value: str, parts: int) -> DataFrame:
     """keys, part, value, w: the distinct values with their numbers, combined before the shuffle. Nulls don't count."""
-    return df.filter(F.col(value).isNotNull()).groupBy(*keys, part_of(F.col(value), parts).alias("part"), F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("w"))
+    return df.filter(F.col(value).isNotNull()).groupBy(
+        *keys, part_of(F.col(value), parts).alias("part"), F.col(value).alias("value")
+    ).agg(F.count(F.lit(1)).alias("w"))
 
 
 def digests(values: DataFrame, keys: Sequence[str], delta: int = DELTA) -> DataFrame:
     """Digests of the parts of ``weighted`` values: keys, part, mean, w, low, high."""
     value = F.col("value").cast("double")
-    return _clustered(values.select(*keys, "part", value.alias("mean"), "w", value.alias("low"), value.alias("high")), [*keys, "part"], delta)
+    return _clustered(
+        values.select(*keys, "part", value.alias("mean"), "w", value.alias("low"), value.alias("high")),
+        [*keys, "part"],
+        delta,
+    )
 
 
 def merged(digest: DataFrame, keys: Sequence[str], delta: int = DELTA) -> DataFrame:
@@ -72,33 +87,49 @@ def estimates(digest: DataFrame, keys: Sequence[str], ps: Sequence[float]) -> Da
         inside = (rank <= F.col("upto")) & (rank > F.col("upto") - F.col("w"))
         share = (rank - (F.col("upto") - F.col("w"))) / F.col("w")
         chosen.append(F.max(F.when(inside, F.col("low") + (F.col("high") - F.col("low")) * share)).alias(f"e{i}"))
-    return placed.groupBy(*keys, "n").agg(*chosen).select(*keys, "n", F.array(*[F.col(f"e{i}") for i in range(len(ps))]).alias("estimate"))
+    return placed.groupBy(*keys, "n").agg(*chosen).select(
+        *keys, "n", F.array(*[F.col(f"e{i}") for i in range(len(ps))]).alias("estimate")
+    )
 
 
 def _same(left: str, right: str, keys: Sequence[str]) -> list[Column]:
     return [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys]
 
 
-def certified(values: DataFrame, digest: DataFrame, found: DataFrame, keys: Sequence[str], ps: Sequence[float]) -> DataFrame:
+def certified(
+    values: DataFrame, digest: DataFrame, found: DataFrame, keys: Sequence[str], ps: Sequence[float]
+) -> DataFrame:
     """The counting pass: keys, n, p, estimate, below, upto (rows under the estimate, and under or at it), rank_error.
 
     The estimates are joined to the parts of their keys first, so that a hot key's values stay spread over its parts.
     rank_error is the distance of p from the interval [below / n, upto / n]: 0 if the estimate is a true percentile.
     """
     parts = digest.select(*keys, "part").distinct()
-    to_part = parts.alias("a").join(found.alias("b"), _same("a", "b", keys)).select(*[F.col(f"a.{k}").alias(k) for k in keys], "part", "n", "estimate")
+    to_part = parts.alias("a").join(found.alias("b"), _same("a", "b", keys)).select(
+        *[F.col(f"a.{k}").alias(k) for k in keys], "part", "n", "estimate"
+    )
     joined = values.alias("v").join(to_part.alias("e"), [*_same("v", "e", keys), F.col("v.part") == F.col("e.part")])
     at = [F.col("e.estimate")[i] for i in range(len(ps))]
     value = F.col("v.value").cast("double")
     counts = joined.groupBy(*[F.col(f"v.{k}").alias(k) for k in keys]).agg(
-        F.first("e.n").alias("n"), F.first("e.estimate").alias("estimate"), *[F.sum(F.when(value < e, F.col("v.w")).otherwise(0)).alias(f"b{i}") for i, e in enumerate(at)], *[F.sum(F.when(value <= e, F.col("v.w")).otherwise(0)).alias(f"u{i}") for i, e in enumerate(at)]
+        F.first("e.n").alias("n"), F.first("e.estimate").alias("estimate"), *[F.sum(F.when(value < e, F.col("v.w")).otherwise(0)).alias(f"b{i}") for i, e in enumerate(at)], *[
+            F.sum(F.when(value <= e, F.col("v.w")).otherwise(0)).alias(f"u{i}") for i, e in enumerate(at)
+        ]
     )
     each = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("p"), F.col("estimate")[i].alias("estimate"), F.col(f"b{i}").alias("below"), F.col(f"u{i}").alias("upto")) for i, p in enumerate(ps)])).alias("r")
     error = F.greatest(F.lit(0.0), F.col("below") / F.col("n") - F.col("p"), F.col("p") - F.col("upto") / F.col("n"))
     return counts.select(*keys, "n", each).select(*keys, "n", "r.*").withColumn("rank_error", error)
 
 
-def percentiles(df: DataFrame, keys: Sequence[str], value: str, ps: Sequence[float], rank_error: float = RANK_ERROR, delta: int = DELTA, part_rows: int = PART_ROWS) -> DataFrame:
+def percentiles(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    ps: Sequence[float],
+    rank_error: float = RANK_ERROR,
+    delta: int = DELTA,
+    part_rows: int = PART_ROWS,
+) -> DataFrame:
     """Per key and p: n, estimate, below, upto, rank_error and exact (false, or true where an exact value had to step in).
 
     No rank_error exceeds the parameter of that name: where a digest's estimate misses it, the exact percentile of the
@@ -116,8 +147,19 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, ps: Sequence[flo
     if missed.isEmpty():
         return kept
     bad = missed.select(*keys).distinct()
-    open_values = values.alias("v").join(bad.alias("b"), _same("v", "b", keys), "left_semi").select(*keys, "value", F.col("w").alias("freq"))
+    open_values = values.alias("v").join(
+        bad.alias("b"), _same("v", "b", keys), "left_semi"
+    ).select(*keys, "value", F.col("w").alias("freq"))
     exact = valuefreq.percentiles(open_values, keys, ps).withColumn("value", F.col("value").cast("double"))
     again = missed.alias("m").join(exact.alias("x"), [*_same("m", "x", keys), F.col("m.p") == F.col("x.p")])
-    fixed = again.select(*[F.col(f"m.{k}").alias(k) for k in keys], F.col("m.n").alias("n"), F.col("m.p").alias("p"), F.col("x.value").alias("estimate"), F.lit(None).cast("bigint").alias("below"), F.lit(None).cast("bigint").alias("upto"), F.lit(0.0).alias("rank_error"), F.lit(True).alias("exact"))
+    fixed = again.select(
+        *[F.col(f"m.{k}").alias(k) for k in keys],
+        F.col("m.n").alias("n"),
+        F.col("m.p").alias("p"),
+        F.col("x.value").alias("estimate"),
+        F.lit(None).cast("bigint").alias("below"),
+        F.lit(None).cast("bigint").alias("upto"),
+        F.lit(0.0).alias("rank_error"),
+        F.lit(True).alias("exact"),
+    )
     return kept.unionByName(fixed)

@@ -26,7 +26,9 @@ def running(df: DataFrame, group: Sequence[str], chunk: str, order: Sequence[str
     offsets = chunks.select(*group, chunk, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy(*group, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = df.withColumn("_local", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    return local.join(offsets, [*group, chunk]).withColumn(name, F.col("_offset") + F.col("_local")).drop("_offset", "_local")
+    return local.join(offsets, [*group, chunk]).withColumn(
+        name, F.col("_offset") + F.col("_local")
+    ).drop("_offset", "_local")
 
 
 def allotment(totals: DataFrame, targets: DataFrame, block_tokens: int, total_tokens: int | None) -> list[dict]:
@@ -39,8 +41,14 @@ def allotment(totals: DataFrame, targets: DataFrame, block_tokens: int, total_to
     that can't fill its share even if it is repeated max_repeat times gives all that it may; the others keep their
     proportions to each other.
     """
-    first = targets.filter("source IS NOT NULL AND target_weight > 0").groupBy("source").agg(F.min(F.struct("target_weight", F.coalesce("max_repeat", F.lit(2**31 - 1)).alias("max_repeat"))).alias("t"))
-    rows = [r.asDict() for r in first.join(totals, "source", "left").select("source", "t.*", F.coalesce("tokens", F.lit(0)).alias("tokens")).orderBy("source").collect()]
+    first = targets.filter("source IS NOT NULL AND target_weight > 0").groupBy("source").agg(
+        F.min(F.struct("target_weight", F.coalesce("max_repeat", F.lit(2**31 - 1)).alias("max_repeat"))).alias("t")
+    )
+    rows = [
+        r.asDict() for r in first.join(totals, "source", "left").select(
+            "source", "t.*", F.coalesce("tokens", F.lit(0)).alias("tokens")
+        ).orderBy("source").collect()
+    ]
     weight = sum(r["target_weight"] for r in rows if r["tokens"] > 0)
     size = sum(r["tokens"] for r in rows) if total_tokens is None else total_tokens
     for r in rows:
@@ -70,7 +78,13 @@ def schedule(spark: SparkSession, rows: list[dict]) -> DataFrame:
     return ranked.select("slot", "source", F.col("block").cast("bigint").alias("block"))
 
 
-def mix(docs: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, total_tokens: int | None = None, seed: int = 17) -> tuple[DataFrame, DataFrame]:
+def mix(
+    docs: DataFrame,
+    targets: DataFrame,
+    block_tokens: int = BLOCK_TOKENS,
+    total_tokens: int | None = None,
+    seed: int = 17,
+) -> tuple[DataFrame, DataFrame]:
     """The mix as rows, and the shares reached.
 
     ``docs`` has doc_id, source and tokens; ``targets`` source, target_weight and max_repeat. Mix: slot, source, block,
@@ -83,22 +97,52 @@ def mix(docs: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, t
     Documents with null source, null or no tokens don't occur. An empty table or no targets give no rows.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "source", F.coalesce("tokens", F.lit(0)).cast("bigint").alias("tokens")).filter("source IS NOT NULL AND tokens > 0")
+    docs = docs.select(
+        "doc_id", "source", F.coalesce("tokens", F.lit(0)).cast("bigint").alias("tokens")
+    ).filter("source IS NOT NULL AND tokens > 0")
     rows = allotment(docs.groupBy("source").agg(F.sum("tokens").alias("tokens")), targets, block_tokens, total_tokens)
     slots = schedule(spark, rows)
     live = [r for r in rows if r["wanted"] > 0] or [{"source": "", "wanted": 0, "epochs": 0, "tokens": 1}]
-    plan = F.broadcast(spark.createDataFrame([(r["source"], r["wanted"], r["epochs"], -(-r["tokens"] // CHUNK_TOKENS)) for r in live], "source string, wanted bigint, epochs int, chunks bigint"))
+    plan = F.broadcast(
+        spark.createDataFrame(
+            [(r["source"], r["wanted"], r["epochs"], -(-r["tokens"] // CHUNK_TOKENS)) for r in live],
+            "source string, wanted bigint, epochs int, chunks bigint",
+        )
+    )
     copies = docs.join(plan, "source").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)))
     h = F.xxhash64(F.lit(seed), "epoch", "doc_id", "tokens")
-    shuffled = copies.withColumn("h", h).withColumn("chunk", F.col("epoch") * F.col("chunks") + F.least(F.col("chunks") - 1, F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * F.col("chunks"))))
+    shuffled = copies.withColumn("h", h).withColumn(
+        "chunk",
+        F.col("epoch") * F.col("chunks") + F.least(
+            F.col("chunks") - 1, F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * F.col("chunks"))
+        ),
+    )
     stream = running(shuffled, ["source"], "chunk", ["h", "doc_id"], "tokens", "start").filter("start < wanted")
     end = F.least(F.col("start") + F.col("tokens"), F.col("wanted"))
     block = F.explode(F.sequence(F.floor(F.col("start") / block_tokens), F.floor((end - 1) / block_tokens)))
     pieces = stream.withColumn("end", end).withColumn("block", block)
     slots_in_all = sum(r["blocks"] for r in rows)
     low, high = F.greatest("start", F.col("block") * block_tokens), F.least("end", (F.col("block") + 1) * block_tokens)
-    pieces = pieces.select("source", "block", "epoch", "doc_id", (low - F.col("start")).cast("bigint").alias("first_token"), (high - low).cast("bigint").alias("n_tokens"))
-    mixed = written(pieces.join(slots, ["source", "block"], "left").select(F.coalesce("slot", F.col("block") + slots_in_all).alias("slot"), "source", "block", "epoch", "doc_id", "first_token", "n_tokens"), "mix")
+    pieces = pieces.select(
+        "source",
+        "block",
+        "epoch",
+        "doc_id",
+        (low - F.col("start")).cast("bigint").alias("first_token"),
+        (high - low).cast("bigint").alias("n_tokens"),
+    )
+    mixed = written(
+        pieces.join(slots, ["source", "block"], "left").select(
+            F.coalesce("slot", F.col("block") + slots_in_all).alias("slot"),
+            "source",
+            "block",
+            "epoch",
+            "doc_id",
+            "first_token",
+            "n_tokens",
+        ),
+        "mix",
+    )
     return mixed, _shares(mixed, rows)
 
 
@@ -106,7 +150,26 @@ def _shares(mixed: DataFrame, rows: list[dict]) -> DataFrame:
     spark = mixed.sparkSession
     reached = mixed.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
     total = mixed.agg(F.sum("n_tokens")).first()[0]
-    wanted = spark.createDataFrame([(r["source"], r["target_share"], r["tokens"], None if r["max_repeat"] == 2**31 - 1 else r["max_repeat"], r["epochs"]) for r in rows], "source string, target_share double, supply_tokens bigint, max_repeat int, epochs int")
+    wanted = spark.createDataFrame(
+        [
+            (
+                r["source"],
+                r["target_share"],
+                r["tokens"],
+                None if r["max_repeat"] == 2**31 - 1 else r["max_repeat"],
+                r["epochs"],
+            ) for r in rows
+        ],
+        "source string, target_share double, supply_tokens bigint, max_repeat int, epochs int",
+    )
     joined = wanted.join(reached, "source", "left").withColumn("total", F.lit(total).cast("bigint"))
     tokens = F.coalesce("tokens", F.lit(0))
-    return joined.select("source", "target_share", "supply_tokens", "max_repeat", "epochs", tokens.alias("tokens"), F.coalesce(tokens / F.col("total"), F.lit(0.0)).alias("actual_share"))
+    return joined.select(
+        "source",
+        "target_share",
+        "supply_tokens",
+        "max_repeat",
+        "epochs",
+        tokens.alias("tokens"),
+        F.coalesce(tokens / F.col("total"), F.lit(0.0)).alias("actual_share"),
+    )

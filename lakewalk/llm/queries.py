@@ -33,7 +33,13 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def _sizes(spark: SparkSession, d: str) -> DataFrame:
     """size of every regular file under each of its three keys, as key_kind and key."""
     rows = table(spark, d, "inventory").filter("type = 2 AND size IS NOT NULL")
-    kinds = F.array(*[F.struct(F.lit(k).alias("key_kind"), F.col(k).cast("string").alias("key")) for k in ("uid", "gid", "walk_day")])
+    kinds = F.array(
+        *[
+            F.struct(
+                F.lit(k).alias("key_kind"), F.col(k).cast("string").alias("key")
+            ) for k in ("uid", "gid", "walk_day")
+        ]
+    )
     return rows.select(F.explode(kinds).alias("k"), "size").select("k.*", "size")
 
 
@@ -58,7 +64,9 @@ def p4_from_days(spark: SparkSession, d: str) -> DataFrame:
 
 def _tokens(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     targets = table(spark, d, "mix_targets")
-    docs = table(spark, d, "documents").select("doc_id", "source", "text").join(F.broadcast(targets.select("source").distinct()), "source", "left_semi")
+    docs = table(spark, d, "documents").select("doc_id", "source", "text").join(
+        F.broadcast(targets.select("source").distinct()), "source", "left_semi"
+    )
     return written(bpe.count_tokens(docs), "tokens"), targets
 
 
@@ -92,7 +100,21 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return reading.demanding(p10_levels(spark, d)).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_top, p4_percentiles, p4_certified, p4_from_days, p8_ids, p8_roundtrip, p9_mix, p9_shares, p10_found, p10_levels)}
+QUERIES = {
+    f.__name__: f for f in (
+        p2_found,
+        p2_top,
+        p4_percentiles,
+        p4_certified,
+        p4_from_days,
+        p8_ids,
+        p8_roundtrip,
+        p9_mix,
+        p9_shares,
+        p10_found,
+        p10_levels,
+    )
+}
 
 _P2 = """
     WITH f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY inv_id) AS r FROM inventory)

@@ -49,7 +49,10 @@ INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 COMMENT = re.compile(r"\S*\d:\s")
 MOJIBAKE = re.compile("[\xc2-\xf4][\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]")
 
-_SINGLE = {**{chr(i): bytes([i]) for i in range(256)}, **{bytes([i]).decode("cp1252"): bytes([i]) for i in range(128, 160) if i not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}}
+_SINGLE = {
+    **{chr(i): bytes([i]) for i in range(256)},
+    **{bytes([i]).decode("cp1252"): bytes([i]) for i in range(128, 160) if i not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)},
+}
 
 
 def repair(text: str) -> str:
@@ -75,7 +78,11 @@ def unwrapped(lines: Sequence[str]) -> list[str]:
     width = max(map(len, lines))
     for i, line in enumerate(lines):
         before = lines[i - 1] if i else ""
-        if joined and (goes_on[i - 1] or (2 * len(before) > width and before[-1] not in ".!?;…:" and not SEPARATOR.search(line) and "©" not in line)):
+        if joined and (
+            goes_on[i - 1] or (
+                2 * len(before) > width and before[-1] not in ".!?;…:" and not SEPARATOR.search(line) and "©" not in line
+            )
+        ):
             joined[-1] = joined[-1][:-1] + line if joined[-1].endswith("-") else f"{joined[-1]} {line}"
         else:
             joined.append(line)
@@ -206,9 +213,13 @@ def fit_sentences(found: list[list[str]], grade: np.ndarray, language: np.ndarra
         slope = np.zeros_like(scores)
         for columns, mask in masks:
             if mask.any():
-                slope[np.ix_(mask, range(columns.start, columns.stop))] = (softmax(scores[mask, columns]) - target[mask, columns]) / mask.sum()
+                slope[np.ix_(mask, range(columns.start, columns.stop))] = (
+                    softmax(scores[mask, columns]) - target[mask, columns]
+                ) / mask.sum()
         down = slope[word_sentence] * share[:, None]
-        to_word = np.column_stack([np.bincount(rows, down[:, c], len(grams)) for c in range(heads)]) / gram_lens[:, None]
+        to_word = np.column_stack(
+            [np.bincount(rows, down[:, c], len(grams)) for c in range(heads)]
+        ) / gram_lens[:, None]
         up = to_word[gram_word]
         g = np.column_stack([np.bincount(gram_ids, up[:, c], len(used)) for c in range(heads)]) + PENALTY * weights
         gl = np.column_stack([np.bincount(by_length, slope[:, c], LENGTHS) for c in range(heads)]) + PENALTY * lengths
@@ -299,16 +310,27 @@ def fit(labelled: list[tuple[str, str | None, float]]) -> Model | None:
     return Model(weights, lengths, np.array([fit_logistic(x, (y >= k).astype(float)) for k in range(2, GRADES + 1)]))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> list[tuple[str, str | None, float | None]]:
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, most: int = LABELLED
+) -> list[tuple[str, str | None, float | None]]:
     """(text, lang, grade) of at most ``most`` labelled documents. The grade is the median of the raters', null grades
     and repeated rows left out; without any it is None."""
-    graded = labels.select("doc_id", "rater", "grade").distinct().groupBy("doc_id").agg(F.percentile("grade", F.lit(0.5)).alias("grade"))
+    graded = labels.select("doc_id", "rater", "grade").distinct().groupBy("doc_id").agg(
+        F.percentile("grade", F.lit(0.5)).alias("grade")
+    )
     chosen = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").filter("text IS NOT NULL").orderBy("doc_id").collect()
+    rows = docs.select("doc_id", "text", "lang").join(
+        F.broadcast(chosen), "doc_id"
+    ).filter("text IS NOT NULL").orderBy("doc_id").collect()
     return [(r["text"], r["lang"], r["grade"]) for r in rows]
 
 
-NAMES = [*[f"m{k}" for k in range(GRADES)], *[f"u{k}" for k in range(GRADES)], *[f"t{k}" for k in range(GRADES)], *[f"l{k}" for k in range(len(LANGUAGES) + 1)]]
+NAMES = [
+    *[f"m{k}" for k in range(GRADES)],
+    *[f"u{k}" for k in range(GRADES)],
+    *[f"t{k}" for k in range(GRADES)],
+    *[f"l{k}" for k in range(len(LANGUAGES) + 1)],
+]
 
 
 def _score(model, id_type: pa.DataType):
@@ -338,7 +360,14 @@ def _score(model, id_type: pa.DataType):
                 levels, langs = softmax(scores[:, :GRADES]), softmax(scores[:, GRADES:])
                 langs[[foreign(w) for _, w in found]] = np.eye(len(LANGUAGES) + 1)[-1]
                 n = np.array([len(w) for _, w in found], np.float32)
-                sums = np.column_stack([levels * n[:, None], levels, np.eye(GRADES, dtype=np.float32)[levels.argmax(axis=1)], langs * n[:, None]])
+                sums = np.column_stack(
+                    [
+                        levels * n[:, None],
+                        levels,
+                        np.eye(GRADES, dtype=np.float32)[levels.argmax(axis=1)],
+                        langs * n[:, None],
+                    ]
+                )
                 place = np.array([k for k, _ in found])
                 first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
                 kept = place[first]
@@ -346,7 +375,14 @@ def _score(model, id_type: pa.DataType):
                 count = np.diff(np.concatenate([first, [len(place)]])).astype(np.int32)
                 total = np.add.reduceat(n, first).astype(np.int32)
                 yield pa.record_batch(
-                    [pa.array([owner[k] for k in kept], id_type), pa.array(np.array(line, np.int64)[kept]), pa.array(np.array(context, np.int64)[kept]), pa.array(total), pa.array(count), *[pa.array(columns[:, i]) for i in range(len(NAMES))]],
+                    [
+                        pa.array([owner[k] for k in kept], id_type),
+                        pa.array(np.array(line, np.int64)[kept]),
+                        pa.array(np.array(context, np.int64)[kept]),
+                        pa.array(total),
+                        pa.array(count),
+                        *[pa.array(columns[:, i]) for i in range(len(NAMES))],
+                    ],
                     names,
                 )
 
@@ -367,29 +403,52 @@ def levels(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Data
     model = fit(labelled_sample(docs, labels, labelled))
     kind = docs.schema["doc_id"].dataType
     if model is None:
-        return docs.limit(0).select("doc_id", F.lit(0).cast("bigint").alias("words"), F.lit("").alias("language"), F.lit(0.0).alias("level"), F.lit(0.0).alias("p_demanding"))
+        return docs.limit(0).select(
+            "doc_id",
+            F.lit(0).cast("bigint").alias("words"),
+            F.lit("").alias("language"),
+            F.lit(0.0).alias("level"),
+            F.lit(0.0).alias("p_demanding"),
+        )
     sent = spark.sparkContext.broadcast(model)  # of a fixed size: DIMENSIONS by 10 numbers
-    schema = f"doc_id {kind.simpleString()}, line bigint, context bigint, words int, sentences int, " + ", ".join(f"{n} float" for n in NAMES)
+    schema = f"doc_id {kind.simpleString()}, line bigint, context bigint, words int, sentences int, " + ", ".join(
+        f"{n} float" for n in NAMES
+    )
     lines = docs.select("doc_id", "text").mapInArrow(_score(sent, to_arrow_type(kind)), schema)
     lines = written(lines, "lines")
-    notices = lines.select("line", "context").distinct().groupBy("line").count().filter(F.col("count") >= CONTEXTS).select("line")
+    notices = lines.select("line", "context").distinct().groupBy("line").count().filter(
+        F.col("count") >= CONTEXTS
+    ).select("line")
     main = lines.join(notices, "line", "left_anti")
-    summed = main.groupBy("doc_id").agg(F.sum("words").alias("words"), F.sum("sentences").alias("sentences"), *[F.sum(n).alias(n) for n in NAMES])
-    x = [*[F.col(f"m{k}") / F.col("words") for k in range(GRADES)], *[F.col(f"{n}{k}") / F.col("sentences") for n in "ut" for k in range(GRADES)]]
+    summed = main.groupBy("doc_id").agg(
+        F.sum("words").alias("words"), F.sum("sentences").alias("sentences"), *[F.sum(n).alias(n) for n in NAMES]
+    )
+    x = [
+        *[F.col(f"m{k}") / F.col("words") for k in range(GRADES)],
+        *[F.col(f"{n}{k}") / F.col("sentences") for n in "ut" for k in range(GRADES)],
+    ]
     at_least = []
     for row in model.calibration:
         z = F.lit(float(row[-1]))
         for w, c in zip(row, x):
             z = z + F.lit(float(w)) * c
         at_least.append(1 / (1 + F.exp(-z)))
-    language = F.array_max(F.array(*[F.struct(F.col(f"l{k}").alias("s"), F.lit(n).alias("n")) for k, n in enumerate((*LANGUAGES, "other"))]))["n"]
+    language = F.array_max(
+        F.array(
+            *[F.struct(F.col(f"l{k}").alias("s"), F.lit(n).alias("n")) for k, n in enumerate((*LANGUAGES, "other"))]
+        )
+    )["n"]
     level = F.lit(1.0)
     for p in at_least:
         level = level + p
-    return summed.select("doc_id", "words", language.alias("language"), level.alias("level"), at_least[2].alias("p_demanding"))
+    return summed.select(
+        "doc_id", "words", language.alias("language"), level.alias("level"), at_least[2].alias("p_demanding")
+    )
 
 
 def demanding(scored: DataFrame, least_words: int = 60) -> DataFrame:
     """The documents in one of the four languages, with at least ``least_words``, that read at grade 4 or 5."""
-    return scored.filter(F.col("language").isin(*LANGUAGES) & (F.col("words") >= least_words) & (F.col("p_demanding") >= 0.5))
+    return scored.filter(
+        F.col("language").isin(*LANGUAGES) & (F.col("words") >= least_words) & (F.col("p_demanding") >= 0.5)
+    )
 

@@ -24,12 +24,16 @@ def _sorted(order: Sequence[tuple[str, bool]]) -> list[Column]:
     return [F.col(c).desc_nulls_last() if desc else F.col(c).asc_nulls_last() for c, desc in order]
 
 
-def cluster(df: DataFrame, group: str, order: Sequence[tuple[str, bool]], path: str, row_group_bytes: int = ROW_GROUP_BYTES) -> list[str]:
+def cluster(
+    df: DataFrame, group: str, order: Sequence[tuple[str, bool]], path: str, row_group_bytes: int = ROW_GROUP_BYTES
+) -> list[str]:
     """Write ``df`` range-partitioned by group and order: a hot group is spread over many files, even if all its scores are
     the same. The file names."""
     places = [F.col(group), *_sorted(order)]
     clustered = df.repartitionByRange(*places).sortWithinPartitions(*places)
-    clustered.write.option("parquet.block.size", str(row_group_bytes)).option("parquet.page.size", str(max(4096, row_group_bytes // 8))).mode("overwrite").parquet(path)
+    clustered.write.option("parquet.block.size", str(row_group_bytes)).option(
+        "parquet.page.size", str(max(4096, row_group_bytes // 8))
+    ).mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).inputFiles()
 
 
@@ -56,16 +60,25 @@ def statistics(files: DataFrame, group: str, score: str) -> DataFrame:
                     rows.append((path, k, part.num_rows, a.min, a.max, b.min, b.max))
                 yield pd.DataFrame(rows, columns=["file", "row_group", "n", "low", "high", "min_score", "max_score"])
 
-    return files.mapInPandas(run, "file string, row_group int, n bigint, low bigint, high bigint, min_score bigint, max_score bigint")
+    return files.mapInPandas(
+        run, "file string, row_group int, n bigint, low bigint, high bigint, min_score bigint, max_score bigint"
+    )
 
 
 def _best(df: pd.DataFrame, group: str, order: Sequence[tuple[str, bool]], n: int) -> pd.DataFrame:
     """The first n rows of each group; nulls last."""
-    df = df.sort_values([group, *[c for c, _ in order]], ascending=[True, *[not desc for _, desc in order]], na_position="last", kind="stable")
+    df = df.sort_values(
+        [group, *[c for c, _ in order]],
+        ascending=[True, *[not desc for _, desc in order]],
+        na_position="last",
+        kind="stable",
+    )
     return df[df.groupby(group, sort=False).cumcount() < n]
 
 
-def read_best(parts: DataFrame, columns: list[str], group: str, order: Sequence[tuple[str, bool]], n: int, schema: str) -> DataFrame:
+def read_best(
+    parts: DataFrame, columns: list[str], group: str, order: Sequence[tuple[str, bool]], n: int, schema: str
+) -> DataFrame:
     """Per file: its row groups in descending maximum score, with skipping; the file's first n rows of each group, and in
     ``skipped`` how many row groups weren't read."""
 
@@ -75,7 +88,9 @@ def read_best(parts: DataFrame, columns: list[str], group: str, order: Sequence[
         for part in pdf.sort_values(["max_score", "row_group"], ascending=[False, True]).itertuples():
             if part.low == part.high and part.max_score < bound.get(part.low, -np.inf):
                 continue
-            got = source.read_row_group(part.row_group, columns=columns).to_pandas(integer_object_nulls=False, types_mapper=pd.ArrowDtype)
+            got = source.read_row_group(part.row_group, columns=columns).to_pandas(
+                integer_object_nulls=False, types_mapper=pd.ArrowDtype
+            )
             best = _best(got if best is None else pd.concat([best, got], ignore_index=True), group, order, n)
             full = best.groupby(group, sort=False)[score].agg(["size", "min"])
             full = full[full["size"] >= n]
@@ -85,7 +100,14 @@ def read_best(parts: DataFrame, columns: list[str], group: str, order: Sequence[
     return parts.groupBy("file").applyInPandas(run, schema)
 
 
-def top_n(df: DataFrame, group: str, order: Sequence[tuple[str, bool]], n: int, path: str | None = None, row_group_bytes: int = ROW_GROUP_BYTES) -> DataFrame:
+def top_n(
+    df: DataFrame,
+    group: str,
+    order: Sequence[tuple[str, bool]],
+    n: int,
+    path: str | None = None,
+    row_group_bytes: int = ROW_GROUP_BYTES,
+) -> DataFrame:
     """The first ``n`` rows of each group by ``order``: (bigint column, descending?), the score first and descending.
 
     Nulls come last in every column of the order; rows with a null group or score don't count. Give an order without
@@ -95,7 +117,9 @@ def top_n(df: DataFrame, group: str, order: Sequence[tuple[str, bool]], n: int,
     spark = df.sparkSession
     score, columns = order[0][0], [group, *[c for c, _ in order]]
     assert order[0][1], "the score has to be descending"
-    rows = df.select(*[F.col(c).cast("bigint").alias(c) for c in columns]).filter(F.col(group).isNotNull() & F.col(score).isNotNull())
+    rows = df.select(
+        *[F.col(c).cast("bigint").alias(c) for c in columns]
+    ).filter(F.col(group).isNotNull() & F.col(score).isNotNull())
     names = cluster(rows, group, order, path or new_folder(spark, "topn"), row_group_bytes)
     schema = ", ".join(f"{c} bigint" for c in columns)
     if not names:
@@ -103,8 +127,19 @@ def top_n(df: DataFrame, group: str, order: Sequence[tuple[str, bool]], n: int,
     # File names only: one per advisory partition size of the data.
     files = spark.createDataFrame([(f,) for f in names], "file string").repartition(len(names))
     parts = statistics(files, group, score)
-    floors = parts.filter((F.col("low") == F.col("high")) & (F.col("n") >= n)).groupBy("low").agg(F.max("min_score").alias("floor"))
-    alive = parts.join(floors, "low", "left").filter((F.col("low") != F.col("high")) | F.col("floor").isNull() | (F.col("max_score") >= F.col("floor")))
-    best = read_best(alive.select("file", "row_group", "low", "high", "max_score").repartition(len(names), "file"), columns, group, order, n, schema)
+    floors = parts.filter(
+        (F.col("low") == F.col("high")) & (F.col("n") >= n)
+    ).groupBy("low").agg(F.max("min_score").alias("floor"))
+    alive = parts.join(floors, "low", "left").filter(
+        (F.col("low") != F.col("high")) | F.col("floor").isNull() | (F.col("max_score") >= F.col("floor"))
+    )
+    best = read_best(
+        alive.select("file", "row_group", "low", "high", "max_score").repartition(len(names), "file"),
+        columns,
+        group,
+        order,
+        n,
+        schema,
+    )
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*_sorted(order))))
     return ranked.filter(F.col("rank") <= n)

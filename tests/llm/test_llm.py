@@ -39,8 +39,14 @@ def test_encoding_is_the_tokenizers(spark):
 def test_encoding_across_blocks(spark):
     """Blocks of a few characters, so that words meet from many of them, and a forgetful worker."""
     r = random.Random(1)
-    texts = [" ".join(r.choice(["the", "hot", "word", "rare%d" % r.randint(0, 99)]) for _ in range(r.randint(0, 30))) for _ in range(150)]
-    got = bpe.encode_corpus(documents(spark, texts).coalesce(2), block_chars=40, most_words=5).orderBy("doc_id").collect()
+    texts = [
+        " ".join(
+            r.choice(["the", "hot", "word", "rare%d" % r.randint(0, 99)]) for _ in range(r.randint(0, 30))
+        ) for _ in range(150)
+    ]
+    got = bpe.encode_corpus(
+        documents(spark, texts).coalesce(2), block_chars=40, most_words=5
+    ).orderBy("doc_id").collect()
     assert [x["ids"] for x in got] == reference(texts)
 
 
@@ -79,8 +85,17 @@ def best(data, n):
 @pytest.mark.parametrize("row_group_bytes", [512, 1 << 20])
 def test_top_n(spark, row_group_bytes):
     r = random.Random(2)
-    data = [(r.choice([1] * 9 + [2, 3, 4, None]), r.choice([None, 5, 5, 7, r.randint(0, 10**6)]), r.choice([None, 1, 2]), i) for i in range(6000)] + [(77, 1, None, 90000), (78, -5, None, 90001)]
-    df = spark.createDataFrame(data, "g bigint, s bigint, a bigint, i bigint").withColumn("rank", F.lit("clash")).withColumn("file", F.lit(0))
+    data = [
+        (
+            r.choice([1] * 9 + [2, 3, 4, None]),
+            r.choice([None, 5, 5, 7, r.randint(0, 10**6)]),
+            r.choice([None, 1, 2]),
+            i,
+        ) for i in range(6000)
+    ] + [(77, 1, None, 90000), (78, -5, None, 90001)]
+    df = spark.createDataFrame(
+        data, "g bigint, s bigint, a bigint, i bigint"
+    ).withColumn("rank", F.lit("clash")).withColumn("file", F.lit(0))
     got = topn.top_n(df, "g", [("s", True), ("a", True), ("i", False)], 10, row_group_bytes=row_group_bytes)
     assert rows(got, "g", "rank", "i") == sorted(best(data, 10), key=repr)
     assert topn.top_n(df.limit(0), "g", [("s", True), ("i", False)], 10).count() == 0
@@ -104,7 +119,13 @@ def rank_error(values, p, estimate):
 
 def test_percentiles_are_within_the_stated_error(spark):
     r = random.Random(3)
-    data = [(r.choice(["hot"] * 6 + ["a", "b", None]), r.choice([None, 0, r.randint(0, 100), int(r.lognormvariate(10, 4))]), 1) for _ in range(20_000)] + [("one", 5, 1), ("empty", None, 1), ("neg", -7, 1), ("neg", -9, 1)]
+    data = [
+        (
+            r.choice(["hot"] * 6 + ["a", "b", None]),
+            r.choice([None, 0, r.randint(0, 100), int(r.lognormvariate(10, 4))]),
+            1,
+        ) for _ in range(20_000)
+    ] + [("one", 5, 1), ("empty", None, 1), ("neg", -7, 1), ("neg", -9, 1)]
     df = spark.createDataFrame(data, "k string, v bigint, w int")
     ps = [0.01, 0.5, 0.9, 0.99]
     got = digest.percentiles(df, ["k"], "v", ps, part_rows=3000).collect()
@@ -152,8 +173,18 @@ def mixed(spark, docs, targets, **how):
 
 def test_mix_reaches_its_shares(spark):
     r = random.Random(5)
-    docs = [(i, "big" if i % 3 else "mid", r.randint(1, 900), None, 0) for i in range(600)] + [(1000 + i, "tiny", 50, None, 0) for i in range(20)] + [(2000, None, 5, None, 0), (2001, "mid", None, None, 0), (2002, "mid", 0, None, 0), (2003, "other", 7, None, 0)]
-    targets = [("big", 2.0, None), ("mid", 1.0, 9), ("tiny", 0.5, 3), ("tiny", 0.5, 3), ("none", 1.0, 1), (None, 1.0, 1), ("big", 2.0, None)]
+    docs = [(i, "big" if i % 3 else "mid", r.randint(1, 900), None, 0) for i in range(600)] + [(1000 + i, "tiny", 50, None, 0) for i in range(20)] + [
+        (2000, None, 5, None, 0), (2001, "mid", None, None, 0), (2002, "mid", 0, None, 0), (2003, "other", 7, None, 0)
+    ]
+    targets = [
+        ("big", 2.0, None),
+        ("mid", 1.0, 9),
+        ("tiny", 0.5, 3),
+        ("tiny", 0.5, 3),
+        ("none", 1.0, 1),
+        (None, 1.0, 1),
+        ("big", 2.0, None),
+    ]
     rows_, shares = mixed(spark, docs, targets, block_tokens=64)
     tokens = {d[0]: d[2] for d in docs}
     total = sum(d[2] or 0 for d in docs if d[1] in ("big", "mid", "tiny"))
@@ -200,12 +231,21 @@ def test_mix_of_nothing(spark):
 
 
 EASY = ["The cat saw the dog.", "A boy ran home.", "We like the red ball.", "My mother made a cake."]
-HARD = ["The epistemological contingency of institutional normativity presupposes a transdisciplinary reconfiguration, notwithstanding jurisdictional heterogeneity and the provisos enumerated hereinafter.", "Insofar as hegemonic territorialization circumscribes intersubjective constitutionality, the asymptotic phenomenology interpolates the sedimentation of counterfactual historiography."]
+HARD = [
+    "The epistemological contingency of institutional normativity presupposes a transdisciplinary reconfiguration, notwithstanding jurisdictional heterogeneity and the provisos enumerated hereinafter.",
+    "Insofar as hegemonic territorialization circumscribes intersubjective constitutionality, the asymptotic phenomenology interpolates the sedimentation of counterfactual historiography.",
+]
 
 
 def page(r, level, comment=False):
     sentences = [r.choice(HARD if r.random() < level else EASY) for _ in range(14)]
-    lines = ["Home | News | Shop", "Accept our notice of devices and partners before you go on reading this page.", "Title: the thing", " ".join(sentences[:7]), " ".join(sentences[7:])]
+    lines = [
+        "Home | News | Shop",
+        "Accept our notice of devices and partners before you go on reading this page.",
+        "Title: the thing",
+        " ".join(sentences[:7]),
+        " ".join(sentences[7:]),
+    ]
     if comment:
         lines += [f"anna{r.randint(1, 99)}: " + " ".join(r.choices(HARD, k=9))]
     return "\n".join([*lines, "© 2020 somebody. All rights reserved."])
@@ -214,8 +254,16 @@ def page(r, level, comment=False):
 def test_reading_levels(spark):
     r = random.Random(6)
     truth = [(i, r.choice([1, 5])) for i in range(160)]
-    docs = [(i, page(r, (g - 1) / 4, comment=i % 2 == 0), "en") for i, g in truth] + [(900, None, None), (901, "", "en"), (902, "Home | News", "en"), (903, "x" * 100_000, "en"), (904, "日本語。" * 50, "ja")]
-    labels = [(i, "ra", g) for i, g in truth[:80]] + [(i, "ra", g) for i, g in truth[:5]] + [(900, "rb", None), (904, "rb", None), (9999, "ra", 5), (None, "ra", 3)]
+    docs = [(i, page(r, (g - 1) / 4, comment=i % 2 == 0), "en") for i, g in truth] + [
+        (900, None, None),
+        (901, "", "en"),
+        (902, "Home | News", "en"),
+        (903, "x" * 100_000, "en"),
+        (904, "日本語。" * 50, "ja"),
+    ]
+    labels = [(i, "ra", g) for i, g in truth[:80]] + [(i, "ra", g) for i, g in truth[:5]] + [
+        (900, "rb", None), (904, "rb", None), (9999, "ra", 5), (None, "ra", 3)
+    ]
     df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string").withColumn("words", F.lit("clash"))
     scored = reading.levels(df, spark.createDataFrame(labels, "doc_id bigint, rater string, grade int"))
     got = {x["doc_id"]: x for x in scored.collect()}
@@ -238,7 +286,9 @@ def test_reading_levels_without_labels_or_documents(spark):
 
 def test_main_lines():
     text = "Home\nShop\nA | B | C\nName: the headline\nThis is the first real sentence of the page.\nanna12: a comment that somebody wrote here.\n© 2020 x. All rights reserved.\nPrice list £20.00\nAnother sentence that is long enough."
-    assert reading.main_lines(text) == ["This is the first real sentence of the page.", "Another sentence that is long enough."]
+    assert reading.main_lines(text) == [
+        "This is the first real sentence of the page.", "Another sentence that is long enough."
+    ]
     assert reading.main_lines(None) == [] and reading.main_lines("\n \n") == []
     assert reading.repair("prÃ©suppose lâ€™Ã©tÃ©\nschön Ã") == "présuppose l’été\nschön Ã"
     wrapped = "this line of text goes on for a while and then it is\nwrapped in the middle of a sentence that goes on and on-\nward to the next line and is still the very same sentence\nuntil it ends here."
