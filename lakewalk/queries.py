@@ -355,7 +355,7 @@ def summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "SELECT count(*) AS items, max(strlen(path)) + 1 AS longest, min(depth) AS min_depth, max(depth) AS max_depth FROM inventory"
+    "SELECT count(*) AS items, CAST(max(strlen(path)) + 1 AS INT) AS longest, min(depth) AS min_depth, max(depth) AS max_depth FROM inventory"
 )
 def statistics(spark: SparkSession, d: str) -> DataFrame:
     return profile.statistics(inventory(spark, d))
@@ -858,7 +858,7 @@ def parent_closure(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""
-    SELECT inv_id, regexp_extract(path, '[^/]*$') AS base, regexp_replace(path, '/[^/]*$', '') AS dir, len(string_split(path, '/')) AS n, CAST(length(path) - length(replace(path, '/', '')) AS INT) AS depth,
+    SELECT inv_id, regexp_extract(path, '[^/]*$') AS base, regexp_replace(path, '/[^/]*$', '') AS dir, CAST(len(string_split(path, '/')) AS INT) AS n, CAST(length(path) - length(replace(path, '/', '')) AS INT) AS depth,
     array_to_string(string_split(path, '/')[3:4], '/') AS middle, array_to_string(string_split(path, '/')[-2:], '/') AS last_two, '/backup' || substring(path, 6) AS dest, path AS reduced,
     regexp_replace(path, '/[^/]*$', '') AS up FROM inventory""")
 def path_functions(spark: SparkSession, d: str) -> DataFrame:

@@ -74,6 +74,13 @@ class Files:
         finally:
             stream.close()
 
+    def write_bytes(self, path: str, data: bytes) -> None:
+        stream = self._fs(path).create(self._path(path), True)
+        try:
+            stream.write(bytearray(data))
+        finally:
+            stream.close()
+
     def replace_text(self, path: str, text: str) -> None:
         """Readers see the old text or the new one, never a part: written aside, then renamed over."""
         aside = f"{path}.{uuid.uuid4().hex}"
