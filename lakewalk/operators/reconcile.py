@@ -123,17 +123,31 @@ def _in(df: DataFrame, bucket: Column, open_: DataFrame | None) -> DataFrame:
     return df if open_ is None else df.join(open_, "bucket", "left_semi")
 
 
+def estimated_entries(src: DataFrame, dst: DataFrame, one_in: int) -> float:
+    """How many entries only one side has, from the keys whose second hash falls into one of ``one_in`` strata. It only
+    sizes the tables; a wrong estimate costs another round, never a result."""
+    sampled = [df.filter(F.pmod("k2", F.lit(one_in)) == 0).select("k1", "k2", "h", F.lit(s).alias("s")) for df, s in ((src, 1), (dst, -1))]
+    left = sampled[0].unionAll(sampled[1]).groupBy("k1", "k2", "h").agg(F.sum("s").alias("s")).filter("s <> 0")
+    return left.count() * one_in
+
+
 def differing_keys(
-    src: DataFrame, dst: DataFrame, bucket_rows: int = 4096, widths: Sequence[int] = (512, 2048)
+    src: DataFrame, dst: DataFrame, bucket_rows: int = 4096, widths: Sequence[int] | None = None, stratum_rows: int = 20_000
 ) -> DataFrame:
     """(k1, k2) of the entries that only one side has, from hashed sides (k1, k2, h).
 
-    A first table has 3*512 cells for about 4096 keys of either side and peels some 1,200 entries. Buckets with more go
-    into a second table with the next width; of what even that can't peel, all keys are given, so that the comparison of
-    rows decides: nothing is lost, whatever the number of differences.
+    Buckets have about ``bucket_rows`` keys of either side. Unless ``widths`` (cells per third of a table, one number for
+    each round) are given, the first table gets 1.6 cells for each entry that a stratum of about ``stratum_rows`` keys
+    lets expect, the second four times as many. Buckets that the first can't peel go into the second; of what even that
+    can't peel, all keys are given, so that the comparison of rows decides: nothing is lost, however many differences
+    there are and however they lie.
     """
-    rows = src.groupBy().count().union(dst.groupBy().count())
-    buckets = max(1, -(-int(rows.agg(F.max("count")).first()[0]) // bucket_rows))
+    rows = int(src.groupBy().count().union(dst.groupBy().count()).agg(F.max("count")).first()[0])
+    buckets = max(1, -(-rows // bucket_rows))
+    if widths is None:
+        expected = estimated_entries(src, dst, max(1, rows // stratum_rows)) / buckets
+        width = int(1.6 * expected / PLACES) + 16
+        widths = (width, 4 * width)
     bucket = F.pmod("k1", F.lit(buckets)).alias("bucket")
     found, open_ = [], None
     for width in widths:
