@@ -37,7 +37,7 @@ CONTEXTS = 5
 LENGTHS = 36
 #: L2 penalties of the sentence model and of the calibration.
 PENALTY, CALIBRATION_PENALTY = 1e-5, 1e-2
-ITERATIONS = 120
+ITERATIONS = 50
 #: A worker forgets its words beyond this number.
 MOST_WORDS = 500_000
 
