@@ -25,11 +25,11 @@ RECORDS_PER_TASK = 1_000_000
 
 
 def text_lines(rows: DataFrame) -> DataFrame:
-    """'path|letter' of every row: F, D, L, or U for other types."""
+    """'path|letter' of every row with a path: F, D, L, or U for other types."""
     letter = F
     for kind, name in LETTERS.items():
         letter = letter.when(F.col("type") == kind, name)
-    return rows.select(F.concat("path", F.lit("|"), letter.otherwise("U")).alias("value"))
+    return rows.filter("path IS NOT NULL").select(F.concat("path", F.lit("|"), letter.otherwise("U")).alias("value"))
 
 
 def write_text_cache(rows: DataFrame, path: str) -> None:
@@ -213,7 +213,7 @@ def write_binary_cache(
 
 
 def listing(rows: DataFrame) -> DataFrame:
-    """line of every row with user and group: mode, user, group, size in units, time of change and path; rows without a mode
+    """line of every row with a path, user and group: mode, user, group, size in units, time of change and path; rows without a mode
     as 'Type=... File=...'. Times are shown in the session's time
     zone; sizes are rounded half to even, as C does."""
     value, unit = units.bytes_and_unit(F.coalesce("size", F.lit(0)))
@@ -230,7 +230,7 @@ def listing(rows: DataFrame) -> DataFrame:
     kind = F.when(
         F.col("type") == schema.DIRECTORY, "DIR"
     ).when(F.col("type") == schema.FILE, "REG").when(F.col("type") == schema.LINK, "LNK").otherwise("UNK")
-    return rows.select(
+    return rows.filter("path IS NOT NULL").select(
         F.when(F.col("mode").isNotNull(), long).otherwise(
             F.format_string("Type=%s File=%s", kind, F.col("path"))
         ).alias("line")

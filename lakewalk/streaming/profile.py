@@ -55,7 +55,8 @@ def type_profile(stream: DataFrame) -> DataFrame:
 
 
 def windows(stream: DataFrame, time: str, keys: list[str], length: str, late: str) -> DataFrame:
-    """Rows per tumbling window and keys; rows later than ``late`` behind the latest seen may be dropped."""
+    """Rows per tumbling window and keys; rows later than ``late`` behind the latest seen may be dropped.
+    Rows without a time don't count."""
     timed = stream.withColumn("_at", F.col(time).cast("timestamp")).withWatermark("_at", late)
     counted = timed.groupBy(F.window("_at", length).alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"))
     return counted.select(F.unix_seconds("w.start").alias("window_start"), *keys, "n")
