@@ -221,15 +221,15 @@ def decode_corpus(
     encoded: DataFrame, id_col: str = "doc_id", vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS
 ) -> DataFrame:
     """``id_col`` and ``text`` of encoded rows, by joining the token-byte table, which has as many rows as the vocabulary
-    has ids and is therefore broadcast. The empty list gives the empty text, a null list null. Ids must be unique."""
+    has ids and is therefore broadcast. The empty list gives the empty text, a null list null. Repeated and null ids give as many rows."""
     spark = encoded.sparkSession
     names = pd.DataFrame([(i, b.hex()) for b, i in ranks(vocabulary, folder).items()], columns=["id", "hex"])
     tokens = F.broadcast(spark.createDataFrame(names, "id int, hex string"))
-    exploded = encoded.select(
-        id_col, F.posexplode_outer("ids").alias("pos", "id"), F.col("ids").isNull().alias("is_null")
+    exploded = encoded.withColumn("_row", F.monotonically_increasing_id()).select(
+        "_row", id_col, F.posexplode_outer("ids").alias("pos", "id"), F.col("ids").isNull().alias("is_null")
     )
     joined = exploded.join(tokens, "id", "left")
-    whole = joined.groupBy(id_col).agg(
+    whole = joined.groupBy("_row", id_col).agg(
         F.array_sort(F.collect_list(F.struct("pos", "hex"))).alias("parts"), F.max("is_null").alias("is_null")
     )
     text = F.decode(F.unhex(F.array_join(F.transform("parts", lambda p: p["hex"]), "")), "utf-8")
