@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,16 +62,16 @@ class KeyedState:
         return self.spark.table(self._tables[version])
 
     def stage(self, *parts: DataFrame) -> DataFrame:
-        """Write the next version's rows, without putting it in force, and open them. Parts that are partitioned by the key
-        already, such as a left join with the state on its left, are written without a shuffle."""
+        """Write the next version's rows, without putting it in force, and open them. Several parts have to be partitioned by
+        the key already, such as joins with the state: they are written in one go as they lie, without a shuffle."""
         version = self.version + 1
         self._forget(version)
         name = f"lakewalk_{uuid.uuid4().hex}"
         at = self._at("state", version)
         self.files.delete(at)
-        for i, part in enumerate(parts):
-            writer = part.repartition(self.buckets, *KEYS).write.format("parquet").bucketBy(self.buckets, *KEYS)
-            writer.option("path", at).mode("append" if i else "overwrite").saveAsTable(name)
+        rows = reduce(DataFrame.unionAll, parts) if len(parts) > 1 else parts[0].repartition(self.buckets, *KEYS)
+        writer = rows.write.format("parquet").bucketBy(self.buckets, *KEYS)
+        writer.option("path", at).mode("overwrite").saveAsTable(name)
         self._tables[version] = name
         return self.spark.table(name)
 
