@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakewalk import schema
 from lakewalk.operators.order import running_before
+from lakewalk.storage import written
 
 #: A tar block. Fixed value of the format.
 BLOCK = 512
 #: From this size on a copy counts as large.
 LARGE = 64 << 20
+#: Large files per part of their order.
+PART_ROWS = 100_000
 
 
 def chunks(rows: DataFrame, chunk: int) -> DataFrame:
@@ -65,28 +70,49 @@ def archive_entries(rows: DataFrame, header: int = BLOCK) -> DataFrame:
     return running_before(entries, ["path", "entry_size"], "entry_size", "offset")
 
 
-def balanced(files: DataFrame, workers: int, least: int = LARGE) -> DataFrame:
+def balanced(files: DataFrame, workers: int, least: int = LARGE, part_rows: int = PART_ROWS) -> DataFrame:
     """path, size and worker of the files of at least ``least`` bytes, spread so that the workers' bytes come out even.
 
-    Largest first, each to the worker with the fewest bytes so far. That rule is a chain from file to file; to keep it
-    off one task the files are dealt out to shards by hash, each with its own share of the workers' bytes, and the rule
-    runs within the shards, which the number of large files sizes. With one shard (up to 100,000 files) it is exact.
+    Largest first (equal ones by path), each to the worker with the fewest bytes so far, of equal ones the lowest. That
+    rule is a chain from file to file. The files are range-partitioned by its order into parts of about ``part_rows``;
+    one task streams the chain over the numbers of equal sizes, without paths, to get the workers' bytes before each
+    part, and from there the parts are assigned side by side. So the rule is exact for any number of files.
     """
     large = files.filter((F.col("type") == schema.FILE) & (F.col("size") >= least)).select("path", "size")
-    shards = max(1, -(-large.count() // 100_000))
-
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
+    parts = max(1, -(-large.count() // part_rows))
+    ordered = large.repartitionByRange(parts, F.col("size").desc(), "path")
+    placed = written(ordered.withColumn("part", F.spark_partition_id()), "large")
+    runs = placed.groupBy("part", "size").agg(F.count(F.lit(1)).alias("n"))
+
+    def chain(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        heap, part = [(0, w) for w in range(workers)], None
+        for pdf in frames:
+            found = []
+            for p, size, n in zip(pdf["part"].tolist(), pdf["size"].tolist(), pdf["n"].tolist()):
+                if p != part:
+                    part = p
+                    found.append((p, [str(load) for load, _ in sorted(heap, key=lambda x: x[1])]))
+                for _ in range(n):
+                    heapq.heapreplace(heap, (heap[0][0] + size, heap[0][1]))
+            yield pd.DataFrame(found, columns=["part", "loads"])
+
+    one_by_one = runs.repartition(1).sortWithinPartitions("part", F.col("size").desc())
+    before = {
+        r["part"]: [int(x) for x in r["loads"]] for r in one_by_one.mapInPandas(chain, "part int, loads array<string>").collect()
+    }
+
+    def assign(key: tuple[int], pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "path"], ascending=[False, True])
-        heap = [(0, w) for w in range(workers)]
+        heap = [(load, w) for w, load in enumerate(before[key[0]])]
+        heapq.heapify(heap)
         chosen = []
-        for size in pdf["size"]:
+        for size in pdf["size"].tolist():
             load, worker = heap[0]
             chosen.append(worker)
             heapq.heapreplace(heap, (load + size, worker))
         return pdf.assign(worker=chosen)[["path", "size", "worker"]]
 
-    sharded = large.withColumn("shard", F.pmod(F.xxhash64("path"), F.lit(shards)))
-    return sharded.groupBy("shard").applyInPandas(assign, "path string, size bigint, worker int")
+    return placed.groupBy("part").applyInPandas(assign, "path string, size bigint, worker int")
 
 
 def assigned_bytes(placed: DataFrame) -> DataFrame:

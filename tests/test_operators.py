@@ -263,6 +263,35 @@ def test_chunks_and_archives(spark, empty):
     assert rows(chunks.assigned_bytes(placed), "worker", "bytes") == [(0, 8 << 26), (1, 10 << 26)]
 
 
+def greedy(files, workers):
+    """O11 in one loop: size descending, then path, to the least loaded worker, the lowest of equals."""
+    loads, found = [0] * workers, []
+    for path, size in sorted(files, key=lambda x: (-x[1], x[0])):
+        worker = min(range(workers), key=lambda w: (loads[w], w))
+        loads[worker] += size
+        found.append((path, size, worker))
+    return sorted(found, key=repr)
+
+
+def test_balanced_is_the_greedy_rule_in_any_number_of_parts(spark):
+    r = random.Random(5)
+    sizes = [r.choice([5, 5, 7, r.randint(1, 9) << 8, r.randint(1, 1 << 30)]) for _ in range(2000)]
+    files = [(f"/é{i}" if i % 7 == 0 else f"/{i}", s) for i, s in enumerate(sizes)] + [("/huge", 1 << 50), ("/huge2", 1 << 50)]
+    df = explicit(spark, [entry(p, size=s) for p, s in files] + [entry("/dir", 3), entry("/none", size=None)])
+    for part_rows in (100, 700, 10_000):
+        assert rows(chunks.balanced(df, 8, 1, part_rows)) == greedy(files, 8)
+    assert chunks.balanced(df.limit(0), 8, 1, 100).count() == 0
+
+
+def test_balanced_beyond_a_hundred_thousand_files(spark):
+    n = 100_500
+    df = spark.range(n).select(
+        F.concat(F.lit("/"), "id").alias("path"), F.lit(2).alias("type"), (F.pmod(F.xxhash64("id"), F.lit(1 << 40)) + chunks.LARGE).alias("size")
+    )
+    files = [tuple(r) for r in df.select("path", "size").collect()]
+    assert rows(chunks.balanced(df, 8)) == greedy(files, 8)
+
+
 def tree(spark, entries):
     return compare.relative_rows(explicit(spark, entries), "/r")
 
