@@ -121,26 +121,10 @@ def certified(
     return counts.select(*keys, "n", each).select(*keys, "n", "r.*").withColumn("rank_error", error)
 
 
-def percentiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    ps: Sequence[float],
-    rank_error: float = RANK_ERROR,
-    delta: int = DELTA,
-    part_rows: int = PART_ROWS,
+def settled(
+    values: DataFrame, digest: DataFrame, found: DataFrame, keys: Sequence[str], ps: Sequence[float], rank_error: float
 ) -> DataFrame:
-    """Per key and p: n, estimate, below, upto, rank_error and exact (false, or true where an exact value had to step in).
-
-    No rank_error exceeds the parameter of that name: where a digest's estimate misses it, the exact percentile of the
-    key is computed and taken. Null values don't count and keys without values give no rows; a null key is a key. The
-    values must be numbers; integers beyond 2**53 are rounded to doubles in the estimates.
-    """
-    keys = list(keys)
-    parts = max(1, -(-df.count() // part_rows))
-    values = written(weighted(df, keys, value, parts), "values")
-    digest = digests(values, keys, delta)
-    found = estimates(merged(digest, keys, delta), keys, ps)
+    """The estimates with their certified rank errors; exact percentiles in place of those that miss ``rank_error``."""
     checked = written(certified(values, digest, found, keys, ps), "certified")
     missed = checked.filter(F.col("rank_error") > rank_error)
     kept = checked.filter(F.col("rank_error") <= rank_error).withColumn("exact", F.lit(False))
@@ -163,3 +147,49 @@ def percentiles(
         F.lit(True).alias("exact"),
     )
     return kept.unionByName(fixed)
+
+
+def percentiles(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    ps: Sequence[float],
+    rank_error: float = RANK_ERROR,
+    delta: int = DELTA,
+    part_rows: int = PART_ROWS,
+) -> DataFrame:
+    """Per key and p: n, estimate, below, upto, rank_error and exact (false, or true where an exact value had to step in).
+
+    No rank_error exceeds the parameter of that name: where a digest's estimate misses it, the exact percentile of the
+    key is computed and taken. Null values don't count and keys without values give no rows; a null key is a key. The
+    values must be numbers; integers beyond 2**53 are rounded to doubles in the estimates.
+    """
+    keys = list(keys)
+    parts = max(1, -(-df.count() // part_rows))
+    values = written(weighted(df, keys, value, parts), "values")
+    digest = digests(values, keys, delta)
+    found = estimates(merged(digest, keys, delta), keys, ps)
+    return settled(values, digest, found, keys, ps, rank_error)
+
+
+def from_days(
+    df: DataFrame,
+    day: str,
+    keys: Sequence[str],
+    value: str,
+    ps: Sequence[float],
+    rank_error: float = RANK_ERROR,
+    delta: int = DELTA,
+    part_rows: int = PART_ROWS,
+) -> DataFrame:
+    """As ``percentiles``, but from one stored digest per ``keys`` and day, which are then combined to one per ``keys``.
+
+    A day's rows are clustered in parts of about ``part_rows`` of the largest day, so a hot key's day isn't one task.
+    """
+    keys = list(keys)
+    rows = df.filter(F.col(value).isNotNull()).groupBy(day).count().agg(F.max("count")).first()[0] or 0
+    parts = max(1, -(-rows // part_rows))
+    values = written(weighted(df, [day, *keys], value, parts), "values")
+    daily = written(merged(digests(values, [day, *keys], delta), [day, *keys], delta), "daily")
+    found = estimates(merged(daily, keys, delta), keys, ps)
+    return settled(values, values, found, keys, ps, rank_error)

@@ -55,11 +55,10 @@ def p4_certified(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_from_days(spark: SparkSession, d: str) -> DataFrame:
-    """Medians per uid from digests that were made per uid and day and then combined."""
+    """Medians per uid from digests that were made per uid and day and then combined, with certified rank errors."""
     rows = table(spark, d, "inventory").filter("type = 2 AND size IS NOT NULL")
-    daily = digest.digests(digest.weighted(rows, ["walk_day", "uid"], "size", 1), ["walk_day", "uid"])
-    found = digest.estimates(digest.merged(daily, ["uid"]), ["uid"], [0.5])
-    return found.select("uid", "n", F.col("estimate")[0].alias("median"))
+    found = digest.from_days(rows, "walk_day", ["uid"], "size", [0.5])
+    return found.select("uid", "n", F.col("estimate").alias("median"), "below", "upto", "rank_error", "exact")
 
 
 def _tokens(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

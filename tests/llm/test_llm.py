@@ -141,6 +141,24 @@ def test_percentiles_are_within_the_stated_error(spark):
     assert digest.percentiles(df.limit(0), ["k"], "v", ps).count() == 0
 
 
+def test_combined_days_are_certified(spark):
+    r = random.Random(8)
+    data = [
+        (r.choice([1, 2, 3, None]), r.choice(["hot"] * 5 + ["a", None]), r.choice([None, 0, *[int(r.lognormvariate(9, 4)) for _ in range(4)]])) for _ in range(12_000)
+    ] + [(1, "one", 5), (2, "one", 5), (1, "empty", None)]
+    df = spark.createDataFrame(data, "day int, k string, v bigint")
+    values = defaultdict(list)
+    for _, k, v in data:
+        if v is not None:
+            values[k].append(v)
+    for delta, most, part_rows in ((digest.DELTA, digest.RANK_ERROR, 500), (8, 0.001, 10_000)):
+        got = digest.from_days(df, "day", ["k"], "v", [0.4, 0.7], most, delta, part_rows).collect()
+        assert {(x["k"], x["p"], x["n"]) for x in got} == {(k, p, len(values[k])) for k in values for p in (0.4, 0.7)}
+        assert all(rank_error(values[x["k"]], x["p"], x["estimate"]) <= most for x in got)
+        assert any(x["exact"] for x in got) == (delta == 8)
+    assert digest.from_days(df.limit(0), "day", ["k"], "v", [0.5]).count() == 0
+
+
 def test_missed_percentiles_become_exact(spark):
     df = spark.range(5000).select(F.lit(1).alias("k"), (F.col("id") * F.col("id")).alias("v"))
     got = digest.percentiles(df, ["k"], "v", [0.25, 0.5], rank_error=0.001, delta=8).orderBy("p").collect()
