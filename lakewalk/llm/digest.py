@@ -18,7 +18,7 @@ from lakewalk.storage import written
 
 #: Clusters per digest, about; the rank error of an estimate is near pi / (2 * DELTA) at most.
 DELTA = 300
-#: The rank error that is certified, as a share of the key's rows.
+#: The rank error that is certified at the median, as a share of the key's rows; at other p see ``tolerance``.
 RANK_ERROR = 0.01
 #: Rows per part of the first clustering. A key of whatever size is split into parts of about that many.
 PART_ROWS = 200_000
@@ -121,32 +121,35 @@ def certified(
     return counts.select(*keys, "n", each).select(*keys, "n", "r.*").withColumn("rank_error", error)
 
 
+def tolerance(p: Column, rank_error: float = RANK_ERROR) -> Column:
+    """The rank error allowed at p: ``rank_error`` at the median, less towards the ends in proportion to min(p, 1 - p)."""
+    return F.lit(2 * rank_error) * F.least(p, 1 - p)
+
+
 def settled(
     values: DataFrame, digest: DataFrame, found: DataFrame, keys: Sequence[str], ps: Sequence[float], rank_error: float
 ) -> DataFrame:
-    """The estimates with their certified rank errors; exact percentiles in place of those that miss ``rank_error``."""
+    """The estimates with their certified rank errors; exact percentiles, counted likewise, in place of those that miss
+    the ``tolerance``."""
     checked = written(certified(values, digest, found, keys, ps), "certified")
-    missed = checked.filter(F.col("rank_error") > rank_error)
-    kept = checked.filter(F.col("rank_error") <= rank_error).withColumn("exact", F.lit(False))
+    within = F.col("rank_error") <= tolerance(F.col("p"), rank_error)
+    missed = checked.filter(~within)
+    kept = checked.filter(within).withColumn("exact", F.lit(False))
     if missed.isEmpty():
         return kept
     bad = missed.select(*keys).distinct()
     open_values = values.alias("v").join(
         bad.alias("b"), _same("v", "b", keys), "left_semi"
-    ).select(*keys, "value", F.col("w").alias("freq"))
-    exact = valuefreq.percentiles(open_values, keys, ps).withColumn("value", F.col("value").cast("double"))
-    again = missed.alias("m").join(exact.alias("x"), [*_same("m", "x", keys), F.col("m.p") == F.col("x.p")])
-    fixed = again.select(
-        *[F.col(f"m.{k}").alias(k) for k in keys],
-        F.col("m.n").alias("n"),
-        F.col("m.p").alias("p"),
-        F.col("x.value").alias("estimate"),
-        F.lit(None).cast("bigint").alias("below"),
-        F.lit(None).cast("bigint").alias("upto"),
-        F.lit(0.0).alias("rank_error"),
-        F.lit(True).alias("exact"),
+    ).select(*keys, "part", "value", "w")
+    exact = valuefreq.percentiles(open_values.withColumnRenamed("w", "freq"), keys, ps).groupBy(*keys).agg(
+        F.first("n_values").alias("n"),
+        F.array(*[F.max(F.when(F.col("p") == float(p), F.col("value"))).cast("double") for p in ps]).alias("estimate"),
+    )
+    counted = certified(open_values, open_values, exact, keys, ps).alias("x")
+    fixed = counted.join(
+        missed.select(*keys, "p").alias("m"), [*_same("x", "m", keys), F.col("x.p") == F.col("m.p")], "left_semi"
     )
-    return kept.unionByName(fixed)
+    return kept.unionByName(fixed.withColumn("exact", F.lit(True)))
 
 
 def percentiles(
@@ -160,8 +163,8 @@ def percentiles(
 ) -> DataFrame:
     """Per key and p: n, estimate, below, upto, rank_error and exact (false, or true where an exact value had to step in).
 
-    No rank_error exceeds the parameter of that name: where a digest's estimate misses it, the exact percentile of the
-    key is computed and taken. Null values don't count and keys without values give no rows; a null key is a key. The
+    ``rank_error`` is that allowed at the median, and less towards the ends by ``tolerance``: where a digest's estimate
+    misses it, the exact percentile of the key is computed and taken, and its rows are counted too. Null values don't count and keys without values give no rows; a null key is a key. The
     values must be numbers; integers beyond 2**53 are rounded to doubles in the estimates.
     """
     keys = list(keys)

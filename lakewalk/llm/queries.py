@@ -51,7 +51,7 @@ def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
 def p4_certified(spark: SparkSession, d: str) -> DataFrame:
     """Per key and p, whether the estimate's rank is within the stated error, with the number of values."""
     rows = p4_percentiles(spark, d)
-    return rows.select("key_kind", "key", "p", "n", (F.col("rank_error") <= digest.RANK_ERROR).alias("within"))
+    return rows.select("key_kind", "key", "p", "n", (F.col("rank_error") <= digest.tolerance(F.col("p"))).alias("within"))
 
 
 def p4_from_days(spark: SparkSession, d: str) -> DataFrame:

@@ -141,6 +141,33 @@ def test_percentiles_are_within_the_stated_error(spark):
     assert digest.percentiles(df.limit(0), ["k"], "v", ps).count() == 0
 
 
+def test_the_tolerance_shrinks_towards_the_ends(spark):
+    df = spark.range(5000).select(F.lit(1).alias("k"), (F.col("id") * F.col("id")).alias("v"))
+    ps = [0.0, 0.01, 0.5, 0.99, 1.0]
+    got = digest.percentiles(df, ["k"], "v", ps, delta=8).collect()
+    values = [i * i for i in range(5000)]
+    assert sorted(x["p"] for x in got) == ps and any(x["exact"] for x in got)
+    for x in got:
+        allowed = 2 * digest.RANK_ERROR * min(x["p"], 1 - x["p"])
+        assert rank_error(values, x["p"], x["estimate"]) <= allowed + 1e-12
+
+
+def test_exact_percentiles_are_counted(spark, monkeypatch):
+    df = spark.range(5000).select(F.lit(1).alias("k"), (F.col("id") * F.col("id")).alias("v"))
+    values = [i * i for i in range(5000)]
+    right = digest.valuefreq.percentiles
+    for off, wrong in ((0, False), (10**7, True)):
+        monkeypatch.setattr(
+            digest.valuefreq, "percentiles", lambda *a, off=off: right(*a).withColumn("value", F.col("value") + off)
+        )
+        got = [x for x in digest.percentiles(df, ["k"], "v", [0.3, 0.5], rank_error=0.0001, delta=8).collect() if x["exact"]]
+        assert got
+        for x in got:
+            assert (x["below"], x["upto"]) == (sum(v < x["estimate"] for v in values), sum(v <= x["estimate"] for v in values))
+            assert abs(x["rank_error"] - rank_error(values, x["p"], x["estimate"])) < 1e-12
+            assert (x["rank_error"] > 0.01) == wrong
+
+
 def test_combined_days_are_certified(spark):
     r = random.Random(8)
     data = [
