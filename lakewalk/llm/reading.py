@@ -12,9 +12,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import warnings
 import zlib
-from collections import defaultdict
-from collections.abc import Iterator, Sequence
+from collections import defaultdict, deque
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,7 +38,9 @@ CONTEXTS = 5
 LENGTHS = 36
 #: L2 penalties of the sentence model and of the calibration.
 PENALTY, CALIBRATION_PENALTY = 1e-5, 1e-2
-ITERATIONS = 50
+#: The sentence model is fitted until the gradient's norm is this share of that at zero weights. That takes some hundred
+#: steps; the bound on them only guards against a fit that can't end, which is reported.
+TOLERANCE, MOST_STEPS = 2e-3, 3000
 #: A worker forgets its words beyond this number.
 MOST_WORDS = 500_000
 
@@ -180,8 +183,41 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def minimised(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray) -> np.ndarray:
+    """Where the convex ``f`` (value and gradient) is least, by L-BFGS from ``x``, to TOLERANCE of the gradient."""
+    value, g = f(x)
+    enough = TOLERANCE * np.linalg.norm(g)
+    pairs: deque = deque(maxlen=6)
+    for _ in range(MOST_STEPS):
+        norm = np.linalg.norm(g)
+        if norm <= enough:
+            return x
+        d, kept = g.copy(), []
+        for s, y, sy in reversed(pairs):
+            kept.append(a := (s @ d) / sy)
+            d -= a * y
+        d *= pairs[-1][2] / (pairs[-1][1] @ pairs[-1][1]) if pairs else 1 / norm
+        for (s, y, sy), a in zip(pairs, reversed(kept)):
+            d += (a - (y @ d) / sy) * s
+        slope, t = -(d @ g), 1.0
+        while True:
+            step = -t * d
+            new_value, new_g = f(x + step)
+            if new_value <= value + 1e-4 * t * slope:
+                break
+            t /= 2
+            if t < 1e-9:
+                warnings.warn(f"fit ended at gradient {norm:.3g}, tolerance {enough:.3g}", stacklevel=2)
+                return x
+        if (sy := step @ (new_g - g)) > 0:
+            pairs.append((step, new_g - g, sy))
+        x, value, g = x + step, new_value, new_g
+    warnings.warn(f"fit ended at gradient {np.linalg.norm(g):.3g}, tolerance {enough:.3g}", stacklevel=2)
+    return x
+
+
 def fit_sentences(found: list[list[str]], grade: np.ndarray, language: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weights, of features and of lengths, of two softmax heads (grades, then languages and "other") by full-batch Adam with an L2 penalty.
+    """Weights, of features and of lengths, of two softmax heads (grades, then languages and "other") with an L2 penalty, fitted to TOLERANCE.
 
     ``grade`` and ``language`` give the class of each sentence, -1 where it has none; a head learns from the others.
     """
@@ -205,31 +241,34 @@ def fit_sentences(found: list[list[str]], grade: np.ndarray, language: np.ndarra
         target[ok, column + classes[ok]] = 1
     masks = [(slice(0, GRADES), grade >= 0), (slice(GRADES, heads), language >= 0)]
     by_length = length_class(lens)
-    weights, lengths = np.zeros((len(used), heads)), np.zeros((LENGTHS, heads))
-    m, v, ml, vl = np.zeros_like(weights), np.zeros_like(weights), np.zeros_like(lengths), np.zeros_like(lengths)
-    for step in range(1, ITERATIONS + 1):
+
+    def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
+        weights, lengths = x[:-LENGTHS], x[-LENGTHS:]
         word_scores = np.add.reduceat(weights[gram_ids], starts, axis=0) / gram_lens[:, None]
         scores = np.add.reduceat(word_scores[rows] * share[:, None], first, axis=0) + lengths[by_length]
-        slope = np.zeros_like(scores)
+        slope, value = np.zeros_like(scores), PENALTY / 2 * (x * x).sum()
         for columns, mask in masks:
             if mask.any():
-                slope[np.ix_(mask, range(columns.start, columns.stop))] = (
-                    softmax(scores[mask, columns]) - target[mask, columns]
-                ) / mask.sum()
+                p, y = softmax(scores[mask, columns]), target[mask, columns]
+                value -= np.log(np.maximum((p * y).sum(axis=1), 1e-300)).mean()
+                slope[np.ix_(mask, range(columns.start, columns.stop))] = (p - y) / mask.sum()
         down = slope[word_sentence] * share[:, None]
         to_word = np.column_stack(
             [np.bincount(rows, down[:, c], len(grams)) for c in range(heads)]
         ) / gram_lens[:, None]
         up = to_word[gram_word]
-        g = np.column_stack([np.bincount(gram_ids, up[:, c], len(used)) for c in range(heads)]) + PENALTY * weights
-        gl = np.column_stack([np.bincount(by_length, slope[:, c], LENGTHS) for c in range(heads)]) + PENALTY * lengths
-        rate = 0.3 * (1 - 0.9 * step / ITERATIONS)
-        for x, dx, a, b in ((weights, g, m, v), (lengths, gl, ml, vl)):
-            a *= 0.9
-            a += 0.1 * dx
-            b *= 0.99
-            b += 0.01 * dx * dx
-            x -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
+        g = np.column_stack([np.bincount(gram_ids, up[:, c], len(used)) for c in range(heads)])
+        gl = np.column_stack([np.bincount(by_length, slope[:, c], LENGTHS) for c in range(heads)])
+        return value, np.concatenate([g, gl]) + PENALTY * x
+
+    shape = (len(used) + LENGTHS, heads)
+
+    def flat(x: np.ndarray) -> tuple[float, np.ndarray]:
+        value, g = loss(x.reshape(shape))
+        return value, g.ravel()
+
+    fitted = minimised(flat, np.zeros(shape).ravel()).reshape(shape)
+    weights, lengths = fitted[:-LENGTHS], fitted[-LENGTHS:]
     full = np.zeros((DIMENSIONS, heads), np.float32)
     full[used] = weights
     return full, lengths.astype(np.float32)

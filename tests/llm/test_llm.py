@@ -343,3 +343,26 @@ def test_main_lines():
 def test_sentence_lengths_and_empty_words():
     assert reading.length_class(np.array([1, 2, 10**6])).tolist() == [0, 4, reading.LENGTHS - 1]
     assert reading.sentences(["... !!! 123", "One two. Three"]) == [(1, ["one", "two"]), (1, ["three"])]
+
+
+def test_the_sentence_model_is_fitted_to_its_tolerance():
+    r = random.Random(12)
+    vocabulary = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(120)]
+    found = [[vocabulary[min(119, int(r.expovariate(0.03)))] for _ in range(r.randint(1, 25))] for _ in range(400)]
+    grade, language = np.array([r.randint(-1, 4) for _ in found]), np.array([r.randint(-1, 4) for _ in found])
+
+    def gradient(weights, lengths):
+        x = np.zeros((len(found), reading.DIMENSIONS))
+        for i, words in enumerate(found):
+            for w in words:
+                ids = reading.features(w)
+                np.add.at(x[i], ids, 1 / len(ids) / len(words))
+        z = np.eye(reading.LENGTHS)[reading.length_class(np.array([len(w) for w in found]))]
+        scores, slope = x @ weights + z @ lengths, np.zeros((len(found), 10))
+        for at, classes in ((0, grade), (5, language)):
+            ok = classes >= 0
+            slope[ok, at : at + 5] = (reading.softmax(scores[ok, at : at + 5]) - np.eye(5)[classes[ok]]) / ok.sum()
+        return np.linalg.norm(np.concatenate([x.T @ slope + reading.PENALTY * weights, z.T @ slope + reading.PENALTY * lengths]))
+
+    weights, lengths = reading.fit_sentences(found, grade, language)
+    assert gradient(weights, lengths) <= 0.0021 * gradient(np.zeros_like(weights), np.zeros_like(lengths))
