@@ -10,6 +10,7 @@ form; notices, error messages and the like because they recur, in the whole corp
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 import warnings
@@ -32,8 +33,10 @@ LANGUAGES = ("de", "en", "es", "fr")
 DIMENSIONS = 2**16
 #: At most this many labelled documents are fitted on: those with the lowest hashes of doc_id.
 LABELLED = 4000
-#: A line is a notice if it occurs in documents with at least so many different longest other lines.
-CONTEXTS = 5
+#: A line is a notice if it occurs in documents with at least so many different longest other lines; ``least_contexts``
+#: raises the number with the size of the corpus. Lines of LONG_WORDS are held to the greater second number and to
+#: LONG_SHARE of the documents, as running text of that length may recur in mirrored pages.
+CONTEXTS, LONG_CONTEXTS, LONG_SHARE, LONG_WORDS = 3, 5, 0.001, 40
 #: Sentence lengths are a feature in so many classes, four to a doubling.
 LENGTHS = 36
 #: L2 penalties of the sentence model and of the calibration.
@@ -123,6 +126,15 @@ def contexts(hashes: Sequence[int], lines: Sequence[str]) -> list[int]:
     return found
 
 
+def least_contexts(documents: int) -> tuple[int, int]:
+    """From how many contexts on a short line and a long one are notices, in a corpus of so many documents.
+
+    Running lines that recur by chance get more contexts with the logarithm of the corpus; notices grow in proportion.
+    """
+    short = max(CONTEXTS, math.ceil(math.log10(max(1, documents))))
+    return short, max(short, LONG_CONTEXTS, math.ceil(LONG_SHARE * documents))
+
+
 def features(word: str) -> list[int]:
     """The word itself and its character n-grams of 3 to 5, hashed."""
     marked = f"<{word}>"
@@ -321,7 +333,11 @@ def fit(labelled: list[tuple[str, str | None, float]]) -> Model | None:
     for hashes, lines in zip(hashed, docs):
         for h, c in zip(hashes, contexts(hashes, lines)):
             seen[h].add(c)
-    docs = [[x for h, x in zip(hashes, lines) if len(seen[h]) < CONTEXTS] for hashes, lines in zip(hashed, docs)]
+    short, long = least_contexts(len(docs))
+    docs = [
+        [x for h, x in zip(hashes, lines) if len(seen[h]) < (long if len(WORD.findall(x)) >= LONG_WORDS else short)]
+        for hashes, lines in zip(hashed, docs)
+    ]
     found = [(i, words) for i, lines in enumerate(docs) for _, words in sentences(lines)]
     doc = np.array([i for i, _ in found], np.int64)
     grades = np.array([-1 if g is None else round(g) - 1 for _, _, g in labelled], np.int64)
@@ -455,9 +471,10 @@ def levels(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Data
     )
     lines = docs.select("doc_id", "text").mapInArrow(_score(sent, to_arrow_type(kind)), schema)
     lines = written(lines, "lines")
-    notices = lines.select("line", "context").distinct().groupBy("line").count().filter(
-        F.col("count") >= CONTEXTS
-    ).select("line")
+    short, long = least_contexts(docs.count())
+    notices = lines.groupBy("line", "context").agg(F.max("words").alias("words")).groupBy("line").agg(
+        F.count(F.lit(1)).alias("count"), F.max("words").alias("words")
+    ).filter(F.col("count") >= F.when(F.col("words") >= LONG_WORDS, long).otherwise(short)).select("line")
     main = lines.join(notices, "line", "left_anti")
     summed = main.groupBy("doc_id").agg(
         F.sum("words").alias("words"), F.sum("sentences").alias("sentences"), *[F.sum(n).alias(n) for n in NAMES]

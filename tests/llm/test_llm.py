@@ -366,3 +366,21 @@ def test_the_sentence_model_is_fitted_to_its_tolerance():
 
     weights, lengths = reading.fit_sentences(found, grade, language)
     assert gradient(weights, lengths) <= 0.0021 * gradient(np.zeros_like(weights), np.zeros_like(lengths))
+
+
+def test_notices_by_the_size_of_the_corpus(spark):
+    assert [reading.least_contexts(n) for n in (0, 100, 1000, 100_000, 10**7)] == [(3, 5), (3, 5), (3, 5), (5, 100), (7, 10**4)]
+    letters = ["".join(chr(97 + i // 26**k % 26) for k in range(3)) for i in range(6000)]
+    own = [f"The {a} page tells how the river went down to the old town and the sea." for a in letters]
+    notice, long = "Our newsletter comes every month.", "The long story of the river " * 8 + "ends."
+
+    def words(n, notices, longs):
+        texts = [x + f"\n{notice}" * (i < notices) + f"\n{long}" * (i < longs) for i, x in enumerate(own[:n])]
+        docs = spark.createDataFrame([(i, x, "en") for i, x in enumerate(texts)], "doc_id bigint, text string, lang string")
+        labels = spark.createDataFrame([(i, "a", 1 + i % 5) for i in range(20, 40)], "doc_id bigint, rater string, grade int")
+        return reading.levels(docs, labels).filter("doc_id = 0").first()["words"]
+
+    assert words(60, 3, 0) == 16
+    assert words(60, 2, 0) == 16 + 5
+    assert words(6000, 0, 5) == 16 + 8 * 6 + 1
+    assert words(6000, 0, 6) == 16
