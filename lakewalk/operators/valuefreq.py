@@ -7,6 +7,7 @@ Counts, distinct counts, modes and percentiles then come from the weighted value
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from lakewalk.storage import written
 
 #: A cell of values: sign, exponent and leading bits of the mantissa. Cells ascend with the values in them.
 CELL_BITS = 8
+#: Distinct values that a cell may have to be sorted in one task, and the parts that a larger one is cut into.
+CELL_VALUES, SPLIT = 200_000, 4096
 
 
 def compress(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -52,54 +55,82 @@ def cell(value: Column, bits: int = CELL_BITS) -> Column:
     return F.when(value < 0, -index).otherwise(index)
 
 
-def percentiles(freq: DataFrame, keys: Sequence[str], ps: Sequence[float]) -> DataFrame:
+def percentiles(freq: DataFrame, keys: Sequence[str], ps: Sequence[float], most: int = CELL_VALUES) -> DataFrame:
     """Exact percentiles per key: keys, p, n_values, value; the least value whose cumulative weight reaches p * n.
 
     Values of a key are first counted by cell, so that no task ever holds all values of a key: the running sum over
     cells has at most some ten thousand rows per key, and only the values of the few cells in which a percentile falls
-    are sorted, each cell by itself. Keys without values give no rows; null values don't count.
+    are sorted, each cell by itself. A cell of more than ``most`` distinct values (a hot key whose values lie close
+    together) is cut into SPLIT equal ranges between its least and greatest value, counted again, and so on. Keys without
+    values give no rows; null values don't count.
     """
     keys = list(keys)
-    freq = freq.filter(F.col("value").isNotNull()).withColumn("cell", cell(F.col("value")))
-    counted = freq.groupBy(*keys, "cell").agg(F.sum("freq").alias("w"))
+    where = [*keys, "cell"]
+    freq = freq.filter(F.col("value").isNotNull()).select(*keys, cell(F.col("value")).alias("cell"), "value", "freq")
+    counted = _counted(freq, where)
     by_key = Window.partitionBy(*keys)
     running = counted.withColumn(
         "upto", F.sum("w").over(by_key.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
     ).withColumn("n_values", F.sum("w").over(by_key))
-    wanted = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(float(p)).alias("p"),
-                    F.greatest(F.lit(1), F.ceil(F.col("n_values") * F.lit(float(p)))).cast("bigint").alias("rank"),
-                ) for p in ps
-            ]
-        )
+    ranks = [
+        F.struct(
+            F.lit(float(p)).alias("p"),
+            F.greatest(F.lit(1), F.ceil(F.col("n_values") * F.lit(float(p)))).cast("bigint").alias("rank"),
+        ) for p in ps
+    ]
+    targets = written(_holding(running.withColumn("ts", F.array(*ranks)), where), "cells")
+    inside, done = _values_of(freq, targets, where), []
+    while not targets.filter(F.col("n") > most).isEmpty():
+        done.append(_placed(inside.filter(F.col("n") <= most), where))
+        inside = inside.filter(F.col("n") > most)
+        share = (F.col("value") - F.col("low")).cast("double") / (F.col("high") - F.col("low")).cast("double")
+        sub = f"cell{len(done)}"
+        split = written(inside.withColumn(sub, F.floor(share * (SPLIT - 1))), "split")
+        finer = _counted(split, [*where, sub], "n_values", "before", "ts")
+        order = Window.partitionBy(*where).orderBy(sub).rowsBetween(Window.unboundedPreceding, 0)
+        upto = finer.withColumn("upto", F.col("before") + F.sum("w").over(order))
+        where = [*where, sub]
+        targets = written(_holding(upto, where), "cells")
+        inside = _values_of(split.select(*where, "value", "freq"), targets, where)
+    done.append(_placed(inside, where))
+    return reduce(DataFrame.unionByName, [d.select(*keys, "p", "n_values", "value") for d in done])
+
+
+def _counted(values: DataFrame, where: Sequence[str], *kept: str) -> DataFrame:
+    """Per cell: weight, number of distinct values, least and greatest value."""
+    return values.groupBy(*where).agg(
+        F.sum("freq").alias("w"),
+        F.count(F.lit(1)).alias("n"),
+        F.min("value").alias("low"),
+        F.max("value").alias("high"),
+        *[F.first(c).alias(c) for c in kept],
     )
-    targets = running.select(
-        *keys, "cell", "w", "upto", "n_values", wanted.alias("t")
-    ).filter("t.rank <= upto AND t.rank > upto - w")
-    targets = targets.groupBy(*keys, "cell").agg(
-        F.first("n_values").alias("n_values"),
-        F.first(F.col("upto") - F.col("w")).alias("before"),
-        F.collect_list("t").alias("ts"),
-    )
-    conditions = [F.col(f"v.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys] + [F.col("v.cell") == F.col("t.cell")]
-    inside = freq.alias("v").join(targets.alias("t"), conditions).select(
-        *[F.col(f"v.{k}").alias(k) for k in keys],
-        F.col("v.cell").alias("cell"),
-        "value",
-        "freq",
-        "n_values",
-        "before",
-        "ts",
+
+
+def _holding(running: DataFrame, where: Sequence[str]) -> DataFrame:
+    """The cells that hold one of the ranks ``ts``, with those and the weight before the cell."""
+    before = F.col("upto") - F.col("w")
+    held = F.filter("ts", lambda t: (t["rank"] <= F.col("upto")) & (t["rank"] > before))
+    return running.select(
+        *where, "n", "low", "high", "n_values", before.alias("before"), held.alias("ts")
+    ).filter(F.size("ts") > 0)
+
+
+def _values_of(values: DataFrame, targets: DataFrame, where: Sequence[str]) -> DataFrame:
+    same = [F.col(f"v.{k}").eqNullSafe(F.col(f"t.{k}")) for k in where]
+    return values.alias("v").join(targets.alias("t"), same).select(
+        *[F.col(f"v.{k}").alias(k) for k in where], "value", "freq", "n", "low", "high", "n_values", "before", "ts"
     )
-    in_cell = Window.partitionBy(*keys, "cell").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _placed(inside: DataFrame, where: Sequence[str]) -> DataFrame:
+    """The values at the ranks, by sorting each cell."""
+    in_cell = Window.partitionBy(*where).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     ranked = inside.withColumn("upto", F.col("before") + F.sum("freq").over(in_cell))
     return (
-        ranked.select(*keys, "value", "n_values", "freq", "upto", F.explode("ts").alias("t"))
+        ranked.select(*where, "value", "n_values", "freq", "upto", F.explode("ts").alias("t"))
         .filter("t.rank <= upto AND t.rank > upto - freq")
-        .select(*keys, F.col("t.p").alias("p"), "n_values", F.col("value").alias("value"))
+        .select(*where, F.col("t.p").alias("p"), "n_values", "value")
     )
 
 

@@ -20,7 +20,8 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """The records that each successful run over the feed has to take, by replaying the runs on persistent state."""
+    """The records that each successful run over the feed has to take, by replaying the runs on persistent state. A run
+    without a last drop saw none that it could name, so it doesn't count."""
     log = table(spark, d, "run_log")
     # The run log is one row per run, not per record.
     runs = [
@@ -113,7 +114,7 @@ def p7_values(spark: SparkSession, d: str) -> DataFrame:
     found = snapshots.changes_between(index, rows, "snap_id", ids, key="path", row_id="snap_row", fields=SNAP_FIELDS)
     index.close()
     if found is None:
-        return snapshots._nothing(rows, "path", SNAP_FIELDS, {"snap_id": 0})
+        return snapshots.nothing(rows, "path", SNAP_FIELDS, {"snap_id": 0})
     return found
 
 
@@ -151,14 +152,17 @@ j AS (SELECT coalesce(n.sid, o.sid) AS snap_id, coalesce(n.path, o.path) AS path
 _P6 = "(SELECT 'uid' AS key_kind, uid AS key_id, size FROM inventory UNION ALL SELECT 'gid', gid, size FROM inventory)"
 
 SQL = {
+    # Each row belongs to the first run that sees its drop; a path's state is the greatest (walk_no, -rec_id) up to a run.
     "p1_found": """
-        WITH runs AS (SELECT run_id, last_drop FROM run_log WHERE run_state = 'succeeded' UNION ALL SELECT max(run_id) + 1, 2147483647 FROM run_log),
-        seen AS (SELECT r.run_id, f.path, f.rec_id, f.size, f.mtime, coalesce(f.mtime_nsec, 0) AS ns,
-            row_number() OVER (PARTITION BY r.run_id, f.path ORDER BY f.walk_no DESC, f.rec_id) AS r
-            FROM runs r JOIN inventory_feed f ON f.drop_id <= r.last_drop WHERE f.size IS NOT NULL AND f.mtime IS NOT NULL),
-        st AS (SELECT s.*, o.prev FROM seen s JOIN (SELECT run_id, lag(run_id) OVER (ORDER BY run_id) AS prev FROM runs) o USING (run_id) WHERE r = 1)
-        SELECT a.run_id, a.rec_id FROM st a LEFT JOIN st b ON b.run_id = a.prev AND b.path = a.path
-        WHERE b.rec_id IS NULL OR a.size <> b.size OR a.mtime <> b.mtime OR a.ns <> b.ns""",
+        WITH runs AS (SELECT run_id, last_drop FROM run_log WHERE run_state = 'succeeded' AND last_drop IS NOT NULL
+            UNION ALL SELECT coalesce(max(run_id), 0) + 1, 2147483647 FROM run_log),
+        taken AS (SELECT d.drop_id, min(run_id) AS run_id FROM (SELECT DISTINCT drop_id FROM inventory_feed) d JOIN runs r ON d.drop_id <= r.last_drop GROUP BY d.drop_id),
+        f AS (SELECT t.run_id, path, rec_id, size, mtime, coalesce(mtime_nsec, 0) AS ns, CAST(walk_no AS HUGEINT) * 1000000000000 - rec_id AS rk
+            FROM inventory_feed JOIN taken t USING (drop_id) WHERE size IS NOT NULL AND mtime IS NOT NULL AND path IS NOT NULL),
+        best AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY run_id, path ORDER BY rk DESC) = 1),
+        newer AS (SELECT *, max(rk) OVER (PARTITION BY path ORDER BY run_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM best QUALIFY before IS NULL OR rk > before),
+        steps AS (SELECT *, lag(rec_id) OVER w AS prev, lag(size) OVER w AS s, lag(mtime) OVER w AS m, lag(ns) OVER w AS n FROM newer WINDOW w AS (PARTITION BY path ORDER BY run_id))
+        SELECT run_id, rec_id FROM steps WHERE prev IS NULL OR size <> s OR mtime <> m OR ns <> n""",
     "p3_found": _P3 + "SELECT frag_id FROM packed",
     "p3_records": _P3
     + """, lines AS (SELECT frag_id, unnest(string_split(replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))) AS line,

@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
+import time
 import uuid
+from urllib.parse import unquote, urlsplit
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 _OWN: dict[str, str] = {}
+_MADE: dict[str, list[str]] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; where that is unset (tests, one machine) a temporary one is set."""
+    """The folder named in ``spark.checkpoint.dir``. Where that is unset, a temporary one is made on a local master (tests,
+    one machine); on a cluster a folder of one machine would be read as empty by the others, so there it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return qualified(spark, root).rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="lakewalk-")
@@ -32,7 +40,18 @@ def qualified(spark: SparkSession, path: str) -> str:
 
 def new_folder(spark: SparkSession, what: str) -> str:
     """A name under the shared folder that nothing uses yet."""
-    return f"{shared_root(spark)}/lakewalk-{what}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/lakewalk-{what}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all that this application wrote by ``new_folder`` and ``written`` so far, and give the number of folders. Call
+    it when no result is read any more: results are tables in those folders."""
+    made, files = _MADE.pop(spark.sparkContext.applicationId, []), Files(spark)
+    for path in made:
+        files.delete(path)
+    return len(made)
 
 
 def written(df: DataFrame, what: str, path: str | None = None) -> DataFrame:
@@ -43,6 +62,14 @@ def written(df: DataFrame, what: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def observed(seen: Observation) -> dict | None:
+    """What an observation saw; None if the plan that it stood in was found to be empty and didn't run."""
+    try:
+        return dict(seen.get)
+    except Py4JJavaError:
+        return None
+
+
 class Files:
     """The few file operations that a commit needs, through Hadoop's file system layer."""
 
@@ -63,9 +90,15 @@ class Files:
         self._fs(path).delete(self._path(path), True)
 
     def names(self, path: str) -> list[str]:
+        return [name for name, _ in self.entries(path)]
+
+    def entries(self, path: str) -> list[tuple[str, float]]:
+        """Names in a folder, sorted, with the seconds since each was changed."""
         if not self.exists(path):
             return []
-        return sorted(s.getPath().getName() for s in self._fs(path).listStatus(self._path(path)))
+        now = time.time()
+        found = self._fs(path).listStatus(self._path(path))
+        return sorted((s.getPath().getName(), now - s.getModificationTime() / 1000) for s in found)
 
     def read_text(self, path: str) -> str:
         stream = self._fs(path).open(self._path(path))
@@ -81,18 +114,42 @@ class Files:
         finally:
             stream.close()
 
-    def replace_text(self, path: str, text: str) -> None:
-        """Readers see the old text or the new one, never a part: written aside, then renamed over."""
+    def _aside(self, path: str, text: str) -> str:
         aside = f"{path}.{uuid.uuid4().hex}"
-        fs = self._fs(path)
-        fs.mkdirs(self._path(path).getParent())
-        stream = fs.create(self._path(aside), True)
-        try:
-            stream.write(bytearray(text.encode()))
-        finally:
-            stream.close()
+        self._fs(path).mkdirs(self._path(path).getParent())
+        self.write_bytes(aside, text.encode())
+        return aside
+
+    def _rename(self, aside: str, path: str, overwrite: bool) -> None:
         context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(path).toUri(), self._conf)
         rename = self._jvm.org.apache.hadoop.fs.Options.Rename
-        options = self._jvm.java.lang.reflect.Array.newInstance(rename.OVERWRITE.getClass(), 1)
-        options[0] = rename.OVERWRITE
+        options = self._jvm.java.lang.reflect.Array.newInstance(rename.OVERWRITE.getClass(), int(overwrite))
+        if overwrite:
+            options[0] = rename.OVERWRITE
         context.rename(self._path(aside), self._path(path), options)
+
+    def replace_text(self, path: str, text: str) -> None:
+        """Readers see the old text or the new one, never a part: written aside, then renamed over."""
+        self._rename(self._aside(path, text), path, overwrite=True)
+
+    def put_new(self, path: str, text: str) -> bool:
+        """Make the file with its whole text, unless it is there already: of several writers exactly one gets True.
+
+        On HDFS by a rename that doesn't overwrite, on a local or mounted file system by a hard link. The file system has
+        to offer one of these as one step; a plain object store doesn't.
+        """
+        aside = self._aside(path, text)
+        try:
+            if re.match("file:|/", path):
+                os.link(unquote(urlsplit(aside).path), unquote(urlsplit(path).path))
+            else:
+                self._rename(aside, path, overwrite=False)
+            return True
+        except FileExistsError:
+            return False
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" not in e.java_exception.getClass().getName():
+                raise
+            return False
+        finally:
+            self.delete(aside)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tests.conftest import rows
 
 from lakewalk.operators import compaction, incremental, reconcile, snapshots, valuefreq
-from lakewalk.operators.keyed_state import KeyedState
+from lakewalk.operators.keyed_state import Conflict, KeyedState
 from lakewalk.storage import Files, new_folder
 
 FEED = "rec_id bigint, drop_id int, walk_no int, path string, size bigint, mtime bigint, ns bigint, k1 string, new string"
@@ -66,32 +66,67 @@ def test_incremental_matches_brute_force(spark):
     state = KeyedState(spark, new_folder(spark, "t"))
     got = incremental.replay(state, feed, runs, "drop_id", **how())
     assert rows(got, "run_id", "row_id") == sorted(expected_changes(data, runs), key=repr)
-    assert state.version == 4 and state.notes["run_id"] == 9
+    assert state.version == 1 and state.notes["run_id"] == 9
+    one_by_one = KeyedState(spark, new_folder(spark, "t"))
+    got = incremental.replay(one_by_one, feed, runs, "drop_id", **how(), at_once=1)
+    assert rows(got, "run_id", "row_id") == sorted(expected_changes(data, runs), key=repr)
+    assert one_by_one.version == 4
 
 
-def test_incremental_survives_failures(spark, monkeypatch):
+@pytest.mark.parametrize("step", ["arrive", "stage", "commit"])
+def test_incremental_survives_failures(spark, monkeypatch, step):
     data = feed_rows(90, seed=2)
     feed = spark.createDataFrame(data, FEED)
     runs = [(1, 2), (2, 3), (3, None)]
     root = new_folder(spark, "t")
-    swap, failed = KeyedState.swap, []
+    incremental.replay(KeyedState(spark, root), feed, runs[:1], "drop_id", **how())
+    real, failed = getattr(KeyedState, step), []
 
-    def failing(self, **notes):
-        if notes["run_id"] == 2 and not failed:
+    def failing(self, *args, **kwargs):
+        if not failed:
             failed.append(1)
+            if step != "commit":
+                real(self, *args, **kwargs)
             raise OSError("lost")
-        swap(self, **notes)
+        return real(self, *args, **kwargs)
 
-    monkeypatch.setattr(KeyedState, "swap", failing)
+    monkeypatch.setattr(KeyedState, step, failing)
     with pytest.raises(OSError):
-        incremental.replay(KeyedState(spark, root), feed, runs, "drop_id", **how())
+        incremental.replay(KeyedState(spark, root), feed, runs, "drop_id", **how(), at_once=1)
     again = KeyedState(spark, root)
     assert again.version == 1
-    got = incremental.replay(again, feed, runs, "drop_id", **how())
+    got = incremental.replay(again, feed, runs, "drop_id", **how(), at_once=1)
     assert rows(got, "run_id", "row_id") == sorted(expected_changes(data, runs), key=repr)
-    assert incremental.replay(
-        KeyedState(spark, root), feed, runs, "drop_id", **how()
-    ).count() == len(expected_changes(data, runs))
+    # What the lost attempt has written is named by no commit.
+    assert again.vacuum(0) and not again.vacuum(0)
+    assert rows(again.changes().filter("changed"), "row_id") == rows(got, "row_id")
+    got = incremental.replay(KeyedState(spark, root), feed, runs, "drop_id", **how())
+    assert got.count() == len(expected_changes(data, runs))
+
+
+def test_two_writers_lose_nothing(spark):
+    root = new_folder(spark, "t")
+    made = lambda ids: spark.createDataFrame([(i, 1, 1, f"p{i}", i, 5, 0, "x", None) for i in ids], FEED)
+    incremental.process_new(KeyedState(spark, root), made(range(10)), **how(), run=1)
+    one, two = KeyedState(spark, root), KeyedState(spark, root)
+    assert rows(incremental.process_new(one, made(range(10, 20)), **how(), run=2)) == [(2, i) for i in range(10, 20)]
+    assert rows(incremental.process_new(two, made(range(15, 30)), **how(), run=3)) == [(3, i) for i in range(20, 30)]
+    state = KeyedState(spark, root)
+    assert state.version == 3 and state.current().count() == 30
+    one, two = KeyedState(spark, root), KeyedState(spark, root)
+    one.commit(one.live, one.current().schema, None, {})
+    with pytest.raises(Conflict):
+        two.commit(two.live, two.current().schema, None, {})
+
+
+def test_many_claims_one_wins(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    files, root = Files(spark), new_folder(spark, "t")
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda i: files.put_new(f"{root}/a b/1.json", str(i)), range(16)))
+    assert won.count(True) == 1 and files.read_text(f"{root}/a b/1.json") == str(won.index(True))
+    assert files.names(f"{root}/a b") == ["1.json"]
 
 
 def test_incremental_without_rows(spark):
@@ -100,19 +135,30 @@ def test_incremental_without_rows(spark):
     assert rows(incremental.replay(state, empty, [(1, 1), (2, None)], "drop_id", **how())) == []
 
 
-def test_state_prunes_old_versions_and_is_not_shuffled(spark):
+def test_state_folds_and_is_not_shuffled(spark, monkeypatch):
+    from lakewalk.operators import keyed_state
+
+    monkeypatch.setattr(keyed_state, "MOST_FOLDERS", 2)
+    plans, stage = [], KeyedState.stage
+
+    def kept(self, rows, base=False):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return stage(self, rows, base)
+
+    monkeypatch.setattr(KeyedState, "stage", kept)
+    data = feed_rows(80, drops=8)
+    runs = [(i, i) for i in range(1, 9)]
     state = KeyedState(spark, new_folder(spark, "t"))
-    feed = spark.createDataFrame(feed_rows(40), FEED)
-    incremental.replay(state, feed, [(1, 1), (2, 2), (3, 3), (4, None)], "drop_id", **how())
-    names = Files(spark).names(state.root)
-    assert [n for n in names if n.startswith("state")] == ["state-000000003", "state-000000004"]
-    assert len([n for n in names if n.startswith("changes")]) == 4
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
-    plan = state.current().join(
-        feed.select(F.xxhash64("path").alias("k1"), F.xxhash64("rec_id").alias("k2")), ["k1", "k2"], "left"
-    )._jdf.queryExecution().executedPlan().toString()
-    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert plan.count("Exchange") == 1
+    got = incremental.replay(state, spark.createDataFrame(data, FEED), runs, "drop_id", **how(), at_once=1)
+    assert rows(got, "run_id", "row_id") == sorted(expected_changes(data, runs), key=repr)
+    assert state.version > 8 and len(state.live) <= 3 and [*state.live][0].endswith("-base")
+    assert len([n for n in Files(spark).names(f"{state.root}/rows") if n.endswith("-base")]) <= 2
+    assert plans and not any("Exchange" in p for p in plans)
+    before = {(r["k1"], r["h"]) for r in state.current().groupBy("k1").agg(F.max(F.struct("r0", "r1", "h")).alias("m")).select("k1", "m.h").collect()}
+    state.fold(F.struct("r0", "r1", "h", "row_id", "changed", "run"), buckets=7)
+    assert state.buckets == 7 and {(r["k1"], r["h"]) for r in state.current().collect()} == before
+    more = spark.createDataFrame([(1000, 9, 9, "p1", 77, 5, 0, "x", None)], FEED)
+    assert rows(incremental.process_new(state, more, **how(), run_id=9)) == [(9, 1000)]
 
 
 SNAP = "snap_row bigint, snap_id int, path string, size bigint, mtime bigint, kind string, h bigint"
@@ -128,12 +174,20 @@ def snap_rows(seed):
     return out
 
 
-def test_snapshots_match_brute_force(spark):
+@pytest.mark.parametrize("at_once", [1, 2, 9])
+def test_snapshots_match_brute_force(spark, monkeypatch, at_once):
+    plans, put_out = [], KeyedState.put_out
+
+    def kept(self, changes):
+        plans.append(changes._jdf.queryExecution().executedPlan().toString())
+        return put_out(self, changes)
+
+    monkeypatch.setattr(KeyedState, "put_out", kept)
     data = snap_rows(1)
     df = spark.createDataFrame(data, SNAP)
     index = KeyedState(spark, new_folder(spark, "t"))
     got = snapshots.changes_between(
-        index, df, "snap_id", [3, 5, 6, 9], key="path", row_id="snap_row", fields=["size", "mtime"]
+        index, df, "snap_id", [3, 5, 6, 9], key="path", row_id="snap_row", fields=["size", "mtime"], at_once=at_once
     )
     state = defaultdict(dict)
     for x in sorted(data):
@@ -146,6 +200,12 @@ def test_snapshots_match_brute_force(spark):
         ]
         expected += [(b, p, "changed", old[p][0], new[p][0]) for p in old.keys() & new.keys() if old[p] != new[p]]
     assert rows(got, "snap_id", "path", "change_kind", "old_size", "new_size") == sorted(expected, key=repr)
+    # Neither the snapshots nor the last one's rows are moved again once they lie in the index's buckets.
+    assert plans and not any("Exchange" in p for p in plans)
+    last = spark.createDataFrame([(1, 12, "p1", 9, 9, "x", 0)], SNAP)
+    got = snapshots.next_snapshot(index, last, "path", "snap_row", ["size", "mtime"], snap_id=12)
+    kinds = rows(got, "snap_id", "path", "change_kind")
+    assert len(kinds) == len(state[9].keys() | {"p1"}) and {k[2] for k in kinds} <= {"removed", "changed", "added"}
 
 
 def test_snapshots_empty(spark):
@@ -194,12 +254,35 @@ def test_compaction_commits_only_equal_multisets(spark, monkeypatch):
     root = new_folder(spark, "t")
     before = rows(compaction.pack_fragments(files, root))
     real, calls = compaction.multiset, []
-    monkeypatch.setattr(compaction, "multiset", lambda df: real(df) | {"n": calls.append(1) or len(calls)})
+    monkeypatch.setattr(compaction, "multiset", lambda df: real(df) | {"n": calls.append(1) or -len(calls)})
     with pytest.raises(compaction.ChecksumMismatch):
         compaction.pack_fragments(files.filter("frag_id <> 0"), root)
     assert rows(compaction.committed(spark, root)) == before
 
 
+def test_compaction_never_overwrites(spark, monkeypatch):
+    pack = lambda n: compaction.compact(spark.range(n).withColumn("d", F.lit("x")), root, ["d"])
+    root = new_folder(spark, "t")
+    pack(10)
+    pack(20)
+    held = pack(50)
+    folders = [n for n in Files(spark).names(root) if n.startswith("packed")]
+    assert len(folders) == 2
+    # A run that dies before its commit leaves readers what they had, whatever folders were removed.
+    monkeypatch.setattr(compaction, "multiset", lambda df: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        pack(7)
+    monkeypatch.undo()
+    assert held.count() == 50 and compaction.committed(spark, root).count() == 50
+    # Of two runs from the same version one commits.
+    version = compaction._version
+    monkeypatch.setattr(compaction, "_version", lambda *a: (version(*a)[0] - 1, {}))
+    with pytest.raises(Conflict):
+        pack(8)
+    monkeypatch.undo()
+    assert compaction.committed(spark, root).count() == 50
+
+
 def test_multiset_sees_repetition(spark):
     one = spark.createDataFrame([(1, None), (1, None), (2, "a")], "a int, b string")
     two = spark.createDataFrame([(1, None), (2, "a"), (2, "a")], "a int, b string")
@@ -262,6 +345,36 @@ def test_differences_match_brute_force(spark, share, how):
     assert rows(got) == expected_differences(src, dst, fields)
 
 
+def test_repeated_keys_are_compared(spark):
+    """Rows that a side has repeatedly: equal ones, and the same two in another order, which cancel in the tables."""
+    row = lambda i, p, size: (i, p, 2, size, 1, None, "k", 1)
+    src = [row(1, "a", 1), row(2, "a", 1), row(3, "b", 1), row(4, "b", 2), row(5, "c", 1), row(6, "d", 4), row(7, "d", 4), row(8, "d", 4)]
+    dst = [row(1, "a", 1), row(3, "b", 2), row(4, "b", 1), row(5, "c", 1), row(6, "c", 1), row(7, "c", 9)]
+    got = reconcile.differences(
+        spark.createDataFrame(src, TREE), spark.createDataFrame(dst, TREE), "relpath", "row_id", ["size"]
+    )
+    assert rows(got) == [("b", "size"), ("d", "only_src")]
+
+
+def test_peeling_ends(spark):
+    r = np.random.default_rng(1)
+    width = 40
+    for entries in (5, 60, 4000):
+        k1, e = r.integers(-(2**63), 2**63 - 1, (2, entries))
+        copies = r.choice([-3, -1, 1, 2], entries)
+        check = reconcile.xxhash64_longs(k1, e).view(np.uint64) >> np.uint64(32)
+        halves = [x.view(np.uint64) >> np.uint64(s) & np.uint64(0xFFFFFFFF) for x in (k1, e) for s in (32, 0)]
+        value = np.column_stack([*halves, check]).astype(np.int64)
+        n, sums = np.zeros(3 * width, np.int64), np.zeros((3 * width, 5), np.int64)
+        for at in reconcile._places(e, width):
+            np.add.at(n, at, copies)
+            np.add.at(sums, at, value * copies[:, None])
+        found, number, ok = reconcile.peel(n, sums, width)
+        assert ok == (entries < 4000)
+        if ok:
+            assert dict(zip(found.tolist(), number.tolist())) == dict(zip(k1.tolist(), copies.tolist()))
+
+
 def test_differences_of_empty_sides(spark):
     some = spark.createDataFrame([(1, "a", 2, 1, 1, None, "k", 1)], TREE)
     none = spark.createDataFrame([], TREE)
@@ -321,6 +434,17 @@ def test_value_frequencies(spark):
     }
 
 
+def test_percentiles_of_a_narrow_hot_key(spark):
+    """Values that all lie in one cell are cut into finer cells until none has too many to sort."""
+    values = [2**40 + i * i % 3001 for i in range(4000)]
+    data = [(1, v) for v in values] + [(2, 2**40 + 1), (2, 2**40 + 1), (2, -5)]
+    freq = valuefreq.compress(spark.createDataFrame(data, "a bigint, v bigint"), ["a"], "v")
+    assert freq.select(valuefreq.cell(F.col("value"))).filter("a = 1").distinct().count() == 1
+    ps = [0.0, 0.1, 0.5, 0.51, 0.99, 1.0]
+    got = valuefreq.percentiles(freq, ["a"], ps, most=3)
+    assert rows(got, "a", "p", "n_values", "value") == brute_percentiles(data, ps)
+
+
 def test_value_frequencies_do_not_depend_on_partitions(spark):
     df = spark.range(5000).select((F.col("id") % 7).alias("a"), (F.col("id") * 7919 % 1009).alias("v"))
     results = []
