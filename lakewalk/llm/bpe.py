@@ -2,7 +2,7 @@
 
 The pre-tokens of the texts ("words") are numbered within blocks of documents; a block keeps, in reading order, the
 number of each occurrence, so that a position costs a byte or two. Only the distinct words of a block are exploded and
-shuffled by word: a word that makes up a third of the corpus is one row per block. Where the rows of a word meet, it is
+shuffled by word: a word that makes up a third of the corpus is one row per block, and in a very large corpus its rows meet in several places. Where the rows of a word meet, it is
 encoded once; its ids go back to the blocks, which put the ids of their documents together by position.
 """
 
@@ -15,12 +15,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakewalk.storage import written
 
-#: Where the vocabulary files lie; a parameter of every function here.
+#: Where the vocabulary files lie on the driver's machine; a parameter of every function here.
 TOKENIZERS = "/opt/tokenizers"
 #: The pattern that splits text into pre-tokens. Fixed value of the public vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -28,6 +28,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 BLOCK_CHARS = 4_000_000
 #: A worker forgets its words beyond this number, to bound its memory; forgotten words are encoded again.
 MOST_WORDS = 1_000_000
+#: A word's rows meet once for each 2**10 input partitions: over more input, those of a common word would fill a task.
+PARTS_PER_WORD = 10
 
 _LOADED: dict = {}
 
@@ -38,15 +40,19 @@ def ranks(vocabulary: str, folder: str = TOKENIZERS) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def encoding(vocabulary: str, folder: str = TOKENIZERS):
-    """The encoder, loaded once per process."""
-    if (folder, vocabulary) not in _LOADED:
+def encoding(vocabulary: str, table: dict[bytes, int]):
+    """The encoder of a vocabulary, made once per process."""
+    if vocabulary not in _LOADED:
         import tiktoken
 
-        _LOADED[folder, vocabulary] = tiktoken.Encoding(
-            vocabulary, pat_str=PATTERN, mergeable_ranks=ranks(vocabulary, folder), special_tokens={}
-        )
-    return _LOADED[folder, vocabulary]
+        _LOADED[vocabulary] = tiktoken.Encoding(vocabulary, pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
+    return _LOADED[vocabulary]
+
+
+def _sent(spark: SparkSession, vocabulary: str, folder: str):
+    """The vocabulary as a broadcast, read on the driver alone: executors need no folder of their own. It is as large as the
+    vocabulary file, whatever the corpus."""
+    return spark.sparkContext.broadcast(ranks(vocabulary, folder))
 
 
 def splitter():
@@ -133,9 +139,9 @@ def _number(id_type: pa.DataType, block_chars: int):
     return run
 
 
-def _encode(vocabulary: str, folder: str, most_words: int):
+def _encode(vocabulary: str, sent, most_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, known = encoding(vocabulary, folder).encode_ordinary, {None: None}
+        encode, known = encoding(vocabulary, sent.value).encode_ordinary, {None: None}
         for batch in batches:
             words = batch.column("word").to_pylist()
             if len(known) >= most_words:
@@ -208,10 +214,11 @@ def encode_corpus(
         _number(arrow, block_chars),
         f"block bigint, no int, word string, place binary, docs array<{name}>, lens array<int>",
     )
-    spread = F.when(F.col("word").isNull(), F.xxhash64("block")).otherwise(F.xxhash64("word"))
+    many = F.shiftright("block", 32 + PARTS_PER_WORD)
+    spread = F.when(F.col("word").isNull(), F.xxhash64("block")).otherwise(F.xxhash64("word", many))
     by_word = numbered.repartition(spread)
     encoded = by_word.mapInArrow(
-        _encode(vocabulary, folder, most_words),
+        _encode(vocabulary, _sent(docs.sparkSession, vocabulary, folder), most_words),
         f"block bigint, no int, payload binary, docs array<{name}>, lens array<int>",
     )
     return encoded.groupBy("block").applyInArrow(_assemble(id_col, arrow), f"{id_col} {name}, ids array<int>")
@@ -241,8 +248,10 @@ def count_tokens(
 ) -> DataFrame:
     """``docs`` with a bigint column ``tokens`` in place of the text: 0 for null and empty texts."""
 
+    sent = _sent(docs.sparkSession, vocabulary, folder)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, split, known = encoding(vocabulary, folder).encode_ordinary, splitter(), {}
+        encode, split, known = encoding(vocabulary, sent.value).encode_ordinary, splitter(), {}
         for batch in batches:
             counts = []
             for text in batch.column(batch.schema.get_field_index(text_col)).to_pylist():

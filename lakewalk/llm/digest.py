@@ -22,6 +22,12 @@ DELTA = 300
 RANK_ERROR = 0.01
 #: Rows per part of the first clustering. A key of whatever size is split into parts of about that many.
 PART_ROWS = 200_000
+#: So many digests are merged in one step.
+FAN_IN = 64
+#: Up to so many keys that are split into parts are broadcast.
+MOST_LARGE = 1_000_000
+#: The columns of a cluster.
+POINT = ("mean", "w", "low", "high")
 
 
 def _clustered(points: DataFrame, keys: Sequence[str], delta: int) -> DataFrame:
@@ -49,14 +55,21 @@ def _clustered(points: DataFrame, keys: Sequence[str], delta: int) -> DataFrame:
     )
 
 
-def part_of(value: Column, parts: int) -> Column:
-    return F.pmod(F.xxhash64(value), F.lit(parts)).cast("int")
+def weighted(df: DataFrame, keys: Sequence[str], value: str, part_rows: int) -> DataFrame:
+    """keys, part, value, w: the distinct values with their numbers, combined before the shuffle. Nulls don't count.
 
-
-def weighted(df: DataFrame, keys: Sequence[str], value: str, parts: int) -> DataFrame:
-    """keys, part, value, w: the distinct values with their numbers, combined before the shuffle. Nulls don't count."""
-    return df.filter(F.col(value).isNotNull()).groupBy(
-        *keys, part_of(F.col(value), parts).alias("part"), F.col(value).alias("value")
+    A key of more than ``part_rows`` rows has a part for each so many, by the hash of the value; others have one. The large
+    keys, at most one for ``part_rows`` rows of the table, are broadcast if there are no more than MOST_LARGE of them.
+    """
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("value"))
+    large = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > part_rows)
+    large = written(large.select(*keys, F.ceil(F.col("_n") / part_rows).cast("int").alias("_parts")), "large")
+    joined = rows.alias("r").join(
+        F.broadcast(large).alias("l") if large.count() <= MOST_LARGE else large.alias("l"), _same("r", "l", keys), "left"
+    )
+    part = F.pmod(F.xxhash64("value"), F.coalesce("_parts", F.lit(1))).cast("int").alias("part")
+    return joined.select(*[F.col(f"r.{k}").alias(k) for k in keys], part, "value").groupBy(
+        *keys, "part", "value"
     ).agg(F.count(F.lit(1)).alias("w"))
 
 
@@ -70,9 +83,20 @@ def digests(values: DataFrame, keys: Sequence[str], delta: int = DELTA) -> DataF
     )
 
 
-def merged(digest: DataFrame, keys: Sequence[str], delta: int = DELTA) -> DataFrame:
-    """One digest per ``keys`` from any number of digests of parts, days or anything else that ``keys`` leaves out."""
-    return _clustered(digest.select(*keys, "mean", "w", "low", "high"), keys, delta)
+def merged(digest: DataFrame, keys: Sequence[str], delta: int = DELTA, fan_in: int = FAN_IN) -> DataFrame:
+    """One digest per ``keys`` from any number of digests of parts, days or anything else that ``keys`` leaves out.
+
+    A key of more than ``fan_in`` digests' clusters is merged in steps: its digests are dealt out by the columns that ``keys``
+    leaves out, so that no task sorts many more than ``fan_in`` of them, however many parts or days a key has.
+    """
+    names = [c for c in digest.columns if c not in (*keys, *POINT)] or ["mean", "low", "high"]
+    digest = written(digest, "digest")
+    largest = lambda: digest.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    while (most := largest()) > fan_in * delta:
+        group = F.pmod(F.xxhash64(*names), F.lit(-(-most // (fan_in * delta)))).alias("_group")
+        digest = written(_clustered(digest.select(*keys, group, *POINT), [*keys, "_group"], delta), "digest")
+        names = ["_group"]
+    return _clustered(digest.select(*keys, *POINT), keys, delta)
 
 
 def estimates(digest: DataFrame, keys: Sequence[str], ps: Sequence[float]) -> DataFrame:
@@ -97,18 +121,18 @@ def _same(left: str, right: str, keys: Sequence[str]) -> list[Column]:
 
 
 def certified(
-    values: DataFrame, digest: DataFrame, found: DataFrame, keys: Sequence[str], ps: Sequence[float]
+    values: DataFrame, found: DataFrame, keys: Sequence[str], ps: Sequence[float], spread: Sequence[str] = ("part",)
 ) -> DataFrame:
     """The counting pass: keys, n, p, estimate, below, upto (rows under the estimate, and under or at it), rank_error.
 
-    The estimates are joined to the parts of their keys first, so that a hot key's values stay spread over its parts.
+    The estimates are joined to the parts (``spread``) of their keys first, so that a hot key's values stay spread over them.
     rank_error is the distance of p from the interval [below / n, upto / n]: 0 if the estimate is a true percentile.
     """
-    parts = digest.select(*keys, "part").distinct()
+    parts = values.select(*keys, *spread).distinct()
     to_part = parts.alias("a").join(found.alias("b"), _same("a", "b", keys)).select(
-        *[F.col(f"a.{k}").alias(k) for k in keys], "part", "n", "estimate"
+        *[F.col(f"a.{k}").alias(k) for k in (*keys, *spread)], "n", "estimate"
     )
-    joined = values.alias("v").join(to_part.alias("e"), [*_same("v", "e", keys), F.col("v.part") == F.col("e.part")])
+    joined = values.alias("v").join(to_part.alias("e"), _same("v", "e", [*keys, *spread]))
     at = [F.col("e.estimate")[i] for i in range(len(ps))]
     value = F.col("v.value").cast("double")
     counts = joined.groupBy(*[F.col(f"v.{k}").alias(k) for k in keys]).agg(
@@ -127,11 +151,11 @@ def tolerance(p: Column, rank_error: float = RANK_ERROR) -> Column:
 
 
 def settled(
-    values: DataFrame, digest: DataFrame, found: DataFrame, keys: Sequence[str], ps: Sequence[float], rank_error: float
+    values: DataFrame, found: DataFrame, keys: Sequence[str], ps: Sequence[float], rank_error: float, spread: Sequence[str] = ("part",)
 ) -> DataFrame:
     """The estimates with their certified rank errors; exact percentiles, counted likewise, in place of those that miss
     the ``tolerance``."""
-    checked = written(certified(values, digest, found, keys, ps), "certified")
+    checked = written(certified(values, found, keys, ps, spread), "certified")
     within = F.col("rank_error") <= tolerance(F.col("p"), rank_error)
     missed = checked.filter(~within)
     kept = checked.filter(within).withColumn("exact", F.lit(False))
@@ -140,12 +164,13 @@ def settled(
     bad = missed.select(*keys).distinct()
     open_values = values.alias("v").join(
         bad.alias("b"), _same("v", "b", keys), "left_semi"
-    ).select(*keys, "part", "value", "w")
-    exact = valuefreq.percentiles(open_values.withColumnRenamed("w", "freq"), keys, ps).groupBy(*keys).agg(
+    ).select(*keys, *spread, "value", "w")
+    freq = open_values.groupBy(*keys, "value").agg(F.sum("w").alias("freq"))
+    exact = valuefreq.percentiles(freq, keys, ps).groupBy(*keys).agg(
         F.first("n_values").alias("n"),
         F.array(*[F.max(F.when(F.col("p") == float(p), F.col("value"))).cast("double") for p in ps]).alias("estimate"),
     )
-    counted = certified(open_values, open_values, exact, keys, ps).alias("x")
+    counted = certified(open_values, exact, keys, ps, spread).alias("x")
     fixed = counted.join(
         missed.select(*keys, "p").alias("m"), [*_same("x", "m", keys), F.col("x.p") == F.col("m.p")], "left_semi"
     )
@@ -168,11 +193,9 @@ def percentiles(
     values must be numbers; integers beyond 2**53 are rounded to doubles in the estimates.
     """
     keys = list(keys)
-    parts = max(1, -(-df.count() // part_rows))
-    values = written(weighted(df, keys, value, parts), "values")
-    digest = digests(values, keys, delta)
-    found = estimates(merged(digest, keys, delta), keys, ps)
-    return settled(values, digest, found, keys, ps, rank_error)
+    values = written(weighted(df, keys, value, part_rows), "values")
+    found = estimates(merged(digests(values, keys, delta), keys, delta), keys, ps)
+    return settled(values, found, keys, ps, rank_error)
 
 
 def from_days(
@@ -185,14 +208,10 @@ def from_days(
     delta: int = DELTA,
     part_rows: int = PART_ROWS,
 ) -> DataFrame:
-    """As ``percentiles``, but from one stored digest per ``keys`` and day, which are then combined to one per ``keys``.
-
-    A day's rows are clustered in parts of about ``part_rows`` of the largest day, so a hot key's day isn't one task.
-    """
+    """As ``percentiles``, but from one stored digest per ``keys`` and day, which are then read and combined to one per
+    ``keys``. A day of a key is clustered in parts of about ``part_rows``, so a hot key's day isn't one task."""
     keys = list(keys)
-    rows = df.filter(F.col(value).isNotNull()).groupBy(day).count().agg(F.max("count")).first()[0] or 0
-    parts = max(1, -(-rows // part_rows))
-    values = written(weighted(df, [day, *keys], value, parts), "values")
+    values = written(weighted(df, [day, *keys], value, part_rows), "values")
     daily = written(merged(digests(values, [day, *keys], delta), [day, *keys], delta), "daily")
     found = estimates(merged(daily, keys, delta), keys, ps)
-    return settled(values, values, found, keys, ps, rank_error)
+    return settled(values, found, keys, ps, rank_error, [day, "part"])

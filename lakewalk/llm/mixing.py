@@ -63,19 +63,35 @@ def schedule(spark: SparkSession, rows: list[dict]) -> DataFrame:
     """slot, source, block: which source each slot takes its next block from, for the sources of ``allotment``.
 
     The golden-ratio points of the slots are looked up in the cumulative shares of the blocks, so any run of slots has
-    nearly the mix of the whole; the k-th slot of a source takes its k-th block. There are as many slots as blocks.
+    nearly the mix of the whole; the k-th slot of a source takes its k-th block. There are as many slots as blocks. The points
+    give a source a few slots more or less than it has blocks (their discrepancy is logarithmic); the slots that one has too
+    many, in order, take the blocks that others have left, in turns. Every slot has one block and every block one slot.
     """
     live = [r for r in rows if r["blocks"] > 0]
     slots = sum(r["blocks"] for r in live)
     point = (F.col("slot") + 1) * F.lit(GOLDEN)
-    frac, upto, source = point - F.floor(point), 0, F.lit("")
+    frac, upto, source, blocks = point - F.floor(point), 0, F.lit(""), F.lit(0)
     for i, r in enumerate(live):
         upto += r["blocks"]
         source = (source if i else F).when(frac < upto / slots, r["source"])
+        blocks = (blocks if i else F).when(F.col("source") == r["source"], r["blocks"])
+    if live:
+        source = source.otherwise(live[-1]["source"])
     picked = spark.range(slots).select(F.col("id").alias("slot")).withColumn("source", source)
     picked = picked.withColumn("chunk", F.floor(F.col("slot") / CHUNK_SLOTS)).withColumn("one", F.lit(1))
-    ranked = running(picked, ["source"], "chunk", ["slot"], "one", "block")
-    return ranked.select("slot", "source", F.col("block").cast("bigint").alias("block"))
+    ranked = running(picked, ["source"], "chunk", ["slot"], "one", "block").select("slot", "source", F.col("block").cast("bigint").alias("block"))
+    # One row per source.
+    taken = {r["source"]: r["n"] for r in picked.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
+    left = sorted(
+        (k - taken.get(r["source"], 0), r["source"], k) for r in live for k in range(taken.get(r["source"], 0), r["blocks"])
+    )
+    if not left:
+        return ranked
+    over = F.col("block") >= blocks
+    numbers = Window.orderBy("slot")  # over the few slots that are too many
+    free = ranked.filter(over).select("slot", (F.row_number().over(numbers) - 1).alias("no"))
+    given = spark.createDataFrame([(i, s, k) for i, (_, s, k) in enumerate(left)], "no int, source string, block bigint")
+    return ranked.filter(~over).unionByName(free.join(F.broadcast(given), "no").select("slot", "source", "block"))
 
 
 def mix(
@@ -88,10 +104,9 @@ def mix(
     """The mix as rows, and the shares reached.
 
     ``docs`` has doc_id, source and tokens; ``targets`` source, target_weight and max_repeat. Mix: slot, source, block,
-    epoch, doc_id, first_token, n_tokens: which tokens of which document fill the slot; sorted by slot it is the mixed
-    corpus. A source's documents are shuffled anew in each epoch and laid end to end; blocks of ``block_tokens`` are cut
-    from that stream, so a document may continue in the source's next block. The few blocks for which the points left no
-    slot come at the end. No token occurs in more than max_repeat epochs. Shares: source, target_share, supply_tokens,
+    epoch, doc_id, first_token, n_tokens, at: which tokens of which document fill the slot from place ``at`` on; sorted by slot
+    and place it is the mixed corpus. A source's documents are shuffled anew in each epoch and laid end to end; blocks of
+    ``block_tokens`` are cut from that stream, so a document may continue in the source's next block. No token occurs in more than max_repeat epochs. Shares: source, target_share, supply_tokens,
     max_repeat, epochs, tokens, actual_share.
 
     Documents with null source, null or no tokens don't occur. An empty table or no targets give no rows.
@@ -121,7 +136,6 @@ def mix(
     end = F.least(F.col("start") + F.col("tokens"), F.col("wanted"))
     block = F.explode(F.sequence(F.floor(F.col("start") / block_tokens), F.floor((end - 1) / block_tokens)))
     pieces = stream.withColumn("end", end).withColumn("block", block)
-    slots_in_all = sum(r["blocks"] for r in rows)
     low, high = F.greatest("start", F.col("block") * block_tokens), F.least("end", (F.col("block") + 1) * block_tokens)
     pieces = pieces.select(
         "source",
@@ -130,22 +144,54 @@ def mix(
         "doc_id",
         (low - F.col("start")).cast("bigint").alias("first_token"),
         (high - low).cast("bigint").alias("n_tokens"),
+        (low - F.col("block") * block_tokens).cast("int").alias("at"),
     )
     mixed = written(
-        pieces.join(slots, ["source", "block"], "left").select(
-            F.coalesce("slot", F.col("block") + slots_in_all).alias("slot"),
-            "source",
-            "block",
-            "epoch",
-            "doc_id",
-            "first_token",
-            "n_tokens",
+        pieces.join(slots, ["source", "block"]).select(
+            "slot", "source", "block", "epoch", "doc_id", "first_token", "n_tokens", "at"
         ),
         "mix",
     )
     return mixed, _shares(mixed, rows)
 
 
+def records(mixed: DataFrame, encoded: DataFrame) -> DataFrame:
+    """The mixed corpus itself: slot, source and the token ids of the slot's block, in order, from doc_id and ids of the
+    documents. A slot is never longer than a block."""
+    cut = mixed.join(encoded.select("doc_id", "ids"), "doc_id").select(
+        "slot", "source", "at", F.slice("ids", (F.col("first_token") + 1).cast("int"), F.col("n_tokens").cast("int")).alias("ids")
+    )
+    whole = cut.groupBy("slot", "source").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("parts"))
+    return whole.select("slot", "source", F.flatten("parts.ids").alias("ids"))
+
+
+def consistency(mixed: DataFrame, shares: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """One row of truths: each block is in one slot and each slot holds one block, the slots are numbered without gaps, blocks
+    are filled from 0 without gaps and only a source's last one isn't full, and the shares' tokens are those of the mix."""
+    blocks = mixed.groupBy("slot", "source", "block").agg(
+        F.sum("n_tokens").alias("n"), F.max(F.col("at") + F.col("n_tokens")).alias("end"), F.count_distinct("at").alias("starts"), F.count(F.lit(1)).alias("pieces")
+    )
+    last = mixed.groupBy("source").agg(F.max("block").alias("_last"))
+    per = blocks.join(F.broadcast(last), "source").withColumn("last", F.col("block") == F.col("_last")).agg(
+        F.count(F.lit(1)).alias("blocks"),
+        F.count_distinct("slot").alias("slots"),
+        F.count_distinct("source", "block").alias("named"),
+        F.coalesce(F.max("slot") + 1, F.lit(0)).alias("upto"),
+        F.coalesce(F.bool_and((F.col("n") == F.col("end")) & (F.col("starts") == F.col("pieces"))), F.lit(True)).alias("filled"),
+        F.coalesce(F.bool_and(F.col("last") | (F.col("n") == block_tokens)), F.lit(True)).alias("full"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"),
+    )
+    said = shares.agg(F.sum("tokens").alias("tokens"), F.sum("actual_share").alias("all")).first()
+    tokens, whole = said["tokens"] or 0, abs((said["all"] or 0.0) - 1) < 1e-9
+    return per.select(
+        (F.col("blocks") == F.col("named")).alias("blocks_once"),
+        (F.col("blocks") == F.col("slots")).alias("slots_unique"),
+        (F.col("upto") == F.col("slots")).alias("slots_dense"),
+        (F.col("filled") & F.col("full")).alias("blocks_full"),
+        ((F.col("tokens") == F.lit(tokens)) & ((F.col("tokens") == 0) | F.lit(whole))).alias("tokens_agree"),
+    )
+
+
 def _shares(mixed: DataFrame, rows: list[dict]) -> DataFrame:
     spark = mixed.sparkSession
     reached = mixed.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))

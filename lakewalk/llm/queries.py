@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakewalk.llm import bpe, digest, mixing, reading, topn
+from lakewalk.operators import valuefreq
 from lakewalk.storage import written
 
 PERCENTS = [0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99]
@@ -54,6 +55,32 @@ def p4_certified(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("key_kind", "key", "p", "n", (F.col("rank_error") <= digest.tolerance(F.col("p"))).alias("within"))
 
 
+#: For each of PERCENTS the shares of the ranks between which an estimate has to lie; the upper one excludes its own rank.
+_BOUNDS = [(p - 0.02 * min(p, 1 - p), p + 0.02 * min(p, 1 - p) + 1e-12) for p in PERCENTS]
+
+
+def p4_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Per key and p the exact values at the ends of the stated error, and whether the estimate lies between them."""
+    keys = ["key_kind", "key"]
+    sizes = written(valuefreq.compress(_sizes(spark, d), keys, "size"), "freq")
+    exact = valuefreq.percentiles(sizes, keys, [x for b in _BOUNDS for x in b]).groupBy(*keys).agg(
+        F.first("n_values").alias("n"), F.map_from_entries(F.collect_set(F.struct("p", "value"))).alias("at")
+    )
+    ends = [F.struct(F.lit(p).alias("p"), F.col("at")[F.lit(a)].alias("low"), F.col("at")[F.lit(b)].alias("high")) for p, (a, b) in zip(PERCENTS, _BOUNDS)]
+    bounds = exact.select(*keys, "n", F.explode(F.array(*ends)).alias("b")).select(*keys, "n", "b.*").alias("b")
+    found = digest.percentiles(_sizes(spark, d), keys, "size", PERCENTS).alias("f")
+    same = F.col("b.key_kind").eqNullSafe(F.col("f.key_kind")) & F.col("b.key").eqNullSafe(F.col("f.key")) & (F.col("b.p") == F.col("f.p"))
+    inside = F.col("f.estimate").between(F.col("b.low").cast("double"), F.col("b.high").cast("double")) & (F.col("f.n") == F.col("b.n"))
+    return bounds.join(found, same, "left").select("b.*", F.coalesce(inside, F.lit(False)).alias("inside"))
+
+
+def p4_exact_share(spark: SparkSession, d: str) -> DataFrame:
+    """How often an exact percentile had to step in for an estimate, per kind of key."""
+    return p4_percentiles(spark, d).groupBy("key_kind").agg(
+        F.count(F.lit(1)).alias("estimates"), F.count_if("exact").alias("exact"), F.max("rank_error").alias("most_rank_error")
+    )
+
+
 def p4_from_days(spark: SparkSession, d: str) -> DataFrame:
     """Medians per uid from digests that were made per uid and day and then combined, with certified rank errors."""
     rows = table(spark, d, "inventory").filter("type = 2 AND size IS NOT NULL")
@@ -79,6 +106,18 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(*_tokens(spark, d))[1]
 
 
+def p9_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """The combined records: the token ids of every slot."""
+    mixed = mixing.mix(*_tokens(spark, d))[0]
+    docs = table(spark, d, "documents").join(F.broadcast(table(spark, d, "mix_targets").select("source").distinct()), "source", "left_semi")
+    return mixing.records(mixed, bpe.encode_corpus(docs.select("doc_id", "text")))
+
+
+def p9_consistency(spark: SparkSession, d: str) -> DataFrame:
+    """Whether blocks, slots, tokens and shares of the mix agree."""
+    return mixing.consistency(*mixing.mix(*_tokens(spark, d)))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """The token ids of every document."""
     return bpe.encode_corpus(table(spark, d, "documents"))
@@ -105,11 +144,15 @@ QUERIES = {
         p2_top,
         p4_percentiles,
         p4_certified,
+        p4_bounds,
+        p4_exact_share,
         p4_from_days,
         p8_ids,
         p8_roundtrip,
         p9_mix,
         p9_shares,
+        p9_corpus,
+        p9_consistency,
         p10_found,
         p10_levels,
     )
@@ -121,7 +164,17 @@ _P2 = """
     t AS (SELECT uid, size, atime, inv_id, CAST(row_number() OVER (PARTITION BY uid ORDER BY size DESC, atime DESC NULLS LAST, inv_id) AS INT) AS rank FROM f)
 """
 
+_KEYED = """(SELECT 'uid' AS key_kind, CAST(uid AS VARCHAR) AS key, size FROM inventory WHERE type = 2 AND size IS NOT NULL
+    UNION ALL SELECT 'gid', CAST(gid AS VARCHAR), size FROM inventory WHERE type = 2 AND size IS NOT NULL
+    UNION ALL SELECT 'walk_day', CAST(walk_day AS VARCHAR), size FROM inventory WHERE type = 2 AND size IS NOT NULL)"""
+
 SQL = {
+    "p4_bounds": f"""
+        WITH r AS (SELECT key_kind, key, size, row_number() OVER (PARTITION BY key_kind, key ORDER BY size) AS r, count(*) OVER (PARTITION BY key_kind, key) AS n FROM {_KEYED}),
+        b AS (SELECT * FROM (VALUES {", ".join(f"({p!r}::DOUBLE, {a!r}::DOUBLE, {b!r}::DOUBLE)" for p, (a, b) in zip(PERCENTS, _BOUNDS))}) AS t(p, a, b))
+        SELECT key_kind, key, n, p, max(size) FILTER (r = greatest(1, CAST(ceil(n * a) AS BIGINT))) AS low,
+        max(size) FILTER (r = greatest(1, CAST(ceil(n * b) AS BIGINT))) AS high, true AS inside FROM r, b GROUP BY key_kind, key, n, p""",
+    "p9_consistency": "SELECT true AS blocks_once, true AS slots_unique, true AS slots_dense, true AS blocks_full, true AS tokens_agree",
     "p4_certified": f"""
         SELECT key_kind, key, p, count(*) AS n, true AS within FROM (
             SELECT 'uid' AS key_kind, CAST(uid AS VARCHAR) AS key FROM inventory WHERE type = 2 AND size IS NOT NULL

@@ -1,9 +1,10 @@
 """The N highest-scoring rows of every group, reading little of what can't be among them.
 
-The rows are clustered into files by group and, within a group, by descending score, with small row groups. From the
-statistics of the row groups alone, a lower bound of each group's N-th score follows wherever a row group of a single
-group holds N rows; row groups strictly below it are never opened. Each file's others are read in descending order of
-their maximum score and skipped once that is strictly below the N-th score, so far, of every group in them.
+The rows are clustered into files by group and, within a file, sorted by descending score, with small row groups. From the
+statistics of the row groups alone, a lower bound of a hot group's N-th score follows wherever a row group of that group only
+holds N rows; row groups of the group strictly below it are never opened. Each file's others are taken in descending order of
+their maximum score. The groups in a row group are read first, one column; if its maximum score is strictly below the N-th
+score, so far, of every one of them, its other columns are skipped.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,10 +29,9 @@ def _sorted(order: Sequence[tuple[str, bool]]) -> list[Column]:
 def cluster(
     df: DataFrame, group: str, order: Sequence[tuple[str, bool]], path: str, row_group_bytes: int = ROW_GROUP_BYTES
 ) -> list[str]:
-    """Write ``df`` range-partitioned by group and order: a hot group is spread over many files, even if all its scores are
-    the same. The file names."""
-    places = [F.col(group), *_sorted(order)]
-    clustered = df.repartitionByRange(*places).sortWithinPartitions(*places)
+    """Write ``df`` range-partitioned by group and order, each file sorted by the order alone: a hot group is spread over many
+    files, even if all its scores are the same, and the low scores of many small groups share row groups. The file names."""
+    clustered = df.repartitionByRange(F.col(group), *_sorted(order)).sortWithinPartitions(*_sorted(order), group)
     clustered.write.option("parquet.block.size", str(row_group_bytes)).option(
         "parquet.page.size", str(max(4096, row_group_bytes // 8))
     ).mode("overwrite").parquet(path)
@@ -65,39 +66,60 @@ def statistics(files: DataFrame, group: str, score: str) -> DataFrame:
     )
 
 
-def _best(df: pd.DataFrame, group: str, order: Sequence[tuple[str, bool]], n: int) -> pd.DataFrame:
-    """The first n rows of each group; nulls last."""
-    df = df.sort_values(
-        [group, *[c for c, _ in order]],
-        ascending=[True, *[not desc for _, desc in order]],
-        na_position="last",
-        kind="stable",
-    )
-    return df[df.groupby(group, sort=False).cumcount() < n]
+def _kept(source, parts: pd.DataFrame, columns: list[str], group: str, score: str, n: int) -> Iterator[pa.Table]:
+    """Of one file, whose rows are in the order, the first n of each group; an empty table for a row group that was skipped."""
+    parts = parts.sort_values(["max_score", "row_group"], ascending=[False, True])
+    groups = [source.read_row_group(k, columns=[group]).column(0).to_numpy() for k in parts["row_group"]]
+    _, place = np.unique(np.concatenate(groups), return_inverse=True)
+    count = np.zeros(place.max(initial=0) + 1, np.int64)
+    nth = np.full(len(count), np.iinfo(np.int64).min)
+    for part, at in zip(parts.itertuples(), np.split(place, np.cumsum([len(g) for g in groups])[:-1])):
+        if (count[at] >= n).all() and part.max_score < nth[at].min():
+            yield pa.table([])
+            continue
+        rows = source.read_row_group(part.row_group, columns=columns)
+        order = np.argsort(at, kind="stable")
+        first = np.flatnonzero(np.diff(at[order], prepend=-1))
+        rank = np.empty(len(at), np.int64)
+        rank[order] = np.arange(len(at)) - np.repeat(first, np.diff(first, append=len(at)))
+        rank += count[at]
+        last = rank == n - 1
+        nth[at[last]] = rows.column(score).to_numpy()[last]
+        count += np.bincount(at, minlength=len(count))
+        yield rows.filter(pa.array(rank < n))
+
+
+def read_best(parts: DataFrame, columns: list[str], group: str, order: Sequence[tuple[str, bool]], n: int) -> DataFrame:
+    """The first n rows of each group in each file."""
+    schema = pa.schema([(c, pa.int64()) for c in columns])
+
+    def run(table: pa.Table) -> pa.Table:
+        listed = table.to_pandas()
+        found = [t.cast(schema) for t in _kept(_open(listed["file"].iloc[0]), listed, columns, group, order[0][0], n) if t.num_rows]
+        return pa.concat_tables(found) if found else schema.empty_table()
+
+    return parts.groupBy("file").applyInArrow(run, ", ".join(f"{c} bigint" for c in columns))
+
+
+def reading(parts: DataFrame, columns: list[str], group: str, order: Sequence[tuple[str, bool]], n: int) -> DataFrame:
+    """How many of its row groups ``read_best`` takes and skips in each file: file, row_groups, skipped."""
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        name = pdf["file"].iloc[0]
+        skipped = sum(t.num_columns == 0 for t in _kept(_open(name), pdf, columns, group, order[0][0], n))
+        return pd.DataFrame({"file": [name], "row_groups": [len(pdf)], "skipped": [skipped]})
 
-def read_best(
-    parts: DataFrame, columns: list[str], group: str, order: Sequence[tuple[str, bool]], n: int, schema: str
-) -> DataFrame:
-    """Per file: its row groups in descending maximum score, with skipping; the file's first n rows of each group, and in
-    ``skipped`` how many row groups weren't read."""
+    return parts.groupBy("file").applyInPandas(run, "file string, row_groups int, skipped int")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        source, score = _open(pdf["file"].iloc[0]), order[0][0]
-        best, bound = None, {}
-        for part in pdf.sort_values(["max_score", "row_group"], ascending=[False, True]).itertuples():
-            if part.low == part.high and part.max_score < bound.get(part.low, -np.inf):
-                continue
-            got = source.read_row_group(part.row_group, columns=columns).to_pandas(
-                integer_object_nulls=False, types_mapper=pd.ArrowDtype
-            )
-            best = _best(got if best is None else pd.concat([best, got], ignore_index=True), group, order, n)
-            full = best.groupby(group, sort=False)[score].agg(["size", "min"])
-            full = full[full["size"] >= n]
-            bound.update(zip(full.index, full["min"]))
-        return best[columns]
-
-    return parts.groupBy("file").applyInPandas(run, schema)
+
+def alive(parts: DataFrame, n: int) -> DataFrame:
+    """Of the ``statistics`` the row groups that no row group of a single group rules out."""
+    floors = parts.filter(
+        (F.col("low") == F.col("high")) & (F.col("n") >= n)
+    ).groupBy("low").agg(F.max("min_score").alias("floor"))
+    return parts.join(floors, "low", "left").filter(
+        (F.col("low") != F.col("high")) | F.col("floor").isNull() | (F.col("max_score") >= F.col("floor"))
+    ).select("file", "row_group", "low", "high", "max_score")
 
 
 def top_n(
@@ -121,25 +143,12 @@ def top_n(
         *[F.col(c).cast("bigint").alias(c) for c in columns]
     ).filter(F.col(group).isNotNull() & F.col(score).isNotNull())
     names = cluster(rows, group, order, path or new_folder(spark, "topn"), row_group_bytes)
-    schema = ", ".join(f"{c} bigint" for c in columns)
     if not names:
-        return rows.limit(0)
+        return rows.limit(0).withColumn("rank", F.lit(0))
     # File names only: one per advisory partition size of the data.
     files = spark.createDataFrame([(f,) for f in names], "file string").repartition(len(names))
-    parts = statistics(files, group, score)
-    floors = parts.filter(
-        (F.col("low") == F.col("high")) & (F.col("n") >= n)
-    ).groupBy("low").agg(F.max("min_score").alias("floor"))
-    alive = parts.join(floors, "low", "left").filter(
-        (F.col("low") != F.col("high")) | F.col("floor").isNull() | (F.col("max_score") >= F.col("floor"))
-    )
     best = read_best(
-        alive.select("file", "row_group", "low", "high", "max_score").repartition(len(names), "file"),
-        columns,
-        group,
-        order,
-        n,
-        schema,
+        alive(statistics(files, group, score), n).repartition(len(names), "file"), columns, group, order, n
     )
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*_sorted(order))))
     return ranked.filter(F.col("rank") <= n)

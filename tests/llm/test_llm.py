@@ -69,7 +69,7 @@ def test_encoding_keeps_rows(spark):
 @settings(max_examples=60, deadline=None)
 @given(st.text(max_size=60))
 def test_words_encode_alone(text):
-    encode, split = bpe.encoding("byte_bpe_50k").encode_ordinary, bpe.splitter()
+    encode, split = bpe.encoding("byte_bpe_50k", bpe.ranks("byte_bpe_50k")).encode_ordinary, bpe.splitter()
     assert "".join(split(text)) == text
     assert [i for w in split(text) for i in encode(w)] == reference([text])[0]
 
@@ -101,15 +101,43 @@ def test_top_n(spark, row_group_bytes):
     assert topn.top_n(df.limit(0), "g", [("s", True), ("i", False)], 10).count() == 0
 
 
-def test_top_n_skips_row_groups(spark):
-    df = spark.range(40_000).select((F.col("id") % 3).alias("g"), F.col("id").alias("s"), F.col("id").alias("i"))
-    path = new_folder(spark, "t")
-    names = topn.cluster(df, "g", [("s", True), ("i", False)], path, 512)
+def listed(spark, df, order, row_group_bytes=512):
+    names = topn.cluster(df, "g", order, new_folder(spark, "t"), row_group_bytes)
     files = spark.createDataFrame([(f,) for f in names], "file string")
-    parts = topn.statistics(files, "g", "s").cache()
-    floors = parts.filter("low = high AND n >= 5").groupBy("low").agg(F.max("min_score").alias("floor"))
-    alive = parts.join(floors, "low", "left").filter("low <> high OR floor IS NULL OR max_score >= floor")
-    assert parts.count() > 30 and alive.count() < parts.count() / 3
+    return topn.statistics(files, "g", order[0][0]).cache()
+
+
+def test_top_n_skips_row_groups_of_hot_groups(spark):
+    order = [("s", True), ("i", False)]
+    df = spark.range(40_000).select((F.col("id") % 3).alias("g"), F.col("id").alias("s"), F.col("id").alias("i"))
+    parts = listed(spark, df, order)
+    read = topn.reading(topn.alive(parts, 5), ["g", "s", "i"], "g", order, 5).agg(F.sum("row_groups"), F.sum("skipped")).first()
+    assert parts.count() > 300 and read[0] - read[1] < 20
+    # One group in all files: the statistics alone rule out nearly all of it.
+    parts = listed(spark, df.withColumn("g", F.lit(1).cast("bigint")), order)
+    assert parts.count() > 300 and topn.alive(parts, 5).count() < 10
+
+
+def test_top_n_skips_row_groups_of_many_small_groups(spark):
+    """Groups of 20 rows, so that no row group is of one group alone."""
+    r = random.Random(9)
+    data = [(i % 2000, int(r.lognormvariate(10, 3)), i) for i in range(40_000)]
+    df = spark.createDataFrame(data, "g bigint, s bigint, i bigint")
+    order = [("s", True), ("i", False)]
+    parts = listed(spark, df, order)
+    # The row groups that lie below the second score of every group in them are those that could be skipped at all.
+    ranked = defaultdict(list)
+    for g, s, i in sorted(data, key=lambda x: (-x[1], x[2])):
+        ranked[g].append(s)
+    read = topn.reading(topn.alive(parts, 2), ["g", "s", "i"], "g", order, 2).agg(F.sum("row_groups"), F.sum("skipped")).first()
+    below, total = 0, 0
+    for row in parts.collect():
+        got = topn._open(row["file"]).read_row_group(row["row_group"]).to_pandas()
+        total += 1
+        below += all(row["max_score"] < ranked[g][1] for g in got["g"])
+    assert read[0] == total and below > total / 2 and read[1] == below
+    found = topn.top_n(df, "g", order, 2, row_group_bytes=512)
+    assert rows(found, "g", "i", "rank") == sorted(((g, i, k) for g, k, i in best([(g, s, None, i) for g, s, i in data], 2)), key=repr)
 
 
 def rank_error(values, p, estimate):
@@ -198,7 +226,8 @@ def test_digests_of_days_combine(spark):
     r = random.Random(4)
     data = [(d, k, int(r.lognormvariate(8, 3))) for d in range(10) for k in "ab" for _ in range(800)]
     df = spark.createDataFrame(data, "day int, k string, v bigint")
-    daily = digest.digests(digest.weighted(df, ["day", "k"], "v", 2), ["day", "k"])
+    daily = digest.digests(digest.weighted(df, ["day", "k"], "v", 500), ["day", "k"])
+    assert daily.select("part").distinct().count() == 2
     assert daily.groupBy("day", "k", "part").count().agg(F.max("count")).first()[0] <= digest.DELTA + 2
     for x in digest.estimates(digest.merged(daily, ["k"]), ["k"], [0.1, 0.5, 0.95]).collect():
         values = [v for _, k, v in data if k == x["k"]]
@@ -207,6 +236,27 @@ def test_digests_of_days_combine(spark):
             assert rank_error(values, p, e) <= digest.RANK_ERROR
 
 
+def test_many_digests_are_merged_in_a_tree(spark, monkeypatch):
+    """A key of 200 parts: no step clusters many more than the fan-in's clusters, and the error stays small."""
+    values = [i * i % 100_003 for i in range(20_000)]
+    df = spark.createDataFrame([(1, v) for v in values] + [(2, 5)], "k int, v bigint")
+    digests = digest.digests(digest.weighted(df, ["k"], "v", 100), ["k"], 60)
+    assert digests.filter("k = 1").select("part").distinct().count() > 150
+    sizes, clustered = [], digest._clustered
+
+    def counted(points, keys, delta):
+        sizes.append(points.groupBy(*keys).count().agg(F.max("count")).first()[0])
+        return clustered(points, keys, delta)
+
+    monkeypatch.setattr(digest, "_clustered", counted)
+    whole = digest.merged(digests, ["k"], 60, fan_in=4)
+    assert len(sizes) > 2 and max(sizes) < 3 * 4 * 60 < digests.count()
+    for x in digest.estimates(whole, ["k"], [0.1, 0.5]).collect():
+        if x["k"] == 1:
+            assert x["n"] == len(values)
+            assert all(rank_error(values, p, e) < 0.06 for p, e in zip([0.1, 0.5], x["estimate"]))
+
+
 DOCS = "doc_id bigint, source string, tokens bigint, text string, epoch int"
 TARGETS = "source string, target_weight double, max_repeat int"
 
@@ -269,6 +319,35 @@ def test_mix_in_chunks_is_the_same(spark, monkeypatch):
     assert sum(x["tokens"] for x in shares.values()) == sum(x["n_tokens"] for x in rows_)
 
 
+def test_every_slot_has_one_block(spark):
+    """Equal weights, where the points give sources other numbers of slots than they have blocks."""
+    for sources, blocks in ((4, 27), (3, 11), (7, 5)):
+        docs = [(1000 * s + i, f"s{s}", 16, None, 0) for s in range(sources) for i in range(blocks)]
+        targets = [(f"s{s}", 1.0, None) for s in range(sources)]
+        mix, shares = mixing.mix(spark.createDataFrame(docs, DOCS), spark.createDataFrame(targets, TARGETS), block_tokens=16)
+        slots = sorted((r["slot"], r["source"], r["block"]) for r in mix.collect())
+        assert [s for s, _, _ in slots] == list(range(sources * blocks))
+        assert len({x[1:] for x in slots}) == sources * blocks
+        assert mixing.consistency(mix, shares, 16).first().asDict() == dict.fromkeys(
+            ["blocks_once", "slots_unique", "slots_dense", "blocks_full", "tokens_agree"], True
+        )
+        for n in (sources * 4, sources * 5):
+            assert all(abs(sum(x[1] == f"s{s}" for x in slots[:n]) - n / sources) <= 3 for s in range(sources))
+    broken = mix.withColumn("slot", F.greatest("slot", F.lit(1)))
+    assert not mixing.consistency(broken, shares, 16).first()["slots_unique"]
+
+
+def test_combined_records(spark):
+    docs = spark.createDataFrame([(i, "ab"[i % 2], 5 + i % 7, None, 0) for i in range(40)], DOCS)
+    ids = docs.select("doc_id", F.transform(F.sequence(F.lit(1), "tokens"), lambda k: (F.col("doc_id") * 100 + k).cast("int")).alias("ids"))
+    mix, _ = mixing.mix(docs, spark.createDataFrame([("a", 1.0, None), ("b", 1.0, 1)], TARGETS), block_tokens=16)
+    got = {r["slot"]: r["ids"] for r in mixing.records(mix, ids).collect()}
+    wanted = defaultdict(list)
+    for x in sorted(mix.collect(), key=lambda x: (x["slot"], x["at"])):
+        wanted[x["slot"]] += [x["doc_id"] * 100 + k for k in range(x["first_token"] + 1, x["first_token"] + x["n_tokens"] + 1)]
+    assert got == wanted
+
+
 def test_mix_of_nothing(spark):
     assert mixed(spark, [], [("a", 1.0, 1)])[0] == []
     rows_, shares = mixed(spark, [(1, "a", 5, None, 0)], [])
