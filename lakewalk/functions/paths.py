@@ -58,7 +58,10 @@ def reduced(path: Column | str) -> Column:
         .otherwise(F.when(absolute, done).otherwise(F.concat(done, F.array(c))))
     )
     kept = F.aggregate(parts, F.array().cast("array<string>"), step)
-    return F.concat(F.when(absolute, "/").otherwise(""), F.array_join(kept, "/"))
+    # The fold runs for paths only that have something to reduce.
+    return F.when(
+        path.rlike(r"//|(^|/)\.\.?(/|$)|[^/]/$"), F.concat(F.when(absolute, "/").otherwise(""), F.array_join(kept, "/"))
+    ).otherwise(path)
 
 
 def absolute(path: Column | str, cwd: str) -> Column:

@@ -8,45 +8,50 @@ from pyspark.sql import functions as F
 from lakewalk import schema
 from lakewalk.functions import paths
 from lakewalk.operators.order import numbered
+from lakewalk.storage import written
 
 
 #: Up to so many sizes (8 bytes each) are broadcast.
 MOST_SIZES = 500_000
 
 
-def candidates(files: DataFrame) -> DataFrame:
-    """Regular, non-empty files with ``bytes``, if possible only those of a size that several share. Null contents don't count.
+def hashed(files: DataFrame) -> DataFrame:
+    """path, bytes and digest (SHA-256 in hexadecimal) of the regular, non-empty files of a size that several share.
 
-    Sizes are counted first, without reading contents. If the shared ones are few enough to be broadcast, files of unique
-    size are dropped before anything is hashed; beyond that all files are hashed where they are read. Contents are never
-    shuffled.
+    ``size`` counts; where it is null the bytes of content. Sizes are counted first, without reading contents but those of
+    files without a size. If the shared ones are few enough to be broadcast (counted), files of a unique size are dropped
+    where they are read; beyond that all files are hashed there, with the same groups in the end. Each file is hashed once,
+    into a table of paths and digests; contents are never shuffled. Files with null contents don't count.
     """
     sized = files.filter(
         (F.col("type") == schema.FILE) & F.col("content").isNotNull()
-    ).withColumn("bytes", F.octet_length("content").cast("bigint")).filter("bytes > 0")
-    shared = sized.groupBy("bytes").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("bytes")
-    if shared.limit(MOST_SIZES + 1).count() > MOST_SIZES:
-        return sized
-    return sized.join(F.broadcast(shared), "bytes", "left_semi")
+    ).withColumn("bytes", F.coalesce("size", F.octet_length("content").cast("bigint"))).filter("bytes > 0")
+    known = files.filter((F.col("type") == schema.FILE) & (F.col("size") > 0)).select(F.col("size").alias("bytes"))
+    unknown = sized.filter("size IS NULL").select("bytes")
+    shared = known.unionAll(unknown).groupBy("bytes").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("bytes")
+    shared = written(shared, "sizes")
+    if shared.count() <= MOST_SIZES:
+        sized = sized.join(F.broadcast(shared), "bytes", "left_semi")
+    return written(sized.select("path", "bytes", F.sha2("content", 256).alias("digest")), "digests")
+
+
+def _groups(digests: DataFrame) -> DataFrame:
+    return digests.groupBy("digest").agg(
+        F.min("path").alias("first_path"), F.count(F.lit(1)).alias("copies"), F.max("bytes").alias("bytes")
+    ).filter("copies > 1")
 
 
 def duplicates(files: DataFrame) -> DataFrame:
-    """path, digest (SHA-256 in hexadecimal) and group_size of every file whose content another file has too.
-
-    Only paths and digests are shuffled by digest. Copies stay rows of one class; pairs aren't formed.
-    """
-    hashed = candidates(files).select("path", F.sha2("content", 256).alias("digest"))
-    sizes = hashed.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
-    return hashed.join(sizes, "digest").select("path", "digest", "group_size")
+    """path, digest and group_size of every file whose content another file has too. Copies stay rows of one class; pairs
+    aren't formed."""
+    digests = hashed(files)
+    sizes = _groups(digests).select("digest", F.col("copies").alias("group_size"))
+    return digests.join(sizes, "digest").select("path", "digest", "group_size")
 
 
 def duplicate_groups(files: DataFrame) -> DataFrame:
     """Per digest: the least path, the number of copies and the bytes that all but one of them take."""
-    hashed = candidates(files).select("path", "bytes", F.sha2("content", 256).alias("digest"))
-    groups = hashed.groupBy("digest").agg(
-        F.min("path").alias("first_path"), F.count(F.lit(1)).alias("copies"), F.max("bytes").alias("bytes")
-    )
-    return groups.filter("copies > 1").select(
+    return _groups(hashed(files)).select(
         "digest", "first_path", "copies", (F.col("bytes") * (F.col("copies") - 1)).alias("wasted")
     )
 

@@ -63,22 +63,45 @@ def numbered(rows: DataFrame, order: Sequence[Column | str], name: str = "row_in
     ).drop("_part", "_at", "_before")
 
 
-def running_before(rows: DataFrame, order: Sequence[Column | str], value: str, name: str) -> DataFrame:
-    """``rows`` with the sum of ``value`` over all rows before them in ``order``. Null values count as 0."""
+def running_before(
+    rows: DataFrame, order: Sequence[Column | str], value: str, name: str, place: str | None = None
+) -> DataFrame:
+    """``rows`` with the sum of ``value`` over all rows before them in ``order``. Null values count as 0. ``place`` names a column
+    of numbers that ascend in the order."""
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    place = F.monotonically_increasing_id()
-    kept = written(ranged.withColumn("_part", F.shiftright(place, 33).cast("int")).withColumn("_at", place), "running")
+    number = F.monotonically_increasing_id()
+    kept = written(ranged.withColumn("_part", F.shiftright(number, 33).cast("int")).withColumn("_at", number), "running")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = kept.groupBy("_part").agg(F.sum(F.coalesce(F.col(value), F.lit(0))).alias("_n")).select(
         "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
     )
     inside = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    if place:
+        kept = kept.withColumn(place, F.col("_at"))
     local = kept.withColumn("_local", F.coalesce(F.sum(F.coalesce(F.col(value), F.lit(0))).over(inside), F.lit(0)))
     return local.join(F.broadcast(offsets), "_part").withColumn(
         name, F.col("_before") + F.col("_local")
     ).drop("_part", "_at", "_before", "_local")
 
 
+def segmented_before(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]], value: str, name: str, backwards: bool = False
+) -> DataFrame:
+    """``rows`` with the sum of ``value`` over the rows of the same keys before them in ``order`` (column, descending?), or,
+    ``backwards``, after them. Null values count as 0, null keys are keys.
+
+    The sum runs over all rows in the order of keys and ``order``, by range partitions, and a key's share before its first row
+    is taken off, so no window holds a key, however many rows it has. Of rows equal in all of ``order`` any comes first.
+    """
+    places = [*[F.col(k).asc_nulls_first() for k in keys], *_ordered(order, backwards)]
+    ran = written(running_before(rows, places, value, "_run", place="_place"), "segments")
+    starts = ran.groupBy(*keys).agg(F.min_by("_run", "_place").alias("_start"))
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
+    return ran.alias("r").join(starts.alias("s"), same).select(
+        *[F.col(f"r.{c}").alias(c) for c in rows.columns], (F.col("_run") - F.col("_start")).alias(name)
+    )
+
+
 def bucket_of(index: Column, total: int, buckets: int) -> Column:
     """Which of ``buckets`` contiguous runs a row number falls into, from 0: sizes differ by one, the longer ones first."""
     least, longer = divmod(total, buckets)
@@ -118,6 +141,12 @@ def by_depth(rows: DataFrame) -> DataFrame:
     return rows.groupBy("depth").agg(F.count(F.lit(1)).alias("entries"))
 
 
+def depth_lists(rows: DataFrame) -> list[tuple[int, DataFrame]]:
+    """The lists of entries of each depth, from the top. Depths, not entries, come to the driver: paths are short."""
+    depths = [r[0] for r in rows.filter("depth IS NOT NULL").select("depth").distinct().orderBy("depth").collect()]
+    return [(d, rows.filter(F.col("depth") == d)) for d in depths]
+
+
 def hash_batch(relpath: Column, batches: int) -> Column:
     """An even batch number from 0; '.' goes to batch 0."""
     return F.when(relpath == ".", 0).otherwise(F.pmod(F.xxhash64(relpath), F.lit(batches))).cast("int")

@@ -22,12 +22,13 @@ def check(
     src: DataFrame, delete: bool = False, source_errors: bool = False, chown: bool = False, link_dest: bool = False
 ) -> bool:
     """Whether the plan may delete. An empty source, and owners or modes that are replaced along with hard links, raise
-    UnsafeSync; errors in the scan of the source forbid deletions."""
+    UnsafeSync; errors in the scan of the source, also those that its rows tell of in ``error`` (directories that couldn't be
+    listed), forbid deletions."""
     if src.isEmpty():
         raise UnsafeSync("the source is empty")
     if chown and link_dest:
         raise UnsafeSync("replaced owners or modes would change the linked files too")
-    return delete and not source_errors
+    return delete and not source_errors and ("error" not in src.columns or src.filter("error IS NOT NULL").isEmpty())
 
 
 def override(

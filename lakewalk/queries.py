@@ -1,7 +1,8 @@
 """The queries of the inventory operators, each with the SQL that it is checked against.
 
-A query takes a session and the folder of the tables. The SQL is written for DuckDB over the same tables and shares nothing
-with the operators. Every query runs over whole tables.
+A query takes a session and the folder of the tables. The SQL is written for DuckDB over the same tables; it shares fixed
+values with the operators (bits, names of units, ends of classes, starts of hashes), and no logic. Every query runs over whole
+tables.
 """
 
 from __future__ import annotations
@@ -524,14 +525,6 @@ def imbalance(spark: SparkSession, d: str) -> DataFrame:
     return order.imbalance(inventory(spark, d), "gid")
 
 
-@query("SELECT inv_id, path FROM inventory")
-def hash_batches(spark: SparkSession, d: str) -> DataFrame:
-    """All batches of a division by hash, put together again: no entry is lost or doubled."""
-    numbered = inventory(spark, d).select("inv_id", "path", order.hash_batch(F.col("path"), 4).alias("batch"))
-    first, *rest = [numbered.filter(F.col("batch") == k).drop("batch") for k in range(4)]
-    return schema.combined(first, *rest)
-
-
 @query(
     "SELECT walk_day, path, inv_id FROM inventory UNION ALL SELECT walk_day, path, inv_id FROM inventory WHERE type = 3"
 )
@@ -614,7 +607,15 @@ def large_copies(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query()
+_DEALT = """
+    WITH f AS (SELECT list(CAST([size] AS HUGEINT[]) ORDER BY size DESC, path) AS sizes FROM inventory WHERE type = 2 AND size >= 67108864),
+    r AS (SELECT list_reduce(list_prepend(list_transform(range(16), lambda x: CAST(0 AS HUGEINT)), sizes), lambda acc, x:
+        list_transform(acc, lambda v, i: CASE WHEN i = list_position(acc[1:8], list_min(acc[1:8])) THEN v + x[1] WHEN i = list_position(acc[1:8], list_min(acc[1:8])) + 8 THEN v + 1 ELSE v END)) AS loads FROM f WHERE sizes IS NOT NULL)
+    SELECT CAST(w AS INT) AS worker, CAST(loads[w + 9] AS BIGINT) AS files, CAST(loads[w + 1] AS BIGINT) AS bytes FROM r, range(8) AS t(w) WHERE loads[w + 9] > 0
+"""
+
+
+@query(_DEALT)
 def balanced_copies(spark: SparkSession, d: str) -> DataFrame:
     """Files and bytes per worker."""
     return chunks.assigned_bytes(chunks.balanced(inventory(spark, d), 8))
@@ -747,12 +748,16 @@ def mirror_lists(spark: SparkSession, d: str) -> DataFrame:
     return sync.mirror(src(spark, d), dst(spark, d), delete=True)
 
 
-@query(_TREES + """SELECT s.relpath AS relpath, CASE WHEN s.type NOT IN (3, 4) AND d.relpath IS NOT NULL AND d.type = s.type AND d.size = s.size AND d.mtime = s.mtime AND d.mtime_nsec = s.mtime_nsec THEN 'hardlink' ELSE 'copy' END AS how
-    FROM s LEFT JOIN d ON s.relpath = d.relpath WHERE NOT (s.type = 3 AND coalesce(d.type = 3, false))""")
+_SAME = "d.type = s.type AND d.size = s.size AND d.mtime = s.mtime AND d.mtime_nsec = s.mtime_nsec"
+
+
+@query(_TREES + f"""SELECT relpath, how FROM (SELECT s.relpath AS relpath, s.type NOT IN (3, 4) AND coalesce({_SAME}, false) AS linkable,
+        coalesce(NOT contains(s.relpath, '7') AND CASE s.type WHEN 4 THEN d.type = 4 AND s.link_target IS NOT DISTINCT FROM d.link_target WHEN 3 THEN d.type = 3 ELSE {_SAME} END, false) AS there,
+        CASE WHEN there THEN CASE WHEN linkable THEN 'replace' END WHEN linkable THEN 'hardlink' ELSE 'copy' END AS how FROM s LEFT JOIN d ON s.relpath = d.relpath) WHERE how IS NOT NULL""")
 def link_dest(spark: SparkSession, d: str) -> DataFrame:
-    """A new copy that has the directories already and takes unchanged files from an old copy by hard links."""
+    """A new copy that has a part of an old copy already and takes unchanged files from that one by hard links."""
     old = dst(spark, d)
-    return sync.with_links(src(spark, d), old.filter(F.col("type") == schema.DIRECTORY), old)
+    return sync.with_links(src(spark, d), old.filter(~F.col("relpath").contains("7")), old)
 
 
 @query(
@@ -875,11 +880,11 @@ def path_functions(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
     SELECT inv_id, CASE WHEN path = '/lake/proj' THEN 'EQUAL' WHEN starts_with(path, '/lake/proj/') THEN 'SRC_CHILD' WHEN starts_with('/lake/proj/', path || '/') THEN 'DEST_CHILD' ELSE 'DIFF' END AS relation,
-    '../../' || split_part(path, '/', 3) || substring(path, 7 + length(split_part(path, '/', 3))) AS way FROM inventory WHERE starts_with(path, '/lake/') AND NOT starts_with(path, '/lake/home/') AND path <> '/lake/home'""")
+    CASE WHEN path = '/lake/home/user' THEN '' WHEN starts_with(path, '/lake/home/user/') THEN substring(path, 17) WHEN path = '/lake/home' THEN '..' WHEN starts_with(path, '/lake/home/') THEN '../' || substring(path, 12)
+    WHEN path = '/lake' THEN '../..' WHEN starts_with(path, '/lake/') THEN '../../' || substring(path, 7) ELSE '../../..' || path END AS way FROM inventory""")
 def path_relations(spark: SparkSession, d: str) -> DataFrame:
     """How paths lie to a directory, and the way to them from another."""
-    rows = inventory(spark, d).filter(paths.is_below("path", "/lake") & ~paths.is_below("path", "/lake/home", True))
-    return rows.select(
+    return inventory(spark, d).select(
         "inv_id",
         paths.compare(F.col("path"), F.lit("/lake/proj")).alias("relation"),
         paths.relative(F.lit("/lake/home/user"), F.col("path")).alias("way"),
@@ -995,6 +1000,14 @@ def sync_owners(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(f"SELECT inv_id, path, CAST({_jenkins_sql(hashes.BATCH)} % 4 AS INT) AS batch FROM inventory")
+def hash_batches(spark: SparkSession, d: str) -> DataFrame:
+    """All batches of a division by the hash of the path, put together again: each entry in its batch, none lost or doubled."""
+    numbered = inventory(spark, d).select("inv_id", "path", hashes.batch(F.col("path"), 4).alias("batch"))
+    first, *rest = [numbered.filter(F.col("batch") == k) for k in range(4)]
+    return schema.combined(first, *rest)
+
+
 # Sources and sinks ------------------------------------------------------------------------------------------------------
 
 
@@ -1045,12 +1058,29 @@ def csv_report(spark: SparkSession, d: str) -> DataFrame:
     ).csv(at)
 
 
-@query()
+@query(f"""
+    SELECT {NOW}::BIGINT AS generated_at, (SELECT count(*) FROM inventory WHERE type = 2) AS files, (SELECT count(*) FROM inventory WHERE mode IS NULL) AS scan_errors,
+    CAST({len(profile.SIZE_ENDS)} AS INT) AS size_bins, (SELECT count(*) FROM inventory WHERE type = 2 AND size IS NOT NULL) AS sized, CAST({3 * len(profile.AGE_ENDS)} AS INT) AS age_bins,
+    (SELECT CAST(coalesce(sum(size * (CAST(atime IS NOT NULL AS INT) + CAST(mtime IS NOT NULL AS INT) + CAST(ctime IS NOT NULL AS INT))), 0) AS BIGINT) FROM inventory WHERE type = 2) AS aged_bytes,
+    (SELECT count(*) FROM (SELECT 1 FROM inventory WHERE {_FLAGS} <> 0 LIMIT 100)) AS broken, (SELECT min(path) FROM inventory WHERE {_FLAGS} <> 0) AS first_broken""")
 def json_report(spark: SparkSession, d: str) -> DataFrame:
-    """The profile as one JSON text."""
-    return caches.json_report(
+    """The profile as one JSON text, and what it says when it is read again."""
+    text = caches.json_report(
         type_counts(spark, d), file_size_profile(spark, d), age_profile(spark, d), broken_sample(spark, d), NOW
     )
+    kind = "generated_at bigint, summary struct<files: bigint, scan_errors: bigint>, size_histogram array<struct<number: bigint>>, age_histograms array<struct<bytes: bigint>>, broken_paths array<struct<path: string>>"
+    total = lambda name, field: F.aggregate(f"r.{name}", F.lit(0).cast("bigint"), lambda s, x: s + x[field])
+    return text.select(F.from_json("value", kind).alias("r")).select(
+        "r.generated_at",
+        "r.summary.files",
+        "r.summary.scan_errors",
+        F.size("r.size_histogram").alias("size_bins"),
+        total("size_histogram", "number").alias("sized"),
+        F.size("r.age_histograms").alias("age_bins"),
+        total("age_histograms", "bytes").alias("aged_bytes"),
+        F.size("r.broken_paths").cast("bigint").alias("broken"),
+        F.try_element_at("r.broken_paths", F.lit(1))["path"].alias("first_broken"),
+    )
 
 
 _G = lambda what: "(((((i + " + str(

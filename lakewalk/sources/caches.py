@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -16,12 +17,17 @@ from pyspark.sql.types import StructType
 
 from lakewalk import schema
 from lakewalk.functions import modes, paths, units
+from lakewalk.storage import Files, qualified
 
 #: Letters of types in text caches. Fixed values.
 LETTERS = {schema.FILE: "F", schema.DIRECTORY: "D", schema.LINK: "L"}
 #: Numbers of a binary record after the path, in order. Fixed values.
 NUMBERS = ["mode", "uid", "gid", "atime", "atime_nsec", "mtime", "mtime_nsec", "ctime", "ctime_nsec", "size"]
 RECORDS_PER_TASK = 1_000_000
+#: Records that a writing task holds at once; each so many are a file.
+RECORDS_PER_FILE = 250_000
+#: Names the files of a folder that count.
+MANIFEST = "_manifest.json"
 
 
 def text_lines(rows: DataFrame) -> DataFrame:
@@ -89,18 +95,27 @@ class Records(InputPartition):
         self.path, self.start, self.count, self.chars = path, start, count, chars
 
 
+def _cache_files(system, at: str, suffix: str) -> list[str]:
+    """The files of a folder: those in its manifest, or without one all with the suffix that aren't hidden."""
+    from pyarrow import fs
+
+    if system.get_file_info(f"{at}/{MANIFEST}").type == fs.FileType.File:
+        with system.open_input_file(f"{at}/{MANIFEST}") as source:
+            return [f"{at}/{n}" for n in json.loads(source.read())["files"]]
+    found = system.get_file_info(fs.FileSelector(at))
+    return [f.path for f in found if f.base_name.endswith(suffix) and f.base_name[0] not in "._"]
+
+
 class CacheReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, suffix: str = ""):
+        self.path, self.suffix = path, suffix
 
     def partitions(self) -> list[Records]:
         from pyarrow import fs
 
         system, at = _open(self.path)
         info = system.get_file_info(at)
-        files = [
-            f.path for f in system.get_file_info(fs.FileSelector(at)) if f.base_name.endswith(".mfu")
-        ] if info.type == fs.FileType.Directory else [at]
+        files = _cache_files(system, at, self.suffix) if info.type == fs.FileType.Directory else [at]
         parts = []
         for f in sorted(files):
             with system.open_input_file(f) as source:
@@ -115,7 +130,7 @@ class CacheReader(DataSourceReader):
     def read(self, partition: Records) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        record = np.dtype([("path", f"S{partition.chars}"), *[(n, ">u8") for n in NUMBERS]])
+        record = record_type(partition.chars)
         arrow = to_arrow_schema(schema.INVENTORY)
         system, at = _open(partition.path)
         with system.open_input_file(at) as source:
@@ -139,8 +154,8 @@ class CacheReader(DataSourceReader):
 
 
 class CacheSource(DataSource):
-    """Binary caches, versions 3 and 4: ``spark.read.format("lakewalk_cache").load(file or folder of .mfu files)``. Records
-    have a fixed width, so a large file is read by many tasks."""
+    """Binary caches, versions 3 and 4: ``spark.read.format("lakewalk_cache").load(file or folder)``; option ``suffix``: of the
+    files in a folder without a manifest. Records have a fixed width, so a large file is read by many tasks."""
 
     @classmethod
     def name(cls) -> str:
@@ -150,12 +165,12 @@ class CacheSource(DataSource):
         return schema.INVENTORY
 
     def reader(self, schema: StructType) -> CacheReader:
-        return CacheReader(self.options["path"])
+        return CacheReader(self.options["path"], self.options.get("suffix", ""))
 
 
-def read_binary_cache(spark: SparkSession, path: str) -> DataFrame:
+def read_binary_cache(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
     spark.dataSource.register(CacheSource)
-    return spark.read.format("lakewalk_cache").load(path)
+    return spark.read.format("lakewalk_cache").option("suffix", suffix).load(path)
 
 
 def cache_names(path: str) -> tuple[list[tuple[int, str]], list[tuple[int, str]]]:
@@ -166,10 +181,24 @@ def cache_names(path: str) -> tuple[list[tuple[int, str]], list[tuple[int, str]]
         return _names(source, head["users"]), _names(source, head["groups"])
 
 
-def encode_cache(
-    rows: list[tuple], users: list[tuple[int, str]], groups: list[tuple[int, str]], chars: int, version: int = 4
+def record_type(chars: int) -> np.dtype:
+    """A record: the path, padded with zeros, and the numbers, unsigned and big-endian."""
+    return np.dtype([("path", f"S{chars}"), *[(n, ">u8") for n in NUMBERS]])
+
+
+def encode_batch(batch: pa.RecordBatch, chars: int) -> bytes:
+    """The records of path and NUMBERS, column by column; nulls are 0."""
+    body = np.zeros(batch.num_rows, record_type(chars))
+    body["path"] = batch.column(0).cast(pa.binary()).fill_null(b"").to_numpy(zero_copy_only=False).astype(f"S{chars}")
+    for name, column in zip(NUMBERS, batch.columns[1:]):
+        body[name] = column.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False).astype(np.uint64)
+    return body.tobytes()
+
+
+def encode_head(
+    records: int, users: list[tuple[int, str]], groups: list[tuple[int, str]], chars: int, version: int = 4
 ) -> bytes:
-    """A whole binary cache of (path, *NUMBERS) rows. Names are padded with zeros, numbers are unsigned and big-endian."""
+    """What stands before the records of a binary cache."""
 
     def table(pairs: list[tuple[int, str]]) -> tuple[int, bytes]:
         width = max((len(n.encode()) + 1 for _, n in pairs), default=0)
@@ -178,38 +207,62 @@ def encode_cache(
     user_chars, user_bytes = table(users)
     group_chars, group_bytes = table(groups)
     head = struct.pack(">Q", version) + (struct.pack(">2Q", 0, 0) if version == 3 else b"")
-    head += struct.pack(">6Q", len(users), user_chars, len(groups), group_chars, len(rows), chars)
-    body = np.zeros(len(rows), np.dtype([("path", f"S{chars}"), *[(n, ">u8") for n in NUMBERS]]))
-    for i, row in enumerate(rows):
-        body[i] = (row[0].encode(), *[int(x or 0) for x in row[1:]])
-    return head + user_bytes + group_bytes + body.tobytes()
+    return head + struct.pack(">6Q", len(users), user_chars, len(groups), group_chars, records, chars) + user_bytes + group_bytes
 
 
 def write_binary_cache(
-    rows: DataFrame, path: str, users: list[tuple[int, str]] = (), groups: list[tuple[int, str]] = (), version: int = 4
+    rows: DataFrame,
+    path: str,
+    users: list[tuple[int, str]] = (),
+    groups: list[tuple[int, str]] = (),
+    version: int = 4,
+    suffix: str = ".cache",
 ) -> int:
-    """Write a folder of binary caches, one file per partition, and give the number of records. No rows: no files.
+    """Write a folder of binary caches and give the number of records. Rows without a path don't count.
 
-    Each file is written aside and renamed, so a task that is tried again replaces its own file. Nulls are written as 0,
-    as the format has none. Names of users and groups go into every file, so give those that occur.
+    Batches of columns become records as they come, a file for each RECORDS_PER_FILE. Files have names of their own, so a task
+    that is tried again overwrites nothing; the folder's manifest then names those that count, in one step, and a reader of
+    the folder has either the old cache or the new one. Files that the manifest no longer names are deleted. Nulls are written
+    as 0, as the format has none. Names of users and groups go into every file, so give those that occur.
     """
+    spark = rows.sparkSession
+    path, files = qualified(spark, path).rstrip("/"), Files(spark)
+    rows = rows.filter("path IS NOT NULL")
     longest = rows.agg(F.max(F.octet_length("path"))).first()[0] or 0
     chars = -(-(longest + 1) // 8) * 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+        system, at = _open(path)
+        held, n = [], 0
 
-        kept = [r for b in batches for r in zip(*[c.to_pylist() for c in b.columns])]
-        if kept:
-            system, at = _open(path)
+        def write() -> pa.RecordBatch:
+            name = f"part-{uuid.uuid4().hex}{suffix}"
             system.create_dir(at, recursive=True)
-            aside = f"{at}/.{uuid.uuid4().hex}"
-            with system.open_output_stream(aside) as out:
-                out.write(encode_cache(kept, list(users), list(groups), chars, version))
-            system.move(aside, f"{at}/part-{TaskContext.get().partitionId():05d}.mfu")
-        yield pa.record_batch([pa.array([len(kept)], pa.int64())], ["n"])
-
-    return rows.select("path", *NUMBERS).mapInArrow(run, "n bigint").agg(F.sum("n")).first()[0] or 0
+            with system.open_output_stream(f"{at}/{name}") as out:
+                out.write(encode_head(n, list(users), list(groups), chars, version))
+                for body in held:
+                    out.write(body)
+            return pa.record_batch([pa.array([name]), pa.array([n], pa.int64())], ["name", "n"])
+
+        for batch in batches:
+            for first in range(0, batch.num_rows, RECORDS_PER_FILE):
+                part = batch.slice(first, RECORDS_PER_FILE)
+                held.append(encode_batch(part, chars))
+                n += part.num_rows
+                if n >= RECORDS_PER_FILE:
+                    yield write()
+                    held, n = [], 0
+        if n:
+            yield write()
+
+    # One row per file.
+    made = rows.select("path", *NUMBERS).mapInArrow(run, "name string, n bigint").collect()
+    names = sorted(r["name"] for r in made)
+    files.replace_text(f"{path}/{MANIFEST}", json.dumps({"files": names}))
+    for name in files.names(path):
+        if name.startswith("part-") and name.endswith(suffix) and name not in names:
+            files.delete(f"{path}/{name}")
+    return sum(r["n"] for r in made)
 
 
 def listing(rows: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 Options: ``path`` (one root) or ``roots`` (a JSON list), ``lite`` (names and types only, without a stat), ``dereference``
 (stat what links point to), ``digest`` (SHA-256 of regular files), ``errors`` (``drop`` or ``keep``: rows of failed stats
-with nulls and ``error`` missing or unreadable), ``split`` (levels below a root whose directories are tasks of their own).
-The roots themselves are listed. Overlapping roots list entries as often as they are reached. The mount has to be the same
-on all executors.
+with nulls and ``error`` missing or unreadable), ``split`` (levels below a root whose directories are tasks of their own; the
+entries above them go into tasks of BATCH entries). A directory that can't be listed has ``error`` unlistable on its row,
+whatever the option, as what lies in it is unknown. The roots themselves are listed. Overlapping roots list entries as often as
+they are reached. With ``dereference`` a directory isn't entered again below itself. The mount has to be the same on all
+executors. ``walk_levels`` is the walk for trees of unknown shape: it spreads directories and entries anew at every level.
 """
 
 from __future__ import annotations
@@ -14,13 +16,16 @@ import json
 import os
 import stat
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StringType, StructField, StructType
 
 from lakewalk import schema
+from lakewalk.storage import written
 
 BATCH = 10_000
 
@@ -31,9 +36,11 @@ def entry_type(mode: int) -> int:
     }.get(stat.S_IFMT(mode), schema.UNKNOWN)
 
 
-class Subtree(InputPartition):
-    def __init__(self, path: str, deep: bool):
-        self.path, self.deep = path, deep
+class Subtrees(InputPartition):
+    """Entries for one task: paths, and whether to go down from each."""
+
+    def __init__(self, paths: list[tuple[str, bool]]):
+        self.paths = paths
 
 
 class TreeReader(DataSourceReader):
@@ -44,22 +51,24 @@ class TreeReader(DataSourceReader):
         roots = json.loads(options["roots"]) if "roots" in options else [options["path"]]
         self.roots = [os.path.normpath(r if r.startswith("/") else os.path.join(os.getcwd(), r)) for r in roots]
 
-    def partitions(self) -> list[Subtree]:
-        """Directories at the split level are tasks; what lies above them is listed entry by entry."""
-        parts: list[Subtree] = []
-        level = [(r, 0) for r in self.roots]
+    def partitions(self) -> list[Subtrees]:
+        """Directories at the split level are tasks; what lies above them is listed here and dealt out in batches."""
+        deep: list[str] = []
+        single: list[str] = []
+        level = [(r, 0, os.path.isdir(r) and (self.dereference or not os.path.islink(r))) for r in self.roots]
         while level:
-            path, depth = level.pop()
-            is_dir = os.path.isdir(path) and (self.dereference or not os.path.islink(path))
-            if not is_dir or depth >= self.levels:
-                parts.append(Subtree(path, is_dir))
+            path, depth, is_dir = level.pop()
+            if is_dir and depth >= self.levels:
+                deep.append(path)
                 continue
-            parts.append(Subtree(path, False))
-            try:
-                level += [(e.path, depth + 1) for e in os.scandir(path)]
-            except OSError:
-                pass
-        return parts
+            single.append(path)
+            if is_dir:
+                try:
+                    level += [(e.path, depth + 1, e.is_dir(follow_symlinks=self.dereference)) for e in os.scandir(path)]
+                except OSError:
+                    pass  # its own row says so
+        batches = [single[i : i + BATCH] for i in range(0, len(single), BATCH)]
+        return [Subtrees([(p, True)]) for p in deep] + [Subtrees([(p, False) for p in b]) for b in batches]
 
     def _row(self, path: str, kind: int | None = None) -> tuple | None:
         names = self.table.names
@@ -98,27 +107,56 @@ class TreeReader(DataSourceReader):
         except OSError:
             return {"error": "unreadable"}
 
-    def _walk(self, part: Subtree) -> Iterator[tuple]:
-        row = self._row(part.path)
-        if row:
-            yield row
-        todo = [part.path] if part.deep else []
+    def _listed(self, path: str, kind: int | None) -> tuple[tuple | None, list[os.DirEntry]]:
+        """The row of a directory and its entries."""
+        row = self._row(path, kind)
+        try:
+            return row, list(os.scandir(path))
+        except OSError:
+            if row and "error" in self.table.names and row[self.table.names.index("type")] == schema.DIRECTORY:
+                at = self.table.names.index("error")
+                row = (*row[:at], "unlistable", *row[at + 1 :])
+            return row, []
+
+    def _kind(self, e: os.DirEntry) -> int:
+        if e.is_dir(follow_symlinks=self.dereference):
+            return schema.DIRECTORY
+        if e.is_symlink() and not self.dereference:
+            return schema.LINK
+        return schema.FILE if e.is_file(follow_symlinks=self.dereference) else schema.UNKNOWN
+
+    def _inode(self, path: str) -> tuple[int, int] | None:
+        try:
+            st = os.stat(path)
+            return st.st_dev, st.st_ino
+        except OSError:
+            return None
+
+    def _walk(self, part: Subtrees) -> Iterator[tuple]:
+        todo = []
+        for path, deep in part.paths:
+            is_dir = os.path.isdir(path) and (self.dereference or not os.path.islink(path))
+            if deep:
+                todo.append((path, None, frozenset()))
+            elif row := self._listed(path, None)[0] if is_dir else self._row(path):
+                yield row
         while todo:
-            try:
-                entries = list(os.scandir(todo.pop()))
-            except OSError:
-                continue
+            path, kind, above = todo.pop()
+            row, entries = self._listed(path, kind)
+            if row:
+                yield row
+            if self.dereference:
+                here = self._inode(path)
+                entries = [] if here in above else entries
+                above = above | {here}
             for e in entries:
-                is_dir = e.is_dir(follow_symlinks=self.dereference)
-                kind = schema.DIRECTORY if is_dir else schema.LINK if e.is_symlink() and not self.dereference else schema.FILE if e.is_file(
-                    follow_symlinks=self.dereference
-                ) else schema.UNKNOWN
-                if row := self._row(e.path, kind):
+                kind = self._kind(e)
+                if kind == schema.DIRECTORY:
+                    todo.append((e.path, kind, above))
+                elif row := self._row(e.path, kind):
                     yield row
-                if is_dir:
-                    todo.append(e.path)
 
-    def read(self, partition: Subtree) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Subtrees) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(self.table)
@@ -157,6 +195,41 @@ def walk(spark: SparkSession, *roots: str, **options: str) -> DataFrame:
     return spark.read.format("lakewalk_tree").options(roots=json.dumps(list(roots)), **options).load()
 
 
+def walk_levels(spark: SparkSession, *roots: str, partitions: int | None = None, stats: bool = True) -> DataFrame:
+    """The inventory of one or more roots, level by level: the directories of a level are dealt out evenly, listed and
+    written, and those found are the next level, so no task is left with a deep subtree. Then all entries are dealt out
+    evenly for their stats, so a directory of very many files is one task's only for its names. One job per level.
+    Columns: path, depth, type and error, and with ``stats`` the whole inventory; entries gone meanwhile are left out.
+    """
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = StructType([*schema.LITE.fields, StructField("error", StringType())])
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        reader, arrow = TreeReader(table, {"roots": "[]", "lite": "true"}), to_arrow_schema(table)
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                try:
+                    found = [(e.path, e.path.count("/"), reader._kind(e), None) for e in os.scandir(path)]
+                except OSError:
+                    found = [(path, path.count("/"), schema.DIRECTORY, "unlistable")]
+                for i in range(0, len(found), BATCH):
+                    yield _batch(found[i : i + BATCH], arrow)
+
+    start = TreeReader(table, {"roots": json.dumps(roots), "lite": "true"})
+    tops = [r for p in start.roots if (r := start._row(p))]
+    levels = [written(spark.createDataFrame(tops, table), "level")]
+    while not (todo := levels[-1].filter((F.col("type") == schema.DIRECTORY) & F.col("error").isNull())).isEmpty():
+        levels.append(written(todo.select("path").repartition(n).mapInArrow(listed, table), "level"))
+    names = reduce(DataFrame.unionAll, levels)
+    # A directory that can't be listed has a row of its level and one that says so.
+    lite = names.groupBy("path", "depth", "type").agg(F.max("error").alias("error"))
+    if not stats:
+        return lite
+    return restat(lite.repartition(n)).join(lite.filter("error IS NOT NULL").select("path", "error"), "path", "left")
+
+
 def restat(rows: DataFrame, dereference: bool = False) -> DataFrame:
     """``rows`` (path) with fresh stats, taken on the executors; what can't be read is dropped."""
 

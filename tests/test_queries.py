@@ -3,10 +3,10 @@ import os
 import pytest
 from tests import sqlcheck
 
-from lakewalk import pipeline_queries, queries
+from lakewalk import pipeline_queries, queries, tree_queries
 
-QUERIES = queries.QUERIES | pipeline_queries.QUERIES
-SQL = queries.SQL | pipeline_queries.SQL
+QUERIES = queries.QUERIES | tree_queries.QUERIES | pipeline_queries.QUERIES
+SQL = queries.SQL | tree_queries.SQL | pipeline_queries.SQL
 pytestmark = pytest.mark.skipif(not os.path.isdir(sqlcheck.TABLES), reason="needs the test tables")
 
 
