@@ -5,7 +5,8 @@ distribution over the grades (and over languages). The distributions of a docume
 labelled documents that the sentence model hadn't seen, turn the averages into the document's level.
 
 Main text is found line by line: navigation, copyright lines, readers' comments, headlines and rows of lists by their
-form; notices, error messages and the like because they recur, in the whole corpus, in documents that otherwise differ.
+form; notices because they recur, in a share of the whole corpus, in documents that otherwise differ. The same lines are
+fitted on and scored.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,12 +33,12 @@ GRADES = 5
 LANGUAGES = ("de", "en", "es", "fr")
 #: Hashed features of the sentence model.
 DIMENSIONS = 2**16
-#: At most this many labelled documents are fitted on: those with the lowest hashes of doc_id.
-LABELLED = 4000
-#: A line is a notice if it occurs in documents with at least so many different longest other lines; ``least_contexts``
-#: raises the number with the size of the corpus. Lines of LONG_WORDS are held to the greater second number and to
-#: LONG_SHARE of the documents, as running text of that length may recur in mirrored pages.
-CONTEXTS, LONG_CONTEXTS, LONG_SHARE, LONG_WORDS = 3, 5, 0.001, 40
+#: At most this many labelled documents are fitted on, those with the lowest hashes of doc_id, and of these only such whose
+#: main text has at most so many characters. Both bound what comes to the driver.
+LABELLED, LABELLED_CHARS = 4000, 50_000
+#: A line is a notice if it occurs in different contexts (documents with different longest other lines) that are at least
+#: this share of all documents, and at least so many.
+CONTEXT_SHARE, CONTEXTS = 0.005, 12
 #: Sentence lengths are a feature in so many classes, four to a doubling.
 LENGTHS = 36
 #: L2 penalties of the sentence model and of the calibration.
@@ -52,7 +54,10 @@ SENTENCE_END = re.compile(r"(?<=[.!?;…])\s+")
 LINE_END = re.compile(r"\r\n|\n|\r")
 SEPARATOR = re.compile(r"\s[|·»•\ufffd]\s")
 INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
-COMMENT = re.compile(r"\S*\d:\s")
+#: A line that begins with the name of an account: one word with digits, underscores or an @, and a colon.
+COMMENT = re.compile(r"(?=\S*[\d_@])[\w@.+-]+:\s")
+#: A first line that names something and says what it is.
+HEADLINE = re.compile(r"[^:]{1,40}:")
 MOJIBAKE = re.compile("[\xc2-\xf4][\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]")
 
 _SINGLE = {
@@ -106,7 +111,7 @@ def main_lines(text: str | None) -> list[str]:
         parts = SEPARATOR.split(line)
         if len(parts) > 1 and words <= 3 * len(parts):
             continue
-        if not kept and words <= 20 and line[-1] not in ".!?;…" and ":" in line[:40]:
+        if not kept and words <= 20 and line[-1] not in ".!?;…" and HEADLINE.match(line):
             continue
         kept.append(line)
     return kept
@@ -126,13 +131,9 @@ def contexts(hashes: Sequence[int], lines: Sequence[str]) -> list[int]:
     return found
 
 
-def least_contexts(documents: int) -> tuple[int, int]:
-    """From how many contexts on a short line and a long one are notices, in a corpus of so many documents.
-
-    Running lines that recur by chance get more contexts with the logarithm of the corpus; notices grow in proportion.
-    """
-    short = max(CONTEXTS, math.ceil(math.log10(max(1, documents))))
-    return short, max(short, LONG_CONTEXTS, math.ceil(LONG_SHARE * documents))
+def least_contexts(documents: int) -> int:
+    """In how many contexts a line has to occur to be a notice, in a corpus of so many documents."""
+    return max(CONTEXTS, math.ceil(CONTEXT_SHARE * documents))
 
 
 def features(word: str) -> list[int]:
@@ -324,20 +325,10 @@ def language_class(lang: str | None) -> int:
     return LANGUAGES.index(lang) if lang in LANGUAGES else len(LANGUAGES)
 
 
-def fit(labelled: list[tuple[str, str | None, float]]) -> Model | None:
-    """From (text, lang, grade) of labelled documents; a grade of None stands for documents that only have a language.
-    None if nothing is graded."""
-    docs = [main_lines(text) for text, _, _ in labelled]
-    seen: dict[int, set] = defaultdict(set)
-    hashed = [[line_hash(x) for x in lines] for lines in docs]
-    for hashes, lines in zip(hashed, docs):
-        for h, c in zip(hashes, contexts(hashes, lines)):
-            seen[h].add(c)
-    short, long = least_contexts(len(docs))
-    docs = [
-        [x for h, x in zip(hashes, lines) if len(seen[h]) < (long if len(WORD.findall(x)) >= LONG_WORDS else short)]
-        for hashes, lines in zip(hashed, docs)
-    ]
+def fit(labelled: list[tuple[list[str], str | None, float | None]]) -> Model | None:
+    """From (lines of main text, lang, grade) of labelled documents; a grade of None stands for documents that only have a
+    language. None if nothing is graded."""
+    docs = [lines for lines, _, _ in labelled]
     found = [(i, words) for i, lines in enumerate(docs) for _, words in sentences(lines)]
     doc = np.array([i for i, _ in found], np.int64)
     grades = np.array([-1 if g is None else round(g) - 1 for _, _, g in labelled], np.int64)
@@ -366,18 +357,21 @@ def fit(labelled: list[tuple[str, str | None, float]]) -> Model | None:
 
 
 def labelled_sample(
-    docs: DataFrame, labels: DataFrame, most: int = LABELLED
-) -> list[tuple[str, str | None, float | None]]:
-    """(text, lang, grade) of at most ``most`` labelled documents. The grade is the median of the raters', null grades
-    and repeated rows left out; without any it is None."""
+    docs: DataFrame, labels: DataFrame, main: DataFrame, most: int = LABELLED, most_chars: int = LABELLED_CHARS
+) -> list[tuple[list[str], str | None, float | None]]:
+    """(lines of main text, lang, grade) of at most ``most`` labelled documents with at most ``most_chars`` characters of main
+    text. The grade is the median of the raters', null grades and repeated rows left out; without any it is None."""
     graded = labels.select("doc_id", "rater", "grade").distinct().groupBy("doc_id").agg(
         F.percentile("grade", F.lit(0.5)).alias("grade")
     )
-    chosen = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", "text", "lang").join(
-        F.broadcast(chosen), "doc_id"
-    ).filter("text IS NOT NULL").orderBy("doc_id").collect()
-    return [(r["text"], r["lang"], r["grade"]) for r in rows]
+    chosen = F.broadcast(written(graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most), "chosen"))
+    texts = main.join(chosen, "doc_id", "left_semi")
+    short = texts.groupBy("doc_id").agg(F.sum(F.length("text")).alias("n")).filter(F.col("n") <= most_chars).select("doc_id")
+    lines = defaultdict(list)
+    for r in texts.join(F.broadcast(short), "doc_id").select("doc_id", "no", "text").orderBy("doc_id", "no").collect():
+        lines[r["doc_id"]].append(r["text"])
+    known = docs.select("doc_id", "lang").join(chosen, "doc_id").orderBy("doc_id").collect()
+    return [(lines[r["doc_id"]], r["lang"], r["grade"]) for r in known if r["doc_id"] in lines]
 
 
 NAMES = [
@@ -388,62 +382,82 @@ NAMES = [
 ]
 
 
-def _score(model, id_type: pa.DataType):
-    names = ["doc_id", "line", "context", "words", "sentences", *NAMES]
+def _split(id_type: pa.DataType):
+    """Texts to the lines that may be main text."""
+    names = ["doc_id", "no", "line", "context", "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model.value.weights, model.value.lengths)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             at = 0
             while at < len(ids):
-                owner, line, context, found = [], [], [], []
-                chars = 0
+                owner, no, line, context, text, chars = [], [], [], [], [], 0
                 while at < len(ids) and chars < 4_000_000:
                     lines = main_lines(texts[at])
                     hashes = [line_hash(x) for x in lines]
-                    base = len(owner)
                     owner += [ids[at]] * len(lines)
+                    no += range(len(lines))
                     line += hashes
                     context += contexts(hashes, lines)
-                    found += [(base + k, words) for k, words in sentences(lines)]
+                    text += lines
                     chars += len(texts[at] or "")
                     at += 1
-                if not found:
-                    continue
-                scores = scorer([w for _, w in found])
-                levels, langs = softmax(scores[:, :GRADES]), softmax(scores[:, GRADES:])
-                langs[[foreign(w) for _, w in found]] = np.eye(len(LANGUAGES) + 1)[-1]
-                n = np.array([len(w) for _, w in found], np.float32)
-                sums = np.column_stack(
-                    [
-                        levels * n[:, None],
-                        levels,
-                        np.eye(GRADES, dtype=np.float32)[levels.argmax(axis=1)],
-                        langs * n[:, None],
-                    ]
-                )
-                place = np.array([k for k, _ in found])
-                first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-                kept = place[first]
-                columns = np.add.reduceat(sums, first, axis=0).astype(np.float32)
-                count = np.diff(np.concatenate([first, [len(place)]])).astype(np.int32)
-                total = np.add.reduceat(n, first).astype(np.int32)
                 yield pa.record_batch(
-                    [
-                        pa.array([owner[k] for k in kept], id_type),
-                        pa.array(np.array(line, np.int64)[kept]),
-                        pa.array(np.array(context, np.int64)[kept]),
-                        pa.array(total),
-                        pa.array(count),
-                        *[pa.array(columns[:, i]) for i in range(len(NAMES))],
-                    ],
-                    names,
+                    [pa.array(owner, id_type), pa.array(no, pa.int32()), pa.array(line, pa.int64()), pa.array(context, pa.int64()), pa.array(text, pa.string())], names
                 )
 
     return run
 
 
+def main_text(docs: DataFrame) -> DataFrame:
+    """doc_id, no, text: the lines of every document's main text, in order of ``no``. Null and empty texts have none.
+
+    Lines are split off and hashed once and written; those that are notices in the whole corpus are then left out. There are
+    at most as many notices as a document has lines on average, divided by CONTEXT_SHARE, so they are broadcast."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = docs.schema["doc_id"].dataType
+    lines = docs.select("doc_id", "text").mapInArrow(
+        _split(to_arrow_type(kind)), f"doc_id {kind.simpleString()}, no int, line bigint, context bigint, text string"
+    )
+    lines = written(lines, "lines")
+    notices = lines.select("line", "context").distinct().groupBy("line").agg(F.count(F.lit(1)).alias("n")).filter(
+        F.col("n") >= least_contexts(docs.count())
+    )
+    return lines.join(F.broadcast(written(notices.select("line"), "notices")), "line", "left_anti").select("doc_id", "no", "text")
+
+
+def _score(model, id_type: pa.DataType):
+    names = ["doc_id", "words", "sentences", *NAMES]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model.value.weights, model.value.lengths)
+        for batch in batches:
+            found = sentences(batch.column(1).to_pylist())
+            if not found:
+                continue
+            scores = scorer([w for _, w in found])
+            levels, langs = softmax(scores[:, :GRADES]), softmax(scores[:, GRADES:])
+            langs[[foreign(w) for _, w in found]] = np.eye(len(LANGUAGES) + 1)[-1]
+            n = np.array([len(w) for _, w in found], np.float32)
+            likeliest = np.eye(GRADES, dtype=np.float32)[levels.argmax(axis=1)]
+            sums = np.column_stack([levels * n[:, None], levels, likeliest, langs * n[:, None]])
+            place = np.array([k for k, _ in found])
+            # Lines of a document follow each other: one row for each run of them.
+            ids = batch.column(0).take(pa.array(place))
+            changed = np.concatenate([[True], np.asarray(pc.fill_null(pc.not_equal(ids[1:], ids[:-1]), True).to_pylist(), bool)])
+            first = np.flatnonzero(changed)
+            columns = np.add.reduceat(sums, first, axis=0).astype(np.float32)
+            count = np.diff(np.concatenate([first, [len(place)]])).astype(np.int32)
+            total = np.add.reduceat(n, first).astype(np.int32)
+            yield pa.record_batch(
+                [ids.take(pa.array(first)).cast(id_type), pa.array(total), pa.array(count), *[pa.array(columns[:, i]) for i in range(len(NAMES))]],
+                names,
+            )
+
+    return run
+
+
 def levels(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> DataFrame:
     """doc_id, words, language, level and p_demanding of every document with main text.
 
@@ -454,9 +468,9 @@ def levels(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Data
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
-    spark = docs.sparkSession
-    model = fit(labelled_sample(docs, labels, labelled))
-    kind = docs.schema["doc_id"].dataType
+    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType
+    main = main_text(docs)
+    model = fit(labelled_sample(docs, labels, main, labelled))
     if model is None:
         return docs.limit(0).select(
             "doc_id",
@@ -466,17 +480,9 @@ def levels(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Data
             F.lit(0.0).alias("p_demanding"),
         )
     sent = spark.sparkContext.broadcast(model)  # of a fixed size: DIMENSIONS by 10 numbers
-    schema = f"doc_id {kind.simpleString()}, line bigint, context bigint, words int, sentences int, " + ", ".join(
-        f"{n} float" for n in NAMES
-    )
-    lines = docs.select("doc_id", "text").mapInArrow(_score(sent, to_arrow_type(kind)), schema)
-    lines = written(lines, "lines")
-    short, long = least_contexts(docs.count())
-    notices = lines.groupBy("line", "context").agg(F.max("words").alias("words")).groupBy("line").agg(
-        F.count(F.lit(1)).alias("count"), F.max("words").alias("words")
-    ).filter(F.col("count") >= F.when(F.col("words") >= LONG_WORDS, long).otherwise(short)).select("line")
-    main = lines.join(notices, "line", "left_anti")
-    summed = main.groupBy("doc_id").agg(
+    schema = f"doc_id {kind.simpleString()}, words int, sentences int, " + ", ".join(f"{n} float" for n in NAMES)
+    scored = main.select("doc_id", "text").mapInArrow(_score(sent, to_arrow_type(kind)), schema)
+    summed = scored.groupBy("doc_id").agg(
         F.sum("words").alias("words"), F.sum("sentences").alias("sentences"), *[F.sum(n).alias(n) for n in NAMES]
     )
     x = [

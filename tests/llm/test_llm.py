@@ -378,6 +378,7 @@ def page(r, level, comment=False):
 def test_reading_levels(spark):
     r = random.Random(6)
     truth = [(i, r.choice([1, 5])) for i in range(160)]
+    assert reading.main_lines("max_99: hello to you all there.\n@ann: so do I, my dear friends.\nNote: this is the text of it.") == ["Note: this is the text of it."]
     docs = [(i, page(r, (g - 1) / 4, comment=i % 2 == 0), "en") for i, g in truth] + [
         (900, None, None),
         (901, "", "en"),
@@ -448,18 +449,30 @@ def test_the_sentence_model_is_fitted_to_its_tolerance():
 
 
 def test_notices_by_the_size_of_the_corpus(spark):
-    assert [reading.least_contexts(n) for n in (0, 100, 1000, 100_000, 10**7)] == [(3, 5), (3, 5), (3, 5), (5, 100), (7, 10**4)]
+    assert [reading.least_contexts(n) for n in (0, 100, 2400, 10_000, 10**7)] == [12, 12, 12, 50, 50_000]
     letters = ["".join(chr(97 + i // 26**k % 26) for k in range(3)) for i in range(6000)]
     own = [f"The {a} page tells how the river went down to the old town and the sea." for a in letters]
-    notice, long = "Our newsletter comes every month.", "The long story of the river " * 8 + "ends."
+    notice = "Our newsletter comes every month."
 
-    def words(n, notices, longs):
-        texts = [x + f"\n{notice}" * (i < notices) + f"\n{long}" * (i < longs) for i, x in enumerate(own[:n])]
+    def words(n, notices):
+        texts = [x + f"\n{notice}" * (i < notices) for i, x in enumerate(own[:n])]
         docs = spark.createDataFrame([(i, x, "en") for i, x in enumerate(texts)], "doc_id bigint, text string, lang string")
         labels = spark.createDataFrame([(i, "a", 1 + i % 5) for i in range(20, 40)], "doc_id bigint, rater string, grade int")
         return reading.levels(docs, labels).filter("doc_id = 0").first()["words"]
 
-    assert words(60, 3, 0) == 16
-    assert words(60, 2, 0) == 16 + 5
-    assert words(6000, 0, 5) == 16 + 8 * 6 + 1
-    assert words(6000, 0, 6) == 16
+    assert words(60, 12) == 16
+    assert words(60, 11) == 16 + 5
+    assert words(6000, 30) == 16
+    assert words(6000, 29) == 16 + 5
+
+
+def test_repeated_paragraphs_stay_main_text(spark):
+    """A paragraph that some pages share is main text, also where lines recur five-fold."""
+    shared = "The river went down to the old town and the sea, and nobody knew why it took so long to get there."
+    page = lambda i: "\n".join([shared, f"Then the {'abcdefghij'[i]} people of the town came out to see it, one after the other."])
+    found = []
+    for n in (4, 10):
+        docs = spark.createDataFrame([(i, page(i), "en") for i in range(n)], "doc_id bigint, text string, lang string")
+        main = reading.main_text(docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 100)))
+        found.append(sorted(r["text"] for r in main.filter("doc_id = 0").collect()))
+    assert found[0] == found[1] == sorted(page(0).split("\n"))
