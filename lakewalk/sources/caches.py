@@ -127,9 +127,11 @@ class CacheReader(DataSourceReader):
                 )
         return parts
 
-    def read(self, partition: Records) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Records | None) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        if partition is None:  # a cache without files
+            return
         record = record_type(partition.chars)
         arrow = to_arrow_schema(schema.INVENTORY)
         system, at = _open(partition.path)

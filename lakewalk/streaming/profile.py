@@ -1,7 +1,8 @@
 """Profiles over inventories that keep arriving, with Structured Streaming.
 
-All state is small and keyed by class or window; the checkpoint below ``root`` makes a query that was cut off go on where
-it was, and the result is replaced as a whole by each batch, so nothing counts twice.
+The checkpoint below ``root`` makes a query that was cut off go on where it was. ``run_complete`` is for results of bounded
+size, such as classes: each batch replaces the result as a whole, so nothing counts twice, and keeps all of it as state.
+``run_final`` is for windows, whose number grows: each is put out once, when no more can come for it, and leaves the state.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ def arriving(
 
 
 def run_complete(aggregated: DataFrame, root: str) -> DataFrame:
-    """Run a grouped stream over all that is there, keeping the whole result below ``root``; the result so far."""
+    """Run a grouped stream over all that is there, keeping the whole result below ``root``; the result so far. The result
+    before it is kept too, for readers that hold it; older ones are deleted."""
     spark = aggregated.sparkSession
     result = f"{root}/result"
     files = Files(spark)
@@ -37,6 +39,10 @@ def run_complete(aggregated: DataFrame, root: str) -> DataFrame:
         at = f"{result}-{number:09d}"
         batch.write.mode("overwrite").parquet(at)
         files.replace_text(f"{root}/CURRENT", at)
+        kept = sorted(n for n in files.names(root) if n.startswith("result-") and n <= at.rsplit("/", 1)[1])[-2:]
+        for n in files.names(root):
+            if n.startswith("result-") and n < kept[0]:
+                files.delete(f"{root}/{n}")
 
     query = aggregated.writeStream.outputMode("complete").option(
         "checkpointLocation", f"{root}/checkpoint"
@@ -47,6 +53,15 @@ def run_complete(aggregated: DataFrame, root: str) -> DataFrame:
     return spark.read.parquet(files.read_text(f"{root}/CURRENT"))
 
 
+def run_final(aggregated: DataFrame, root: str) -> DataFrame:
+    """Run a stream of windows over all that is there; the windows so far that the watermark has passed, each once."""
+    query = aggregated.writeStream.outputMode("append").format("parquet").option(
+        "checkpointLocation", f"{root}/checkpoint"
+    ).option("path", f"{root}/windows").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return aggregated.sparkSession.read.schema(aggregated.schema).parquet(f"{root}/windows")
+
+
 def type_profile(stream: DataFrame) -> DataFrame:
     """Entries and bytes by type."""
     return stream.groupBy("type").agg(
@@ -54,14 +69,23 @@ def type_profile(stream: DataFrame) -> DataFrame:
     )
 
 
-def windows(stream: DataFrame, time: str, keys: list[str], length: str, late: str) -> DataFrame:
-    """Rows per tumbling window and keys; rows later than ``late`` behind the latest seen may be dropped.
-    Rows without a time don't count."""
+def windows(
+    stream: DataFrame, time: str, keys: list[str], length: str, late: str, slide: str | None = None
+) -> DataFrame:
+    """Rows per window and keys, tumbling or, with ``slide``, sliding by so much; rows later than ``late`` behind the latest
+    seen may be dropped. Rows without a time don't count."""
     timed = stream.withColumn("_at", F.col(time).cast("timestamp")).withWatermark("_at", late)
-    counted = timed.groupBy(F.window("_at", length).alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"))
+    counted = timed.groupBy(F.window("_at", length, slide).alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"))
     return counted.select(F.unix_seconds("w.start").alias("window_start"), *keys, "n")
 
 
+def sessions(stream: DataFrame, time: str, keys: list[str], gap: str, late: str) -> DataFrame:
+    """Rows per session of keys: runs of rows that follow each other within ``gap``; otherwise as ``windows``."""
+    timed = stream.withColumn("_at", F.col(time).cast("timestamp")).withWatermark("_at", late)
+    counted = timed.groupBy(F.session_window("_at", gap).alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(F.unix_seconds("w.start").alias("window_start"), F.unix_seconds("w.end").alias("window_end"), *keys, "n")
+
+
 def first_seen(stream: DataFrame, key: str, time: str, late: str) -> DataFrame:
     """Each key once within the time that state is kept: repeated deliveries are dropped."""
     return stream.withColumn(

@@ -218,6 +218,17 @@ def joined_paths(spark: SparkSession, d: str) -> DataFrame:
     return q.inventory(spark, d).select("inv_id", paths.joined("/backup/", F.col("path"), "new/").alias("path"))
 
 
+@query("""
+    WITH w AS (SELECT CAST(epoch(time_bucket(INTERVAL 6 HOUR, ts)) AS BIGINT) - k * 21600 AS window_start, event_type FROM events, range(2) AS t(k) WHERE ts IS NOT NULL)
+    SELECT window_start, event_type, count(*) AS n FROM w WHERE window_start + 43200 <= (SELECT epoch(max(ts)) - 86400 FROM events) GROUP BY 1, 2""")
+def stream_sliding(spark: SparkSession, d: str) -> DataFrame:
+    """Events per twelve hours, every six hours, and type: the windows for which no more can come, as a stream puts them out."""
+    stream = streaming.arriving(spark, f"{d}/events.parquet")
+    return streaming.run_final(
+        streaming.windows(stream, "ts", ["event_type"], "12 hours", "1 day", "6 hours"), new_folder(spark, "stream")
+    )
+
+
 # A made tree ------------------------------------------------------------------------------------------------------------
 
 ITEMS, SEED, MOST_BYTES = 2000, 5, 2000

@@ -234,6 +234,42 @@ def test_duplicates(spark):
     assert dedup.duplicates(df.limit(0)).count() == 0
 
 
+def test_duplicates_hash_each_candidate_once(spark, monkeypatch, tmp_path):
+    data = [("/a", 2, 1, "x"), ("/b", 2, 1, "x"), ("/c", 2, 1, "y"), ("/d", 2, 2, "xy"), ("/e", 2, None, "zz"), ("/f", 2, None, ""), ("/g", 2, 3, None)]
+    df = spark.createDataFrame(data, "path string, type int, size bigint, content string")
+    df.write.parquet(f"{tmp_path}/f")
+    plans, written = [], dedup.written
+
+    def kept(rows_, what):
+        plans.append(rows_._jdf.queryExecution().optimizedPlan().toString())
+        return written(rows_, what)
+
+    monkeypatch.setattr(dedup, "written", kept)
+    for most in (dedup.MOST_SIZES, 0):
+        monkeypatch.setattr(dedup, "MOST_SIZES", most)
+        files = spark.read.parquet(f"{tmp_path}/f")
+        assert rows(dedup.duplicates(files), "path", "group_size") == [("/a", 2), ("/b", 2)]
+    sizes, digests, *_ = plans
+    assert sizes.count("sha2") == 0 and digests.count("sha2(") == 1 and digests.count("Relation") == 2
+    assert rows(dedup.hashed(df), "path") == [(f"/{c}",) for c in "abcde"]
+
+
+def test_segmented_sums(spark):
+    r = random.Random(3)
+    data = [(r.choice(["hot"] * 5 + ["a", None]), r.randint(0, 9), i, r.choice([None, 1, -3, 5])) for i in range(300)] + [("one", 1, 999, 7)]
+    df = spark.createDataFrame(data, "k string, o bigint, i bigint, v bigint")
+    got = {}
+    for backwards in (False, True):
+        found = order.segmented_before(df, ["k"], [("o", True), ("i", False)], "v", "s", backwards)
+        got[backwards] = {x["i"]: x["s"] for x in found.collect()}
+    for k in {x[0] for x in data}:
+        mine = sorted((x for x in data if x[0] == k), key=lambda x: (-x[1], x[2]))
+        for at, x in enumerate(mine):
+            assert got[False][x[2]] == sum(y[3] or 0 for y in mine[:at])
+            assert got[True][x[2]] == sum(y[3] or 0 for y in mine[at + 1 :])
+    assert order.segmented_before(df.limit(0), ["k"], [("o", True)], "v", "s").count() == 0
+
+
 def test_chunks_and_archives(spark, empty):
     df = explicit(
         spark,

@@ -72,6 +72,50 @@ def test_walk_options(spark, tree):
     assert (one["depth"], one["type"], one["size"]) == (2, 1, None)
 
 
+def test_walk_of_a_flat_directory(spark, tmp_path):
+    flat = tmp_path / "flat"
+    flat.mkdir()
+    for i in range(3000):
+        (flat / f"f{i}").touch()
+    df = walk.walk(spark, str(flat))
+    assert df.rdd.getNumPartitions() == 1 and df.count() == 3001
+    assert len(walk.TreeReader(schema.LITE, {"path": str(flat), "lite": "true"}).partitions()) == 1
+    assert walk.walk_levels(spark, str(flat), stats=False).count() == 3001
+
+
+def test_directories_that_cannot_be_listed(spark, tree, monkeypatch):
+    from lakewalk.plans import sync
+
+    scandir = os.scandir
+
+    def refusing(path):
+        if str(path).endswith("/a"):
+            raise PermissionError(path)
+        return scandir(path)
+
+    monkeypatch.setattr(os, "scandir", refusing)
+    names = [*schema.EXTENDED.names, "digest", "error"]
+    for split in ("0", "1", "2"):
+        reader = walk.TreeReader(walk.TreeSource({}).schema(), {"path": tree, "split": split})
+        found = [dict(zip(names, r)) for part in reader.partitions() for r in reader._walk(part)]
+        assert {f["path"][len(tree) :]: f["error"] for f in found} == {"": None, "/a": "unlistable", "/empty": None, "/.hidden": None, "/link": None, "/dangling": None, "/pipe": None}
+    monkeypatch.undo()
+    src = walk.walk(spark, tree)
+    assert sync.check(src, delete=True)
+    assert not sync.check(src.withColumn("error", F.when(F.col("path").endswith("/a"), "unlistable")), delete=True)
+
+
+def test_followed_links_do_not_go_round(spark, tree):
+    os.symlink("..", tree + "/a/up")
+    got = [r["path"][len(tree) :] for r in walk.walk(spark, tree, dereference="true").collect()]
+    assert "/a/up" in got and len(got) < 60
+
+
+def test_walk_by_levels_is_the_walk(spark, tree):
+    columns = ["path", "type", "size", "mtime", "link_target", "error"]
+    assert rows(walk.walk_levels(spark, tree, tree + "/a/b"), *columns) == sorted({*rows(walk.walk(spark, tree), *columns)}, key=repr)
+
+
 def test_text_cache(spark, tmp_path):
     df = spark.createDataFrame([("/a|b", 1, 2), ("/c", 1, 3), ("/d e", 1, 4), ("/f", 1, 1)], schema.LITE)
     caches.write_text_cache(df, f"{tmp_path}/t")
@@ -87,20 +131,37 @@ def test_binary_cache(spark, tree, tmp_path):
         assert caches.write_binary_cache(df, at, [(0, "root"), (1, "bin")], [(0, "wheel")], version) == 10
         names = schema.INVENTORY.names
         assert rows(caches.read_binary_cache(spark, at)) == rows(df.select(*names))
-        one = sorted(f for f in os.listdir(at) if f.endswith(".mfu"))[0]
+        one = sorted(f for f in os.listdir(at) if f.endswith(".cache"))[0]
         assert caches.cache_names(f"{at}/{one}") == ([(0, "root"), (1, "bin")], [(0, "wheel")])
-        assert not [f for f in os.listdir(at) if f.startswith(".") and not f.endswith(".crc")]
-    assert caches.write_binary_cache(df.limit(0), f"{tmp_path}/none") == 0 and not os.path.exists(f"{tmp_path}/none")
+    assert caches.write_binary_cache(df.limit(0), f"{tmp_path}/none") == 0
+    assert caches.read_binary_cache(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_binary_cache_rewritten_in_place(spark, tmp_path, monkeypatch):
+    made = lambda n: walk.explicit(spark, [{"path": f"/{i}", "size": i} for i in range(n)]).repartition(3)
+    at = f"{tmp_path}/cache"
+    assert caches.write_binary_cache(made(1000), at) == 1000
+    assert caches.write_binary_cache(made(10), at) == 10
+    assert rows(caches.read_binary_cache(spark, at), "path", "size") == sorted(((f"/{i}", i) for i in range(10)), key=repr)
+    # A writer that dies before its manifest leaves readers the old cache.
+    monkeypatch.setattr(caches.Files, "replace_text", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        caches.write_binary_cache(made(500), at)
+    monkeypatch.undo()
+    assert caches.read_binary_cache(spark, at).count() == 10
+    assert caches.write_binary_cache(made(20), at) == 20 and caches.read_binary_cache(spark, at).count() == 20
+    assert len([f for f in os.listdir(at) if f.endswith(".cache")]) <= 3
 
 
 def test_binary_cache_layout(spark, tmp_path):
-    data = caches.encode_cache([("/a", 0o100644, 1, 2, 3, 4, 5, 6, 7, 8, 9)], [(1, "me")], [], 8)
+    row = spark.createDataFrame([("/a", 0o100644, 1, 2, 3, 4, 5, 6, 7, 8, 9)], ["path", *caches.NUMBERS]).toArrow()
+    data = caches.encode_head(1, [(1, "me")], [], 8) + caches.encode_batch(row.to_batches()[0], 8)
     assert struct.unpack(">7Q", data[:56]) == (4, 1, 3, 0, 0, 1, 8)
     assert data[56:67] == b"me\0" + struct.pack(">Q", 1)
     assert data[67:75] == b"/a" + b"\0" * 6 and struct.unpack(">10Q", data[75:]) == (0o100644, *range(1, 10))
-    (tmp_path / "one.mfu").write_bytes(data)
+    (tmp_path / "one.lst").write_bytes(data)
     assert rows(
-        caches.read_binary_cache(spark, f"{tmp_path}/one.mfu"), "path", "type", "size", "ctime_nsec"
+        caches.read_binary_cache(spark, f"{tmp_path}/one.lst"), "path", "type", "size", "ctime_nsec"
     ) == [("/a", 2, 9, 8)]
 
 
@@ -154,6 +215,17 @@ def test_archives(spark, tree, tmp_path):
     assert rows(spark.read.text(f"{tmp_path}/out")) == [("one",), ("two",)]
 
 
+def test_archives_and_their_index(spark, tmp_path):
+    data = [("a/f", 2, b"hello" * 300, None), ("a/empty", 2, b"", None), ("a/null", 2, None, None), ("a", 3, None, None), ("l", 4, None, "x"), ("pipe", 1, None, None), (None, 2, b"x", None), ("n" * 300, 2, b"long", None)]
+    df = spark.createDataFrame(data, "path string, type int, content binary, link_target string").selectExpr("*", "CAST(NULL AS INT) AS mode", "CAST(NULL AS BIGINT) AS uid", "7L AS gid", "5L AS mtime")
+    index = archives.write_archives(df.repartition(2), f"file://{tmp_path}/out")
+    assert rows(index, "path", "type", "size", "gid") == sorted([("a/f", 2, 1500, 7), ("a/empty", 2, 0, 7), ("a/null", 2, 0, 7), ("a", 3, 0, 7), ("l", 4, 0, 7), ("n" * 300, 2, 4, 7)], key=repr)
+    assert {r["path"]: bytes(r["content"]) for r in archives.indexed_contents(index).collect()} == {"a/f": b"hello" * 300, "a/empty": b"", "a/null": b"", "n" * 300: b"long"}
+    scanned = archives.archive_list(index.select("archive").distinct())
+    assert rows(scanned, "path", "data_offset") == rows(index, "path", "data_offset")
+    assert archives.write_archives(df.limit(0), f"file://{tmp_path}/none").count() == 0
+
+
 def test_synthetic(spark):
     one, two = synthetic.tree(spark, 500, seed=4), synthetic.tree(spark.newSession(), 500, seed=4).repartition(3)
     assert rows(one) == rows(two) and rows(one) != rows(synthetic.tree(spark, 500, seed=5))
@@ -179,6 +251,23 @@ def test_streams(spark, tmp_path):
     assert run() == [(2, 2, 12), (3, 1, 0)]
 
 
+def test_windows_are_put_out_once(spark, tmp_path):
+    hour = 3600
+    add = lambda *hours: spark.createDataFrame([(h * hour,) for h in hours], "t bigint").select(F.timestamp_seconds("t").alias("ts")).write.mode("append").parquet(f"{tmp_path}/in")
+    run = lambda: rows(streaming.run_final(streaming.windows(streaming.arriving(spark, f"{tmp_path}/in"), "ts", [], "2 hours", "1 hour", "1 hour"), f"{tmp_path}/w"))
+    add(100, 100, 101)
+    assert run() == []
+    add(104)
+    assert run() == [(99 * hour, 2), (100 * hour, 3), (101 * hour, 1)]
+    add(99)
+    assert run() == [(99 * hour, 2), (100 * hour, 3), (101 * hour, 1)]
+    add(110)
+    assert run() == [(99 * hour, 2), (100 * hour, 3), (101 * hour, 1), (103 * hour, 1), (104 * hour, 1)]
+    spark.createDataFrame([(0,), (50,), (200,)], "t bigint").select(F.timestamp_seconds("t").alias("ts"), F.lit("a").alias("k")).write.parquet(f"{tmp_path}/s")
+    got = streaming.run_complete(streaming.sessions(streaming.arriving(spark, f"{tmp_path}/s"), "ts", ["k"], "60 seconds", "1 day"), f"{tmp_path}/t")
+    assert rows(got) == [(0, 110, "a", 2), (200, 260, "a", 1)]
+
+
 def test_late_and_repeated_deliveries(spark, tmp_path):
     start = 21600 * 80_000
     data = [(1, "a", start), (2, "a", start + 3600), (1, "a", start), (3, "b", start + 7 * 3600)]
