@@ -1,10 +1,10 @@
 """The N highest-scoring rows of every group, reading little of what can't be among them.
 
-The rows are clustered into files by group and, within a file, sorted by descending score, with small row groups. From the
-statistics of the row groups alone, a lower bound of a hot group's N-th score follows wherever a row group of that group only
-holds N rows; row groups of the group strictly below it are never opened. Each file's others are taken in descending order of
-their maximum score. The groups in a row group are read first, one column; if its maximum score is strictly below the N-th
-score, so far, of every one of them, its other columns are skipped.
+The rows are clustered into files by group and, within a file, sorted by descending score (large groups each by itself, the
+others together), with small row groups. From the statistics of the row groups alone, a lower bound of a large group's N-th
+score follows wherever a row group of that group only holds N rows; row groups of the group strictly below it are never opened.
+Each file's others are taken in the order in which their maximum scores descend. The groups in a row group are read first, one
+column; if its maximum score is strictly below the N-th score, so far, of every one of them, its other columns are skipped.
 """
 
 from __future__ import annotations
@@ -17,9 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakewalk.storage import new_folder
+from lakewalk.storage import new_folder, written
 
 ROW_GROUP_BYTES = 64 * 1024
+#: A group is large if it has a row for each so many bytes of a row group (some four row groups); up to so many large groups are
+#: broadcast.
+LARGE_BYTES, MOST_LARGE = 8, 1_000_000
 
 
 def _sorted(order: Sequence[tuple[str, bool]]) -> list[Column]:
@@ -29,9 +32,15 @@ def _sorted(order: Sequence[tuple[str, bool]]) -> list[Column]:
 def cluster(
     df: DataFrame, group: str, order: Sequence[tuple[str, bool]], path: str, row_group_bytes: int = ROW_GROUP_BYTES
 ) -> list[str]:
-    """Write ``df`` range-partitioned by group and order, each file sorted by the order alone: a hot group is spread over many
-    files, even if all its scores are the same, and the low scores of many small groups share row groups. The file names."""
-    clustered = df.repartitionByRange(F.col(group), *_sorted(order)).sortWithinPartitions(*_sorted(order), group)
+    """Write ``df`` range-partitioned by group and order: a hot group is spread over many files, even if all its scores are the
+    same. Within a file the groups of many row groups come first, one after the other, so that row groups are theirs alone; the
+    others are mixed, by the order alone, so that their low scores share row groups. The file names."""
+    large = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= row_group_bytes // LARGE_BYTES)
+    large = written(large.select(F.col(group), F.lit(True).alias("_large")), "large")
+    # At most one for each so many rows of the table.
+    marked = df.join(F.broadcast(large) if large.count() <= MOST_LARGE else large, group, "left")
+    first = F.when(F.col("_large"), F.col(group)).asc_nulls_last()
+    clustered = marked.repartitionByRange(F.col(group), *_sorted(order)).sortWithinPartitions(first, *_sorted(order), group).select(*df.columns)
     clustered.write.option("parquet.block.size", str(row_group_bytes)).option(
         "parquet.page.size", str(max(4096, row_group_bytes // 8))
     ).mode("overwrite").parquet(path)
@@ -68,7 +77,8 @@ def statistics(files: DataFrame, group: str, score: str) -> DataFrame:
 
 def _kept(source, parts: pd.DataFrame, columns: list[str], group: str, score: str, n: int) -> Iterator[pa.Table]:
     """Of one file, whose rows are in the order, the first n of each group; an empty table for a row group that was skipped."""
-    parts = parts.sort_values(["max_score", "row_group"], ascending=[False, True])
+    # In the file's order a group's scores descend, and among mixed groups the maxima of the row groups do.
+    parts = parts.sort_values("row_group")
     groups = [source.read_row_group(k, columns=[group]).column(0).to_numpy() for k in parts["row_group"]]
     _, place = np.unique(np.concatenate(groups), return_inverse=True)
     count = np.zeros(place.max(initial=0) + 1, np.int64)
@@ -142,6 +152,8 @@ def top_n(
     rows = df.select(
         *[F.col(c).cast("bigint").alias(c) for c in columns]
     ).filter(F.col(group).isNotNull() & F.col(score).isNotNull())
+    # Read three times: to count, to find the ranges, to be sorted.
+    rows = written(rows, "scores")
     names = cluster(rows, group, order, path or new_folder(spark, "topn"), row_group_bytes)
     if not names:
         return rows.limit(0).withColumn("rank", F.lit(0))
