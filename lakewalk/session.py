@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import io
 import os
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
 
-from lakewalk.storage import Files, new_folder
+from lakewalk.storage import Files, shared_root
 
 _SHIPPED: set[str] = set()
 
@@ -27,7 +28,7 @@ def ship(spark: SparkSession) -> None:
                 for name in sorted(n for n in names if n.endswith(".py")):
                     at = os.path.join(folder, name)
                     archive.write(at, os.path.join("lakewalk", os.path.relpath(at, here)))
-        path = new_folder(spark, "package") + "/lakewalk_package.zip"
+        path = f"{shared_root(spark)}/lakewalk-package-{uuid.uuid4().hex}/lakewalk_package.zip"  # kept until the application ends
         Files(spark).write_bytes(path, packed.getvalue())
         spark.sparkContext.addPyFile(path)
     _SHIPPED.add(app)
