@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from lakewalk import schema
 from lakewalk.functions import modes, paths
 
+#: Names of fields and states in expressions. Fixed values.
 FIELDS = ["EXIST", "TYPE", "SIZE", "UID", "GID", "ATIME", "MTIME", "CTIME", "PERM", "ACL", "CONTENT"]
+STATES = ["COMMON", "DIFFER", "ONLY_SRC", "ONLY_DEST"]
 #: What has to be compared too, for a field to be compared.
 NEEDS = {
     "TYPE": ["EXIST"],
@@ -23,7 +25,6 @@ NEEDS = {
     "CONTENT": ["SIZE"],
     **{f: ["EXIST"] for f in ("UID", "GID", "ATIME", "MTIME", "CTIME", "PERM", "ACL")},
 }
-STATES = ["COMMON", "DIFFER", "ONLY_SRC", "ONLY_DEST"]
 #: The default reports. Fixed values.
 COMPARE_REPORT = [
     "EXIST=COMMON",

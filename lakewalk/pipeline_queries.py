@@ -61,10 +61,8 @@ def p3_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _below(df: DataFrame, root: str) -> DataFrame:
-    inside = F.when(F.col("path") == root, ".").when(
-        F.col("path").startswith(root + "/"), F.expr(f"substring(path, {len(root) + 2})")
-    )
-    return df.withColumn("relpath", inside).filter("relpath IS NOT NULL")
+    """The entries below ``root``, which isn't one itself."""
+    return df.filter(F.col("path").startswith(root + "/")).withColumn("relpath", F.substring("path", len(root) + 2, 2**31 - 1))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
