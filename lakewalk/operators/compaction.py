@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import json
 import uuid
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lakewalk.operators.keyed_state import Conflict, key_columns
-from lakewalk.storage import Files, observed, written
+from lakewalk.storage import Files, configured, observed, written
 
 #: Up to so many ids (8 bytes each) are broadcast.
 MOST_IDS = 2_000_000
@@ -63,18 +62,6 @@ def records(files: DataFrame) -> DataFrame:
     return files.select(*keep, F.posexplode_outer(lines).alias("rec_no", "record"))
 
 
-@contextmanager
-def _conf(spark: SparkSession, **values: str):
-    old = {k: spark.conf.get(k, None) for k in values}
-    for k, v in values.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in old.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def _sums(columns: list[str]) -> list[Column]:
     h = F.xxhash64(*[F.col(c).isNull() for c in columns], *columns)
     h2 = F.xxhash64(F.lit(7), *[F.col(c).isNull() for c in columns], *columns)
@@ -113,7 +100,7 @@ def compact(rows: DataFrame, root: str, by: list[str], target_bytes: int | None
         sizes["spark.sql.adaptive.advisoryPartitionSizeInBytes"] = str(target_bytes)
     order = [c for c in rows.columns if c not in by]
     seen = Observation()
-    with _conf(spark, **sizes):
+    with configured(spark, **sizes):
         rows.observe(seen, *_sums(rows.columns)).hint("rebalance", *by).sortWithinPartitions(*by, *order).write.parquet(at)
     packed = spark.read.schema(rows.schema).parquet(at)
     got = multiset(packed)

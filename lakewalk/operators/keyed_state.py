@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
-from lakewalk.storage import Files, observed
+from lakewalk.storage import Files, configured, observed
 
 KEYS = ("k1", "k2")
 #: The state is folded into a new base once there are so many folders, or as many rows in the others as in the base.
@@ -158,13 +158,17 @@ class KeyedState:
     def arrive(self, rows: DataFrame, best: Column, step: str | None = None) -> Arrivals:
         """Incoming rows (KEYS and, for rows of several steps at once, ``step``), reduced to the row of each key (and step)
         whose ``best`` is greatest, in the state's buckets. Combined before the shuffle, so a repeated key isn't a hot one.
-        Rows are shuffled here and nowhere else.
+        Rows are shuffled here and nowhere else: those of one step once, those of several twice.
         """
         reduced = rows.groupBy(*([step] if step else []), *KEYS).agg(F.max(best).alias("_best"))
         reduced = reduced.select(*([F.col(step).alias("_step")] if step else [F.lit(0).alias("_step")]), *KEYS, "_best.*")
         at = f"{self.root}/arrivals-{uuid.uuid4().hex}"
-        name = self._save(reduced.repartition(self.buckets, *KEYS), at, "_step")
-        return Arrivals(self, name, at)
+        if step:
+            return Arrivals(self, self._save(reduced.repartition(self.buckets, *KEYS), at, "_step"), at)
+        # The grouping's own shuffle puts the rows into the buckets, if it has as many partitions.
+        whole = {"spark.sql.shuffle.partitions": str(self.buckets), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+        with configured(self.spark, **whole):
+            return Arrivals(self, self._save(reduced, at, "_step"), at)
 
     def fold(self, keep_row: Column, buckets: int | None = None) -> None:
         """Put a version in force that is the same state in one folder: of each key the row whose ``keep_row`` is greatest. If

@@ -256,10 +256,13 @@ def subtree_split(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("SELECT inv_id, path FROM inventory WHERE regexp_matches(path, '^/lake/home/ax[^/]*(/|$)')")
+@query("SELECT inv_id, path, regexp_matches(path, '^/lake/home/ax[^/]*(/|$)') AS inside FROM inventory")
 def children_like(spark: SparkSession, d: str) -> DataFrame:
-    """Everything in children whose names match."""
-    return filters.children_like(inventory(spark, d), "/lake/home", "ax*")[0].select("inv_id", "path")
+    """Everything in children whose names match, and the rest."""
+    inside, rest = filters.children_like(inventory(spark, d), "/lake/home", "ax*")
+    return inside.select("inv_id", "path", F.lit(True).alias("inside")).unionAll(
+        rest.select("inv_id", "path", F.lit(False).alias("inside"))
+    )
 
 
 @query(
@@ -308,11 +311,13 @@ def one_device(spark: SparkSession, d: str) -> DataFrame:
 
 _FLAGS = f"""(CASE WHEN type = 2 AND size > 1125899906842624 THEN 1 ELSE 0 END +
     CASE WHEN atime > {NOW} OR atime < {NOW} - 3650 * 86400 OR mtime > {NOW} OR mtime < {NOW} - 3650 * 86400 OR ctime > {NOW} OR ctime < {NOW} - 3650 * 86400 THEN 2 ELSE 0 END
-    + CASE WHEN mode IS NULL THEN 8 ELSE 0 END)"""
+    + CASE WHEN mode IS NOT NULL THEN 0 WHEN contains(path, '7') THEN 4 ELSE 8 END)"""
 
 
 def _with_errors(spark: SparkSession, d: str) -> DataFrame:
-    return inventory(spark, d).withColumn("error", F.when(F.col("mode").isNull(), "unreadable"))
+    """The inventory with errors as of a walk: of the failed stats some are of entries that went missing."""
+    error = F.when(F.col("path").contains("7"), "missing").otherwise("unreadable")
+    return inventory(spark, d).withColumn("error", F.when(F.col("mode").isNull(), error))
 
 
 @query(f"SELECT inv_id, path, {_FLAGS} AS flags FROM inventory WHERE {_FLAGS} <> 0")
@@ -364,7 +369,7 @@ def statistics(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
     SELECT count(*) FILTER (type = 2) AS files, count(*) FILTER (type = 3) AS directories, count(*) FILTER (type = 4) AS links, count(*) FILTER (type = 1) AS others,
-    count(*) FILTER (mode IS NULL) AS scan_errors, count(*) FILTER ({_FLAGS} NOT IN (0, 8)) AS broken FROM inventory""")
+    count(*) FILTER (mode IS NULL) AS scan_errors, count(*) FILTER ({_FLAGS} NOT IN (0, 4, 8)) AS broken FROM inventory""")
 def type_counts(spark: SparkSession, d: str) -> DataFrame:
     return profile.type_counts(inventory(spark, d), NOW)
 

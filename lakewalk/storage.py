@@ -7,6 +7,7 @@ import re
 import tempfile
 import time
 import uuid
+from contextlib import contextmanager
 from urllib.parse import unquote, urlsplit
 
 from py4j.protocol import Py4JJavaError
@@ -62,6 +63,19 @@ def written(df: DataFrame, what: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def configured(spark: SparkSession, **values: str):
+    """The session with some settings for what runs inside."""
+    old = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def observed(seen: Observation) -> dict | None:
     """What an observation saw; None if the plan that it stood in was found to be empty and didn't run."""
     try:

@@ -119,6 +119,15 @@ def test_two_writers_lose_nothing(spark):
         two.commit(two.live, two.current().schema, None, {})
 
 
+def test_one_run_is_shuffled_once_into_its_buckets(spark):
+    state = KeyedState(spark, new_folder(spark, "t"), buckets=6)
+    rows_ = spark.range(5000).select(F.xxhash64("id").alias("k1"), F.xxhash64("id", F.lit(1)).alias("k2"), "id")
+    arrived = state.arrive(rows_.unionAll(rows_), F.struct("id"))
+    assert len([n for n in Files(spark).names(arrived.folder()) if n.endswith(".parquet")]) == 6
+    assert rows(arrived.of(0), "id") == sorted(((i,) for i in range(5000)), key=repr)
+    arrived.close()
+
+
 def test_many_claims_one_wins(spark):
     from concurrent.futures import ThreadPoolExecutor
 
