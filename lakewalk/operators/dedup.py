@@ -21,8 +21,11 @@ def hashed(files: DataFrame) -> DataFrame:
     ``size`` counts; where it is null the bytes of content. Sizes are counted first, without reading contents but those of
     files without a size. If the shared ones are few enough to be broadcast (counted), files of a unique size are dropped
     where they are read; beyond that all files are hashed there, with the same groups in the end. Each file is hashed once,
-    into a table of paths and digests; contents are never shuffled. Files with null contents don't count.
+    into a table of paths and digests; contents are never shuffled. Files with null contents don't count. Without a column
+    ``size`` all sizes are null.
     """
+    if "size" not in files.columns:
+        files = files.withColumn("size", F.lit(None).cast("bigint"))
     sized = files.filter(
         (F.col("type") == schema.FILE) & F.col("content").isNotNull()
     ).withColumn("bytes", F.coalesce("size", F.octet_length("content").cast("bigint"))).filter("bytes > 0")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lakewalk.storage import Files
 
@@ -103,5 +103,7 @@ def spool(stream: DataFrame, root: str, batches: int, key: str) -> str:
     return f"{root}/spool"
 
 
-def replayed(spark: SparkSession, spool_path: str, batch: int) -> DataFrame:
-    return spark.read.parquet(spool_path).filter(F.col("batch_id") == batch)
+def replayed(spark: SparkSession, spool_path: str, batch: int, schema: StructType | None = None) -> DataFrame:
+    """One batch of a spool; ``schema`` is that of the stream, which an empty spool doesn't tell."""
+    reader = spark.read if schema is None else spark.read.schema(StructType([*schema.fields, StructField("batch_id", IntegerType())]))
+    return reader.parquet(spool_path).filter(F.col("batch_id") == batch)

@@ -191,7 +191,7 @@ def spool_replay(spark: SparkSession, d: str) -> DataFrame:
     path came in one batch."""
     stream = streaming.arriving(spark, f"{d}/inventory_feed.parquet").select("rec_id", "path", "size")
     at = streaming.spool(stream, new_folder(spark, "spool"), 4, "path")
-    parts = [streaming.replayed(spark, at, k) for k in range(4)]
+    parts = [streaming.replayed(spark, at, k, stream.schema) for k in range(4)]
     whole = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
     batches = whole.groupBy("path").agg(F.count_distinct("batch_id").alias("n"))
     same = F.col("w.path").eqNullSafe(F.col("b.path"))
