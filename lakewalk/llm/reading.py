@@ -196,23 +196,28 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def _dot(a: np.ndarray, b: np.ndarray) -> float:
+    """Without the threads that a product of vectors would start, and keep busy, for work this small."""
+    return float(np.einsum("i,i->", a, b))
+
+
 def minimised(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray) -> np.ndarray:
     """Where the convex ``f`` (value and gradient) is least, by L-BFGS from ``x``, to TOLERANCE of the gradient."""
     value, g = f(x)
-    enough = TOLERANCE * np.linalg.norm(g)
+    enough = TOLERANCE * math.sqrt(_dot(g, g))
     pairs: deque = deque(maxlen=6)
     for _ in range(MOST_STEPS):
-        norm = np.linalg.norm(g)
+        norm = math.sqrt(_dot(g, g))
         if norm <= enough:
             return x
         d, kept = g.copy(), []
         for s, y, sy in reversed(pairs):
-            kept.append(a := (s @ d) / sy)
+            kept.append(a := _dot(s, d) / sy)
             d -= a * y
-        d *= pairs[-1][2] / (pairs[-1][1] @ pairs[-1][1]) if pairs else 1 / norm
+        d *= pairs[-1][2] / _dot(pairs[-1][1], pairs[-1][1]) if pairs else 1 / norm
         for (s, y, sy), a in zip(pairs, reversed(kept)):
-            d += (a - (y @ d) / sy) * s
-        slope, t = -(d @ g), 1.0
+            d += (a - _dot(y, d) / sy) * s
+        slope, t = -_dot(d, g), 1.0
         while True:
             step = -t * d
             new_value, new_g = f(x + step)
@@ -222,10 +227,10 @@ def minimised(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray
             if t < 1e-9:
                 warnings.warn(f"fit ended at gradient {norm:.3g}, tolerance {enough:.3g}", stacklevel=2)
                 return x
-        if (sy := step @ (new_g - g)) > 0:
+        if (sy := _dot(step, new_g - g)) > 0:
             pairs.append((step, new_g - g, sy))
         x, value, g = x + step, new_value, new_g
-    warnings.warn(f"fit ended at gradient {np.linalg.norm(g):.3g}, tolerance {enough:.3g}", stacklevel=2)
+    warnings.warn(f"fit ended at gradient {math.sqrt(_dot(g, g)):.3g}, tolerance {enough:.3g}", stacklevel=2)
     return x
 
 
